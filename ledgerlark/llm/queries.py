@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .jaccard import ORACLE as JACCARD_SQL
+from .jaccard import op5_ngram_jaccard
 from .packing import op8_best_fit
 from .pieces import op7_piece_codec
 from .token_orc import op1_token_orc
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op7_piece_codec, op8_best_fit)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op5_ngram_jaccard, op7_piece_codec, op8_best_fit)}
+ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard": JACCARD_SQL}
