@@ -153,6 +153,36 @@ def encoded(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
+# --- filters of fixed size ------------------------------------------------------------------------
+
+#: Bits of the filter that spares other documents a shuffle; a larger input only makes it leak.
+FILTER_BITS = 1 << 26
+
+
+def member_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits on the column doc_id, put together from Spark's bitmaps."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    parts = ids.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def touched(docs: DataFrame, wanted: DataFrame, other: bool = False) -> DataFrame:
+    """docs (with doc_id) that pass the filter of the ids in wanted, or the others."""
+    bits = member_filter(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(b.num_columns - 1).fill_null(0).to_numpy()
+            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(hit != other))
+
+    return docs.withColumn("__bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, docs.schema)
+
+
 # --- connected components -----------------------------------------------------------------------
 
 

@@ -27,14 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, components, encoded, lower_ascii, mix, rolling, saved, spans_hash, table, texts, word_spans
+from .common import FILTER_BITS, chunks, components, encoded, lower_ascii, member_filter, rolling, saved, spans_hash, table, texts, word_spans
 
 #: Shingles of a tile of a large shard.
 TILE = 400_000
 #: DivideSkip's weight of a long list's probe against the merge.
 MU = 0.01
-#: Bits of the filter that spares other documents' sets the shuffle; a larger input only makes it leak.
-FILTER_BITS = 1 << 26
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -88,16 +86,6 @@ def shards(signs: DataFrame) -> DataFrame:
     return components(kept.select(F.col("key").alias("a"), F.col("first").alias("b"))).withColumnRenamed("node", "key").withColumnRenamed("component", "shard")
 
 
-def member_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits on the column doc_id, put together from Spark's bitmaps."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    parts = ids.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(doc_id, ids): the whole sets of the wanted documents, and of a few others that pass the filter."""
     member = docs.sparkSession.sparkContext.broadcast(member_filter(wanted))

@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, chunks, encoded, rolling, saved, spans_hash, table, texts, word_spans
-from .jaccard import FILTER_BITS, member_filter
+from .common import WORD, chunks, encoded, rolling, saved, spans_hash, table, texts, touched, word_spans
 
 #: Characters of a slice.
 SLICE = 4 << 20
@@ -171,20 +170,6 @@ def runs(found: DataFrame, name: str) -> DataFrame:
     return saved(_by_target(found).mapInArrow(gathered, T.StructType.fromDDL("doc_id long, first array<int>, n array<int>")), name)
 
 
-def touched(docs: DataFrame, stretches: DataFrame, other: bool = False) -> DataFrame:
-    """docs (with doc_id) that pass the filter of documents with stretches, or the others."""
-    bits = member_filter(stretches)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column(b.num_columns - 1).fill_null(0).to_numpy()
-            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(hit != other))
-
-    return docs.withColumn("__bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, docs.schema)
-
-
 # --- 2: windows that also start earlier ---------------------------------------------------------
 
 
