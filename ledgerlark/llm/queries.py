@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .context_tree import op10_context_tree
 from .jaccard import ORACLE as JACCARD_SQL
 from .jaccard import op5_ngram_jaccard
 from .packing import op8_best_fit
@@ -12,5 +13,5 @@ from .substrings import ORACLE as SUBSTRINGS_SQL
 from .substrings import op6_block_anchors
 from .token_orc import op1_token_orc
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_quality_nbsvm, op5_ngram_jaccard, op6_block_anchors, op7_piece_codec, op8_best_fit, op9_secret_network)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_quality_nbsvm, op5_ngram_jaccard, op6_block_anchors, op7_piece_codec, op8_best_fit, op9_secret_network, op10_context_tree)}
 ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard": JACCARD_SQL, "op6_block_anchors": SUBSTRINGS_SQL}
