@@ -12,6 +12,8 @@ from .secrets import op9_secret_network
 from .substrings import ORACLE as SUBSTRINGS_SQL
 from .substrings import op6_block_anchors
 from .token_orc import op1_token_orc
+from .vectors import ORACLE as VECTORS_SQL
+from .vectors import op3_prefix_forest, op4_pca_tiles
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_quality_nbsvm, op5_ngram_jaccard, op6_block_anchors, op7_piece_codec, op8_best_fit, op9_secret_network, op10_context_tree)}
-ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard": JACCARD_SQL, "op6_block_anchors": SUBSTRINGS_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_quality_nbsvm, op3_prefix_forest, op4_pca_tiles, op5_ngram_jaccard, op6_block_anchors, op7_piece_codec, op8_best_fit, op9_secret_network, op10_context_tree)}
+ORACLE_SQL: dict[str, str] = {"op4_pca_tiles": VECTORS_SQL, "op5_ngram_jaccard": JACCARD_SQL, "op6_block_anchors": SUBSTRINGS_SQL}
