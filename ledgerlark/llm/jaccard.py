@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FILTER_BITS, chunks, components, encoded, lower_ascii, member_filter, rolling, saved, spans_hash, table, texts, word_spans
+from .common import FILTER_BITS, chunks, components, encoded, lower_ascii, member_filter, rolling, saved, spans_hash, table, texts, touched, word_spans
 
 #: Shingles of a tile of a large shard.
 TILE = 400_000
@@ -192,6 +192,18 @@ def similar(docs: DataFrame, words: int, pct: int) -> DataFrame:
     return signs.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left").select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(component_id, doc_id))").alias("component_id"))
 
 
+def distinct(docs: DataFrame, words: int, pct: int) -> DataFrame:
+    """docs, all columns, without the rows that have a linked document of smaller doc_id; of rows with the
+    same doc_id one stays.  Only documents in groups are shuffled."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    classes = saved(similar(docs, words, pct).select("doc_id", "component_id"), "groups")
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    left = touched(docs, gone, other=True).union(touched(docs, gone).join(gone, "doc_id", "left_anti").select(*docs.columns))
+    if not _repeats(classes):
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null"))
+
+
 def _repeats(signs: DataFrame) -> bool:
     """Whether some doc_id has two rows."""
     return bool(signs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
