@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 
 from .common import WORD, chunks, encoded, rolling, saved, spans_hash, table, texts, touched, word_spans
 
-#: Characters of a slice.
-SLICE = 4 << 20
+#: Characters of a slice; buckets of hashes, one in memory at a time, for each shuffle partition.
+SLICE = 2 << 20
+BUCKETS = 4
 PACKED = "target int, ids binary, counts binary, at binary, hash binary, flag binary"
 _NAMES = ["target", "ids", "counts", "at", "hash", "flag"]
 
@@ -60,7 +61,7 @@ def pack(target: np.ndarray, doc: np.ndarray, at: np.ndarray, hash: np.ndarray,
         new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
         place = at[s:e].astype("<u4")
         rows.append((int(target[s]), _planes(np.diff(d[new], prepend=0)), _planes(np.diff(np.r_[new, e - s]).astype("<u4")), _planes(np.diff(place, prepend=np.uint32(0))), hash[s:e].tobytes(), np.packbits(flag[s:e]).tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(6)], names=_NAMES)
+    return _rows(rows)
 
 
 def unpack(row: tuple, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,6 +83,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield key, rows
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(6)], names=_NAMES)
+
+
 def _by_target(df: DataFrame) -> DataFrame:
     return df.repartition("target").sortWithinPartitions("target")
 
@@ -94,11 +99,6 @@ def _none(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(n, "<u4"), np.zeros(n, bool)
 
 
-def _nothing() -> pa.RecordBatch:
-    z = np.zeros(0, np.int64)
-    return pack(z, z, z, *_none(0))
-
-
 # --- 1: blocks and probes -----------------------------------------------------------------------
 
 
@@ -138,7 +138,10 @@ def anchors(docs: DataFrame, block: int, window: int, parts: int) -> DataFrame:
                 yield pack(((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64), doc[first], at[first], h.astype("<u4"), aligned)
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
+        for target, rows in _groups(batches):
+            if target < 0:
+                yield _rows(rows)
+                continue
             doc, at, hash, block_ = (np.concatenate(x) for x in zip(*(unpack(r, "<u4") for r in rows), strict=True))
             by = np.argsort(hash, kind="stable")
             edge = np.flatnonzero(np.r_[True, hash[by][1:] != hash[by][:-1]])
@@ -148,8 +151,8 @@ def anchors(docs: DataFrame, block: int, window: int, parts: int) -> DataFrame:
             own = own[np.lexsort((at[own], doc[own]))]
             yield pack(-1 - _spread(doc[own], parts), doc[own], at[own], *_none(len(own)))
 
-    sent = saved(texts(docs).where("doc_id is not null").mapInArrow(probes, T.StructType.fromDDL(PACKED)), "probes")
-    return sent.where("target < 0").union(_by_target(sent.where("target >= 0")).mapInArrow(matched, T.StructType.fromDDL(PACKED)))
+    sent = texts(docs).where("doc_id is not null").mapInArrow(probes, T.StructType.fromDDL(PACKED))
+    return _by_target(sent).mapInArrow(matched, T.StructType.fromDDL(PACKED))
 
 
 def runs(found: DataFrame, name: str) -> DataFrame:
@@ -176,7 +179,7 @@ def runs(found: DataFrame, name: str) -> DataFrame:
 def repeats(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, first, n): stretches of starts of windows whose words also start earlier."""
     block = window // 2
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hits = runs(anchors(docs, block, window, parts), "anchors")
     some = touched(texts(docs).where("doc_id is not null"), hits).join(hits, "doc_id").select("doc_id", "text", "first", "n")
 
@@ -209,7 +212,10 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
                 yield pack((deal[own] % np.uint64(parts)).astype(np.int64), doc[own], at[own], hash[own].astype("<u8"), np.zeros(len(own), bool))
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
+        for target, rows in _groups(batches):
+            if target < 0:
+                yield _rows(rows)
+                continue
             doc, at, hash, _f = (np.concatenate(x) for x in zip(*(unpack(r, "<u8") for r in rows), strict=True))
             by = np.lexsort((at, doc, hash))
             new = np.r_[True, hash[by][1:] != hash[by][:-1]]
@@ -218,8 +224,8 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
             own = own[np.lexsort((at[own], doc[own]))]
             yield pack(-1 - _spread(doc[own], parts), doc[own], at[own], np.zeros(len(own), "<u8"), np.zeros(len(own), bool))
 
-    sent = saved(some.mapInArrow(windows, T.StructType.fromDDL(PACKED)), "windows")
-    return runs(sent.where("target < 0").union(_by_target(sent.where("target >= 0")).mapInArrow(later, T.StructType.fromDDL(PACKED))), "repeats")
+    sent = some.mapInArrow(windows, T.StructType.fromDDL(PACKED))
+    return runs(_by_target(sent).mapInArrow(later, T.StructType.fromDDL(PACKED)), "repeats")
 
 
 # --- 3: removal ---------------------------------------------------------------------------------
