@@ -114,34 +114,38 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     crc = F.crc32(F.col("doc_id").cast("string"))
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(crc % folds != held_out).distinct()
 
+    known = known.withColumn("h", F.xxhash64("doc_id"))
+    cut = [known.where(F.col("y") == k).select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0] for k in (0, 1)]
+    known = known.withColumn("take", F.coalesce(*[F.when(F.col("y") == k, F.col("h") <= F.lit(c)) for k, c in enumerate(cut) if c is not None], F.lit(False))).drop("h")
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per task: the counts of slots by label, and the task's share of the sample."""
-        count, best = np.zeros((2, SLOTS), np.uint32), ([], [])
+        """The rows of the sample, and per task the counts of slots by label."""
+        count, any_ = np.zeros((2, SLOTS), np.uint32), False
         for b in batches:
-            for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out = []
+            for i, t, y, take in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 slots = features(t)
                 count[y, slots] += 1
-                best[y].append((int(mix(np.array([i]).astype(np.uint64))[0] >> np.uint64(1)), i, slots.tobytes()))
-                if len(best[y]) > 2 * sample:
-                    best[y][:] = sorted(best[y])[:sample]
-        out = [(k, h, i, s) for k in (0, 1) for h, i, s in sorted(best[k])[:sample]]
-        for s in range(0, len(out), 500):
-            yield _rows(out[s : s + 500])
-        if out:
-            yield _rows([(0, -1, 0, count.astype(np.int64).tobytes())])
+                any_ = True
+                if take:
+                    out.append((y, 0, i, slots.tobytes()))
+            yield _rows(out)
+        if any_:
+            yield _rows([(0, -1, 0, count.tobytes())])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * SLOTS, np.int64)
         for b in batches:
             for data in b.column("data"):
-                total += np.frombuffer(data.as_buffer(), np.int64)
+                total += np.frombuffer(data.as_buffer(), np.uint32 if len(data.as_buffer()) == 8 * SLOTS else np.int64)
         yield _rows([(0, -1, 0, total.tobytes())])
 
     kind = T.StructType.fromDDL("y int, h long, n long, data binary")
-    got = saved(touched(texts(docs).where("doc_id is not null"), known).join(known, "doc_id").select("doc_id", "text", "y").mapInArrow(counted, kind), "taught")
+    got = saved(touched(texts(docs).where("doc_id is not null"), known).join(known, "doc_id").select("doc_id", "text", "y", "take").mapInArrow(counted, kind), "taught")
     total = got.where("h = -1").repartition(16).mapInArrow(summed, kind).repartition(1).mapInArrow(summed, kind).first()
     counts = np.frombuffer(total.data, np.int64).reshape(2, SLOTS)
-    picked = [r for k in (0, 1) for r in got.where((F.col("h") >= 0) & (F.col("y") == k)).orderBy("h", "n").limit(sample).collect()]
+    picked = got.where("h = 0").select("y", "n", "data").collect()  # SAMPLE rows of each label at most
+    picked.sort(key=lambda r: (r.y, r.n))
     p, q = counts[1] + 1, counts[0] + 1
     scale = np.log((p / p.sum()) / (q / q.sum()))
     scale[counts.sum(0) == 0] = 0.0
