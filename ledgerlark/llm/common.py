@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as the operators take it.
@@ -159,9 +159,9 @@ def encoded(text: str) -> np.ndarray:
 FILTER_BITS = 1 << 26
 
 
-def member_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits on the column doc_id, put together from Spark's bitmaps."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+def member_filter(ids: DataFrame, bit: Column | None = None) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits on the column doc_id (or of given bits), put together from Spark's bitmaps."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) if bit is None else bit
     parts = ids.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:

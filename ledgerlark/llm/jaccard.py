@@ -81,7 +81,20 @@ def shards(signs: DataFrame) -> DataFrame:
     """(key, shard) of the classes that may have a partner."""
     postings = signs.select("key", "skip", F.explode("prefix").alias("s"))
     lists = saved(postings.groupBy("s").agg(F.count("*").alias("df"), F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").drop("last"), "lists")
-    own = postings.join(lists, "s").groupBy("key").agg(F.max("skip").alias("skip"), F.sort_array(F.collect_set(F.struct("df", "s", "first")), asc=False).alias("lists"))
+    shared = signs.sparkSession.sparkContext.broadcast(member_filter(lists, F.pmod("s", F.lit(FILTER_BITS))))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Prefixes without the shingles that the filter of shared lists knows to be alone."""
+        for b in batches:
+            prefix = b.column("prefix")
+            flat, n = prefix.flatten().to_numpy(zero_copy_only=False), prefix.value_lengths().to_numpy(zero_copy_only=False)
+            at = flat & (FILTER_BITS - 1)
+            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            edge = np.r_[0, np.cumsum(hit)][np.r_[0, np.cumsum(n)]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("skip"), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat[hit]))], names=["key", "skip", "prefix"])
+
+    some = signs.where("size(prefix) > 0").select("key", "skip", "prefix").mapInArrow(met, T.StructType.fromDDL("key long, skip int, prefix array<long>"))
+    own = some.select("key", "skip", F.explode("prefix").alias("s")).join(lists, "s").groupBy("key").agg(F.max("skip").alias("skip"), F.sort_array(F.collect_set(F.struct("df", "s", "first")), asc=False).alias("lists"))
     kept = own.where("size(lists) > skip").select("key", F.explode(F.array_distinct(F.expr("transform(slice(lists, skip + 1, size(lists)), x -> x.first)"))).alias("first"))
     return components(kept.select(F.col("key").alias("a"), F.col("first").alias("b"))).withColumnRenamed("node", "key").withColumnRenamed("component", "shard")
 
