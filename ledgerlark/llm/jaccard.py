@@ -7,8 +7,8 @@
    ties is a shard: linked classes are always in one shard, and no pair is written out.
 3. In a shard, inverted lists of the whole sets answer each class's T-occurrence query: short lists are
    merged, the long ones that DivideSkip sets aside are probed by binary search, classes that reach the
-   overlap are tested exactly.  Pairs already connected are skipped.  Large shards are cut into tiles and
-   every two tiles meet in a task of their own.
+   overlap are tested exactly.  Pairs already connected are skipped.  Large shards are cut by set size into
+   bands and tiles, and two tiles that may hold links meet in a task of their own.
 4. The links' connected components name the smallest doc_id.
 
 Null or empty texts and texts without words: n_shingles 0, linked with nothing.  A null doc_id stays
@@ -166,6 +166,23 @@ def search(sets: list[np.ndarray], tile: np.ndarray, pct: int) -> Iterator[tuple
                     yield int(order[x]), int(order[z])
 
 
+def meetings(cand: DataFrame, pct: int) -> DataFrame:
+    """(doc_id, shard, tile, i, j): where the classes of a shard meet.  A small shard is one task.  A large
+    one is cut by size into bands, so wide that linked sets are in the same or adjoining ones, and a band
+    into tiles; two tiles that may hold links meet in a task of their own."""
+    width = float(np.log(100 / pct) * (1 + 1e-9)) if pct < 100 else 1.0
+    whole = cand.groupBy("shard").agg(F.sum("n").alias("weight"), F.count("*").alias("m")).where("m > 1").drop("m")
+    rows = cand.join(whole, "shard").withColumn("large", F.col("weight") > TILE)
+    small = rows.where("not large").select("doc_id", "shard", F.lit(0).alias("tile"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    rows = rows.where("large").withColumn("band", F.floor(F.log("n") / F.lit(width)).cast("int"))
+    bands = saved(rows.groupBy("shard", "band").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles")), "bands")
+    number = lambda band, t: F.shiftleft(band, 20) + t
+    own = rows.join(bands, ["shard", "band"]).select("doc_id", "shard", "band", number(F.col("band"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("tiles")).cast("int")).alias("tile"))
+    near = own.withColumn("other", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))).drop("band").join(bands.select("shard", F.col("band").alias("other"), "tiles"), ["shard", "other"])
+    meet = near.select("doc_id", "shard", "tile", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: number(F.col("other"), t))).alias("o"))
+    return small.union(meet.select("doc_id", "shard", "tile", F.least("tile", "o"), F.greatest("tile", "o")))
+
+
 def links(members: DataFrame, pct: int) -> DataFrame:
     """members: shard, i, j, tile, doc_id, ids.  Returns (a, b): links that connect each shard's classes."""
 
@@ -195,9 +212,7 @@ def similar(docs: DataFrame, words: int, pct: int) -> DataFrame:
     signs = saved(signatures(docs, words, pct), "signs")
     classes = saved(signs.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
     cand = saved(shards(signs).join(classes, "key").select("shard", "doc_id", "n"), "cand")
-    tiles = cand.groupBy("shard").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"), F.count("*").alias("m")).where("m > 1").drop("m")
-    tile = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("tiles")).cast("int")
-    spread = cand.join(tiles, "shard").withColumn("tile", tile).select("doc_id", "shard", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")).select("doc_id", "shard", "tile", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"))
+    spread = meetings(cand, pct)
     members = whole_sets(docs, cand, words).dropDuplicates(["doc_id"]) if _repeats(signs) else whole_sets(docs, cand, words)
     found = links(members.join(spread, "doc_id").select("shard", "i", "j", "tile", "doc_id", "ids"), pct)
     linked = components(found)
