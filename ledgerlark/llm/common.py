@@ -22,7 +22,14 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts that fit a small Python worker: 1,000 rows and 8 MB at most."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +40,7 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    small_batches(spark)
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
         d = spark.sparkContext.getCheckpointDir()
