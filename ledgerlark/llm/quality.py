@@ -141,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
         yield _rows([(0, -1, 0, total.tobytes())])
 
     kind = T.StructType.fromDDL("y int, h long, n long, data binary")
-    got = saved(touched(texts(docs).where("doc_id is not null"), known).join(known, "doc_id").select("doc_id", "text", "y", "take").mapInArrow(counted, kind), "taught")
+    # labels grow with the corpus, so they are never broadcast
+    got = saved(touched(texts(docs).where("doc_id is not null"), known).join(known.hint("merge"), "doc_id").select("doc_id", "text", "y", "take").mapInArrow(counted, kind), "taught")
     total = got.where("h = -1").repartition(16).mapInArrow(summed, kind).repartition(1).mapInArrow(summed, kind).first()
     counts = np.frombuffer(total.data, np.int64).reshape(2, SLOTS)
     picked = got.where("h = 0").select("y", "n", "data").collect()  # SAMPLE rows of each label at most
