@@ -100,6 +100,7 @@ def ranked(pieces: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int], di
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(rank)], names=[*b.schema.names, "part", "rank"])
 
     by = ("length", "doc_id", "piece")
+    pieces = saved(pieces, "pieces")  # the range sort reads them twice
     rows = saved(pieces.repartitionByRange(*by).sortWithinPartitions(*by, "ids_crc32").mapInArrow(number, T.StructType.fromDDL(f"{PIECES}, part int, rank long")), "ranked")
     before, total = {}, defaultdict(int)
     for r in rows.groupBy("length", "part").count().orderBy("part").collect():
