@@ -33,6 +33,8 @@ from .common import WORD, chunks, encoded, rolling, saved, spans_hash, table, te
 #: Characters of a slice; buckets of hashes, one in memory at a time, for each shuffle partition.
 SLICE = 2 << 20
 BUCKETS = 4
+#: Places that a task gathers before it sends them.
+REPLIES = 1 << 19
 PACKED = "target int, ids binary, counts binary, at binary, hash binary, flag binary"
 _NAMES = ["target", "ids", "counts", "at", "hash", "flag"]
 
@@ -95,6 +97,28 @@ def _spread(doc: np.ndarray, parts: int) -> np.ndarray:
     return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
 
 
+def _replies(found: Iterator[tuple[np.ndarray, np.ndarray] | pa.RecordBatch], groups: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """Places found, gathered over a task's buckets, as a row for each group of documents; rows settled
+    before pass through."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def packed() -> pa.RecordBatch:
+        doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.lexsort((at, doc))
+        held.clear()
+        return pack(-1 - _spread(doc[by], groups), doc[by], at[by], np.zeros(len(by), kind), np.zeros(len(by), bool))
+
+    for x in found:
+        if isinstance(x, pa.RecordBatch):
+            yield x
+        else:
+            held.append(x)
+            if sum(len(d) for d, _ in held) > REPLIES:
+                yield packed()
+    if held:
+        yield packed()
+
+
 def _none(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(n, "<u4"), np.zeros(n, bool)
 
@@ -107,7 +131,7 @@ def _word_hashes(text: str, seed: int = 1) -> np.ndarray:
     return spans_hash(data, *word_spans(data), seed)
 
 
-def anchors(docs: DataFrame, block: int, window: int, parts: int) -> DataFrame:
+def anchors(docs: DataFrame, block: int, window: int, parts: int, groups: int) -> DataFrame:
     """Packed (document, place) of all windows of block words met twice, once at least as a block."""
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +157,11 @@ def anchors(docs: DataFrame, block: int, window: int, parts: int) -> DataFrame:
                 # target < 0: settled here, for the documents; else a bucket of hashes; twice here: no reply is needed
                 twice = np.zeros(len(hash), bool)
                 twice[by] = np.repeat(np.diff(np.r_[np.flatnonzero(new), len(by)]) > 1, np.diff(np.r_[np.flatnonzero(new), len(by)]))
-                yield pack(-1 - _spread(doc[twice], parts), doc[twice], at[twice], *_none(int(twice.sum())))
+                yield pack(-1 - _spread(doc[twice], groups), doc[twice], at[twice], *_none(int(twice.sum())))
                 h = hash[first]
                 yield pack(((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64), doc[first], at[first], h.astype("<u4"), aligned)
 
-    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray] | pa.RecordBatch]:
         for target, rows in _groups(batches):
             if target < 0:
                 yield _rows(rows)
@@ -148,11 +172,10 @@ def anchors(docs: DataFrame, block: int, window: int, parts: int) -> DataFrame:
             n = np.diff(np.r_[edge, len(by)])
             hit = np.repeat((n > 1) & np.logical_or.reduceat(block_[by], edge), n)
             own = by[hit]
-            own = own[np.lexsort((at[own], doc[own]))]
-            yield pack(-1 - _spread(doc[own], parts), doc[own], at[own], *_none(len(own)))
+            yield doc[own], at[own]
 
     sent = texts(docs).where("doc_id is not null").mapInArrow(probes, T.StructType.fromDDL(PACKED))
-    return _by_target(sent).mapInArrow(matched, T.StructType.fromDDL(PACKED))
+    return _by_target(sent).mapInArrow(lambda b: _replies(matched(b), groups, "<u4"), T.StructType.fromDDL(PACKED))
 
 
 def runs(found: DataFrame, name: str) -> DataFrame:
@@ -179,8 +202,9 @@ def runs(found: DataFrame, name: str) -> DataFrame:
 def repeats(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, first, n): stretches of starts of windows whose words also start earlier."""
     block = window // 2
-    parts = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hits = runs(anchors(docs, block, window, parts), "anchors")
+    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = BUCKETS * groups
+    hits = runs(anchors(docs, block, window, parts, groups), "anchors")
     some = touched(texts(docs).where("doc_id is not null"), hits).join(hits, "doc_id").select("doc_id", "text", "first", "n")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,12 +230,12 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
                 lead = by[new][np.cumsum(new) - 1]
                 late = by[(doc[lead] != doc[by]) | (at[lead] != at[by])]
                 late = late[np.lexsort((at[late], doc[late]))]
-                yield pack(-1 - _spread(doc[late], parts), doc[late], at[late], np.zeros(len(late), "<u8"), np.zeros(len(late), bool))
+                yield pack(-1 - _spread(doc[late], groups), doc[late], at[late], np.zeros(len(late), "<u8"), np.zeros(len(late), bool))
                 own = by[new]
                 own = own[np.lexsort((at[own], doc[own]))]
                 yield pack((deal[own] % np.uint64(parts)).astype(np.int64), doc[own], at[own], hash[own].astype("<u8"), np.zeros(len(own), bool))
 
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray] | pa.RecordBatch]:
         for target, rows in _groups(batches):
             if target < 0:
                 yield _rows(rows)
@@ -221,11 +245,10 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
             new = np.r_[True, hash[by][1:] != hash[by][:-1]]
             lead = by[new][np.cumsum(new) - 1]
             own = by[(doc[lead] != doc[by]) | (at[lead] != at[by])]
-            own = own[np.lexsort((at[own], doc[own]))]
-            yield pack(-1 - _spread(doc[own], parts), doc[own], at[own], np.zeros(len(own), "<u8"), np.zeros(len(own), bool))
+            yield doc[own], at[own]
 
     sent = some.mapInArrow(windows, T.StructType.fromDDL(PACKED))
-    return runs(_by_target(sent).mapInArrow(later, T.StructType.fromDDL(PACKED)), "repeats")
+    return runs(_by_target(sent).mapInArrow(lambda b: _replies(later(b), groups, "<u8"), T.StructType.fromDDL(PACKED)), "repeats")
 
 
 # --- 3: removal ---------------------------------------------------------------------------------
@@ -241,9 +264,9 @@ def covered(words: int, first: list[int] | None, n: list[int] | None, window: in
 
 
 def with_repeats(docs: DataFrame, window: int) -> DataFrame:
-    """docs with the columns first and n of the repeats in each; only documents with repeats are shuffled."""
-    found = repeats(docs, window)
-    plain = touched(docs, found, other=True).withColumns({c: F.lit(None).cast("array<int>") for c in ("first", "n")})
+    """docs with the columns __first and __n of the repeats in each; only documents with repeats are shuffled."""
+    found = repeats(docs, window).withColumnsRenamed({"first": "__first", "n": "__n"})
+    plain = touched(docs, found, other=True).withColumns({c: F.lit(None).cast("array<int>") for c in ("__first", "__n")})
     return plain.unionByName(touched(docs, found).join(found, "doc_id", "left"))
 
 
@@ -285,9 +308,9 @@ def trimmed(docs: DataFrame, window: int) -> DataFrame:
         return text.__class__(out, dtype=object)
 
     marked = with_repeats(docs.withColumn("doc_id", F.col("doc_id").cast("long")), window)
-    new = F.pandas_udf(cut, T.StringType())(F.col("text"), F.col("first"), F.col("n"))
-    plain = marked.where("first is null").drop("first", "n")
-    changed = marked.where("first is not null").withColumn("text", new).where("text is not null").drop("first", "n")
+    new = F.pandas_udf(cut, T.StringType())(F.col("text"), F.col("__first"), F.col("__n"))
+    plain = marked.where("__first is null").drop("__first", "__n")
+    changed = marked.where("__first is not null").withColumn("text", new).where("text is not null").drop("__first", "__n")
     return plain.unionByName(changed).select(*docs.columns)
 
 
