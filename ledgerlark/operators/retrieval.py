@@ -6,6 +6,11 @@ handful of terms, is what a join against the corpus may broadcast, and Spark dec
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +21,14 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
 
 
-def query_terms(queries: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """(query_id, term, n): the first tokens of each query, repeated terms counted."""
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.slice(tokens(F.col(text_col)), 1, most)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
+#: Rows that a task scores at once, and queries that meet them at once.
+BLOCK, QUERIES_AT_ONCE = 64, 512
+
+
+def query_terms(queries: DataFrame, id_col: str, text_col: str, most: int | None) -> DataFrame:
+    """(query_id, term, n): the first tokens of each query, all if most is None, repeated terms counted."""
+    words = tokens(F.col(text_col))
+    return queries.select(F.col(id_col).alias("query_id"), F.explode(words if most is None else F.slice(words, 1, most)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
 
 
 def bm25(corpus: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
@@ -47,6 +57,115 @@ def dense(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame)
     return vectors.select(F.col(id_col).alias("doc"), F.col(vector_col).alias("v")).crossJoin(F.broadcast(q)).where(F.col("doc") != F.col("query_id")).select("query_id", "doc", cosine(F.col("v"), F.col("qv")).alias("score"))
 
 
+class _Best:
+    """The k best (score, doc) of each query that a task has seen, ties by the smaller doc."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, first: int, scores: np.ndarray, docs: np.ndarray) -> None:
+        """scores: a row for each of docs, a column for each query from first on; -inf: no hit."""
+        most = scores.max(0)
+        for c in np.flatnonzero((most > -np.inf) & (most >= self.floor[first : first + scores.shape[1]])):
+            q = first + int(c)
+            at = np.flatnonzero((scores[:, c] > -np.inf) & (scores[:, c] >= self.floor[q]))
+            old = self.rows.get(q, (np.zeros(0), np.zeros(0, np.int64)))
+            s, d = np.r_[old[0], scores[at, c]], np.r_[old[1], docs[at]]
+            order = np.lexsort((d, -s))[: self.k]
+            self.rows[q] = s[order], d[order]
+            if len(order) == self.k:
+                self.floor[q] = s[order[-1]]
+
+    def batches(self, ids: list) -> Iterator[pa.RecordBatch]:
+        for q, (s, d) in self.rows.items():
+            yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(s), pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "doc", "score"])
+
+
+_SCORED = "query_id long, doc long, score double"
+
+
+def bm25_top(corpus: DataFrame, id_col: str, text_col: str, terms: DataFrame, k: int) -> DataFrame:
+    """The k best of each query by bm25(), with rank, for many and long queries.
+
+    The queries' terms go to every task, which scores its documents in blocks and hands on its k best of
+    each query, so no row for each query and document is made.  Equal texts have equal scores.  Rows
+    without an id are in the statistics and never hits.
+    """
+    spark = corpus.sparkSession
+    lists = corpus.select(F.col(id_col).cast("long").alias("doc"), tokens(F.col(text_col)).alias("t"))
+    docs, avgdl = lists.agg(F.count("*"), F.avg(F.size("t"))).first()
+    df = lists.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.withColumn("raw", F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    idf = {r.term: (FLOOR * mean if r.raw < 0 else r.raw) for r in raw.join(terms.select("term").distinct(), "term").collect()}
+    rows = sorted((r.term, r.query_id, r.n) for r in terms.collect() if r.term in idf)
+    if not rows:
+        return spark.createDataFrame([], f"{_SCORED}, rank int")
+    ids, vocabulary = sorted({r[1] for r in rows}), sorted({r[0] for r in rows})
+    number = {q: i for i, q in enumerate(ids)}
+    start = np.searchsorted([r[0] for r in rows], vocabulary + ["\U0010ffff"])
+    shared = spark.sparkContext.broadcast((vocabulary, start, np.array([number[r[1]] for r in rows]), np.array([r[2] * idf[r[0]] for r in rows])))
+    n = len(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, start, query, weight = shared.value
+        words, best = pa.array(words, pa.string()), _Best(n, k)
+        for whole in batches:
+            for s in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(s, BLOCK)
+                size = pc.list_value_length(b.column("t")).to_numpy(zero_copy_only=False).astype(np.int64)
+                at = pc.fill_null(pc.index_in(b.column("t").flatten().cast(pa.string()), value_set=words), -1).to_numpy(zero_copy_only=False)
+                key = (np.repeat(np.arange(len(size)), size) * len(words) + at)[at >= 0]
+                key, tf = np.unique(key, return_counts=True)
+                row, term = key // len(words), key % len(words)
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / avgdl))
+                many = start[term + 1] - start[term]
+                own = np.repeat(np.arange(len(key)), many)
+                use = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + start[term][own]
+                scores = np.bincount(row[own] * n + query[use], part[own] * weight[use], len(size) * n).reshape(-1, n)
+                best.add(0, np.where(scores > 0, scores, -np.inf), b.column("doc").to_numpy(zero_copy_only=False))
+        yield from best.batches(ids)
+
+    return top(lists.where("doc is not null").mapInArrow(run, _SCORED), k)
+
+
+def dense_top(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query by dense(), with rank, for many queries (query_id, vector).
+
+    The queries go to every task, which meets its vectors in blocks and hands on its k best of each.
+    Scores rank by 12 places.  Vectors of another length, without direction or with nulls have no score.
+    """
+    spark = vectors.sparkSession
+    asked = [(r.query_id, np.array(r.vector, float)) for r in queries.where("query_id is not null and vector is not null and not exists(vector, x -> x is null)").collect()]
+    asked = sorted(((i, v) for i, v in asked if np.isfinite(v).all() and v.any()), key=lambda x: x[0])
+    if not asked:
+        return spark.createDataFrame([], f"{_SCORED}, rank int")
+    if len({len(v) for _, v in asked}) > 1:
+        raise ValueError("query vectors of different lengths")
+    ids, dim = [i for i, _ in asked], len(asked[0][1])
+    shared = spark.sparkContext.broadcast(np.array([v / np.sqrt(v @ v) for _, v in asked]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, own = _Best(len(ids), k), np.array(ids)
+        for whole in batches:
+            for s in range(0, whole.num_rows, 8 * BLOCK):
+                b = whole.slice(s, 8 * BLOCK)
+                v = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                ok = np.isfinite(v).all(1) & v.any(1)
+                v, docs = v[ok], b.column("doc").to_numpy(zero_copy_only=False)[ok]
+                if not len(v):
+                    continue
+                v = v / np.sqrt((v * v).sum(1))[:, None]
+                for first in range(0, len(ids), QUERIES_AT_ONCE):
+                    q = slice(first, first + QUERIES_AT_ONCE)
+                    best.add(first, np.where(docs[:, None] == own[q], -np.inf, np.round(v @ shared.value[q].T, 12)), docs)
+        yield from best.batches(ids)
+
+    v = vectors.select(F.col(id_col).cast("long").alias("doc"), F.col(vector_col).alias("v")).where(f"doc is not null and size(v) = {dim} and not exists(v, x -> x is null)")
+    return top(v.mapInArrow(run, _SCORED), k)
+
+
 def top(scored: DataFrame, k: int, name: str = "rank") -> DataFrame:
     """The k best of each query, ties by the smaller document."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")

@@ -1,4 +1,9 @@
-"""Retrieval queries.  Convention of ours: vec_id of a vector is the doc_id of its document."""
+"""Retrieval queries.  Convention of ours: vec_id of a vector is the doc_id of its document.
+
+The queries with SQL ask what their SQL asks: five queries, opening words, the keyword leg over English
+documents.  Their counterparts named *_whole have no SQL: every benchmark item with its whole text, and
+every vector with an item's id, against all documents and vectors; the tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
@@ -114,3 +119,69 @@ def rank_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = table(spark, sf_dir, "documents").join(F.broadcast(b), F.col("text").contains(F.col("passage"))).select("query_id", F.col("doc_id").alias("doc"), F.col("doc_id").alias("group_id"))
     ranked = R.top(_keyword(spark, sf_dir), 10**9)
     return R.rank_bands(R.hits(ranked, gold)).select("upto", "n", rounded("share", "share"))
+
+
+def _all_keyword(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", None)
+    return R.bm25_top(table(spark, sf_dir, "documents"), "doc_id", "text", terms, k)
+
+
+def _all_dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.join(table(spark, sf_dir, "benchmark"), F.col("vec_id") == F.col("item_id"), "left_semi")
+    return R.dense_top(v, "vec_id", "embedding", asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k)
+
+
+def _all_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return table(spark, sf_dir, "documents").join(F.broadcast(b), F.col("text").contains(F.col("passage"))).select("query_id", F.col("doc_id").alias("doc"), F.col("doc_id").alias("group_id"))
+
+
+@query()
+def bm25_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark passage."""
+    return _all_keyword(spark, sf_dir, 10).select("query_id", "doc", rounded("score", "score"), "rank")
+
+
+@query()
+def dense_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each benchmark item's vector."""
+    return _all_dense(spark, sf_dir, 10).select("query_id", "doc", rounded("score", "score"), "rank")
+
+
+@query()
+def rrf_fusion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reciprocal rank fusion of both legs for each benchmark item."""
+    f = R.fuse(_all_dense(spark, sf_dir, 50), _all_keyword(spark, sf_dir, 50), 10)
+    return f.select("query_id", "doc", "semantic_rank", "keyword_rank", rounded("score", "score", 8), "found_by", "rank")
+
+
+@query()
+def weight_sweep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the semantic leg's weight changes where the top ten come from, over all benchmark items."""
+    s, k = _all_dense(spark, sf_dir, 50), _all_keyword(spark, sf_dir, 50)
+    out = None
+    for w in (0.0, 0.5, 1.0, 2.0):
+        part = R.fuse(s, k, 10, semantic_weight=w).agg(F.lit(w).alias("weight"), F.count("*").alias("rows_returned"), F.count("keyword_rank").alias("from_keyword"), F.count("semantic_rank").alias("from_semantic"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query()
+def retrieval_metrics_at_k_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, precision, reciprocal rank at k of each benchmark item; gold: the documents that hold its passage."""
+    s = R.retrieval_scores(_all_keyword(spark, sf_dir, 10), _all_gold(spark, sf_dir), [1, 3, 5, 10])
+    return s.select("query_id", "k", rounded("recall", "recall"), rounded("rr", "rr"), "all_found", rounded("precision", "precision"))
+
+
+@query()
+def planned_round_robin_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items' results as sub-questions of every three, merged in turn, each document once."""
+    r = _all_keyword(spark, sf_dir, 10).select(F.floor(F.col("query_id") / 3).alias("question"), F.col("query_id").alias("sub"), "doc", "rank")
+    return R.round_robin(r, 10).select("question", "sub", "doc", "position")
+
+
+@query()
+def rank_bands_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which band of ranks the gold documents of all items first stand; ranks over 300 are one band."""
+    return R.rank_bands(R.hits(_all_keyword(spark, sf_dir, 300), _all_gold(spark, sf_dir))).select("upto", "n", rounded("share", "share"))
