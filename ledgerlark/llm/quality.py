@@ -4,7 +4,8 @@ Indicators of hashed n-grams (words, pairs of words, four characters, and marks
 by the logarithm of their classes' count ratio; a linear hinge-loss model over them is fitted by dual
 coordinate descent.  The counts cover every labelled training row and are made by Spark over a fixed number
 of hash slots; the descent sees a documented, bounded sample of them (SAMPLE rows of each label, by hash).
-A held-back part of the sample turns margins into probabilities.
+A held-back part of the sample turns margins into probabilities; its rows weigh as many labelled rows as
+they stand for, so that scores keep the labels' shares among all training rows when a label is sampled.
 
 Null or empty text: no indicators, the score of the model's intercept.  Labels that are null or neither 0
 nor 1 teach nothing; a document labelled twice teaches once for each different label.
@@ -76,9 +77,10 @@ def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: floa
 
 
 class Model:
-    """Weights of slots (already scaled) and the calibration of margins."""
+    """Weights of slots (already scaled) and the calibration of margins; taught: whether any row taught it."""
 
-    def __init__(self, scale: np.ndarray, weight: np.ndarray, bias: float, slope: float, shift: float):
+    def __init__(self, scale: np.ndarray, weight: np.ndarray, bias: float, slope: float, shift: float, taught: bool = True):
+        self.taught = taught
         self.scale, self.weight, self.bias, self.slope, self.shift = scale.astype(np.float32), (scale * weight).astype(np.float32), bias, slope, shift
 
     def margin(self, slots: np.ndarray) -> float:
@@ -90,14 +92,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(features(text)) + self.shift, -40, 40))))
 
 
-def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and shift of the logistic curve through margins and 0/1 labels, by Newton's method with smoothed targets."""
+    w = np.ones(len(z)) if weight is None else weight
     t = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y <= 0).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        g = np.array([np.sum((p - t) * z) + 1e-3 * (a - 1), np.sum(p - t)])
-        s = p * (1 - p) + 1e-9
+        g = np.array([np.sum(w * (p - t) * z) + 1e-3 * (a - 1), np.sum(w * (p - t))])
+        s = w * p * (1 - p) + 1e-9
         h = np.array([[np.sum(s * z * z) + 1e-3, np.sum(s * z)], [np.sum(s * z), np.sum(s)]])
         step = np.linalg.solve(h + 1e-6 * np.eye(2), g)
         step *= min(1.0, 3 / max(1e-9, float(np.abs(step).max())))
@@ -119,13 +122,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     known = known.withColumn("take", F.coalesce(*[F.when(F.col("y") == k, F.col("h") <= F.lit(c)) for k, c in enumerate(cut) if c is not None], F.lit(False))).drop("h")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of the sample, and per task the counts of slots by label."""
-        count, any_ = np.zeros((2, SLOTS), np.uint32), False
+        """The rows of the sample, and per task the counts of slots by label, behind them that of rows."""
+        count, any_ = np.zeros((2, SLOTS + 1), np.uint32), False
         for b in batches:
             out = []
             for i, t, y, take in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 slots = features(t)
                 count[y, slots] += 1
+                count[y, SLOTS] += 1
                 any_ = True
                 if take:
                     out.append((y, 0, i, slots.tobytes()))
@@ -134,17 +138,17 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
             yield _rows([(0, -1, 0, count.tobytes())])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * SLOTS, np.int64)
+        total = np.zeros(2 * (SLOTS + 1), np.int64)
         for b in batches:
             for data in b.column("data"):
-                total += np.frombuffer(data.as_buffer(), np.uint32 if len(data.as_buffer()) == 8 * SLOTS else np.int64)
+                total += np.frombuffer(data.as_buffer(), np.uint32 if len(data.as_buffer()) == 8 * (SLOTS + 1) else np.int64)
         yield _rows([(0, -1, 0, total.tobytes())])
 
     kind = T.StructType.fromDDL("y int, h long, n long, data binary")
     # labels grow with the corpus, so they are never broadcast
     got = saved(touched(texts(docs).where("doc_id is not null"), known).join(known.hint("merge"), "doc_id").select("doc_id", "text", "y", "take").mapInArrow(counted, kind), "taught")
     total = got.where("h = -1").repartition(16).mapInArrow(summed, kind).repartition(1).mapInArrow(summed, kind).first()
-    counts = np.frombuffer(total.data, np.int64).reshape(2, SLOTS)
+    counts, rows = np.split(np.frombuffer(total.data, np.int64).reshape(2, SLOTS + 1), [SLOTS], 1)
     picked = got.where("h = 0").select("y", "n", "data").collect()  # SAMPLE rows of each label at most
     picked.sort(key=lambda r: (r.y, r.n))
     p, q = counts[1] + 1, counts[0] + 1
@@ -153,11 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     slots, y = [np.frombuffer(r.data, np.int32) for r in picked], np.array([1.0 if r.y else -1.0 for r in picked])
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean() / 2 + 0.5, 0.01, 0.99)) if len(y) else 0.5
-        return Model(np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 1.0, float(np.log(share / (1 - share))))
+        return Model(np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 1.0, float(np.log(share / (1 - share))), bool(len(y)))
+    stands = rows[:, 0] / np.maximum(1, [np.sum(y < 0), np.sum(y > 0)])  # labelled rows for each of the sample, by label
+    stands = stands * len(y) / rows.sum()
     third = np.arange(len(y)) % 3 == 0
     w, bias = descend([s for s, h in zip(slots, third, strict=True) if not h], y[~third], scale)
     part = Model(scale, w, bias, 1.0, 0.0)
-    slope, shift = calibrate(np.array([part.margin(s) for s, h in zip(slots, third, strict=True) if h]), y[third])
+    slope, shift = calibrate(np.array([part.margin(s) for s, h in zip(slots, third, strict=True) if h]), y[third], stands[(y[third] > 0).astype(int)])
     return Model(scale, *descend(slots, y, scale), slope, shift)
 
 
@@ -172,7 +178,9 @@ def scored(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2) ->
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all columns, without those of low quality."""
+    """docs, all columns, without those of low quality; all of them if nothing was taught."""
+    if not model.taught:
+        return docs.withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
