@@ -41,6 +41,25 @@ def lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.longest_term(t, "p_partkey", "q", _lexicon(spark, sf_dir))
 
 
+def _all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon of all parts, an alias once; the queries with SQL have that of forty parts, as their SQL."""
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("alias")).agg(F.max("p_brand").alias("canonical"))
+
+
+@query()
+def question_specs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions made of part names, read back to operation, year, metric by the lexicon of all parts, and unit."""
+    s = Q.specs(_asked(spark, sf_dir), "p_partkey", "question", _all_names(spark, sf_dir))
+    return s.select("p_partkey", "operation", "fiscal_year", "metric", "expected_unit", F.array_contains("ambiguities", "several_years").cast("int").alias("several_years"))
+
+
+@query()
+def lexicon_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest alias of any part in each part's question."""
+    t = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("What was "), "p_name", F.lit(" then")).alias("q"))
+    return Q.longest_term(t, "p_partkey", "q", _all_names(spark, sf_dir))
+
+
 @query("""WITH p AS (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice > 300000 THEN 'large' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_orderpriority LIKE '1%' THEN 'urgent' END], lambda x: x IS NOT NULL) AS problems FROM orders)
 SELECT o_orderkey, array_to_string(problems, ',') AS problems FROM p WHERE len(problems) > 0""")
 def record_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

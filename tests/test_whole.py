@@ -115,3 +115,16 @@ def test_fusion_of_all_items(spark):
     assert {r.query_id for r in QUERIES["rrf_fusion_whole"](spark, DATA).select("query_id").distinct().collect()} == asked
     assert {r.rows_returned for r in QUERIES["weight_sweep_whole"](spark, DATA).collect()} == {10 * len(asked)}
     assert {r.question for r in QUERIES["planned_round_robin_whole"](spark, DATA).select("question").distinct().collect()} == {q // 3 for q in asked}
+
+
+def test_lexicon_of_all_parts(spark):
+    """Every part finds its name, also names that none of the first forty parts has."""
+    parts = read("part")
+    brand = {}
+    for r in parts:
+        brand[r["p_name"].lower()] = max(brand.get(r["p_name"].lower(), ""), r["p_brand"])
+    assert {r["p_name"].lower() for r in parts if r["p_partkey"] > 40} - {r["p_name"].lower() for r in parts if r["p_partkey"] <= 40}
+    longest = lambda t: max((len(a), a) for a in brand if f" {a} " in f" {t} ")[1]
+    want = {r["p_partkey"]: brand[longest(f"what was {r['p_name'].lower()} then")] for r in parts}
+    assert {r.p_partkey: r.canonical for r in QUERIES["lexicon_terms_whole"](spark, DATA).collect()} == want
+    assert {r.p_partkey: r.metric for r in QUERIES["question_specs_whole"](spark, DATA).collect()} == want
