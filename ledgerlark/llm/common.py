@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
@@ -59,7 +61,16 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that saved() wrote, once what was made of them is written."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def chunks(columns: list[list], text_at: int, most_chars: int = 1 << 20) -> Iterator[list[list]]:
@@ -161,6 +172,33 @@ def encoded(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
+# --- numbers in little space --------------------------------------------------------------------
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of equal place together: those that hardly change compress to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def grouped(batches: Iterator[pa.RecordBatch], by: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The rows of each key, the first columns, by which they come sorted."""
+    key, rows = None, []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[:by] != key:
+                if rows:
+                    yield key, rows
+                key, rows = r[:by], []
+            rows.append(r)
+    if rows:
+        yield key, rows
+
+
 # --- filters of fixed size ------------------------------------------------------------------------
 
 #: Bits of the filter that spares other documents a shuffle; a larger input only makes it leak.
@@ -208,7 +246,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = saved(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        e = saved(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct(), "small")
+        before, e = e, saved(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct(), "small")
+        discard(before, large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
