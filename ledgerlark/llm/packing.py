@@ -1,13 +1,17 @@
-"""Best-fit packing of documents into sequences of fixed length (op 8).
+"""Best-fit packing of documents into sequences of fixed length, in bulk-synchronous rounds (op 8).
 
-Pieces are range-sorted by length and get their rank among those of equal length.  Lengths and gaps are
-whole numbers up to the capacity, so either sorted list is a list of runs of equal values, of bounded
-length whatever the number of documents.  Rounds go from the longest pieces down: the pieces of a round
-sweep the sorted gaps from the smallest that holds them upwards, rank decides which piece gets which gap,
-gaps shrink, and pieces left over open new sequences.  The sweep moves whole runs; each piece then finds
-its sequence by its rank.
+Pieces are range-sorted by length, which gives each its place among those of equal length.  Lengths are taken in
+classes, the longest first, and a class in rounds.  In a round the open sequences are range-sorted by their gaps, which
+gives each its place among equal gaps; tasks report how many gaps of each size they hold.  A sweep from the
+longest pieces down gives each length the smallest gaps that hold it, each gap once in a round and with as many
+pieces of one length as fit; places settle which piece gets which gap, row by row and without a join.  Gaps shrink
+and the next round follows, until no piece of the class fits anywhere; what is left of it opens new sequences.
 
-Null text: the empty text, a piece of the end id alone.  Equal rows: packed each by itself.
+Lengths and gaps are whole numbers up to the capacity, so what the driver sees of a round is at most one counter for
+each of them, whatever the number of documents.
+
+Null text: the empty text, a piece of the end id alone.  Equal rows: packed each by itself.  A null doc_id is packed
+like others.  Texts of any length are cut into pieces; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,16 +19,17 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import map_texts, saved, table, texts
+from .common import map_texts, saved, shared_path, table, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -47,51 +52,15 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFra
     return map_texts(texts(docs), work, PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Rounds over runs: (length, rank of the first piece, pieces, first sequence, offset, pieces per sequence) and the number of sequences."""
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap: runs of sequences (first, number)
-    order: list[int] = []  # the gaps that have runs, ascending
-    out, used = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if not gaps[gap]:
-                bisect.insort(order, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted((x for x in counts if counts[x]), reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(order, length)
-            if at < len(order):
-                gap = order[at]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    order.pop(at)
-            else:
-                gap, first = capacity, used
-                n = -(-left // (capacity // length))
-                used += n
-            each = gap // length
-            full, rest = divmod(min(left, n * each), each)
-            out.append((length, rank, full * each + rest, first, capacity - gap, each))
-            put(gap - each * length, first, full)
-            if rest:
-                put(gap - rest * length, first + full, 1)
-            put(gap, first + full + bool(rest), n - full - bool(rest))
-            rank += full * each + rest
-            left -= full * each + rest
-    return out, used
-
-
-def ranked(pieces: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int], dict[int, int]]:
-    """Pieces range-sorted by length with their part and their rank in it among equal lengths; the pieces
-    of that length before the part; the pieces of each length.  The driver gets one row for each part and
-    each length at most, as the parts are sorted."""
+def numbered(rows: DataFrame, value: str, by: tuple[str, ...]) -> tuple[DataFrame, dict[int, int]]:
+    """rows range-sorted by value, with their place (at) among equal values; the number of rows of each value."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())])
+    column = rows.columns.index(value)
+
     def number(batches):
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
-            n = b.column("length").to_numpy()
+            n = b.column(column).to_numpy()
             edge = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else np.zeros(0, int)
             rank = np.arange(len(n))
             for s, e in zip(edge, np.r_[edge[1:], len(n)], strict=True):
@@ -99,40 +68,127 @@ def ranked(pieces: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int], di
                 seen[int(n[s])] += int(e - s)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(rank)], names=[*b.schema.names, "part", "rank"])
 
-    by = ("length", "doc_id", "piece")
-    pieces = saved(pieces, "pieces")  # the range sort reads them twice
-    rows = saved(pieces.repartitionByRange(*by).sortWithinPartitions(*by, "ids_crc32").mapInArrow(number, T.StructType.fromDDL(f"{PIECES}, part int, rank long")), "ranked")
-    before, total = {}, defaultdict(int)
-    for r in rows.groupBy("length", "part").count().orderBy("part").collect():
-        before[r.part, r.length] = total[r.length]
-        total[r.length] += r["count"]
-    return rows, before, dict(total)
+    ranked = saved(rows.repartitionByRange(value, *by).sortWithinPartitions(value, *by).mapInArrow(number, schema), "ranked")
+    counts = ranked.groupBy(value, "part").agg(F.count("*").alias("n"))
+    before = counts.select(value, "part", F.coalesce(F.sum("n").over(Window.partitionBy(value).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    total = {r[0]: r.n for r in counts.groupBy(value).agg(F.sum("n").alias("n")).collect()}
+    return ranked.join(before, [value, "part"]).withColumn("at", F.col("rank") + F.col("before")).select(*rows.columns, "at"), total
+
+
+# Lengths over capacity / DEPTHS[k] and up to capacity / DEPTHS[k - 1] are a class.
+DEPTHS = (1, 2, 3, 4, 5, 6, 8, 12, 24, 96)
+
+
+def classes(lengths: list[int], capacity: int) -> list[list[int]]:
+    """The lengths in classes, descending."""
+    out: dict[int, list[int]] = defaultdict(list)
+    for n in sorted(lengths, reverse=True):
+        out[sum(n * d <= capacity for d in DEPTHS)].append(n)
+    return list(out.values())
+
+
+def sweep(gaps: dict[int, int], left: dict[int, int], lengths: list[int], placed: dict[int, int]) -> dict[int, list[tuple[int, int, int, int, int]]]:
+    """gap: (first gap, length, first piece, pieces for each gap, pieces) for the lengths, longest first.
+
+    gaps: number of gaps of each size; left, placed: pieces of each length still to place, and placed; both are updated."""
+    free, used, plan = sorted(g for g in gaps if gaps[g]), defaultdict(int), defaultdict(list)
+    for length in lengths:
+        at = bisect.bisect_left(free, length)
+        while left[length] and at < len(free):
+            gap = free[at]
+            each = gap // length
+            n = min(gaps[gap] - used[gap], -(-left[length] // each))
+            pieces = min(left[length], n * each)
+            plan[gap].append((used[gap], length, placed[length], each, pieces))
+            used[gap] += n
+            left[length] -= pieces
+            placed[length] += pieces
+            if used[gap] == gaps[gap]:
+                free.pop(at)
+    return dict(plan)
+
+
+def given(plan: dict[int, np.ndarray], gap: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each gap, by its size and place: the length of its new pieces, the first one's place and their number."""
+    length, first, n = np.zeros(len(gap), np.int64), np.zeros(len(gap), np.int64), np.zeros(len(gap), np.int64)
+    for g in np.unique(gap):
+        own = plan.get(int(g))
+        if own is not None:
+            rows = np.flatnonzero(gap == g)
+            k = np.searchsorted(own[:, 0], at[rows], "right") - 1
+            start, size, piece, each, pieces = own[k].T
+            done = (at[rows] - start) * each
+            length[rows], first[rows], n[rows] = size, piece + done, np.clip(pieces - done, 0, each)
+    return length, first, n
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Each piece with its sequence_id and its offset there."""
-    rows, before, total = ranked(pieces)
-    plan, _ = best_fit(total, capacity)
-    runs: dict[int, np.ndarray] = {n: np.array([x[1:] for x in plan if x[0] == n], np.int64) for n in total}
-    context = pieces.sparkSession.sparkContext
-    shared = context.broadcast((before, runs))
-
-    def place(batches):
-        before, runs = shared.value
+    spark = pieces.sparkSession
+    pieces = saved(pieces, "pieces")  # the range sort reads them twice
+    rows, total = numbered(pieces, "length", ("doc_id", "piece", "ids_crc32"))
+    path, plans, left, placed, used = shared_path(spark, "rounds"), {}, dict(total), defaultdict(int), 0
+    state = "sequence long, gap long, at long"
+
+    def shrunk(least: int):
+        """The gaps left after their last round, without those that hold no piece to come."""
+        known = spark.sparkContext.broadcast({r: plans[r] for r in last})
+
+        def run(batches):
+            for b in batches:
+                sequence, gap, at, number = (c.to_numpy() for c in b.columns)
+                after = gap.copy()
+                for r in np.unique(number):
+                    own = number == r
+                    length, _, n = given(known.value[int(r)], gap[own], at[own])
+                    after[own] -= length * n
+                open_ = after >= least
+                yield pa.RecordBatch.from_arrays([pa.array(sequence[open_]), pa.array(after[open_])], names=["sequence", "gap"])
+
+        return run
+
+    def written(r: int) -> DataFrame:
+        return spark.read.schema(state).parquet(f"{path}/round={r}").withColumn("round", F.lit(r))
+
+    last: list[int] = []  # the rounds that hold the open sequences
+    for lengths in classes(list(total), capacity):
+        while any(left[n] for n in lengths):
+            here: list[int] = []
+            if last:
+                gaps = reduce(DataFrame.union, [written(r) for r in last]).mapInArrow(shrunk(min(n for n in left if left[n])), T.StructType.fromDDL("sequence long, gap long"))
+                ranked, sizes = numbered(gaps, "gap", ("sequence",))
+                r = len(plans)
+                ranked.select("sequence", "gap", "at").write.parquet(f"{path}/round={r}")
+                plan = sweep(sizes, left, lengths, placed)
+                plans[r] = {g: np.array(own, np.int64) for g, own in plan.items()}
+                here.append(r)
+                last = here
+                if plan:
+                    continue
+            r = len(plans)
+            new = {n: -(-left[n] // (capacity // n)) for n in lengths if left[n]}
+            plan = sweep({capacity: sum(new.values())}, left, lengths, placed)
+            plans[r] = {g: np.array(own, np.int64) for g, own in plan.items()}
+            opened = sum(new.values())
+            spark.range(opened).select((F.col("id") + used).alias("sequence"), F.lit(capacity).cast("long").alias("gap"), F.col("id").alias("at")).write.parquet(f"{path}/round={r}")
+            used += opened
+            last = [*here, r]
+    known = spark.sparkContext.broadcast(plans)
+
+    def spread(batches):
         for b in batches:
-            length, part, rank = (b.column(c).to_numpy() for c in ("length", "part", "rank"))
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for n in np.unique(length):
-                own = np.flatnonzero(length == n)
-                r = rank[own] + np.array([before[p, n] for p in part[own].tolist()])
-                run = runs[int(n)]
-                at = run[np.searchsorted(run[:, 0], r, "right") - 1]
-                k = r - at[:, 0]
-                sequence[own] = at[:, 2] + k // at[:, 4]
-                offset[own] = at[:, 3] + k % at[:, 4] * n
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:5], "sequence_id", "offset"])
-
-    return rows.mapInArrow(place, T.StructType.fromDDL(f"{PIECES}, sequence_id long, offset long"))
+            sequence, gap, at, number = (c.to_numpy() for c in b.columns)
+            for r in np.unique(number):
+                own = np.flatnonzero(number == r)
+                length, first, n = given(known.value[int(r)], gap[own], at[own])
+                row = np.repeat(np.arange(len(own)), n)
+                k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                out = (length[row], first[row] + k, sequence[own][row], capacity - gap[own][row] + k * length[row])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["length", "at", "sequence_id", "offset"])
+
+    out = T.StructType.fromDDL("length long, at long, sequence_id long, offset long")
+    found = spark.read.schema(f"{state}, round int").parquet(path).mapInArrow(spread, out) if plans else spark.createDataFrame([], out)
+    return rows.join(found, ["length", "at"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
