@@ -8,7 +8,10 @@ A held-back part of the sample turns margins into probabilities; its rows weigh
 they stand for, so that scores keep the labels' shares among all training rows when a label is sampled.
 
 Null or empty text: no indicators, the score of the model's intercept.  Labels that are null or neither 0
-nor 1 teach nothing; a document labelled twice teaches once for each different label.
+nor 1 teach nothing; a document labelled twice teaches once for each different label.  Texts are read whole, whatever their
+length; equal texts have equal scores; rows that repeat a doc_id each count and are each scored; a null doc_id teaches nothing,
+is not held out and is scored.  An empty table gives no rows; tables without labels give every text the same score.
+Other columns are ignored by scored() and kept by accepted().
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import types as T
 from .common import encoded, map_texts, mix, saved, spans_hash, table, texts, touched, word_spans
 
 SLOTS = 1 << 18
+#: Counts that are added up in one task.
+PIECE = 1 << 15
 #: Rows of each label, at most, that the descent sees.
 SAMPLE = 3000
 #: A calibrated score of this or more is of good quality.
@@ -57,12 +62,17 @@ def fold(doc_id, n: int) -> int:
     return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % n
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = 1.0, passes: int = 12, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the hinge loss over indicators times scale, rows of unit length; weights and intercept."""
+def scaled(rows: list[np.ndarray], scale: np.ndarray) -> list[np.ndarray]:
+    """The indicators times scale, rows of unit length."""
+    out = [scale[x].astype(np.float32) for x in rows]
+    return [v / np.float32(max(1e-9, np.sqrt(np.sum(np.square(v, dtype=float))))) for v in out]
+
+
+def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, slots: int, cost: float = 1.0, passes: int = 12, seed: int = 1) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the hinge loss over scaled indicators; weights and intercept."""
     r = np.random.default_rng(seed)
-    w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
-    values = [scale[x] / max(1e-9, np.sqrt(np.sum(scale[x] ** 2))) for x in rows]
-    norm = np.array([np.sum(v * v) for v in values]) + 1.0
+    w, bias, alpha = np.zeros(slots), 0.0, np.zeros(len(rows))
+    norm = np.array([np.sum(np.square(v, dtype=float)) for v in values]) + 1.0
     most = cost * np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum()))
     for _ in range(passes):
         for i in r.permutation(len(rows)):
@@ -135,36 +145,40 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
                     out.append((y, 0, i, slots.tobytes()))
             yield _rows(out)
         if any_:
-            yield _rows([(0, -1, 0, count.tobytes())])
+            flat = count.ravel()
+            yield _rows([(k // PIECE, -1, 0, flat[k : k + PIECE].tobytes()) for k in range(0, len(flat), PIECE)])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * (SLOTS + 1), np.int64)
+        """The tasks' counts of each piece of the slots, added up as they come."""
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for data in b.column("data"):
-                total += np.frombuffer(data.as_buffer(), np.uint32 if len(data.as_buffer()) == 8 * (SLOTS + 1) else np.int64)
-        yield _rows([(0, -1, 0, total.tobytes())])
+            for piece, data in zip(b.column("piece").to_pylist(), b.column("data"), strict=True):
+                total[piece] = total.get(piece, 0) + np.frombuffer(data.as_buffer(), np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["piece", "data"])
 
     kind = T.StructType.fromDDL("y int, h long, n long, data binary")
     # labels grow with the corpus, so they are never broadcast
     got = saved(touched(texts(docs).where("doc_id is not null"), known).join(known.hint("merge"), "doc_id").select("doc_id", "text", "y", "take").mapInArrow(counted, kind), "taught")
-    total = got.where("h = -1").repartition(16).mapInArrow(summed, kind).repartition(1).mapInArrow(summed, kind).first()
-    counts, rows = np.split(np.frombuffer(total.data, np.int64).reshape(2, SLOTS + 1), [SLOTS], 1)
-    picked = got.where("h = 0").select("y", "n", "data").collect()  # SAMPLE rows of each label at most
-    picked.sort(key=lambda r: (r.y, r.n))
+    counts = np.zeros(2 * (SLOTS + 1), np.int64)
+    for r in got.where("h = -1").select(F.col("y").alias("piece"), "data").repartition("piece").mapInArrow(summed, T.StructType.fromDDL("piece int, data binary")).toLocalIterator():
+        counts[r.piece * PIECE : r.piece * PIECE + len(r.data) // 8] = np.frombuffer(r.data, np.int64)
+    counts, rows = np.split(counts.reshape(2, SLOTS + 1), [SLOTS], 1)
+    picked = sorted(((r.y, r.n, np.frombuffer(r.data, np.int32)) for r in got.where("h = 0").select("y", "n", "data").toLocalIterator()), key=lambda r: r[:2])  # SAMPLE rows of each label at most
     p, q = counts[1] + 1, counts[0] + 1
     scale = np.log((p / p.sum()) / (q / q.sum()))
     scale[counts.sum(0) == 0] = 0.0
-    slots, y = [np.frombuffer(r.data, np.int32) for r in picked], np.array([1.0 if r.y else -1.0 for r in picked])
+    slots, y = [r[2] for r in picked], np.array([1.0 if r[0] else -1.0 for r in picked])
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean() / 2 + 0.5, 0.01, 0.99)) if len(y) else 0.5
         return Model(np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 1.0, float(np.log(share / (1 - share))), bool(len(y)))
     stands = rows[:, 0] / np.maximum(1, [np.sum(y < 0), np.sum(y > 0)])  # labelled rows for each of the sample, by label
     stands = stands * len(y) / rows.sum()
     third = np.arange(len(y)) % 3 == 0
-    w, bias = descend([s for s, h in zip(slots, third, strict=True) if not h], y[~third], scale)
+    values = scaled(slots, scale)
+    w, bias = descend([s for s, h in zip(slots, third, strict=True) if not h], [v for v, h in zip(values, third, strict=True) if not h], y[~third], SLOTS)
     part = Model(scale, w, bias, 1.0, 0.0)
     slope, shift = calibrate(np.array([part.margin(s) for s, h in zip(slots, third, strict=True) if h]), y[third], stands[(y[third] > 0).astype(int)])
-    return Model(scale, *descend(slots, y, scale), slope, shift)
+    return Model(scale, *descend(slots, values, y, SLOTS), slope, shift)
 
 
 def scored(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2) -> DataFrame:
