@@ -24,12 +24,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import map_texts, saved, shared_path, table, texts
+from .common import discard, map_texts, saved, shared_path, table, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,8 +52,11 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFra
     return map_texts(texts(docs), work, PIECES)
 
 
-def numbered(rows: DataFrame, value: str, by: tuple[str, ...]) -> tuple[DataFrame, dict[int, int]]:
-    """rows range-sorted by value, with their place (at) among equal values; the number of rows of each value."""
+def numbered(rows: DataFrame, value: str, by: tuple[str, ...], path: str) -> tuple[dict[int, int], dict[int, dict[int, int]]]:
+    """Write rows, range-sorted by value, to path with their part and their rank in it among equal values; the number of rows of
+    each value, and by part the rows of its values in the parts before.
+
+    A value spans neighbouring parts, so there are no more counters than parts and values."""
     schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())])
     column = rows.columns.index(value)
 
@@ -68,11 +71,23 @@ def numbered(rows: DataFrame, value: str, by: tuple[str, ...]) -> tuple[DataFram
                 seen[int(n[s])] += int(e - s)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(rank)], names=[*b.schema.names, "part", "rank"])
 
-    ranked = saved(rows.repartitionByRange(value, *by).sortWithinPartitions(value, *by).mapInArrow(number, schema), "ranked")
-    counts = ranked.groupBy(value, "part").agg(F.count("*").alias("n"))
-    before = counts.select(value, "part", F.coalesce(F.sum("n").over(Window.partitionBy(value).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    total = {r[0]: r.n for r in counts.groupBy(value).agg(F.sum("n").alias("n")).collect()}
-    return ranked.join(before, [value, "part"]).withColumn("at", F.col("rank") + F.col("before")).select(*rows.columns, "at"), total
+    rows.repartitionByRange(value, *by).sortWithinPartitions(value, *by).mapInArrow(number, schema).write.parquet(path)
+    total: dict[int, int] = defaultdict(int)
+    before: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in rows.sparkSession.read.schema(schema).parquet(path).groupBy("part", value).agg(F.max("rank").alias("last")).orderBy("part").collect():
+        before[r.part][r[value]] = total[r[value]]
+        total[r[value]] += r.last + 1
+    return dict(total), dict(before)
+
+
+def placed_at(before: dict[int, dict[int, int]], value: np.ndarray, part: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of each row among all rows of equal value."""
+    out = rank.copy()
+    for p in np.unique(part):
+        own = np.flatnonzero(part == p)
+        known, at = np.unique(value[own], return_inverse=True)
+        out[own] += np.array([before[int(p)][int(v)] for v in known], np.int64)[at]
+    return out
 
 
 # Lengths over capacity / DEPTHS[k] and up to capacity / DEPTHS[k - 1] are a class.
@@ -126,9 +141,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Each piece with its sequence_id and its offset there."""
     spark = pieces.sparkSession
     pieces = saved(pieces, "pieces")  # the range sort reads them twice
-    rows, total = numbered(pieces, "length", ("doc_id", "piece", "ids_crc32"))
+    sorted_ = shared_path(spark, "sorted")
+    total, ahead = numbered(pieces, "length", ("doc_id", "piece", "ids_crc32"), sorted_)
+    discard(pieces)
     path, plans, left, placed, used = shared_path(spark, "rounds"), {}, dict(total), defaultdict(int), 0
-    state = "sequence long, gap long, at long"
+    state = "sequence long, gap long, part int, rank long"
 
     def shrunk(least: int):
         """The gaps left after their last round, without those that hold no piece to come."""
@@ -136,11 +153,12 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
         def run(batches):
             for b in batches:
-                sequence, gap, at, number = (c.to_numpy() for c in b.columns)
+                sequence, gap, part, rank, number = (c.to_numpy() for c in b.columns)
                 after = gap.copy()
                 for r in np.unique(number):
                     own = number == r
-                    length, _, n = given(known.value[int(r)], gap[own], at[own])
+                    plan, before = known.value[int(r)]
+                    length, _, n = given(plan, gap[own], placed_at(before, gap[own], part[own], rank[own]))
                     after[own] -= length * n
                 open_ = after >= least
                 yield pa.RecordBatch.from_arrays([pa.array(sequence[open_]), pa.array(after[open_])], names=["sequence", "gap"])
@@ -150,44 +168,49 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     def written(r: int) -> DataFrame:
         return spark.read.schema(state).parquet(f"{path}/round={r}").withColumn("round", F.lit(r))
 
+    def planned(sizes: dict[int, int], lengths: list[int], before: dict[int, dict[int, int]]) -> bool:
+        plan = sweep(sizes, left, lengths, placed)
+        plans[len(plans)] = {g: np.array(own, np.int64) for g, own in plan.items()}, before
+        return bool(plan)
+
     last: list[int] = []  # the rounds that hold the open sequences
     for lengths in classes(list(total), capacity):
         while any(left[n] for n in lengths):
             here: list[int] = []
             if last:
                 gaps = reduce(DataFrame.union, [written(r) for r in last]).mapInArrow(shrunk(min(n for n in left if left[n])), T.StructType.fromDDL("sequence long, gap long"))
-                ranked, sizes = numbered(gaps, "gap", ("sequence",))
-                r = len(plans)
-                ranked.select("sequence", "gap", "at").write.parquet(f"{path}/round={r}")
-                plan = sweep(sizes, left, lengths, placed)
-                plans[r] = {g: np.array(own, np.int64) for g, own in plan.items()}
-                here.append(r)
-                last = here
-                if plan:
+                sizes, before = numbered(gaps, "gap", ("sequence",), f"{path}/round={len(plans)}")
+                here, last = [len(plans)], [len(plans)]
+                if planned(sizes, lengths, before):
                     continue
-            r = len(plans)
-            new = {n: -(-left[n] // (capacity // n)) for n in lengths if left[n]}
-            plan = sweep({capacity: sum(new.values())}, left, lengths, placed)
-            plans[r] = {g: np.array(own, np.int64) for g, own in plan.items()}
-            opened = sum(new.values())
-            spark.range(opened).select((F.col("id") + used).alias("sequence"), F.lit(capacity).cast("long").alias("gap"), F.col("id").alias("at")).write.parquet(f"{path}/round={r}")
+            r, opened = len(plans), sum(-(-left[n] // (capacity // n)) for n in lengths)
+            planned({capacity: opened}, lengths, {0: {capacity: 0}})
+            spark.range(opened).select((F.col("id") + used).alias("sequence"), F.lit(capacity).cast("long").alias("gap"), F.lit(0).alias("part"), F.col("id").alias("rank")).write.parquet(f"{path}/round={r}")
             used += opened
             last = [*here, r]
-    known = spark.sparkContext.broadcast(plans)
+    known = spark.sparkContext.broadcast((plans, ahead))
 
     def spread(batches):
         for b in batches:
-            sequence, gap, at, number = (c.to_numpy() for c in b.columns)
+            sequence, gap, part, rank, number = (c.to_numpy() for c in b.columns)
             for r in np.unique(number):
                 own = np.flatnonzero(number == r)
-                length, first, n = given(known.value[int(r)], gap[own], at[own])
+                plan, before = known.value[0][int(r)]
+                length, first, n = given(plan, gap[own], placed_at(before, gap[own], part[own], rank[own]))
                 row = np.repeat(np.arange(len(own)), n)
                 k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 out = (length[row], first[row] + k, sequence[own][row], capacity - gap[own][row] + k * length[row])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["length", "at", "sequence_id", "offset"])
 
+    def located(batches):
+        for b in batches:
+            *own, part, rank = b.columns
+            at = placed_at(known.value[1], b.column("length").to_numpy(), part.to_numpy(), rank.to_numpy())
+            yield pa.RecordBatch.from_arrays([*own, pa.array(at)], names=[*b.schema.names[:-2], "at"])
+
     out = T.StructType.fromDDL("length long, at long, sequence_id long, offset long")
     found = spark.read.schema(f"{state}, round int").parquet(path).mapInArrow(spread, out) if plans else spark.createDataFrame([], out)
+    rows = spark.read.schema(f"{PIECES}, part int, rank long").parquet(sorted_).mapInArrow(located, T.StructType.fromDDL(f"{PIECES}, at long"))
     return rows.join(found, ["length", "at"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
