@@ -67,7 +67,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
 #: Rows of a block, which has a forest of its own; queries that meet a block in one task.
 BLOCK, QUERIES = 8192, 4096
 #: Trees, bits of a hash string, and the share of a block's rows gathered as candidates.
-TREES, BITS, SHARE = 32, 24, 0.45
+TREES, BITS, SHARE = 128, 24, 0.45
 
 
 class Forest:
@@ -85,7 +85,7 @@ class Forest:
 
     def candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
         """For each query the rows of its longest prefix matches: all trees ascend together, a bit at a
-        time, until they hold so many different rows."""
+        time, until they hold so many different rows; the last bit only in as many trees as that takes."""
         code = self.codes(queries)
         edge = np.empty((2, BITS + 1, TREES, len(queries)), np.int64)
         for k in range(BITS + 1):
@@ -96,11 +96,13 @@ class Forest:
         total = (edge[1] - edge[0]).sum(1)
         rows = self.order.shape[1]
         for q in range(len(queries)):
-            k = int(np.searchsorted(total[:, q], least))
+            k = max(0, int(np.searchsorted(total[:, q], least)) - 1)  # no lower level holds enough
+            hit = np.zeros(rows, bool)
             while True:
-                hit = np.zeros(rows, bool)
                 for t in range(TREES):
-                    hit[self.order[t, edge[0, min(k, BITS), t, q] : edge[1, min(k, BITS), t, q]]] = True
+                    hit[self.order[t, edge[0, k, t, q] : edge[1, k, t, q]]] = True
+                    if t % 8 == 7 and hit.sum() >= least:
+                        break
                 if k >= BITS or hit.sum() >= least:
                     break
                 k += 1

@@ -327,31 +327,76 @@ def test_network_tells_keys_from_words():
 # --- 10
 
 
-def test_context_tree_mixes_exactly():
-    """The mixture's probability against the definition, by the ratio of weighted products."""
-    r = np.random.default_rng(7)
-    zeros, ones = r.integers(0, 5, 8).astype(float), r.integers(0, 5, 8).astype(float)
-
-    def kt(a, b):
-        p, n = 1.0, 0
-        for c in (a, b):
-            for k in range(int(c)):
-                p *= (k + 0.5) / (n + 1)
-                n += 1
-        return p
-
-    def weight(z, o):
-        own = kt(z.sum(), o.sum())
-        if len(z) == 1:
-            return own
-        h = len(z) // 2
-        return 0.5 * own + 0.5 * weight(z[:h], o[:h]) * weight(z[h:], o[h:])
-
-    got = context_tree.weighted(zeros, ones)
-    for c in range(8):
-        more = ones.copy()
-        more[c] += 1
-        assert got[c] == pytest.approx(weight(zeros, more) / weight(zeros, ones), rel=1e-9)
+def brute_tree(train, texts, depth):
+    """log10 probabilities by the trees of all contexts in dicts: shares of depths 2 and deeper from the whole tree, of 0 and 1 from the tree cut at 2."""
+    import math
+
+    def steps(t):
+        d = b"\n" * depth + t.translate(brute.LOWER).encode() + b"\0"
+        return [(d[k - depth : k][::-1], d[k]) for k in range(depth, len(d))]
+
+    n = {}
+    for t in train:
+        for c, y in steps(t):
+            for j in range(8):
+                for k in range(depth + 1):
+                    n.setdefault((k, c[:k], j, y >> (8 - j)), [0, 0])[y >> (7 - j) & 1] += 1
+    kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+    kids = {}
+    for k, c, j, p in n:
+        if k:
+            kids.setdefault((k - 1, c[:-1], j, p), []).append((k, c, j, p))
+
+    def weight(node, deepest):
+        own = kt(*n[node])
+        if node[0] == deepest:
+            return own, 1.0
+        below = sum(weight(x, deepest)[0] for x in kids[node])
+        both = max(own, below) + math.log1p(math.exp(-abs(own - below)))
+        return both - math.log(2), math.exp(own - both)
+
+    known = {}
+
+    def share(node):
+        if node not in known:
+            known[node] = weight(node, depth if node[0] >= 2 else 2)[1] if node in n else 0.5
+        return known[node]
+
+    out = []
+    for t in texts:
+        total = 0.0
+        for c, y in steps(t):
+            for j in range(8):
+                p = None
+                for k in range(depth, -1, -1):
+                    node = (k, c[:k], j, y >> (8 - j))
+                    z, o = n.get(node, (0, 0))
+                    own = (o + 0.5) / (z + o + 1)
+                    p = own if p is None else share(node) * own + (1 - share(node)) * p
+                total += math.log10(p if y >> (7 - j) & 1 else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_context_tree_against_all_contexts(spark):
+    r = random.Random(17)
+    texts = ["", "a", "Ünï ab", *["".join(r.choice(["the ", "cat ", "sat ", "on ", "Mat. ", "x"]) for _ in range(r.randrange(1, 12))) for _ in range(25)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.score for x in context_tree.score(df).collect()}
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    for i, want in enumerate(brute_tree(train, texts, context_tree.DEPTH)):
+        assert got[i] == pytest.approx(want, abs=0.3 * (len(texts[i].encode()) + 1) / context_tree.UNIT)
+
+
+def test_context_tree_beats_words_on_unseen_texts(spark):
+    """Bits a byte of held-out documents, and what a second copy in training tells."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    got = {x.doc_id: x for x in context_tree.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    size = {x.doc_id: len((x.text or "").encode()) + 1 for x in rows}
+    held = [x for x in got.values() if x.held_out]
+    bits = lambda c: -sum(getattr(x, c) for x in held) / np.log10(2) / sum(size[x.doc_id] for x in held)
+    print(f"trees {bits('score'):.3f}, words {bits('base_score'):.3f} bits a byte")
+    assert bits("score") < bits("base_score")
 
 
 def test_scores(spark, docs, rows, empty):
