@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(38,6)"
@@ -85,9 +85,57 @@ def rescale(amount: Column, scale: Column, unit_kind: Column, to: str) -> Column
     return F.when(unit_kind != "percent", ((amount * multiplier(scale)).cast("decimal(28,6)") / F.lit(SCALES[to]).cast("decimal(13,0)")).cast(MONEY))
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with the value worked out once."""
-    return F.transform(F.array(value), then).getItem(0)
+# The steps of reading a figure; each takes the columns of the one before by name and gives its own.
+
+
+def _marks(m: dict[str, Column]) -> dict[str, Column]:
+    return {"currency": _first(m["t"], CURRENCY_PATTERNS, m["context_currency"]), "t": _without_first(m["t"], CURRENCY_PATTERNS)}
+
+
+def _unit(m: dict[str, Column]) -> dict[str, Column]:
+    return {"currency": m["currency"], "kind": F.when(m["t"].rlike("(?U)" + PERCENT), F.lit("percent")).otherwise(F.coalesce(m["context_unit_kind"], F.lit("unknown"))), "t": F.regexp_replace(m["t"], "(?U)" + PERCENT, " ")}
+
+
+def _scaled(m: dict[str, Column]) -> dict[str, Column]:
+    return {"currency": m["currency"], "kind": m["kind"], "stated": _first(m["t"], SCALE_PATTERNS, F.lit(None).cast("string")), "rest": _without_first(m["t"], SCALE_PATTERNS)}
+
+
+def _bared(m: dict[str, Column]) -> dict[str, Column]:
+    second = reduce(lambda a, p: a | (m["rest"].rlike("(?U)" + p[0]) & (m["stated"] != p[1])), SCALE_PATTERNS, m["rest"].rlike(VAGUE_SCALE))
+    return {**{c: m[c] for c in ("currency", "kind", "stated")}, "second": second, "trimmed": F.trim(m["rest"]), "bare": F.regexp_replace(F.trim(m["rest"]), FOOTNOTE, "")}
+
+
+def _numeral(m: dict[str, Column]) -> dict[str, Column]:
+    minus = F.regexp_extract(m["bare"], r"(?s)\((.*)\)", 1).rlike(r"\d")
+    numeral = F.regexp_extract(F.when(minus, F.translate(m["bare"], "()", "  ")).otherwise(m["bare"]), NUMBER, 0)
+    return {**{c: m[c] for c in ("currency", "kind", "stated", "second")}, "minus": minus, "numeral": numeral, "footnote": m["bare"] != m["trimmed"]}
+
+
+def _figure(m: dict[str, Column]) -> Column:
+    stated, kind, numeral, scale = m["stated"], m["kind"], m["numeral"], m["context_scale"]
+    whole = F.regexp_replace(F.split(numeral, r"\.").getItem(0), "-", "")
+    digits = F.regexp_replace(numeral, "[-,]", "").try_cast(MONEY)
+    warnings = F.array_compact(F.array(
+        F.when(stated.isNotNull() & m["second"], F.lit("ambiguous_compound_scale")),
+        F.when(stated.isNull() & scale.isNotNull(), F.lit("scale_inherited_from_context")),
+        F.when(stated.isNull() & scale.isNull() & ~kind.isin("percent", "ratio"), F.lit("no_scale_determined")),
+        F.when(m["footnote"], F.lit("footnote_marker_stripped")),
+        F.when(numeral.contains(",") & ~whole.rlike(WESTERN) & ~whole.rlike(INDIAN), F.lit("irregular_grouping")),
+    ))
+    amount = F.when(m["minus"] | numeral.startswith("-"), -digits).otherwise(digits).cast(MONEY)
+    final = F.when((kind == "unknown") & m["currency"].isNotNull(), F.lit("currency")).otherwise(kind)
+    return F.when(numeral != "", F.struct(amount.alias("amount"), F.coalesce(stated, scale, F.lit("unit")).alias("scale"), final.alias("unit_kind"), m["currency"].alias("currency"), F.array_sort(warnings).alias("warnings")))
+
+
+_STEPS = (_marks, _unit, _scaled, _bared, _numeral)
+
+
+def _opened(text: Column) -> Column:
+    return F.lower(F.translate(F.trim(F.regexp_replace(text, "[\u00a0\u2007\u2009\u202f]", " ")), "−–—", "---"))
+
+
+def _context(scale: Column | None, currency: Column | None, unit_kind: Column | None) -> dict[str, Column]:
+    return {f"context_{n}": F.lit(None).cast("string") if c is None else c for n, c in (("scale", scale), ("currency", currency), ("unit_kind", unit_kind))}
 
 
 def parse(text: Column, context_scale: Column | None = None, context_currency: Column | None = None, context_unit_kind: Column | None = None) -> Column:
@@ -95,44 +143,34 @@ def parse(text: Column, context_scale: Column | None = None, context_currency: C
 
     Steps in this order: blanks and dashes, currency, percent, scale, second scale word, scale from the
     context, footnote marks, parentheses around digits as minus, the number, its digit grouping.
+    One expression for any place; over a whole column parsed() is far faster.
     """
-    none = F.lit(None).cast("string")
-    context_scale, context_currency, context_unit_kind = (none if c is None else c for c in (context_scale, context_currency, context_unit_kind))
-
-    def marks(low: Column) -> Column:
-        return F.struct(_first(low, CURRENCY_PATTERNS, context_currency).alias("currency"), _without_first(low, CURRENCY_PATTERNS).alias("t"))
-
-    def unit(m: Column) -> Column:
-        kind = F.when(m["t"].rlike("(?U)" + PERCENT), F.lit("percent")).otherwise(F.coalesce(context_unit_kind, F.lit("unknown")))
-        return F.struct(m["currency"].alias("currency"), kind.alias("kind"), F.regexp_replace(m["t"], "(?U)" + PERCENT, " ").alias("t"))
-
-    def scaled(m: Column) -> Column:
-        return F.struct(m["currency"].alias("currency"), m["kind"].alias("kind"), _first(m["t"], SCALE_PATTERNS, none).alias("stated"), _without_first(m["t"], SCALE_PATTERNS).alias("rest"))
-
-    def shown(m: Column) -> Column:
-        bare = F.regexp_replace(F.trim(m["rest"]), FOOTNOTE, "")
-        minus = F.regexp_extract(bare, r"(?s)\((.*)\)", 1).rlike(r"\d")
-        numeral = F.regexp_extract(F.when(minus, F.translate(bare, "()", "  ")).otherwise(bare), NUMBER, 0)
-        second = reduce(lambda a, p: a | (m["rest"].rlike("(?U)" + p[0]) & (m["stated"] != p[1])), SCALE_PATTERNS, m["rest"].rlike(VAGUE_SCALE))
-        return F.struct(*[m[c].alias(c) for c in ("currency", "kind", "stated")], second.alias("second"), minus.alias("minus"), numeral.alias("numeral"), (bare != F.trim(m["rest"])).alias("footnote"))
-
-    def figure(m: Column) -> Column:
-        stated, kind, numeral = m["stated"], m["kind"], m["numeral"]
-        whole = F.regexp_replace(F.split(numeral, r"\.").getItem(0), "-", "")
-        digits = F.regexp_replace(numeral, "[-,]", "").try_cast(MONEY)
-        warnings = F.array_compact(F.array(
-            F.when(stated.isNotNull() & m["second"], F.lit("ambiguous_compound_scale")),
-            F.when(stated.isNull() & context_scale.isNotNull(), F.lit("scale_inherited_from_context")),
-            F.when(stated.isNull() & context_scale.isNull() & ~kind.isin("percent", "ratio"), F.lit("no_scale_determined")),
-            F.when(m["footnote"], F.lit("footnote_marker_stripped")),
-            F.when(numeral.contains(",") & ~whole.rlike(WESTERN) & ~whole.rlike(INDIAN), F.lit("irregular_grouping")),
-        ))
-        amount = F.when(m["minus"] | numeral.startswith("-"), -digits).otherwise(digits).cast(MONEY)
-        final = F.when((kind == "unknown") & m["currency"].isNotNull(), F.lit("currency")).otherwise(kind)
-        return F.when(numeral != "", F.struct(amount.alias("amount"), F.coalesce(stated, context_scale, F.lit("unit")).alias("scale"), final.alias("unit_kind"), m["currency"].alias("currency"), F.array_sort(warnings).alias("warnings")))
-
-    low = F.lower(F.translate(F.trim(F.regexp_replace(text, "[\u00a0\u2007\u2009\u202f]", " ")), "−–—", "---"))
-    return _let(_let(_let(_let(_let(low, marks), unit), scaled), shown), figure)
+    context = _context(context_scale, context_currency, context_unit_kind)
+
+    def after(steps, m: Column, names: list[str]) -> Column:
+        own = {n: m[n] for n in names} | context
+        if not steps:
+            return _figure(own)
+        got = steps[0](own)
+        return _let(F.struct(*[c.alias(n) for n, c in got.items()]), lambda x: after(steps[1:], x, list(got)))
+
+    return _let(F.struct(_opened(text).alias("t")), lambda x: after(_STEPS, x, ["t"]))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once."""
+    return F.transform(F.array(value), then).getItem(0)
+
+
+def parsed(rows: DataFrame, name: str, text: Column, context_scale: Column | None = None, context_currency: Column | None = None, context_unit_kind: Column | None = None) -> DataFrame:
+    """rows with the figure that parse() reads as a column, one projection for each step, so that code is generated for all of them."""
+    p = f"__{name}_"
+    context = _context(context_scale, context_currency, context_unit_kind)
+    out, names = rows.withColumn(f"{p}t", _opened(text)), ["t"]
+    for step in _STEPS:
+        got = step({n: F.col(f"{p}{n}") for n in names} | context)
+        out, names = out.select(*rows.columns, *[c.alias(f"{p}{n}") for n, c in got.items()]), list(got)
+    return out.select(*rows.columns, _figure({n: F.col(f"{p}{n}") for n in names} | context).alias(name))
 
 
 def relative_difference(a: Column, b: Column) -> Column:
@@ -156,34 +194,123 @@ def compatible(left: Column, right: Column) -> Column:
 
 def degroup(text: Column) -> Column:
     """Commas out of canonically grouped figures, others untouched."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?<![\d,])(\d{1,2}(?:,\d{2})+,\d{3}|\d{1,3}(?:,\d{3})+)(?![\d,])", "\u0001$1\u0002"), r"(?<=[\u0001\d,]),(?=[\d,]*\u0002)|[\u0001\u0002]", "")
+    return F.regexp_replace(text, r"(?<=\d),(?=\d{2,3}(?:\D|$))", "")
+
+
+def canonical_match(value: Column, gold: Column, tau: float) -> Column:
+    """Whether a value in units equals gold within tau; zero only equals zero; false where either is missing."""
+    return F.coalesce(F.when(gold == 0, value == 0).otherwise(F.abs(value - gold).cast("double") / F.abs(gold).cast("double") <= tau), F.lit(False))
+
+
+def agrees(bound: Column, candidate: Column, tau: float = 0.005) -> Column:
+    """canonical_match, but null where there is no candidate to compare."""
+    return F.when(candidate.isNotNull(), canonical_match(bound, candidate, tau))
+
+
+def unit_of(text: Column) -> Column:
+    """A stated unit as struct(unit_kind, scale, currency): percent, ratio words, else currency or scale."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    none = F.lit(None).cast("string")
+    scale, currency = _first(low, SCALE_PATTERNS, none), _first(low, CURRENCY_PATTERNS, none)
+    percent, ratio = low.contains("percent") | low.contains("%"), low.contains("ratio") | low.contains("times") | low.isin("x", "multiple")
+    kind = F.when(percent, "percent").when(ratio, "ratio").when(currency.isNotNull() | scale.isNotNull(), "currency").otherwise("unknown")
+    return F.struct(kind.alias("unit_kind"), F.when(percent | ratio, "unit").otherwise(F.coalesce(scale, F.lit("unit"))).alias("scale"), F.when(~(percent | ratio), currency).alias("currency"))
+
+
+def program_value(value: Column, unit: Column) -> Column:
+    """The figure that a program printed, as struct(amount, scale, unit_kind, currency); null where it is no number."""
+    amount, u = value.try_cast(MONEY), unit_of(unit)
+    return F.when(amount.isNotNull(), F.struct(amount.alias("amount"), u["scale"].alias("scale"), u["unit_kind"].alias("unit_kind"), u["currency"].alias("currency")))
+
+
+def stated(amount: Column, scale: Column, unit_kind: Column, currency: Column) -> Column:
+    """An answer in words, its channel hidden: the amount and its unit."""
+    plain = F.regexp_replace(amount.cast("string"), r"\.?0+$", "")
+    plain = F.when(amount.cast("string").contains("."), plain).otherwise(amount.cast("string"))
+    unit = F.when(unit_kind.isin("percent", "ratio"), unit_kind).otherwise(F.concat_ws(" ", currency, F.when(scale != "unit", scale)))
+    return F.when(amount.isNull(), "no answer produced").otherwise(F.trim(F.concat_ws(" ", plain, unit)))
+
 
+def round_trip(amount: Column, scale: Column, unit_kind: Column, currency: Column) -> Column:
+    """A value as text that parse() reads back: currency, amount, scale, percent."""
+    return F.concat_ws(" ", currency, amount.cast("string"), F.when(scale != "unit", scale), F.when(unit_kind == "percent", "percent"))
 
-def calculate(operation: Column, a: Column, b: Column, years: Column | None = None) -> Column:
-    """struct(ok, value, error) of an operation on two amounts; a ratio is a double, sums are exact."""
-    z = F.lit(None).cast("double")
-    x, y = a.cast("double"), b.cast("double")
+
+def figure_variants(figure: Column) -> Column:
+    """How a figure may be printed: plain, in western and in Indian groups, with its fraction less zeros and without, a
+    negative one also in parentheses and with a minus; longest first.  Empty for text that is no figure."""
+    raw = F.replace(F.trim(figure), F.lit(","), F.lit(""))
+    minus, body = raw.startswith("-"), F.regexp_replace(raw, "^-+", "")
+    whole, frac = F.split(body, r"\.").getItem(0), F.regexp_replace(F.coalesce(F.get(F.split(body, r"\."), F.lit(1)), F.lit("")), "0+$", "")
+    western = F.regexp_replace(F.regexp_replace(whole, "^0+(?=[0-9])", ""), r"(?<=\d)(?=(?:\d{3})+$)", ",")
+    indian = F.when(F.length(whole) > 3, F.regexp_replace(whole, r"(?<=\d)(?=(?:\d{2})*\d{3}$)", ",")).otherwise(whole)
+    bodies = F.array_distinct(F.array(whole, western, indian))
+    out = F.when(frac != "", F.concat(bodies, F.transform(bodies, lambda b: F.concat(b, F.lit("."), frac)))).otherwise(bodies)
+    out = F.when(minus, F.concat(out, F.transform(out, lambda v: F.concat(F.lit("("), v, F.lit(")"))), F.transform(out, lambda v: F.concat(F.lit("-"), v)))).otherwise(out)
+    ranked = F.array_sort(F.array_distinct(out), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    return F.when(body.rlike(r"^[0-9.]*[0-9][0-9.]*$"), ranked).otherwise(F.array().cast("array<string>"))
+
+
+def searchable_variants(figure: Column) -> Column:
+    """The variants of three digits and more."""
+    return F.filter(figure_variants(figure), lambda v: F.length(F.regexp_replace(v, r"\D", "")) >= 3)
+
+
+#: An operand of calculate().
+OPERAND = f"struct<value:{MONEY},unit_kind:string,currency:string>"
+
+
+def calculate(operation: Column, operands: Column, years: Column | None = None) -> Column:
+    """struct(ok, value, unit_kind, currency, error) of an operation on an array of OPERAND, values in units.
+
+    Sums, differences and averages need one unit kind and one currency; change and growth take (before, now) over the
+    size of the base, which may be negative; parts and ratios take (part, whole)."""
+    value = F.transform(operands, lambda o: o["value"].cast("double"))
+    a, b = F.get(value, F.lit(0)), F.get(value, F.lit(1))
     n = F.lit(None).cast("double") if years is None else years.cast("double")
-    value = (
-        F.when(operation == "sum", (a + b).cast("double")).when(operation == "difference", (a - b).cast("double")).when(operation == "product", x * y)
-        .when(operation == "average", (a + b).cast("double") / 2).when(operation.isin("ratio", "margin"), F.when(b != 0, x / y))
-        .when(operation == "percentage_of", F.when(b != 0, x / y)).when(operation.isin("percentage_change", "growth_rate"), F.when(b > 0, (a - b).cast("double") / y))
-        .when(operation == "cagr", F.when((b > 0) & (a > 0) & (n > 0), F.pow(x / y, 1 / n) - 1)).otherwise(z)
-    )
+    size, kinds = F.size(operands), F.array_distinct(F.transform(operands, lambda o: o["unit_kind"]))
+    known, currencies = F.filter(kinds, lambda k: k != "unknown"), F.array_compact(F.array_distinct(F.transform(operands, lambda o: o["currency"])))
+    additive, pair = operation.isin("sum", "difference", "average"), operation.isin("difference", "ratio", "percentage_change", "growth_rate", "margin", "percentage_of", "cagr")
+    total = F.aggregate(F.transform(operands, lambda o: o["value"]), F.lit(0).cast(MONEY), lambda s, x: (s + x).cast(MONEY)).cast("double")
     error = (
-        F.when(operation.isin("ratio", "margin", "percentage_of") & (b == 0), "zero denominator").when(operation.isin("percentage_change", "growth_rate") & (b == 0), "zero base")
-        .when(operation.isin("percentage_change", "growth_rate") & (b < 0), "negative base").when((operation == "cagr") & ((a <= 0) | (b <= 0)), "growth needs positive ends")
-        .when((operation == "cagr") & ~F.coalesce(n > 0, F.lit(False)), "growth needs years")
-        .when(~operation.isin("sum", "difference", "product", "average", "ratio", "margin", "percentage_of", "percentage_change", "growth_rate", "cagr"), "unknown operation")
+        F.when(F.coalesce(size, F.lit(0)) <= 0, "no operands supplied").when(F.exists(operands, lambda o: o.isNull() | o["value"].isNull()), "operand missing")
+        .when(~operation.isin("sum", "difference", "product", "average", "ratio", "margin", "percentage_of", "percentage_change", "growth_rate", "cagr"), "unsupported operation")
+        .when(additive & F.array_contains(kinds, "percent") & (F.size(kinds) > 1), "incompatible unit kinds").when(additive & (F.size(known) > 1), "incompatible unit kinds")
+        .when(additive & (F.size(currencies) > 1), "different currencies").when(pair & (size != 2), "exactly 2 operands required")
+        .when(operation.isin("ratio", "margin", "percentage_of") & (b == 0), "division by zero").when(operation.isin("percentage_change", "growth_rate") & (a == 0), "base of 0")
+        .when((operation == "cagr") & n.isNull(), "number of years required").when((operation == "cagr") & (n <= 0), "positive number of years required")
+        .when((operation == "cagr") & (a <= 0), "non-positive start").when((operation == "cagr") & (b < 0), "negative end")
     )
-    return F.struct(error.isNull().alias("ok"), F.when(error.isNull(), value).alias("value"), error.alias("error"))
+    out = (
+        F.when(operation == "sum", total).when(operation == "average", total / size).when(operation == "difference", (F.get(operands, F.lit(0))["value"] - F.get(operands, F.lit(1))["value"]).cast("double"))
+        .when(operation == "product", F.aggregate(value, F.lit(1.0), lambda s, x: s * x)).when(operation.isin("ratio", "margin", "percentage_of"), a / F.nullif(b, F.lit(0.0)))
+        .when(operation.isin("percentage_change", "growth_rate"), (b - a) / F.nullif(F.abs(a), F.lit(0.0))).when((operation == "cagr") & (a > 0) & (b >= 0) & (n > 0), F.pow(b / F.nullif(a, F.lit(0.0)), 1 / n) - 1)
+    )
+    kind = F.when(additive, F.coalesce(F.get(known, F.lit(0)), F.lit("unknown"))).when(operation == "ratio", "ratio").when(operation == "product", "unknown").otherwise("percent")
+    currency = F.when(additive | (operation == "product"), F.get(currencies, F.lit(0)))
+    ok = error.isNull()
+    return F.struct(ok.alias("ok"), F.when(ok, out).alias("value"), F.when(ok, kind).otherwise("unknown").alias("unit_kind"), F.when(ok, currency).alias("currency"), error.alias("error"))
+
 
+def presented(result: Column) -> Column:
+    """A result of calculate() as the figure a channel answers with: fractions of a percentage times a hundred."""
+    return F.when(result["unit_kind"] == "percent", result["value"] * 100).otherwise(result["value"])
 
-def judge(prediction: Column, gold: Column, kind: Column, gold_kind: Column, currency: Column, gold_currency: Column, tau: float) -> Column:
-    """struct(correct, mismatch, rel_err): unit kind, currency, zero, sign, then magnitude."""
-    rel = F.when(gold == 0, F.abs(prediction).cast("double")).otherwise(F.abs(prediction - gold).cast("double") / F.abs(gold).cast("double"))
+
+def judge(amount: Column, scale: Column, kind: Column, currency: Column, gold: Column, gold_kind: Column, gold_currency: Column, tau: float, assume: bool = True) -> Column:
+    """struct(correct, mismatch, rel_err, unit_assumed) of a predicted figure against gold in units.
+
+    In this order: gold, prediction, unit kind, currency, zero, sign, magnitude.  A prediction without a unit kind is
+    read under gold's convention if assume, else it is a mismatch of kinds; gold without one is not held against it."""
+    silent = (kind == "unknown") & (gold_kind != "unknown")
+    own = canonical(amount, scale, F.when(silent, gold_kind).otherwise(kind))
+    dim = lambda k: F.when(k.isin("percent", "ratio"), F.lit("dimensionless")).otherwise(k)
+    unlike = (kind != "unknown") & (gold_kind != "unknown") & (dim(kind) != dim(gold_kind))
+    rel = F.when(gold != 0, F.abs(own - gold).cast("double") / F.abs(gold).cast("double"))
     mismatch = (
-        F.when(prediction.isNull(), "no_prediction").when(~compatible(kind, gold_kind), "unit_kind").when(currency != gold_currency, "currency")
-        .when((gold == 0) & (prediction != 0), "zero").when((prediction > 0) != (gold > 0), "sign").when(rel > tau, "magnitude")
+        F.when(gold.isNull(), "missing_gold").when(amount.isNull(), "missing_prediction").when(silent & F.lit(not assume), "unit_kind").when(unlike, "unit_kind")
+        .when(currency != gold_currency, "currency").when((gold == 0) & (F.abs(own).cast("double") > 1e-9), "magnitude").when(gold == 0, F.lit(None).cast("string"))
+        .when(((own > 0) != (gold > 0)) & (own != 0), "sign").when(rel > tau, "magnitude")
     )
-    return F.struct(mismatch.isNull().alias("correct"), mismatch.alias("mismatch"), rel.alias("rel_err"))
+    judged = amount.isNotNull() & gold.isNotNull()
+    return F.struct(mismatch.isNull().alias("correct"), F.coalesce(mismatch, F.lit("none")).alias("mismatch"), F.when(judged & ~mismatch.isin("unit_kind", "currency") | mismatch.isNull(), rel).alias("rel_err"), F.coalesce(judged & silent & F.lit(assume), F.lit(False)).alias("unit_assumed"))

@@ -7,7 +7,13 @@ distinct score.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,17 +22,27 @@ def _by_score(rows: DataFrame) -> DataFrame:
     return rows.where("score is not null").groupBy("score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
 
 
+def _running(rows: DataFrame, order: str, desc: bool, **sums: str) -> DataFrame:
+    """rows with running sums (name=column) in the order of a column, each row included: sums within range-sorted parts,
+    and of the parts before; no task sees all rows."""
+    key = F.col(order).desc() if desc else F.col(order).asc()
+    r = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).withColumn("part", F.spark_partition_id())
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    parts = r.groupBy("part").agg(*[F.sum(c).alias(f"{n}_0") for n, c in sums.items()]).select("part", *[F.coalesce(F.sum(f"{n}_0").over(before), F.lit(0)).alias(f"{n}_0") for n in sums])
+    own = Window.partitionBy("part").orderBy(key)
+    r = r.withColumns({n: F.sum(c).over(own) for n, c in sums.items()}).join(F.broadcast(parts), "part")
+    return r.select(*rows.columns, *[(F.col(n) + F.col(f"{n}_0")).alias(n) for n in sums])
+
+
 def auroc(rows: DataFrame) -> DataFrame:
     """Mann-Whitney with ties counted half; null if a class is absent."""
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    g = _by_score(rows).withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    return g.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double")).alias("auroc"))
+    g = _running(_by_score(rows), "score", False, upto="n")
+    return g.agg(F.try_divide(F.sum(F.col("p") * (F.col("upto") - F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double")).alias("auroc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """Steps at distinct scores from the highest down, no interpolation; null without errors."""
-    down = Window.orderBy(F.desc("score"))
-    g = _by_score(rows).withColumn("tp", F.sum("p").over(down)).withColumn("all", F.sum(F.col("p") + F.col("n")).over(down))
+    g = _running(_by_score(rows).withColumn("m", F.col("p") + F.col("n")), "score", True, tp="p", all="m")
     return g.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.sum("p").cast("double")).alias("average_precision"))
 
 
@@ -52,9 +68,8 @@ def select_threshold(rows: DataFrame, min_recall: float | None = None) -> DataFr
     extra = rows.sparkSession.createDataFrame([(0.0,), (1.0 + 1e-9,)], "score double")
     cuts = rows.where("score is not null").select(F.col("score").cast("double").alias("score")).union(extra).distinct()
     g = cuts.join(_by_score(rows).withColumn("score", F.col("score").cast("double")), "score", "left").fillna(0, ["p", "n"])
-    up = Window.orderBy(F.desc("score"))
-    whole = Window.partitionBy()
-    g = g.withColumn("tp", F.sum("p").over(up)).withColumn("fp", F.sum("n").over(up)).withColumn("fn", F.sum("p").over(whole) - F.col("tp")).withColumn("tn", F.sum("n").over(whole) - F.col("fp"))
+    whole = g.agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"))  # one row
+    g = _running(g, "score", True, tp="p", fp="n").crossJoin(F.broadcast(whole)).withColumn("fn", F.col("ps") - F.col("tp")).withColumn("tn", F.col("ns") - F.col("fp"))
     r = rates(g)
     if min_recall is not None:
         return r.where(F.col("recall") >= min_recall).orderBy(F.desc("precision"), F.desc("recall"), "score").limit(1)
@@ -94,33 +109,125 @@ def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def qa_report(judged: DataFrame) -> DataFrame:
-    """judged (correct, abstained, prediction, program_executed): accuracy and rates; no rows give 0.0."""
+    """judged (correct, exact, mismatch, unit_assumed, abstained, prediction, program_executed, ambiguous): rates over the rows that are
+    not ambiguous and have gold, the number of each mismatch; no rows give 0.0, and execution accuracy null."""
     mean = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
-    return judged.agg(
-        F.count("*").alias("n"), mean(F.col("correct")).alias("accuracy"), mean(F.col("abstained")).alias("abstention_rate"),
-        mean(F.col("prediction").isNull() & ~F.col("abstained")).alias("parse_failure_rate"), F.avg(F.col("program_executed").cast("double")).alias("execution_accuracy"),
+    j = judged.where("not ambiguous and mismatch <> 'missing_gold'")
+    counts = j.groupBy("mismatch").agg(F.count("*").alias("m")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mismatch", "m")))).alias("mismatches"))
+    r = j.agg(
+        F.count("*").alias("n"), mean(F.col("exact")).alias("exact_match"), mean(F.col("correct")).alias("accuracy"), mean(F.col("abstained")).alias("abstention_rate"),
+        mean(F.col("prediction").isNull() & ~F.col("abstained")).alias("parse_failure_rate"), mean(F.col("unit_assumed")).alias("unit_assumption_rate"),
+        F.try_divide(F.count_if(F.col("program_executed") & F.col("correct")).cast("double"), F.count("program_executed")).alias("execution_accuracy"),
     )
+    return r.crossJoin(counts)  # one row each
+
+
+def cost_matched(reports: DataFrame, arm: str, left: str, right: str) -> DataFrame:
+    """Ratios of two arms' rows of efficiency(): tokens, latency, cost; null where either is undefined or the right one is zero."""
+    l, r = (reports.where(F.col(arm) == x) for x in (left, right))
+    ratio = lambda c: F.try_divide(F.col(f"l.{c}").cast("double"), F.col(f"r.{c}").cast("double")).alias(f"{c}_ratio")
+    return l.alias("l").crossJoin(r.alias("r")).select(F.lit(left).alias("left"), F.lit(right).alias("right"), ratio("tokens_per_question"), ratio("p50"), ratio("cost"))  # a row each
 
 
 def efficiency(costs: DataFrame, *by: str) -> DataFrame:
     """costs (latency, tokens, cost): percentiles by linear interpolation, tokens a question, priced share."""
     return costs.groupBy(*by).agg(
         F.count("*").alias("questions"), F.coalesce(F.percentile("latency", 0.5), F.lit(0.0)).alias("p50"), F.coalesce(F.percentile("latency", 0.95), F.lit(0.0)).alias("p95"),
-        F.avg("tokens").alias("tokens_per_question"), F.sum("tokens").alias("tokens"), F.avg(F.col("cost").isNotNull().cast("double")).alias("cost_coverage"),
+        F.avg("tokens").alias("tokens_per_question"), F.sum("tokens").alias("tokens"), F.avg(F.col("cost").isNotNull().cast("double")).alias("cost_coverage"), F.sum("cost").alias("cost"),
     )
 
 
-def bootstrap_mean(rows: DataFrame, resamples: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """rows (id, value): percentile interval of the mean.  A resample's weight of a row is a Poisson draw
-    from a hash of seed, resample and id, so rows stay where they are and partial sums meet, a row for
-    each resample; resamples of no rows are counted as undefined."""
-    u = lambda: F.pmod(F.xxhash64(F.lit(seed), "b", "id"), F.lit(1 << 30)) / float(1 << 30)
-    cuts, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    weight = sum((F.col("u") >= c).cast("int") for c in cuts)
-    draws = rows.where("value is not null").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("u", u()).withColumn("w", weight)
-    means = draws.groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w").cast("double")).alias("mean"))
-    return means.agg(F.percentile("mean", alpha / 2).alias("low"), F.percentile("mean", 1 - alpha / 2).alias("high"), F.count_if(F.col("mean").isNull()).alias("undefined"))
+# --- resampling ---------------------------------------------------------------------------------
+
+#: Resamples that the published intervals are made of.
+RESAMPLES, SEED = 10_000, 20260826
+
+
+def _weights(seed: int, ids: list, resamples: int) -> np.ndarray:
+    """How often each row is drawn in each resample: Poisson draws from a generator that the seed and the row's id fix."""
+    return np.stack([np.random.Generator(np.random.Philox(key=[seed, int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=8).digest())])).poisson(1.0, resamples) for i in ids]).astype(np.int64)
+
+
+def _summed(rows: DataFrame, work, fields: int) -> list[np.ndarray]:
+    """Arrays that work(batches) yields for each task, put together in order of the tasks: the driver gets `fields` arrays for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = work(batches)
+        if got is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in got]], names=["part", *[f"x{k}" for k in range(fields)]])
+
+    schema = "part int, " + ", ".join(f"x{k} binary" for k in range(fields))
+    parts = sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: r.part)
+    return [np.array([np.frombuffer(r[f"x{k}"]) for r in parts]) for k in range(fields)]
+
+
+def mean_draws(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> np.ndarray:
+    """rows (id, value): the mean of each resample, nan where it drew nothing.  A task adds up its rows' share of every resample."""
+
+    def work(batches):
+        total = np.zeros((2, resamples))
+        for b in batches:
+            for s in range(0, b.num_rows, 64):
+                part = b.slice(s, 64)
+                w = _weights(seed, part.column("id").to_pylist(), resamples)
+                total += [np.asarray(part.column("value").to_pylist(), float) @ w, w.sum(0)]
+        return total
+
+    sums, n = (x.sum(0) if len(x) else np.zeros(resamples) for x in _summed(rows.where("value is not null").select("id", "value"), work, 2))
+    return np.divide(sums, n, out=np.full(resamples, np.nan), where=n > 0)
+
+
+def auroc_draws(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> np.ndarray:
+    """rows (id, score, label): the AUROC of each resample, nan where a class is absent.  Rows are range-sorted by score; a task
+    goes through its range once and hands on, for each resample, its errors, its others and the pairs that it ranks."""
+
+    def work(batches):
+        pairs, errors, others = (np.zeros(resamples) for _ in range(3))
+        held, score = np.zeros((2, resamples)), None
+        seen = False
+        for b in batches:
+            for i, s, y in zip(*(b.column(c).to_pylist() for c in ("id", "score", "label")), strict=True):
+                if s != score:
+                    pairs += held[1] * (others + held[0] / 2)
+                    errors, others = errors + held[1], others + held[0]
+                    held, score = np.zeros((2, resamples)), s
+                held[int(y)] += _weights(seed, [i], resamples)[0]
+                seen = True
+        pairs += held[1] * (others + held[0] / 2)
+        return (pairs, errors + held[1], others + held[0]) if seen else None
+
+    ordered = rows.where("score is not null").select("id", F.col("score").cast("double").alias("score"), F.col("label").cast("int").alias("label")).repartitionByRange("score").sortWithinPartitions("score", "id")
+    pairs, errors, others = _summed(ordered, work, 3)
+    if not len(pairs):
+        return np.full(resamples, np.nan)
+    before = np.cumsum(others, 0) - others
+    total = errors.sum(0) * others.sum(0)
+    return np.divide((pairs + errors * before).sum(0), total, out=np.full(resamples, np.nan), where=total > 0)
+
+
+def interval(spark: SparkSession, point: float | None, draws: np.ndarray, alpha: float = 0.05) -> DataFrame:
+    """One row: point, low, high, undefined resamples, whether zero is outside, and the two-sided p of the difference from zero."""
+    known = draws[np.isfinite(draws)]
+    low, high = (float(x) for x in np.quantile(known, [alpha / 2, 1 - alpha / 2])) if len(known) else (None, None)
+    p = None
+    if point is not None and len(known):
+        p = min(1.0, 2.0 * float(((known <= 0) if point > 0 else (known >= 0)).mean()))
+    outside = low is not None and (low > 0 or high < 0)
+    return spark.createDataFrame([(point, low, high, int(len(draws) - len(known)), outside, p)], "point double, low double, high double, undefined int, excludes_zero boolean, p_value double")
+
+
+def bootstrap_mean(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = 0.05) -> DataFrame:
+    """rows (id, value): percentile interval of the mean."""
+    return interval(rows.sparkSession, rows.agg(F.avg("value")).first()[0], mean_draws(rows, resamples, seed), alpha)
+
+
+def bootstrap_auroc(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = 0.05) -> DataFrame:
+    return interval(rows.sparkSession, auroc(rows).first()[0], auroc_draws(rows, resamples, seed), alpha)
+
+
+def paired_auroc(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = 0.05) -> DataFrame:
+    """rows (id, score_a, label_a, score_b, label_b): interval and p of AUROC(a) - AUROC(b), both over the same resamples of rows."""
+    own = [rows.select("id", F.col(f"score_{x}").alias("score"), F.col(f"label_{x}").alias("label")) for x in "ab"]
+    a, b = (auroc(r).first()[0] for r in own)
+    point = None if a is None or b is None else a - b
+    return interval(rows.sparkSession, point, auroc_draws(own[0], resamples, seed) - auroc_draws(own[1], resamples, seed), alpha)

@@ -1,7 +1,7 @@
-"""Ranked retrieval: BM25, dense cosine, reciprocal rank fusion, planned merges, retrieval metrics.
+"""Ranked retrieval: BM25, dense cosine, reciprocal rank fusion, reranking, planned merges, retrieval metrics.
 
-Rank windows are per query.  Corpus statistics are grouped with map-side combining; the query side, a
-handful of terms, is what a join against the corpus may broadcast, and Spark decides that by its size.
+A stated set of queries goes to every task, which meets the corpus in blocks; rank windows are per query and see the
+best of each task alone.  Corpus statistics are grouped with map-side combining.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
-#: The constant of reciprocal rank fusion.
-RRF_K = 60
+#: The constant of reciprocal rank fusion, the places by which scores rank, and the candidates fused for each result asked for.
+RRF_K, PLACES, POOL = 60, 9, 5
 
 
 #: Rows that a task scores at once, and queries that meet them at once.
@@ -31,32 +31,11 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str, most: int | None
     return queries.select(F.col(id_col).alias("query_id"), F.explode(words if most is None else F.slice(words, 1, most)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
 
 
-def bm25(corpus: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
-    """(query_id, doc, score > 0) by Okapi BM25 over the given corpus.
-
-    idf = ln((N - df + .5) / (df + .5)); a negative one becomes FLOOR times the mean idf of the vocabulary.
-    """
-    lists = corpus.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t"))
-    tf = lists.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    stats = lists.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats).withColumn("raw", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = df.agg(F.avg("raw").alias("mean_idf"))  # one row
-    idf = df.join(terms.select("term").distinct(), "term").crossJoin(mean).select("term", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    part = F.col("n") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return tf.join(terms.join(idf, "term"), "term").groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where("score > 0")
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame) -> DataFrame:
-    """(query_id, doc, score): every query (query_id, vector), a stated handful, against all vectors."""
-    q = queries.select("query_id", F.col("vector").alias("qv"))
-    return vectors.select(F.col(id_col).alias("doc"), F.col(vector_col).alias("v")).crossJoin(F.broadcast(q)).where(F.col("doc") != F.col("query_id")).select("query_id", "doc", cosine(F.col("v"), F.col("qv")).alias("score"))
-
-
 class _Best:
     """The k best (score, doc) of each query that a task has seen, ties by the smaller doc."""
 
@@ -86,11 +65,12 @@ _SCORED = "query_id long, doc long, score double"
 
 
 def bm25_top(corpus: DataFrame, id_col: str, text_col: str, terms: DataFrame, k: int) -> DataFrame:
-    """The k best of each query by bm25(), with rank, for many and long queries.
+    """The k best of each query by Okapi BM25 over the given corpus, scores above zero, with rank, for many and long queries.
 
-    The queries' terms go to every task, which scores its documents in blocks and hands on its k best of
-    each query, so no row for each query and document is made.  Equal texts have equal scores.  Rows
-    without an id are in the statistics and never hits.
+    idf = ln((N - df + .5) / (df + .5)); a negative one becomes FLOOR times the mean idf of the vocabulary.  The queries'
+    terms go to every task, which scores its documents in blocks and hands on its k best of each query, so no row for each
+    query and document is made.  Scores rank by PLACES places, so that copies of a text tie whatever the order of
+    summing.  Rows without an id are in the statistics and never hits.
     """
     spark = corpus.sparkSession
     lists = corpus.select(F.col(id_col).cast("long").alias("doc"), tokens(F.col(text_col)).alias("t"))
@@ -124,17 +104,17 @@ def bm25_top(corpus: DataFrame, id_col: str, text_col: str, terms: DataFrame, k:
                 own = np.repeat(np.arange(len(key)), many)
                 use = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + start[term][own]
                 scores = np.bincount(row[own] * n + query[use], part[own] * weight[use], len(size) * n).reshape(-1, n)
-                best.add(0, np.where(scores > 0, scores, -np.inf), b.column("doc").to_numpy(zero_copy_only=False))
+                best.add(0, np.where(scores > 0, np.round(scores, PLACES), -np.inf), b.column("doc").to_numpy(zero_copy_only=False))
         yield from best.batches(ids)
 
     return top(lists.where("doc is not null").mapInArrow(run, _SCORED), k)
 
 
 def dense_top(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int) -> DataFrame:
-    """The k best of each query by dense(), with rank, for many queries (query_id, vector).
+    """The k best of each query by cosine, with rank, for many queries (query_id, vector); a vector is not its own neighbour.
 
     The queries go to every task, which meets its vectors in blocks and hands on its k best of each.
-    Scores rank by 12 places.  Vectors of another length, without direction or with nulls have no score.
+    Scores rank by PLACES places.  Vectors of another length, without direction or with nulls have no score.
     """
     spark = vectors.sparkSession
     asked = [(r.query_id, np.array(r.vector, float)) for r in queries.where("query_id is not null and vector is not null and not exists(vector, x -> x is null)").collect()]
@@ -159,7 +139,7 @@ def dense_top(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFra
                 v = v / np.sqrt((v * v).sum(1))[:, None]
                 for first in range(0, len(ids), QUERIES_AT_ONCE):
                     q = slice(first, first + QUERIES_AT_ONCE)
-                    best.add(first, np.where(docs[:, None] == own[q], -np.inf, np.round(v @ shared.value[q].T, 12)), docs)
+                    best.add(first, np.where(docs[:, None] == own[q], -np.inf, np.round(v @ shared.value[q].T, PLACES)), docs)
         yield from best.batches(ids)
 
     v = vectors.select(F.col(id_col).cast("long").alias("doc"), F.col(vector_col).alias("v")).where(f"doc is not null and size(v) = {dim} and not exists(v, x -> x is null)")
@@ -183,6 +163,66 @@ def fuse(semantic: DataFrame, keyword: DataFrame, k: int, semantic_weight: float
     return both.select("query_id", "doc", "semantic_rank", "keyword_rank", score.alias("score"), found.alias("found_by")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def pool_size(k: int, reranked: bool = False) -> int:
+    """Candidates of each leg for k results; a hundred at least where they are reranked."""
+    return max(k * POOL, k, 100 if reranked else 0)
+
+
+def hybrid(corpus: DataFrame, id_col: str, text_col: str, terms: DataFrame, vectors: DataFrame, vec_col: str, vector_col: str, queries: DataFrame, k: int, condition: Column | None = None, semantic_weight: float = 1.0, keyword_weight: float = 1.0) -> DataFrame:
+    """Both legs over the same candidates, fused.  condition, on corpus, decides what is a candidate, and statistics are those of the candidates."""
+    c = corpus if condition is None else corpus.where(condition)
+    v = vectors if condition is None else vectors.join(c.select(F.col(id_col).alias(vec_col)), vec_col, "left_semi")
+    n = pool_size(k)
+    return fuse(dense_top(v, vec_col, vector_col, queries, n), bm25_top(c, id_col, text_col, terms, n), k, semantic_weight, keyword_weight)
+
+
+def arms(semantic: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
+    """The three ways of one pass (arm): each leg's k best, and both fused."""
+    own = lambda leg, name: leg.where(F.col("rank") <= k).select(F.lit(name).alias("arm"), "query_id", "doc", "rank")
+    return own(semantic, "semantic").unionByName(own(keyword, "keyword")).unionByName(own(fuse(semantic, keyword, k), "hybrid"))
+
+
+def reranked(fused: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """fused (query_id, doc, rank) in the order of another model's scores (query_id, doc, score), ties by the fused rank, which is kept."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("rerank_score", F.lit(0.0))), "fused_rank")
+    r = fused.withColumnRenamed("rank", "fused_rank").drop("score").join(scores.withColumnRenamed("score", "rerank_score"), ["query_id", "doc"], "left")
+    return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def swept(semantic: DataFrame, keyword: DataFrame, weights: list[float], k: int) -> DataFrame:
+    """Both legs fused at each weight of the semantic one; the legs are joined once."""
+    s = semantic.select("query_id", "doc", F.col("rank").alias("semantic_rank"))
+    both = s.join(keyword.select("query_id", "doc", F.col("rank").alias("keyword_rank")), ["query_id", "doc"], "full_outer").withColumn("weight", F.explode(F.array(*[F.lit(w) for w in weights])))
+    score = F.coalesce(F.col("weight") / (RRF_K + F.col("semantic_rank")), F.lit(0.0)) + F.coalesce(1.0 / (RRF_K + F.col("keyword_rank")), F.lit(0.0))
+    order = Window.partitionBy("weight", "query_id").orderBy(F.desc("score"), F.coalesce("semantic_rank", F.lit(10**9) + F.col("keyword_rank")), "doc")
+    return both.withColumn("score", score).where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def holders(corpus: DataFrame, id_col: str, text_col: str, passages: DataFrame) -> DataFrame:
+    """(query_id, doc): the documents that hold a passage (query_id, passage) of a stated set word for word.
+
+    Every text is read once against all passages by an automaton that each task builds from them."""
+    import ahocorasick
+
+    stated: dict[str, list] = {}
+    for r in passages.where("length(passage) > 0").collect():
+        stated.setdefault(r.passage, []).append(r.query_id)
+    if not stated:
+        return corpus.sparkSession.createDataFrame([], "query_id long, doc long")
+    shared = corpus.sparkSession.sparkContext.broadcast(stated)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = ahocorasick.Automaton()
+        for p, ids in shared.value.items():
+            a.add_word(p, ids)
+        a.make_automaton()
+        for b in batches:
+            hits = [(q, d) for d, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for q in sorted({q for _, ids in a.iter(t) for q in ids})]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], names=["query_id", "doc"])
+
+    return corpus.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "query_id long, doc long")
+
+
 def round_robin(ranked: DataFrame, k: int) -> DataFrame:
     """ranked: question, sub (position), doc, rank.  Each document once, by rank, then sub-question; k of each question."""
     first = Window.partitionBy("question", "doc").orderBy("rank", "sub")
@@ -209,10 +249,25 @@ def retrieval_scores(ranked: DataFrame, gold: DataFrame, ks: list[int]) -> DataF
     return groups.join(returned, ["query_id", "k"], "left").fillna(0.0, ["precision"])
 
 
+def recall_at(first_ranks: DataFrame, k: int) -> DataFrame:
+    """The share of groups whose first rank is k or better; groups never found count as missed."""
+    return first_ranks.agg(F.avg(F.coalesce(F.col("first_rank") <= k, F.lit(False)).cast("double")).alias("recall"))
+
+
+# The upper ends of the bands of ranks.
+BANDS = (10, 20, 70, 300)
+
+
+def band(rank: Column) -> Column:
+    """The band of a rank, by its upper end; beyond all, and for ranks not found, a million."""
+    out = F.lit(10**6)
+    for n in reversed(BANDS):
+        out = F.when(rank <= n, n).otherwise(out)
+    return out
+
+
 def rank_bands(first_ranks: DataFrame) -> DataFrame:
     """How many groups fall in each band of first ranks, and the share up to it."""
-    r = F.col("first_rank")
-    band = F.when(r <= 10, 10).when(r <= 20, 20).when(r <= 70, 70).when(r <= 300, 300).otherwise(10**6)
-    n = first_ranks.groupBy(band.alias("upto")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("upto")
+    n = first_ranks.groupBy(band(F.col("first_rank")).alias("upto")).agg(F.count("*").alias("n"))
+    w = Window.orderBy("upto")  # five rows
     return n.withColumn("share", F.sum("n").over(w) / F.sum("n").over(Window.partitionBy()))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import canonical, compatible, power_of_ten, relative_difference
+from ..functions.values import canonical, compatible, parse, power_of_ten, relative_difference
 
 TOLERANCE = 0.005
 # The factor for each missing channel that could have answered.
@@ -17,42 +19,58 @@ UNIT = ["scale_mismatch", "currency_mismatch", "unit_kind_mismatch"]
 NO_EVIDENCE, CONFLICT, HARD_WEIGHT, NO_CORROBORATION, ARBITER_ABSTAINED, RESIDUAL = 1.0, 0.9, 0.85, 0.45, 0.55, 0.5
 
 
-def pairs(channels: DataFrame, key: str) -> DataFrame:
-    """channels: key, channel (0 natural, 1 program, 2 deterministic), available, applicable, amount, scale,
-    unit_kind, currency.  A row for each two channels of a key."""
+def _side_by_side(channels: DataFrame, key: str) -> DataFrame:
+    """A row for each key with its three channels as structs c0, c1, c2; one shuffle."""
     c = channels.withColumn("usable", F.col("available") & F.col("amount").isNotNull()).withColumn("v", canonical(F.col("amount"), F.col("scale"), F.col("unit_kind")))
-    left = c.select(key, *[F.col(x).alias(f"l_{x}") for x in ("channel", "usable", "v", "unit_kind", "currency")])
-    right = c.select(key, *[F.col(x).alias(f"r_{x}") for x in ("channel", "usable", "v", "unit_kind", "currency")])
-    j = left.join(right, key).where("l_channel < r_channel")
-    a, b = F.col("l_v"), F.col("r_v")
+    own = F.struct("usable", "v", "unit_kind", "currency", "applicable")
+    return c.groupBy(key).agg(*[F.max(F.when(F.col("channel") == i, own)).alias(f"c{i}") for i in range(3)])
+
+
+def _pair(i: int, j: int) -> Column:
+    """The comparison of two channels as a struct, null where one is missing."""
+    l, r = F.col(f"c{i}"), F.col(f"c{j}")
+    a, b = l["v"], r["v"]
     rel = relative_difference(a, b)
     kind = (
-        F.when(~(F.col("l_usable") & F.col("r_usable")), "channel_unavailable").when(~compatible(F.col("l_unit_kind"), F.col("r_unit_kind")), "unit_kind_mismatch")
-        .when(F.col("l_currency") != F.col("r_currency"), "currency_mismatch").when(((a > 0) != (b > 0)) & (a != 0) & (b != 0), "sign_mismatch")
+        F.when(~(l["usable"] & r["usable"]), "channel_unavailable").when(~compatible(l["unit_kind"], r["unit_kind"]), "unit_kind_mismatch")
+        .when(l["currency"] != r["currency"], "currency_mismatch").when(((a > 0) != (b > 0)) & (a != 0) & (b != 0), "sign_mismatch")
         .when(rel <= TOLERANCE, "none").when(power_of_ten(a, b, TOLERANCE).isNotNull(), "scale_mismatch").otherwise("magnitude_mismatch")
     )
-    j = j.withColumn("disagreement", kind)
-    score = F.when(F.col("disagreement") == "channel_unavailable", 0.5).when(F.col("disagreement") == "none", 1.0).when(F.col("disagreement") == "magnitude_mismatch", F.least(F.lit(1.0), TOLERANCE / rel)).otherwise(0.0)
-    return j.select(key, F.col("l_channel").alias("left_channel"), F.col("r_channel").alias("right_channel"), "disagreement", score.alias("score"), F.when(F.col("disagreement").isin("channel_unavailable", "unit_kind_mismatch", "currency_mismatch"), None).otherwise(rel).alias("relative_difference"))
+    return F.when(l.isNotNull() & r.isNotNull(), F.struct(F.lit(i).alias("left_channel"), F.lit(j).alias("right_channel"), kind.alias("disagreement"), rel.alias("rel")))
+
+
+def _score(kind: Column, rel: Column) -> Column:
+    return F.when(kind == "channel_unavailable", 0.5).when(kind == "none", 1.0).when(kind == "magnitude_mismatch", F.least(F.lit(1.0), TOLERANCE / rel)).otherwise(0.0)
+
+
+def _compared(channels: DataFrame, key: str) -> DataFrame:
+    return _side_by_side(channels, key).select("*", _pair(0, 1).alias("p01"), _pair(0, 2).alias("p02"), _pair(1, 2).alias("p12"))
+
+
+def pairs(channels: DataFrame, key: str) -> DataFrame:
+    """channels: key, channel (0 natural, 1 program, 2 deterministic), available, applicable, amount, scale,
+    unit_kind, currency.  A row for each two channels of a key."""
+    p = _compared(channels, key).select(key, F.explode(F.array("p01", "p02", "p12")).alias("p")).where("p is not null").select(key, "p.*")
+    far = F.col("disagreement").isin("channel_unavailable", "unit_kind_mismatch", "currency_mismatch")
+    return p.select(key, "left_channel", "right_channel", "disagreement", _score(F.col("disagreement"), F.col("rel")).alias("score"), F.when(~far, F.col("rel")).alias("relative_difference"))
 
 
 def consistency(channels: DataFrame, key: str) -> DataFrame:
-    """A report for each key: verdict, score, base_score, coverage, disagreements, channel counts."""
-    counts = channels.groupBy(key).agg(F.count_if(F.col("available") & F.col("amount").isNotNull()).alias("usable"), F.count_if("applicable").alias("applicable"), F.count("*").alias("channels"))
-    p = pairs(channels, key)
-    d = F.col("disagreement")
-    comparable = d != "channel_unavailable"
-    two = (F.col("left_channel") == 0) & (F.col("right_channel") == 1)
-    agg = p.groupBy(key).agg(
-        F.min(F.when(comparable, F.col("score"))).alias("lowest"), F.collect_set(F.when(d != "none", d)).alias("kinds"), F.count_if(comparable & (d != "none")).alias("against"),
-        F.coalesce(F.bool_or(two & (d == "none")), F.lit(False)).alias("two_agree"), F.count_if((F.col("right_channel") == 2) & comparable & (d != "none")).alias("third_against"),
+    """A report for each key: verdict, score, base_score, coverage, disagreements, channel counts; no join."""
+    p = _compared(channels, key)
+    every, each = [F.col(f"c{i}") for i in range(3)], [F.col(x) for x in ("p01", "p02", "p12")]
+    count = lambda field: sum((F.coalesce(c[field].cast("int"), F.lit(0)) for c in every[1:]), F.coalesce(every[0][field].cast("int"), F.lit(0)))
+    comparable = lambda x: x["disagreement"] != "channel_unavailable"
+    against = lambda x: F.coalesce((comparable(x) & (x["disagreement"] != "none")).cast("int"), F.lit(0))
+    r = p.select(
+        key, count("usable").alias("usable"), count("applicable").alias("applicable"), F.least(*[F.when(comparable(x), _score(x["disagreement"], x["rel"])) for x in each]).alias("lowest"),
+        F.array_distinct(F.array_compact(F.array(*[F.when(x["disagreement"] != "none", x["disagreement"]) for x in each]))).alias("kinds"), (against(each[0]) + against(each[1]) + against(each[2])).alias("against"),
+        F.coalesce(each[0]["disagreement"] == "none", F.lit(False)).alias("two_agree"), (against(each[1]) + against(each[2])).alias("third_against"),
     )
-    r = counts.join(agg, key, "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
-    short = F.greatest(F.lit(0), F.col("applicable") - F.col("usable"))
-    r = r.withColumn("coverage", F.when(short == 0, COVERAGE[0]).when(short == 1, COVERAGE[1]).when(short == 2, COVERAGE[2]).otherwise(COVERAGE[3]))
+    short = shortfall(F.col("applicable"), F.col("usable"))
     few = F.col("usable") < 2
-    conflict = ~few & F.coalesce(F.col("two_agree"), F.lit(False)) & (F.coalesce(F.col("third_against"), F.lit(0)) > 0)
-    r = r.withColumn("conflict", conflict).withColumn("base_score", F.when(few, 0.5).otherwise(F.coalesce("lowest", F.lit(0.5))))
+    r = r.withColumn("coverage", F.when(short == 0, COVERAGE[0]).when(short == 1, COVERAGE[1]).when(short == 2, COVERAGE[2]).otherwise(COVERAGE[3]))
+    r = r.withColumn("conflict", ~few & F.col("two_agree") & (F.col("third_against") > 0)).withColumn("base_score", F.when(few, 0.5).otherwise(F.coalesce("lowest", F.lit(0.5))))
     verdict = F.when(few, "UNCERTAIN").when(F.col("conflict") | (F.col("against") > 0), "DISAGREE").otherwise("AGREE")
     score = F.when(few, 0.5 * F.col("coverage")).otherwise(F.col("base_score") * F.col("coverage") * F.when(F.col("conflict"), CONFLICT_FACTOR).otherwise(1.0))
     kinds = F.array_union(F.col("kinds"), F.array_compact(F.array(F.when(few, F.lit("channel_unavailable")), F.when(F.col("conflict"), F.lit("deterministic_conflict")))))
@@ -60,6 +78,20 @@ def consistency(channels: DataFrame, key: str) -> DataFrame:
     return r.select(key, verdict.alias("verdict"), score.alias("score"), "base_score", "coverage", kinds.alias("disagreements"), "usable", "applicable")
 
 
+def shortfall(applicable: Column, usable: Column) -> Column:
+    """Channels that could have answered and did not."""
+    return F.greatest(F.lit(0), applicable - usable)
+
+
+def to_arbitrate(reports: DataFrame) -> DataFrame:
+    """The reports whose disagreement an arbiter is to settle."""
+    return reports.where("verdict = 'DISAGREE'")
+
+
+def abstains(risk_score: Column, threshold: float) -> Column:
+    return F.coalesce(risk_score >= threshold, F.lit(False))
+
+
 def band(risk: Column) -> Column:
     return F.when(risk.isNull(), "UNSCORED").when(risk >= 0.6, "HIGH").when(risk >= 0.25, "MEDIUM").otherwise("LOW")
 
@@ -101,6 +133,75 @@ def bind(facts: DataFrame, metric: str = "metric") -> DataFrame:
     return g.select("question", metric, F.when(F.col("values") == 1, F.col("value")).alias("value"), (F.col("values") == 1).alias("bound"))
 
 
-def provenance(correct: Column, retrieved: Column, agreed: Column) -> Column:
-    """Why an answer is wrong, with unknown kept apart from false; null for correct ones."""
-    return F.when(correct, None).when(retrieved.isNull(), "undetermined").when(~retrieved, "retrieval").when(agreed, "reasoning_shared").otherwise("reasoning")
+# --- replies ------------------------------------------------------------------------------------
+
+_REPLY = "answer string, unit string, reasoning string, evidence_used array<string>, figures_used array<string>, sufficient boolean, resolution string"
+
+
+def natural_reply(payload: Column) -> Column:
+    """struct(available, value, sufficient, unit, failure_reason) of a reply's JSON object, taken out of the reply beforehand."""
+    p = F.from_json(payload, _REPLY)
+    spoken = F.concat_ws(" ", p["answer"], F.nullif(p["unit"], F.lit("")))
+    value, sufficient = parse(spoken), F.coalesce(p["sufficient"], F.lit(True))
+    why = (
+        F.when(F.coalesce(F.trim(payload), F.lit("")) == "", "empty reply").when(p.isNull(), "no JSON object in the reply")
+        .when(p["answer"].isNull() & ~sufficient, "channel declined to answer; reported the evidence as insufficient").when(p["answer"].isNull(), "channel declined to answer").when(value.isNull(), "answer could not be parsed as a financial value")
+    )
+    return F.struct(why.isNull().alias("available"), F.when(why.isNull(), value).alias("value"), sufficient.alias("sufficient"), p["unit"].alias("unit"), why.alias("failure_reason"))
+
+
+def arbiter_reply(payload: Column, swapped: Column) -> Column:
+    """struct(resolution, value, resolved, available, failure_reason); candidates shown in the other order are turned back."""
+    p = F.from_json(payload, _REPLY)
+    label = F.lower(F.trim(p["resolution"]))
+    value = F.when(p["answer"].isNotNull(), parse(F.concat_ws(" ", p["answer"], F.nullif(p["unit"], F.lit("")))))
+    why = F.when(F.coalesce(F.trim(payload), F.lit("")) == "", "empty reply").when(p.isNull(), "no JSON object in the reply").when(p["answer"].isNotNull() & value.isNull(), "the arbiter's figure could not be parsed")
+    said = F.when(why.isNotNull(), "unresolved").when(label == "candidate_1", "supports_a").when(label == "candidate_2", "supports_b").when((label == "neither") & value.isNotNull(), "own_answer").when(label == "neither", "supports_neither").otherwise("unresolved")
+    said = unswapped(said, swapped)
+    return F.struct(said.alias("resolution"), F.when(why.isNull(), value).alias("value"), (why.isNull() & said.isin("supports_a", "supports_b", "own_answer")).alias("resolved"), why.isNull().alias("available"), why.alias("failure_reason"))
+
+
+def unswapped(resolution: Column, swapped: Column) -> Column:
+    return F.when(swapped & (resolution == "supports_a"), "supports_b").when(swapped & (resolution == "supports_b"), "supports_a").otherwise(resolution)
+
+
+# --- explanations -------------------------------------------------------------------------------
+
+# What the status of each facet says.
+FACET_PROSE = {
+    ("agreement", "VERIFIED"): "the independent channels produced the same figure",
+    ("agreement", "PARTIAL"): "fewer than two channels produced a figure, so the answer could not be cross-checked",
+    ("agreement", "FAILED"): "the channels produced different figures",
+    ("unit", "VERIFIED"): "the channels agree on units and scale",
+    ("unit", "FAILED"): "the channels disagree on units or scale - the failure mode that produces a plausible 10x-100x error",
+    ("evidence", "VERIFIED"): "the answer is grounded in retrieved evidence",
+    ("evidence", "PARTIAL"): "evidence was retrieved, but a channel that could have used it produced no figure",
+    ("evidence", "FAILED"): "no evidence was retrieved, so the answer cannot be grounded whatever the channels said about it",
+    ("arithmetic", "VERIFIED"): "an independent deterministic calculation agrees",
+    ("arithmetic", "FAILED"): "the deterministic verifier CONTRADICTS the reasoning channels - the both-agree-and-both-wrong case",
+    ("arithmetic", "NOT_APPLICABLE"): "there is no arithmetic to check: this is a lookup, so the deterministic verifier does not apply and its silence is not a gap",
+}
+
+
+def channel_line(name: str, ran: Column, applicable: Column, available: Column, value: Column, reason: Column) -> Column:
+    """What one channel said, as a statement."""
+    said = lambda text, more: F.concat(F.lit(f"{name}: {text} ("), F.coalesce(reason, F.lit(more)), F.lit(")"))
+    return F.when(~F.coalesce(ran, F.lit(False)), f"{name}: not run in this configuration").when(~applicable, said("does not apply to this question", "n/a")).when(~available | value.isNull(), said("produced no figure", "unknown reason")).otherwise(F.concat(F.lit(f"{name}: "), value))
+
+
+def remedies(evidence_blocks: Column, verdict: Column, missing: Column, arbiter_abstained: Column) -> Column:
+    """What would change the risk: an array of codes, the first alone where there is no evidence or no report."""
+    found = F.array_compact(F.array(F.when(verdict == "UNCERTAIN", F.lit("second_channel")), F.when(missing > 0, F.lit("missing_channels")), F.when(verdict == "DISAGREE", F.lit("check_cited_pages")), F.when(F.coalesce(arbiter_abstained, F.lit(False)), F.lit("arbiter_declined"))))
+    return F.when(evidence_blocks == 0, F.array(F.lit("retrieve_evidence"))).when(verdict.isNull(), F.array(F.lit("enable_consistency"))).when(F.size(found) == 0, F.array(F.lit("nothing_flagged"))).otherwise(found)
+
+
+def explained(risks: DataFrame, answer: Column, source: Column, evidence_blocks: Column) -> DataFrame:
+    """risks as of risk(): with reasons (a sentence for each facet), remedies, caveats, and all of it as one text."""
+    status = lambda facet: F.element_at("facets", facet)
+    prose = lambda facet: reduce(lambda rest, x: F.when(status(facet) == x[0][1], F.lit(x[1])).otherwise(rest), [x for x in FACET_PROSE.items() if x[0][0] == facet], F.lit(None).cast("string"))
+    reasons = F.array(*[F.concat_ws(" - ", F.concat(F.lit(f"{f}: "), status(f)), prose(f)) for f in ("evidence", "arithmetic", "agreement", "unit")])
+    caveats = F.array_compact(F.array(F.lit("the risk score is uncalibrated: it ranks answers and is no probability"), F.when(source == "deterministic", F.lit("the answer comes from the deterministic verifier alone")), F.when(evidence_blocks == 0, F.lit("no evidence was retrieved for this question"))))
+    e = risks.withColumn("reasons", reasons).withColumn("remedies", remedies(evidence_blocks, F.col("verdict"), shortfall(F.col("applicable"), F.col("usable")), F.lit(False))).withColumn("caveats", caveats)
+    head = F.concat(F.lit("ANSWER: "), F.coalesce(answer, F.lit("no answer produced")), F.lit("\n  source: "), F.coalesce(source, F.lit("none")), F.lit("\n  risk:   "), F.coalesce(F.format_number("risk_score", 3), F.lit("not scored")), F.lit(" ("), F.col("risk_band"), F.lit(")"))
+    block = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"\n\n{title}\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("  "), x)), "\n"))).otherwise("")
+    return e.withColumn("text", F.concat(head, block("WHY", F.col("reasons")), block("WHAT WOULD CHANGE IT", F.col("remedies")), block("CAVEATS", F.col("caveats"))))

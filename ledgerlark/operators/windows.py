@@ -22,13 +22,20 @@ def runs(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFr
 
 
 def repeated_lines(pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
-    """Lines on at least max(3, half) of a document's pages, not digits alone; four pages at least."""
+    """Lines of 4 to 119 letters on at least max(3, half) of a document's pages, not digits alone; four pages at least."""
     n = pages.groupBy(document).agg(F.count_distinct(page).alias("pages"))
-    lines = pages.select(document, page, F.explode(F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)))).alias("line")).where("line <> '' and not line rlike '^[0-9]+$'")
+    lines = pages.select(document, page, F.explode(F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x)))).alias("line")).where("length(line) between 4 and 119 and not line rlike '^[0-9]+$'")
     seen = lines.groupBy(document, "line").agg(F.count_distinct(page).alias("on_pages"))
     return seen.join(n, document).where("pages >= 4 and on_pages >= greatest(3, floor(pages / 2))").select(document, "line", "on_pages", "pages")
 
 
+def hash_sample(rows: DataFrame, key: str, seed: str, fraction: float) -> DataFrame:
+    """A fixed share of the rows, one at least, the first by the hash of their keys: which rows does not depend on how they came out."""
+    h = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
+    n = rows.count()
+    return rows.orderBy(h, key).limit(max(1, round(n * fraction)) if n else 0)
+
+
 def split_30_30_40(rows: DataFrame, key: str, strata: list[str], seed: str) -> DataFrame:
     """Development, validation and test by hash order within each stratum; shares rounded half to even."""
     w = Window.partitionBy(*strata)

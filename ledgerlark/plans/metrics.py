@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators import metrics as M
+from ..operators import report as RP
 from .base import query, rounded, table
 
 #: score: a fixed function of the length; label 1: low quality; agreed: not toxic.
@@ -96,15 +98,82 @@ def efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A percentile interval of the share of errors, from hash-keyed resamples."""
-    return M.bootstrap_mean(_scored(spark, sf_dir).select("id", F.col("label").cast("double").alias("value")), 500, 20260826)
+    """A percentile interval of the share of errors, from 10,000 resamples."""
+    return M.bootstrap_mean(_scored(spark, sf_dir).select("id", F.col("label").cast("double").alias("value")))
 
 
-_J = "j AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice * (1 - l_discount) AS prediction, l_extendedprice AS gold FROM lineitem)"
+@query()
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUROC of two scores on the same documents, their difference with interval and p, from 10,000 resamples of documents."""
+    d = _scored(spark, sf_dir)
+    return M.paired_auroc(d.select("id", F.col("score").alias("score_a"), F.col("label").alias("label_a"), F.col("agreed").cast("double").alias("score_b"), F.col("label").alias("label_b")))
+
+
+@query(f"""WITH {_S}, k AS (SELECT source, count(*) AS questions, count(*) FILTER (label = 0) AS correct, count(*) FILTER (NOT agreed) AS disagreements, count(*) FILTER (agreed AND label = 1) AS both_agree_wrong FROM s GROUP BY source)
+SELECT *, round(correct::DOUBLE / questions, 6) AS accuracy, round(disagreements::DOUBLE / questions, 6) AS disagreement_rate, questions < 15 AS thin FROM k""")
+def case_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell for each source, the hardest first."""
+    c = RP.case_study(_scored(spark, sf_dir).withColumn("correct", F.col("label") == 0), "source")
+    return c.select("source", "questions", "correct", "disagreements", "both_agree_wrong", rounded("accuracy", "accuracy"), rounded("disagreement_rate", "disagreement_rate"), "thin")
+
+
+@query(f"""WITH {_S}, r AS (SELECT score > 0.3 AS triggered, score > 0.6 AS resolved, CASE WHEN id % 7 <> 0 THEN label = 0 END AS correct, agreed AS available FROM s),
+k AS (SELECT count(*) AS records, count(*) FILTER (triggered) AS triggered, count(*) FILTER (triggered AND resolved) AS resolved, count(*) FILTER (triggered AND NOT resolved) AS declined, count(*) FILTER (triggered AND resolved AND correct IS NOT NULL) AS graded,
+count(*) FILTER (triggered AND resolved AND correct) AS correct, count(*) FILTER (triggered AND resolved AND correct IS NOT NULL AND available) AS winnable, count(*) FILTER (triggered AND resolved AND correct AND available) AS won FROM r)
+SELECT *, round(triggered::DOUBLE / records, 4) AS trigger_rate, CASE WHEN graded >= 10 THEN round(correct::DOUBLE / graded, 4) END AS rate FROM k""")
+def arbitration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scored(spark, sf_dir)
+    return RP.arbitration(s.select((F.col("score") > 0.3).alias("triggered"), (F.col("score") > 0.6).alias("resolved"), F.when(F.col("id") % 7 != 0, F.col("label") == 0).alias("correct"), F.col("agreed").alias("right_available")))
+
+
+@query("""WITH k AS (SELECT event_type, avg(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS t, quantile_cont(value, 0.5) AS p50, sum(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) / 1000.0::DOUBLE END) AS cost FROM events GROUP BY event_type)
+SELECT l.event_type AS "left", r.event_type AS "right", round(l.t / r.t, 6) AS tokens_per_question_ratio, round(l.p50 / r.p50, 6) AS p50_ratio, round(l.cost / r.cost, 6) AS cost_ratio FROM k l, k r WHERE l.event_type = (SELECT min(event_type) FROM k) AND r.event_type = (SELECT max(event_type) FROM k)""")
+def cost_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two event types as arms: ratios of tokens, latency and cost."""
+    e, k = table(spark, sf_dir, "events"), F.get_json_object("props", "$.k").cast("long")
+    ends = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("z")).first()
+    c = e.select("event_type", F.col("value").alias("latency"), k.alias("tokens"), F.when(k % 2 == 0, k / 1000).alias("cost"))
+    r = M.cost_matched(M.efficiency(c, "event_type"), "event_type", ends.a, ends.z)
+    return r.select("left", "right", *[rounded(x, x) for x in ("tokens_per_question_ratio", "p50_ratio", "cost_ratio")])
+
+
+# Predictions of every line against its price: right, off, of opposite sign, without a unit kind, of another kind or currency, missing.
+_J = """j AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice::DECIMAL(18,2) AS gold, (l_orderkey + l_linenumber) % 8 AS k, l_discount > 0.05 AS abstained, l_tax > 0.04 AS ambiguous FROM lineitem),
+p AS (SELECT *, CASE k WHEN 0 THEN gold WHEN 1 THEN gold * 1.004 WHEN 2 THEN gold * 1.02 WHEN 3 THEN -gold WHEN 7 THEN NULL ELSE gold END AS prediction FROM j),
+m AS (SELECT *, CASE WHEN prediction IS NULL THEN 'missing_prediction' WHEN k = 4 THEN 'unit_kind' WHEN k = 5 THEN 'currency' WHEN k = 3 THEN 'sign' WHEN k = 2 THEN 'magnitude' ELSE 'none' END AS mismatch FROM p)"""
+
+
+def _judged(spark: SparkSession, sf_dir: str, tau: float = 0.005, assume: bool = True) -> DataFrame:
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % 8
+    gold = F.col("l_extendedprice").cast("decimal(18,2)").cast(V.MONEY)
+    amount = F.when(k == 1, (gold * F.lit("1.004").cast("decimal(4,3)")).cast(V.MONEY)).when(k == 2, (gold * F.lit("1.02").cast("decimal(4,3)")).cast(V.MONEY)).when(k == 3, (-gold).cast(V.MONEY)).when(k != 7, gold)
+    kind = F.when(k == 4, "percent").when(k == 6, "unknown").otherwise("currency")
+    j = V.judge(amount, F.lit("unit"), kind, F.when(k == 5, "USD").otherwise("INR"), gold, F.lit("currency"), F.lit("INR"), tau, assume)
+    exact = V.judge(amount, F.lit("unit"), kind, F.when(k == 5, "USD").otherwise("INR"), gold, F.lit("currency"), F.lit("INR"), 0.0, assume)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", k.alias("k"), amount.alias("prediction"), j.alias("j"), exact["correct"].alias("exact"), (F.col("l_discount") > 0.05).alias("abstained"), (F.col("l_tax") > 0.04).alias("ambiguous"))
+
+
+@query(f"WITH {_J} SELECT l_orderkey, l_linenumber, mismatch = 'none' AS correct, mismatch, k = 6 AS unit_assumed FROM m")
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's prediction judged against its price."""
+    return _judged(spark, sf_dir).select("l_orderkey", "l_linenumber", "j.correct", "j.mismatch", "j.unit_assumed")
+
+
+@query(f"""WITH {_J}, g AS (SELECT * FROM m WHERE NOT ambiguous) SELECT count(*) AS n, round(avg((k IN (0, 6))::INT), 6) AS exact_match, round(avg((mismatch = 'none')::INT), 6) AS accuracy, round(avg(abstained::INT), 6) AS abstention_rate, round(avg((prediction IS NULL AND NOT abstained)::INT), 6) AS parse_failure_rate,
+round(avg((k = 6)::INT), 6) AS unit_assumption_rate, round(count(*) FILTER (k <> 2 AND mismatch = 'none')::DOUBLE / count(*) FILTER (k < 6), 6) AS execution_accuracy, (SELECT string_agg(mismatch || '=' || c::VARCHAR, ',' ORDER BY mismatch) FROM (SELECT mismatch, count(*) AS c FROM g GROUP BY mismatch)) AS mismatches FROM g""".replace("count(*) FILTER (k <> 2 AND mismatch = 'none')", "count(*) FILTER (k < 6 AND mismatch = 'none')"))
+def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates over all lines that are not ambiguous, and how often each mismatch is."""
+    j = _judged(spark, sf_dir).select("j.*", "exact", "abstained", "prediction", "ambiguous", F.when(F.col("k") < 6, F.lit(True)).alias("program_executed"))
+    r = M.qa_report(j)
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("mismatches")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return r.select("n", *[rounded(c, c) for c in ("exact_match", "accuracy", "abstention_rate", "parse_failure_rate", "unit_assumption_rate", "execution_accuracy")], counts.alias("mismatches"))
 
 
-@query(f"""WITH {_J}, t AS (SELECT unnest([0.01, 0.03, 0.05, 0.1]::DOUBLE[]) AS tau) SELECT l_returnflag, tau, count(*) AS n, round(avg((abs(prediction - gold) / gold <= tau)::INT), 6) AS accuracy FROM j, t GROUP BY ALL""")
+@query(f"""WITH {_J}, t AS (SELECT unnest([0.001, 0.005, 0.01, 0.05]::DOUBLE[]) AS tau) SELECT l_returnflag, tau, count(*) AS n, round(avg((k IN (0, 6) OR (k = 1 AND tau >= 0.005) OR (k = 2 AND tau >= 0.05))::INT), 6) AS accuracy FROM m, t GROUP BY ALL""")
 def tau_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("prediction"), F.col("l_extendedprice").alias("gold"))
-    j = j.withColumn("tau", F.explode(F.array(*[F.lit(x) for x in (0.01, 0.03, 0.05, 0.1)])))
-    return j.groupBy("l_returnflag", "tau").agg(F.count("*").alias("n"), rounded(F.avg((F.abs(F.col("prediction") - F.col("gold")) / F.col("gold") <= F.col("tau")).cast("int")), "accuracy"))
+    """Accuracy at four tolerances."""
+    out = None
+    for tau in (0.001, 0.005, 0.01, 0.05):
+        part = _judged(spark, sf_dir, tau).groupBy("l_returnflag").agg(F.lit(tau).alias("tau"), F.count("*").alias("n"), rounded(F.avg(F.col("j.correct").cast("int")), "accuracy"))
+        out = part if out is None else out.unionByName(part)
+    return out

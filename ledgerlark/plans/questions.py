@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import questions as Q
-from .base import query, rounded, table
+from .base import SQL, query, rounded, table
+from .tables import lexicon
 
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9][a-z0-9.,''-]*')"
-_LEX = "lx AS (SELECT p_name AS alias, max(p_brand) AS canonical FROM part WHERE p_partkey <= 40 GROUP BY p_name)"
+_LEX = "lx AS (SELECT p_name AS alias, max(p_brand) AS canonical FROM part GROUP BY p_name)"
+_TERMS = f"""{_LEX}, a AS (SELECT array_to_string({_TOK.format('alias')}, ' ') AS alias, canonical FROM lx), t AS (SELECT p_partkey, ' ' || array_to_string({_TOK.format("'What was ' || p_name || ' then'")}, ' ') || ' ' AS flat FROM part),
+m AS (SELECT p_partkey, max_by(canonical, (length(alias), alias)) AS canonical FROM t JOIN a ON contains(flat, ' ' || alias || ' ') GROUP BY p_partkey)"""
 
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey <= 40").groupBy(F.col("p_name").alias("alias")).agg(F.max("p_brand").alias("canonical"))
+    """The names of all parts, an alias once."""
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("alias")).agg(F.max("p_brand").alias("canonical"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,43 +25,41 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 4
     text = F.concat(
         F.when(k == 0, "What was the total of ").when(k == 1, "What is the average ").when(k == 2, "What percentage change was there in ").otherwise("What was "), F.col("p_name"),
-        F.when(k == 3, " in FY24?").when(k == 2, " from 2022-23 to 2023-24?").otherwise(" in 2021-22?"),
+        F.when(k == 3, " for the year ended March 31, 2024?").when(k == 2, " from 2022-23 to 2023-24?").otherwise(" in 2021-22?"),
     )
     return p.select("p_partkey", text.alias("question"))
 
 
-@query("""SELECT p_partkey, ['sum', 'average', 'percentage_change', 'lookup'][p_partkey % 4 + 1] AS operation, ['2021-22', '2021-22', NULL, '2023-24'][p_partkey % 4 + 1] AS fiscal_year,
-['currency', 'currency', 'percent', 'currency'][p_partkey % 4 + 1] AS expected_unit, CASE WHEN p_partkey % 4 = 2 THEN 1 ELSE 0 END AS several_years FROM part""")
+@query(f"""WITH {_TERMS} SELECT p_partkey, ['sum', 'average', 'percentage_change', 'lookup'][p_partkey % 4 + 1] AS operation, ['2021-22', '2021-22', NULL, '2023-24'][p_partkey % 4 + 1] AS fiscal_year, canonical AS metric,
+['currency', 'currency', 'percent', 'currency'][p_partkey % 4 + 1] AS expected_unit, CASE WHEN p_partkey % 4 = 2 THEN 1 ELSE 0 END AS several_years, 1 AS sub_questions FROM part JOIN m USING (p_partkey)""")
 def question_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions made of part names, read back to operation, year and unit."""
+    """Questions made of part names, read back to operation, year, metric by the names of all parts, and unit."""
     s = Q.specs(_asked(spark, sf_dir), "p_partkey", "question", _lexicon(spark, sf_dir))
-    return s.select("p_partkey", "operation", "fiscal_year", "expected_unit", F.array_contains("ambiguities", "several_years").cast("int").alias("several_years"))
+    return s.select("p_partkey", "operation", "fiscal_year", "metric", "expected_unit", F.array_contains("ambiguities", "several_years").cast("int").alias("several_years"), F.size("sub_questions").alias("sub_questions"))
 
 
-@query(f"""WITH {_LEX}, a AS (SELECT array_to_string({_TOK.format('alias')}, ' ') AS alias, canonical FROM lx), t AS (SELECT p_partkey, ' ' || array_to_string({_TOK.format("'What was ' || p_name || ' then'")}, ' ') || ' ' AS flat FROM part)
-SELECT p_partkey, max_by(canonical, (length(alias), alias)) AS canonical FROM t JOIN a ON contains(flat, ' ' || alias || ' ') GROUP BY p_partkey""")
+@query(f"WITH {_TERMS} SELECT * FROM m")
 def lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest name of any part in each part's question."""
     t = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("What was "), "p_name", F.lit(" then")).alias("q"))
     return Q.longest_term(t, "p_partkey", "q", _lexicon(spark, sf_dir))
 
 
-def _all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexicon of all parts, an alias once; the queries with SQL have that of forty parts, as their SQL."""
-    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("alias")).agg(F.max("p_brand").alias("canonical"))
+for _f in (question_specs, lexicon_terms):  # the names under which these were registered too
+    query(SQL[_f.__name__], f"{_f.__name__}_whole")(_f)
 
 
-@query()
-def question_specs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions made of part names, read back to operation, year, metric by the lexicon of all parts, and unit."""
-    s = Q.specs(_asked(spark, sf_dir), "p_partkey", "question", _all_names(spark, sf_dir))
-    return s.select("p_partkey", "operation", "fiscal_year", "metric", "expected_unit", F.array_contains("ambiguities", "several_years").cast("int").alias("several_years"))
+_MADE = ["What was the return on equity for 2023-24?", "What was the current ratio at March 31, 2024?", "Total assets?", "What was the?", "What share of the total was goodwill in 2022-23 and 2023-24?", "By how much did revenue grow between March 31, 2023 and March 31, 2024?"]
 
 
-@query()
-def lexicon_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest alias of any part in each part's question."""
-    t = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("What was "), "p_name", F.lit(" then")).alias("q"))
-    return Q.longest_term(t, "p_partkey", "q", _all_names(spark, sf_dir))
+@query("""WITH k AS (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders) SELECT o_orderkey, ['ratio', 'ratio', 'lookup', 'lookup', 'percentage_of', 'percentage_change'][k + 1] AS operation, ['2023-24', '2023-24', NULL, NULL, NULL, NULL][k + 1] AS fiscal_year,
+['percent', 'ratio', 'currency', 'unknown', 'percent', 'percent'][k + 1] AS expected_unit, ['return on equity', 'current ratio', NULL, NULL, 'goodwill as a share of total assets', NULL][k + 1] AS derived_metric,
+['profit for the year|total equity', 'total current assets|total current liabilities', 'Total assets consolidated balance sheet', '', 'goodwill consolidated balance sheet|total assets consolidated balance sheet', 'revenue grow between'][k + 1] AS searches FROM k""")
+def sub_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions taken apart: components of derived metrics with the statement that reports them, exact names with theirs, content words alone, nothing."""
+    q = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(m) for m in _MADE]), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("q"))
+    s = Q.specs(q, "o_orderkey", "q", lexicon(spark))
+    return s.select("o_orderkey", "operation", "fiscal_year", "expected_unit", "derived_metric", F.array_join(F.transform("sub_questions", lambda x: x["search_text"]), "|").alias("searches"))
 
 
 @query("""WITH p AS (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice > 300000 THEN 'large' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_orderpriority LIKE '1%' THEN 'urgent' END], lambda x: x IS NOT NULL) AS problems FROM orders)
@@ -101,18 +103,9 @@ def question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.candidates(f).select("qid", F.col("answer").cast("double").alias("answer"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN length(p) <= 3 THEN p ELSE regexp_replace(reverse(regexp_replace(reverse(substr(p, 1, length(p) - 3)), '(\\d{2})', '\\1,', 'g')), '^,', '') || ',' || right(p, 3) END AS indian
-FROM (SELECT o_orderkey, (round(o_totalprice * 100))::BIGINT::VARCHAR AS p FROM orders)""")
-def figure_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order prices in hundredths as an Indian report prints them."""
-    v = Q.figure_variants(F.round(F.col("o_totalprice") * 100).cast("decimal(20,0)"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v"))
-    return o.select("o_orderkey", F.coalesce(F.get(F.filter("v", lambda x: x.rlike(r"^\d{1,2}(,\d{2})*,\d{3}$")), F.lit(0)), F.get("v", F.lit(0))).alias("indian"))
-
-
 @query()
 def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's lines as samples of one answer: the share of the largest cluster of near values."""
+    """Each order's lines as samples of one answer: the share of the largest cluster of near values, and the risk that follows."""
     s = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), "l_quantity")
     return Q.modal_fraction(s, "l_orderkey", "l_quantity", 0.1)
 
@@ -120,4 +113,4 @@ def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id, CASE WHEN bool_or(role = 'assistant' AND length(text) > 0) THEN 'answered' ELSE 'abstained' END AS outcome, count(*) FILTER (role = 'user') AS asked, sum(length(text) // 4)::BIGINT AS tokens FROM conversations GROUP BY conv_id""")
 def channel_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when((F.col("role") == "assistant") & (F.length("text") > 0), F.col("text"))).alias("value"), F.count_if(F.col("role") == "user").alias("asked"), F.sum(F.floor(F.length("text") / 4)).cast("long").alias("tokens"))
-    return c.select("conv_id", Q.outcome(F.col("value").isNotNull(), F.col("value"), F.lit("no answer")).alias("outcome"), "asked", "tokens")
+    return c.select("conv_id", Q.outcome(F.col("value").isNotNull(), F.lit("channel declined to answer"), F.lit(None).cast("string")).alias("outcome"), "asked", "tokens")

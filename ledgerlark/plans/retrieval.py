@@ -1,8 +1,6 @@
-"""Retrieval queries.  Convention of ours: vec_id of a vector is the doc_id of its document.
+"""Retrieval queries: every benchmark item with its whole text, and the vector of every item's id, against all documents and vectors.
 
-The queries with SQL ask what their SQL asks: five queries, opening words, the keyword leg over English
-documents.  Their counterparts named *_whole have no SQL: every benchmark item with its whole text, and
-every vector with an item's id, against all documents and vectors; the tests hold them against brute force.
+Convention of ours: vec_id of a vector is the doc_id of its document.  Scores rank by nine places, in the SQL too, so that copies tie.
 """
 
 from __future__ import annotations
@@ -10,178 +8,158 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import index as I
 from ..operators import retrieval as R
-from .base import query, rounded, table
+from .base import SQL, query, rounded, table
 
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9.,''-]*')"
-_BM25 = f"""
-q AS (SELECT item_id AS query_id, term, count(*) AS n FROM (SELECT item_id, unnest(list_slice({_TOKENS}, 1, 6)) AS term FROM benchmark WHERE item_id < 5) GROUP BY ALL),
-d AS (SELECT doc_id AS doc, {_TOKENS} AS t FROM documents WHERE lang = 'en'),
+
+
+def _bm25(where: str = "") -> str:
+    return f"""
+q AS (SELECT item_id AS query_id, term, count(*) AS n FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+d AS (SELECT doc_id AS doc, {_TOKENS} AS t FROM documents {where}),
 tf AS (SELECT doc, len(t) AS len, term, count(*) AS tf FROM (SELECT doc, t, unnest(t) AS term FROM d) GROUP BY ALL),
-s AS (SELECT count(*) AS docs, avg(len(t)) AS avgdl FROM d),
-df AS (SELECT term, count(*) AS df, ln((any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS raw, any_value(avgdl) AS avgdl FROM tf, s GROUP BY term),
+st AS (SELECT count(*) AS docs, avg(len(t)) AS avgdl FROM d),
+df AS (SELECT term, count(*) AS df, ln((any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS raw, any_value(avgdl) AS avgdl FROM tf, st GROUP BY term),
 idf AS (SELECT term, avgdl, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
-bm AS (SELECT query_id, doc, sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score FROM tf JOIN q USING (term) JOIN idf USING (term) GROUP BY ALL HAVING sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) > 0)
-"""
-_DENSE = """
-dn AS (SELECT q.vec_id AS query_id, e.vec_id AS doc, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.vec_id <> q.vec_id)
-"""
+bm AS (SELECT query_id, doc, round(sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 9) AS score FROM tf JOIN q USING (term) JOIN idf USING (term) GROUP BY ALL HAVING sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) > 0)"""
+
+
+def _dense(where: str = "") -> str:
+    return f"""
+dn AS (SELECT q.vec_id AS query_id, e.vec_id AS doc, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND e.vec_id <> q.vec_id {where})"""
+
+
+def _ranked(source: str, k: int, name: str = "rank") -> str:
+    return f"SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS {name} FROM {source} QUALIFY {name} <= {k}"
+
+
+def _keyword(spark: SparkSession, sf_dir: str, k: int, where: str = "true") -> DataFrame:
+    terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", None)
+    return R.bm25_top(table(spark, sf_dir, "documents").where(where), "doc_id", "text", terms, k)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "benchmark"), F.col("vec_id") == F.col("item_id"), "left_semi")
+    return asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = R.query_terms(table(spark, sf_dir, "benchmark").where("item_id < 5"), "item_id", "text", 6)
-    return R.bm25(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text", terms)
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return R.dense_top(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _asked(spark, sf_dir), k)
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    return R.dense(v, "vec_id", "embedding", v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return R.holders(table(spark, sf_dir, "documents"), "doc_id", "text", b).withColumn("group_id", F.col("doc"))
 
 
-@query(f"WITH {_BM25} SELECT query_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM bm QUALIFY rank <= 10")
+@query(f"WITH {_bm25()} SELECT query_id, doc, round(score, 6) AS score, rank FROM ({_ranked('bm', 10)})")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best English documents for the opening words of five benchmark passages."""
-    return R.top(_keyword(spark, sf_dir), 10).select("query_id", "doc", rounded("score", "score"), "rank")
+    """The ten best documents for each benchmark passage."""
+    return _keyword(spark, sf_dir, 10).select("query_id", "doc", rounded("score", "score"), "rank")
 
 
-@query(f"WITH {_DENSE} SELECT query_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM dn QUALIFY rank <= 10")
+@query(f"WITH {_dense()} SELECT query_id, doc, round(score, 6) AS score, rank FROM ({_ranked('dn', 10)})")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of five query vectors."""
-    return R.top(_dense(spark, sf_dir), 10).select("query_id", "doc", rounded("score", "score"), "rank")
+    """The ten nearest vectors of each benchmark item's vector."""
+    return _nearest(spark, sf_dir, 10).select("query_id", "doc", rounded("score", "score"), "rank")
 
 
-_LEGS = f"""{_BM25}, {_DENSE},
-s AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS semantic_rank FROM dn QUALIFY semantic_rank <= 50),
-k AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS keyword_rank FROM bm QUALIFY keyword_rank <= 50),
-b AS (SELECT query_id, doc, semantic_rank, keyword_rank FROM s FULL JOIN k USING (query_id, doc))
-""".replace("s AS (SELECT count(*) AS docs", "st AS (SELECT count(*) AS docs").replace("FROM tf, s GROUP", "FROM tf, st GROUP")
+def _legs(k: int, where: str = "", vectors: str = "") -> str:
+    return f"""{_bm25(where)}, {_dense(vectors)}, s AS ({_ranked('dn', k, 'semantic_rank')}), k AS ({_ranked('bm', k, 'keyword_rank')}),
+b AS (SELECT query_id, doc, semantic_rank, keyword_rank FROM s FULL JOIN k USING (query_id, doc))"""
 
 
-def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return R.top(_dense(spark, sf_dir), 50), R.top(_keyword(spark, sf_dir), 50)
+_ORDER = "score DESC, coalesce(semantic_rank, 1000000000 + keyword_rank), doc"
+_FUSED = f"""f AS (SELECT *, coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) AS score FROM b),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank FROM f QUALIFY rank <= 10)"""
+_FOUND = "CASE WHEN keyword_rank IS NULL THEN 'semantic' WHEN semantic_rank IS NULL THEN 'keyword' ELSE 'both' END AS found_by"
 
 
-@query(f"""WITH {_LEGS}, f AS (SELECT *, coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) AS score FROM b)
-SELECT query_id, doc, semantic_rank, keyword_rank, round(score, 8) AS score, CASE WHEN keyword_rank IS NULL THEN 'semantic' WHEN semantic_rank IS NULL THEN 'keyword' ELSE 'both' END AS found_by,
-row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(semantic_rank, 1000000000 + keyword_rank), doc) AS rank FROM f QUALIFY rank <= 10""")
+@query(f"WITH {_legs(50)}, {_FUSED} SELECT query_id, doc, semantic_rank, keyword_rank, round(score, 8) AS score, {_FOUND}, rank FROM h")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocal rank fusion of both legs."""
-    return R.fuse(*_legs(spark, sf_dir), 10).select("query_id", "doc", "semantic_rank", "keyword_rank", rounded("score", "score", 8), "found_by", "rank")
+    """Reciprocal rank fusion of both legs, fifty candidates each."""
+    f = R.fuse(_nearest(spark, sf_dir, 50), _keyword(spark, sf_dir, 50), 10)
+    return f.select("query_id", "doc", "semantic_rank", "keyword_rank", rounded("score", "score", 8), "found_by", "rank")
+
+
+@query(f"""WITH {_legs(50, "WHERE lang = 'en' AND source IN (SELECT min(source) FROM documents UNION SELECT max(source) FROM documents)", "AND e.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source IN (SELECT min(source) FROM documents UNION SELECT max(source) FROM documents))")}, {_FUSED}
+SELECT query_id, doc, semantic_rank, keyword_rank, round(score, 8) AS score, {_FOUND}, rank FROM h""")
+def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both legs over the English documents of two sources alone: statistics and candidates are those of the filter."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    ends = d.agg(F.min("source").alias("a"), F.max("source").alias("z")).first()
+    terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", None)
+    f = R.hybrid(d, "doc_id", "text", terms, e, "vec_id", "embedding", _asked(spark, sf_dir), 10, I.matches(lang="en", source=[ends.a, ends.z], page=None))
+    return f.select("query_id", "doc", "semantic_rank", "keyword_rank", rounded("score", "score", 8), "found_by", "rank")
+
+
+@query(f"""WITH {_legs(50)}, {_FUSED} SELECT 'semantic' AS arm, query_id, doc, semantic_rank AS rank FROM s WHERE semantic_rank <= 10 UNION ALL SELECT 'keyword', query_id, doc, keyword_rank FROM k WHERE keyword_rank <= 10 UNION ALL SELECT 'hybrid', query_id, doc, rank FROM h""")
+def retrieval_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leg alone and both fused, from one pass."""
+    return R.arms(_nearest(spark, sf_dir, 50), _keyword(spark, sf_dir, 50), 10)
+
+
+@query(f"""WITH {_legs(50)}, {_FUSED} SELECT query_id, doc, rank AS fused_rank, round(n_chars / 10000.0::DOUBLE, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n_chars, 0) DESC, rank) AS rank FROM h LEFT JOIN documents ON doc_id = doc""")
+def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused ten in the order of another score, here the length of the document."""
+    f = R.fuse(_nearest(spark, sf_dir, 50), _keyword(spark, sf_dir, 50), 10)
+    scores = f.select("query_id", "doc").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), (F.col("n_chars") / 10000).alias("score")), "doc")
+    return R.reranked(f, scores, 10).select("query_id", "doc", "fused_rank", rounded("rerank_score", "rerank_score"), "rank")
+
 
+_GOLD = "g AS (SELECT b.item_id AS query_id, d.doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+_WEIGHTS = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
 
-@query(f"""WITH {_LEGS}, w AS (SELECT unnest([0.0, 0.5, 1.0, 2.0]::DOUBLE[]) AS weight),
+
+@query(f"""WITH {_legs(50)}, {_GOLD}, w AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0]::DOUBLE[]) AS weight),
 f AS (SELECT weight, b.*, coalesce(weight / (60 + semantic_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) AS score FROM b, w),
-r AS (SELECT *, row_number() OVER (PARTITION BY weight, query_id ORDER BY score DESC, coalesce(semantic_rank, 1000000000 + keyword_rank), doc) AS rank FROM f QUALIFY rank <= 10)
-SELECT weight, count(*) AS rows_returned, count(*) FILTER (keyword_rank IS NOT NULL) AS from_keyword, count(*) FILTER (semantic_rank IS NOT NULL) AS from_semantic FROM r GROUP BY weight""")
+r AS (SELECT *, row_number() OVER (PARTITION BY weight, query_id ORDER BY {_ORDER}) AS rank FROM f WHERE score > 0 QUALIFY rank <= 10),
+h AS (SELECT w.weight, g.query_id, g.doc, min(r.rank) AS first FROM g CROSS JOIN w LEFT JOIN r ON r.weight = w.weight AND r.query_id = g.query_id AND r.doc = g.doc GROUP BY ALL),
+q1 AS (SELECT weight, query_id, avg(coalesce(first <= 5, false)::INT) AS r5, avg((first IS NOT NULL)::INT) AS r10, coalesce(1.0::DOUBLE / min(first), 0) AS rr FROM h GROUP BY ALL)
+SELECT weight, count(*) AS questions, round(avg(r5), 6) AS recall_at_5, round(avg(r10), 6) AS recall_at_10, round(avg(rr), 6) AS mrr FROM q1 GROUP BY weight""")
 def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the semantic leg's weight changes where the top ten come from."""
-    s, k = _legs(spark, sf_dir)
-    out = None
-    for w in (0.0, 0.5, 1.0, 2.0):
-        part = R.fuse(s, k, 10, semantic_weight=w).agg(F.lit(w).alias("weight"), F.count("*").alias("rows_returned"), F.count("keyword_rank").alias("from_keyword"), F.count("semantic_rank").alias("from_semantic"))
-        out = part if out is None else out.union(part)
-    return out
+    """Recall at 5 and 10 and mean reciprocal rank at seven weights of the semantic leg."""
+    w = R.swept(_nearest(spark, sf_dir, 50), _keyword(spark, sf_dir, 50), list(_WEIGHTS), 10)
+    g = _gold(spark, sf_dir).withColumn("weight", F.explode(F.array(*[F.lit(x) for x in _WEIGHTS])))
+    first = g.join(w, ["weight", "query_id", "doc"], "left").groupBy("weight", "query_id", "group_id").agg(F.min("rank").alias("first"))
+    found = lambda k: F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("double"))
+    q = first.groupBy("weight", "query_id").agg(found(5).alias("r5"), found(10).alias("r10"), F.coalesce(1 / F.min("first"), F.lit(0.0)).alias("rr"))
+    return q.groupBy("weight").agg(F.count("*").alias("questions"), rounded(F.avg("r5"), "recall_at_5"), rounded(F.avg("r10"), "recall_at_10"), rounded(F.avg("rr"), "mrr"))
 
 
-_GOLD = "g AS (SELECT b.item_id AS query_id, d.doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.item_id < 5)"
+_TEN = f"r AS ({_ranked('bm', 10)})"
 
 
-@query(f"""WITH {_BM25}, {_GOLD}, r AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM bm QUALIFY rank <= 10),
+@query(f"""WITH {_bm25()}, {_GOLD}, {_TEN},
 h AS (SELECT g.query_id, g.doc AS group_id, min(r.rank) AS first_rank FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.doc = g.doc GROUP BY ALL), k AS (SELECT unnest([1, 3, 5, 10]) AS k),
 a AS (SELECT query_id, k, avg((coalesce(first_rank <= k, false))::DOUBLE) AS recall, coalesce(1.0::DOUBLE / min(first_rank) FILTER (first_rank <= k), 0) AS rr, bool_and(coalesce(first_rank <= k, false)) AS all_found FROM h, k GROUP BY ALL),
 p AS (SELECT r.query_id, k, sum((g.doc IS NOT NULL)::INT)::DOUBLE / count(*) AS precision FROM r LEFT JOIN g ON g.query_id = r.query_id AND g.doc = r.doc, k WHERE rank <= k GROUP BY ALL)
 SELECT a.query_id, a.k, round(recall, 6) AS recall, round(rr, 6) AS rr, all_found, round(coalesce(precision, 0), 6) AS precision FROM a LEFT JOIN p ON p.query_id = a.query_id AND p.k = a.k""")
 def retrieval_metrics_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, precision, reciprocal rank at k; gold: the documents that hold the benchmark passage."""
-    b = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    d = table(spark, sf_dir, "documents")
-    gold = d.join(F.broadcast(b), F.col("text").contains(F.col("passage"))).select("query_id", F.col("doc_id").alias("doc"), F.col("doc_id").alias("group_id"))
-    s = R.retrieval_scores(R.top(_keyword(spark, sf_dir), 10), gold, [1, 3, 5, 10])
+    s = R.retrieval_scores(_keyword(spark, sf_dir, 10), _gold(spark, sf_dir), [1, 3, 5, 10])
     return s.select("query_id", "k", rounded("recall", "recall"), rounded("rr", "rr"), "all_found", rounded("precision", "precision"))
 
 
-@query(f"""WITH {_BM25}, r AS (SELECT query_id // 3 AS question, query_id AS sub, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM bm QUALIFY rank <= 10),
+@query(f"""WITH {_bm25()}, r AS (SELECT query_id // 3 AS question, query_id AS sub, doc, rank FROM ({_ranked('bm', 10)})),
 o AS (SELECT *, row_number() OVER (PARTITION BY question, doc ORDER BY rank, sub) AS i FROM r QUALIFY i = 1)
 SELECT question, sub, doc, row_number() OVER (PARTITION BY question ORDER BY rank, sub) AS position FROM o QUALIFY position <= 10""")
 def planned_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sub-questions' results merged in turn, each document once."""
-    r = R.top(_keyword(spark, sf_dir), 10).select(F.floor(F.col("query_id") / 3).alias("question"), F.col("query_id").alias("sub"), "doc", "rank")
+    """Results of three items as sub-questions of one question, merged in turn, each document once."""
+    r = _keyword(spark, sf_dir, 10).select(F.floor(F.col("query_id") / 3).alias("question"), F.col("query_id").alias("sub"), "doc", "rank")
     return R.round_robin(r, 10).select("question", "sub", "doc", "position")
 
 
-@query(f"""WITH {_BM25}, {_GOLD}, r AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM bm),
+@query(f"""WITH {_bm25()}, {_GOLD}, r AS ({_ranked('bm', 300)}),
 h AS (SELECT g.query_id, g.doc, min(r.rank) AS first_rank FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.doc = g.doc GROUP BY ALL),
 n AS (SELECT CASE WHEN first_rank <= 10 THEN 10 WHEN first_rank <= 20 THEN 20 WHEN first_rank <= 70 THEN 70 WHEN first_rank <= 300 THEN 300 ELSE 1000000 END AS upto, count(*) AS n FROM h GROUP BY 1)
 SELECT upto, n, round(sum(n) OVER (ORDER BY upto)::DOUBLE / sum(n) OVER (), 6) AS share FROM n""")
 def rank_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In which band of ranks the gold documents first stand."""
-    b = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    gold = table(spark, sf_dir, "documents").join(F.broadcast(b), F.col("text").contains(F.col("passage"))).select("query_id", F.col("doc_id").alias("doc"), F.col("doc_id").alias("group_id"))
-    ranked = R.top(_keyword(spark, sf_dir), 10**9)
-    return R.rank_bands(R.hits(ranked, gold)).select("upto", "n", rounded("share", "share"))
-
-
-def _all_keyword(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", None)
-    return R.bm25_top(table(spark, sf_dir, "documents"), "doc_id", "text", terms, k)
-
-
-def _all_dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    asked = v.join(table(spark, sf_dir, "benchmark"), F.col("vec_id") == F.col("item_id"), "left_semi")
-    return R.dense_top(v, "vec_id", "embedding", asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k)
-
-
-def _all_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return table(spark, sf_dir, "documents").join(F.broadcast(b), F.col("text").contains(F.col("passage"))).select("query_id", F.col("doc_id").alias("doc"), F.col("doc_id").alias("group_id"))
-
-
-@query()
-def bm25_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents for each benchmark passage."""
-    return _all_keyword(spark, sf_dir, 10).select("query_id", "doc", rounded("score", "score"), "rank")
-
-
-@query()
-def dense_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of each benchmark item's vector."""
-    return _all_dense(spark, sf_dir, 10).select("query_id", "doc", rounded("score", "score"), "rank")
-
-
-@query()
-def rrf_fusion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocal rank fusion of both legs for each benchmark item."""
-    f = R.fuse(_all_dense(spark, sf_dir, 50), _all_keyword(spark, sf_dir, 50), 10)
-    return f.select("query_id", "doc", "semantic_rank", "keyword_rank", rounded("score", "score", 8), "found_by", "rank")
-
-
-@query()
-def weight_sweep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the semantic leg's weight changes where the top ten come from, over all benchmark items."""
-    s, k = _all_dense(spark, sf_dir, 50), _all_keyword(spark, sf_dir, 50)
-    out = None
-    for w in (0.0, 0.5, 1.0, 2.0):
-        part = R.fuse(s, k, 10, semantic_weight=w).agg(F.lit(w).alias("weight"), F.count("*").alias("rows_returned"), F.count("keyword_rank").alias("from_keyword"), F.count("semantic_rank").alias("from_semantic"))
-        out = part if out is None else out.union(part)
-    return out
-
-
-@query()
-def retrieval_metrics_at_k_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall, precision, reciprocal rank at k of each benchmark item; gold: the documents that hold its passage."""
-    s = R.retrieval_scores(_all_keyword(spark, sf_dir, 10), _all_gold(spark, sf_dir), [1, 3, 5, 10])
-    return s.select("query_id", "k", rounded("recall", "recall"), rounded("rr", "rr"), "all_found", rounded("precision", "precision"))
-
-
-@query()
-def planned_round_robin_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All items' results as sub-questions of every three, merged in turn, each document once."""
-    r = _all_keyword(spark, sf_dir, 10).select(F.floor(F.col("query_id") / 3).alias("question"), F.col("query_id").alias("sub"), "doc", "rank")
-    return R.round_robin(r, 10).select("question", "sub", "doc", "position")
+    """In which band of ranks the gold documents first stand; ranks over 300 are one band."""
+    return R.rank_bands(R.hits(_keyword(spark, sf_dir, 300), _gold(spark, sf_dir))).select("upto", "n", rounded("share", "share"))
 
 
-@query()
-def rank_bands_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In which band of ranks the gold documents of all items first stand; ranks over 300 are one band."""
-    return R.rank_bands(R.hits(_all_keyword(spark, sf_dir, 300), _all_gold(spark, sf_dir))).select("upto", "n", rounded("share", "share"))
+for _f in (bm25_topk, dense_topk, rrf_fusion, weight_sweep, retrieval_metrics_at_k, planned_round_robin, rank_bands):  # the names under which these were first registered
+    query(SQL[_f.__name__], f"{_f.__name__}_whole")(_f)

@@ -18,7 +18,7 @@ def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, F.concat(F.lit("Rs. "), price, F.lit(" crore"))).when(k == 1, F.concat(F.lit("("), price, F.lit(") lakh"))).when(k == 2, F.concat(F.lit("$"), price, F.lit(" mn")))
         .when(k == 3, F.concat((F.col("o_orderkey") % 100).cast("string"), F.lit(".5 %"))).when(k == 4, F.concat(F.lit("−"), price, F.lit("*"))).otherwise(F.concat(F.lit("€ "), price, F.lit(" thousand")))
     )
-    return o.select("o_orderkey", text.alias("text")).withColumn("v", V.parse(F.col("text")))
+    return V.parsed(o.select("o_orderkey", text.alias("text")), "v", F.col("text"))
 
 
 _FIG = """f AS (SELECT o_orderkey, o_orderkey % 6 AS k, CASE WHEN o_orderkey % 6 = 3 THEN (o_orderkey % 100 + 0.5)::DECIMAL(38,6) ELSE round(o_totalprice, 2)::DECIMAL(18,2)::DECIMAL(38,6) END AS a FROM orders),
@@ -37,16 +37,20 @@ def canonical_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _figures(spark, sf_dir).groupBy("v.unit_kind", "v.scale").agg(F.count("*").alias("n"), F.sum(c).cast("double").alias("total"))
 
 
-_OPS = ("sum", "difference", "product", "ratio", "percentage_change", "average", "cagr")
+_OPS = ("sum", "difference", "product", "ratio", "percentage_change", "average", "cagr", "margin")
 
 
-@query("""WITH p AS (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS a, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS b FROM lineitem GROUP BY l_orderkey), o AS (SELECT unnest(['sum', 'difference', 'product', 'ratio', 'percentage_change', 'average', 'cagr']) AS operation)
-SELECT l_orderkey, operation, true AS ok, CASE operation WHEN 'sum' THEN a + b WHEN 'difference' THEN a - b WHEN 'product' THEN a * b WHEN 'ratio' THEN a / b WHEN 'percentage_change' THEN (a - b) / b WHEN 'average' THEN (a + b) / 2 ELSE round(pow(a / b, 1.0::DOUBLE / 3) - 1, 4) END AS value FROM p, o WHERE b > 0""")
+@query("""WITH p AS (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS a, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS b, count(*) AS n FROM lineitem GROUP BY l_orderkey), o AS (SELECT unnest(['sum', 'difference', 'product', 'ratio', 'percentage_change', 'average', 'cagr', 'margin']) AS operation),
+r AS (SELECT l_orderkey, operation, l_orderkey % 5 = 0 AND operation IN ('sum', 'difference', 'average') AS mixed, CASE operation WHEN 'sum' THEN a + b WHEN 'difference' THEN a - b WHEN 'product' THEN a * b WHEN 'ratio' THEN a / b WHEN 'percentage_change' THEN (b - a) / a WHEN 'average' THEN (a + b) / 2 WHEN 'margin' THEN a / b ELSE round(pow(b / a, 1.0::DOUBLE / 3) - 1, 4) END AS value FROM p, o)
+SELECT l_orderkey, operation, NOT mixed AS ok, CASE WHEN mixed THEN NULL WHEN operation IN ('percentage_change', 'cagr', 'margin') THEN value * 100 WHEN operation IN ('sum', 'difference', 'average') THEN round(value, 4) ELSE value END AS value, CASE WHEN mixed THEN 'unknown' WHEN operation = 'ratio' THEN 'ratio' WHEN operation = 'product' THEN 'unknown' WHEN operation IN ('sum', 'difference', 'average') THEN 'currency' ELSE 'percent' END AS unit_kind, CASE WHEN mixed THEN 'different currencies' END AS error FROM r""")
 def calc_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven operations on each order's price and quantity."""
-    p = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[F.sum(F.col(c).cast("decimal(18,2)")).cast(V.MONEY).alias(n) for c, n in (("l_extendedprice", "a"), ("l_quantity", "b"))]).where("b > 0")
-    p = p.withColumn("operation", F.explode(F.array(*[F.lit(x) for x in _OPS]))).withColumn("r", V.calculate(F.col("operation"), F.col("a"), F.col("b"), F.lit(3)))
-    return p.select("l_orderkey", "operation", "r.ok", F.when(F.col("operation") == "cagr", F.round("r.value", 4)).otherwise(F.col("r.value")).alias("value"))
+    """Eight operations on each order's price and quantity; every fifth order's operands have different currencies."""
+    p = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[F.sum(F.col(c).cast("decimal(18,2)")).cast(V.MONEY).alias(n) for c, n in (("l_extendedprice", "a"), ("l_quantity", "b"))])
+    operand = lambda c, currency: F.struct(F.col(c).alias("value"), F.lit("currency").alias("unit_kind"), currency.alias("currency"))
+    o = F.array(operand("a", F.lit("INR")), operand("b", F.when(F.col("l_orderkey") % 5 == 0, F.lit("USD")).otherwise(F.lit(None).cast("string"))))
+    p = p.withColumn("operation", F.explode(F.array(*[F.lit(x) for x in _OPS]))).withColumn("r", V.calculate(F.col("operation"), o, F.lit(3)))
+    v = V.presented(F.col("r"))
+    return p.select("l_orderkey", "operation", "r.ok", F.when(F.col("operation") == "cagr", F.round("r.value", 4) * 100).when(F.col("operation").isin("sum", "difference", "average"), F.round(v, 4)).otherwise(v).alias("value"), "r.unit_kind", "r.error")
 
 
 def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import dataset as DS
 from ..operators import documents as D
 from ..operators import windows as W
 from .base import query, rounded, table
@@ -39,12 +40,14 @@ def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.sliding_rate(e, ["user_id"], "ts", 3600, F.get_json_object("props", "$.k").cast("long")).select("event_id", "requests", "weight")
 
 
-@query("""WITH p AS (SELECT source, doc_id, unnest(list_distinct(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)))) AS line FROM documents),
-n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source), s AS (SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM p WHERE line <> '' AND NOT regexp_matches(line, '^[0-9]+$') GROUP BY ALL)
+@query("""WITH p AS (SELECT doc_id // 5 AS source, doc_id, unnest(list_distinct(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(rtrim(x, chr(13)))))) AS line FROM (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN 'Report of group ' || (doc_id // 5)::VARCHAR || chr(10) ELSE '' END || coalesce(text, '') AS text FROM documents)),
+n AS (SELECT doc_id // 5 AS source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1), s AS (SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM p WHERE length(line) BETWEEN 4 AND 119 AND NOT regexp_matches(line, '^[0-9]+$') GROUP BY ALL)
 SELECT source, md5(line) AS line, on_pages, pages FROM s JOIN n USING (source) WHERE pages >= 4 AND on_pages >= greatest(3, pages // 2)""")
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines on half of a source's documents."""
-    return W.repeated_lines(table(spark, sf_dir, "documents"), "source", "doc_id", "text").select("source", F.md5("line").alias("line"), "on_pages", "pages")
+    """Lines on half of the documents of each five that follow each other; four of them open with a header."""
+    five = F.floor(F.col("doc_id") / 5)
+    d = table(spark, sf_dir, "documents").withColumn("source", five).withColumn("text", F.concat(F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("Report of group "), five.cast("string"), F.lit("\n"))).otherwise(""), F.coalesce("text", F.lit(""))))
+    return W.repeated_lines(d, "source", "doc_id", "text").select("source", F.md5("line").alias("line"), "on_pages", "pages")
 
 
 @query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('20260826' || doc_id::VARCHAR), doc_id) AS i, round_even(count(*) OVER (PARTITION BY lang) * 0.3::DOUBLE, 0) AS cut FROM documents)
@@ -54,15 +57,11 @@ def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY source), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents)
-SELECT doc_id, source, turn, row_number() OVER (ORDER BY turn, n, source) AS position FROM r JOIN g USING (source) QUALIFY position <= 200""")
+SELECT doc_id, source, row_number() OVER (ORDER BY turn, n, source) AS position FROM r JOIN g USING (source)""")
 def balanced_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 documents when sources take turns, the smallest source first."""
-    from pyspark.sql import Window
-
-    b = W.balanced(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
-    n = b.groupBy("source").agg(F.count("*").alias("n"))
-    top = b.join(n, "source").orderBy("turn", "n", "source").limit(200)
-    return top.withColumn("position", F.row_number().over(Window.orderBy("turn", "n", "source"))).select("doc_id", "source", "turn", "position")
+    """All documents in the order in which sources take turns, the smallest source first."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.col("source").alias("company"))
+    return DS.interleaved(d).select(F.col("qid").alias("doc_id"), F.col("company").alias("source"), "position")
 
 
 @query(f"""SELECT lang, count(*) AS documents, count(*) FILTER (length(trim(coalesce(text, ''))) < 60) AS needs_ocr, count(*) FILTER ({_LETTERS} >= 0.45 * length(text) AND length(text) > 0 AND len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: regexp_matches(w, '\\p{{L}}'))) >= 8) AS prose,
@@ -89,17 +88,26 @@ def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 1200, 200).select("doc_id", "part", "total_parts", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("chunk_sha256"))
 
 
-@query("""SELECT conv_id, turn, md5(CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || ' [cut: ' || (length(text) - 120)::VARCHAR || ' more characters]' ELSE text END) AS shown FROM conversations""")
+_BLOCK = """'[E' || turn::VARCHAR || '] p.' || turn::VARCHAR || ' | ' || role || ' | figures in INR crore' || chr(10) || CASE WHEN length(trim(coalesce(text, ''))) > 120 THEN substr(trim(coalesce(text, '')), 1, 120) || chr(10) || '... [evidence truncated]' ELSE trim(coalesce(text, '')) END"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("turn").cast("string")
+    block = X.evidence_block(F.concat(F.lit("E"), n), F.concat(F.lit("p."), n), F.col("role"), F.lit("INR"), F.lit("crore"), F.col("text"), 120)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", block.alias("block"))
+
+
+@query(f"SELECT conv_id, turn, md5({_BLOCK}) AS shown FROM conversations")
 def evidence_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(X.shown(F.col("text"), 120)).alias("shown"))
+    """Each turn as a block of evidence, cut at 120 letters."""
+    return _blocks(spark, sf_dir).select("conv_id", "turn", F.md5("block").alias("shown"))
 
 
-@query("""SELECT conv_id, string_agg(role || ':' || md5(text), '|' ORDER BY turn) AS prompt, count(*) AS turns FROM conversations GROUP BY conv_id""")
+@query(f"""SELECT conv_id, md5(coalesce(string_agg(CASE WHEN role = 'user' THEN {_BLOCK} END, chr(10) || chr(10) ORDER BY turn), 'NO EVIDENCE WAS RETRIEVED.' || chr(10) || 'You must not answer from prior knowledge. Report that the evidence needed to answer is unavailable.')) AS prompt, count(*) AS turns FROM conversations GROUP BY conv_id""")
 def evidence_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns of a conversation in order, in one text."""
-    part = F.concat(F.col("role"), F.lit(":"), F.md5("text"))
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("p"), F.count("*").alias("turns"))
-    return g.select("conv_id", F.array_join("p.part", "|").alias("prompt"), "turns")
+    """The user's turns of a conversation in order, as the evidence of one prompt."""
+    own = F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "block"))))
+    return _blocks(spark, sf_dir).groupBy("conv_id").agg(F.md5(X.evidence_text(own["block"])).alias("prompt"), F.count("*").alias("turns"))
 
 
 @query("""SELECT conv_id, turn, ('0x' || substr(sha256(text), 1, 2))::INT % 2 = 1 AS swapped, 'FI' || substr(sha256(conv_id::VARCHAR || '|' || turn::VARCHAR || '|' || role), 1, 8) AS qid FROM conversations""")
@@ -108,9 +116,11 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.swapped(F.col("text")).alias("swapped"), X.stable_id("FI", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("role")).alias("qid"))
 
 
-@query("""SELECT o_orderkey, year(o_orderdate)::VARCHAR || '-' || lpad(((year(o_orderdate) + 1) % 100)::VARCHAR, 2, '0') AS fiscal_year, 12 AS window_years FROM orders""")
+@query("""WITH y AS (SELECT o_orderkey, year(o_orderdate) + 20 AS y FROM orders) SELECT o_orderkey, y::VARCHAR || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') AS fiscal_year,
+CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS named, array_to_string(list_transform(range(y, y + 12), lambda k: k::VARCHAR || '-' || lpad(((k + 1) % 100)::VARCHAR, 2, '0')), ',') AS window FROM y""".replace(" AS window", ' AS "window"'))
 def fiscal_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fiscal year written in a question and read back; the window of years that may report it."""
-    y = F.year("o_orderdate")
-    asked = F.concat(F.lit("Revenue for FY"), F.lpad(F.pmod(y + 1, F.lit(100)).cast("string"), 2, "0"), F.lit(" against "), y.cast("string"), F.lit("-"), (y + 1).cast("string"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.only_fiscal_year(asked).alias("fiscal_year"), F.size(X.fiscal_window(y)).alias("window_years"))
+    """A fiscal year written in two ways in a question and read back, every other time beside another; the years that may report it."""
+    y = F.year("o_orderdate") + 20
+    asked = F.concat(F.lit("Revenue for the year ended March 31, "), (y + 1).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(", as in FY "), X.fiscal_label(y))).otherwise(F.concat(F.lit(" against "), X.fiscal_label(y - 1))))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", X.fiscal_years(asked).alias("years"), X.only_fiscal_year(asked).alias("only"), X.fiscal_window(y).alias("w"))
+    return o.select("o_orderkey", F.coalesce("only", F.try_element_at("years", F.lit(-1))).alias("fiscal_year"), F.size("years").alias("named"), F.array_join("w", ",").alias("window"))
