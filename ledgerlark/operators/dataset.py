@@ -191,6 +191,18 @@ def basis_audit(questions: DataFrame, basis: DataFrame) -> DataFrame:
     return j.select("qid", "asked", verdict.alias("verdict"))
 
 
+def basis_counts(questions: DataFrame, basis: DataFrame) -> DataFrame:
+    """By company and basis of the cited page ('?': unknown): how many questions, and how many ask for consolidated and cite standalone."""
+    j = questions.join(basis.withColumnRenamed("page", "source_page"), ["document_id", "source_page"], "left").withColumn("basis", F.coalesce("basis", F.lit("?")))
+    return j.groupBy("company", "basis").agg(F.count("*").alias("n"), F.count_if((F.col("basis") == "standalone") & (X.asked_basis(F.col("question")) == "consolidated")).alias("offenders"))
+
+
+def corpus_table(companies: DataFrame, questions: DataFrame) -> DataFrame:
+    """Candidates and validated questions of each company, none included."""
+    g = questions.groupBy("company").agg(F.count("*").alias("candidates"), F.count_if(usable()).alias("validated"))
+    return companies.join(g, "company", "left").fillna(0, ["candidates", "validated"])
+
+
 def basis_failures(basis: DataFrame, known: DataFrame) -> DataFrame:
     """Pages read by hand (document_id, page, expected) that are classified otherwise."""
     return known.join(basis, ["document_id", "page"], "left").where("not (basis <=> expected)")

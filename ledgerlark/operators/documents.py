@@ -162,6 +162,18 @@ def chunk_documents(pages: DataFrame, tables: DataFrame) -> DataFrame:
     return t.unionByName(text_chunks(clean, numerals, t.groupBy("document_id").agg(F.count("*").alias("n"))))
 
 
+def coverages(tables: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row: shares of tables with a scale and of pages with text, 0 where there are none; scales that were inherited; pages of text
+    beyond a model's limit are counted by truncated()."""
+    t = tables.agg(F.coalesce(F.avg(F.col("context_scale").isNotNull().cast("double")), F.lit(0.0)).alias("scale_coverage"), F.count_if(B.inherited(F.col("page"), F.col("scale_source_page"))).alias("inherited"))
+    return t.crossJoin(pages.agg(F.coalesce(F.avg((F.length(F.trim("text")) >= TEXT_LAYER_CHARS).cast("double")), F.lit(0.0)).alias("text_coverage")))  # one row each
+
+
+def truncated(texts: DataFrame, text: str, most_tokens: int) -> DataFrame:
+    """How many texts have more tokens than a model reads, at four letters a token."""
+    return texts.agg(F.count_if(F.floor(F.length(text) / 4) > most_tokens).alias("truncated"), F.count("*").alias("texts"))
+
+
 def structure(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The pages, the sections with their first and last page, and the tables with their first chunk, of chunks."""
     known = chunks.where("page is not null")

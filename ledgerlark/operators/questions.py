@@ -150,6 +150,25 @@ def candidates(facts: DataFrame, min_pages: int = 1) -> DataFrame:
     return ok.select(X.stable_id("FI", F.col("document_id").cast("string"), F.col("metric"), F.col("year").cast("string")).alias("qid"), "document_id", "metric", "year", text.alias("question"), F.col("answer").cast(MONEY).alias("answer"), "pages")
 
 
+def derived_candidates(facts: DataFrame, basis: DataFrame, derived: list[tuple] = DERIVED) -> DataFrame:
+    """facts (document_id, metric, page, amount): a question without answer for each derived metric all of whose components a document
+    reports on one basis; basis: document_id, page, basis."""
+    made = facts.sparkSession.createDataFrame([(m, c, o, u) for _, m, c, o, u in derived], "derived string, components array<string>, operation string, unit_kind string")
+    own = made.select("derived", "operation", "unit_kind", F.size("components").alias("need"), F.posexplode("components").alias("pos", "metric"))
+    f = facts.join(basis, ["document_id", "page"]).where("basis in ('consolidated', 'standalone')")
+    best = f.groupBy("document_id", "metric").agg(F.min("basis").alias("basis"))  # consolidated before standalone
+    g = own.join(best, "metric").groupBy("document_id", "derived", "operation", "unit_kind", "need").agg(F.count("*").alias("have"), F.collect_set("basis").alias("bases"), F.array_sort(F.collect_list(F.struct("pos", "metric"))).alias("components"))
+    ok = g.where((F.col("have") == F.col("need")) & (F.size("bases") == 1))
+    return ok.select(X.stable_id("FI", F.col("document_id").cast("string"), F.col("derived")).alias("qid"), "document_id", F.col("derived").alias("metric"), "operation", "unit_kind", F.get("bases", F.lit(0)).alias("basis"), F.col("components.metric").alias("components"))
+
+
+def formulations(questions: DataFrame, key: str, text: str, company: str) -> DataFrame:
+    """(key, arm, query): each question as it is, without its company, without the gloss at its end, and without both."""
+    t, c = F.col(text), F.col(company)
+    bare = X.without_company(t, c)
+    return questions.select(key, F.inline(F.array(*[F.struct(F.lit(n).alias("arm"), q.alias("query")) for n, q in (("asis", t), ("no_company", bare), ("no_gloss", X.without_gloss(t)), ("both", X.without_gloss(bare)))])))
+
+
 def movement(before: DataFrame, after: DataFrame, key: str, k: int) -> DataFrame:
     """How many entered and left the top k between two rankings (key, rank)."""
     j = before.select(key, F.col("rank").alias("b")).join(after.select(key, F.col("rank").alias("a")), key, "full_outer")

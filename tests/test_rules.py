@@ -252,3 +252,43 @@ def test_coverage_of_sub_questions(spark):
     subs = spark.createDataFrame([(1, 0), (1, 1)], "k int, sub int")
     hits = spark.createDataFrame([(1, 0, 5), (1, 0, 6)], "k int, sub int, doc int")
     assert {r.sub: r.n for r in Q.coverage(subs, hits, "k").collect()} == {0: 2, 1: 0} and [r.sub for r in Q.uncovered(subs, hits, "k").collect()] == [1]
+
+
+def test_chunks_written_and_read(spark, tmp_path):
+    from ledgerlark.sources import records as S
+
+    c = spark.createDataFrame([("d:p1:t0:0", "table", "x", "d", 1, "crore"), ("e:p1:x0", "text", "y", "e", 1, None)], "chunk_id string, kind string, text string, document_id string, page int, context_scale string")
+    S.write_chunks(c, str(tmp_path / "c"))
+    back = S.read_chunks(spark, str(tmp_path / "c"))
+    assert sorted((r.chunk_id, r.context_scale) for r in back.collect()) == [("d:p1:t0:0", "crore"), ("e:p1:x0", None)]
+    S.write_chunks(c.withColumn("context_scale", F.lit("dozen")), str(tmp_path / "b"))
+    with pytest.raises(Exception, match="unknown scale"):
+        S.read_chunks(spark, str(tmp_path / "b")).collect()
+    blocks = spark.createDataFrame([("q", 2, "d:p1:t0:0"), ("q", 1, "e:p1:x0"), ("q", 3, "gone")], "question string, pos int, chunk_id string")
+    assert S.retrieved_text(S.block_texts(blocks, back)).first().text == "y\nx"
+
+
+def test_dataset_written_and_read(spark, tmp_path):
+    from ledgerlark.sources import records as S
+
+    q = spark.createDataFrame([("b", "Q2", ("5", "INR"), False), ("a", "Q1", None, True)], "qid string, question string, answer struct<text:string,unit:string>, ambiguous boolean").withColumn("validation", F.struct(F.lit("validated").alias("status")))
+    head = spark.createDataFrame([("set", "1", 2)], "set_id string, version string, total int")
+    S.write_dataset(q, head, str(tmp_path / "d"))
+    back = S.read_dataset(spark, str(tmp_path / "d"))
+    assert sorted((r.qid, r.answer, r.unit, r.status, r.ambiguous, r.awaiting) for r in back.collect()) == [("a", None, None, "validated", True, False), ("b", "5", "INR", "validated", False, False)]
+    assert S.markdown(back.orderBy("qid"), "Set", ["qid", "answer"]) == "# Set\n\n| qid | answer |\n|---|---|\n| a | — |\n| b | 5 |"
+    S.write_dataset(q.union(q), head, str(tmp_path / "e"))
+    with pytest.raises(ValueError):
+        S.read_dataset(spark, str(tmp_path / "e"))
+
+
+def test_derived_candidates_need_one_basis(spark):
+    facts = spark.createDataFrame([("d", "profit for the year", 1, 5), ("d", "total equity", 2, 9), ("d", "total assets", 3, 9), ("e", "goodwill", 1, 1)], "document_id string, metric string, page int, amount int")
+    basis = spark.createDataFrame([("d", 1, "consolidated"), ("d", 2, "consolidated"), ("d", 3, "standalone"), ("e", 1, "-")], "document_id string, page int, basis string")
+    got = Q.derived_candidates(facts, basis).collect()
+    assert [(r.document_id, r.metric, r.basis, r.components) for r in got] == [("d", "return on equity", "consolidated", ["profit for the year", "total equity"])]
+
+
+def test_formulations(spark):
+    q = spark.createDataFrame([(1, "For Acme Limited, what was x (the sum)?", "Acme Limited")], "k int, q string, c string")
+    assert {r.arm: r["query"] for r in Q.formulations(q, "k", "q", "c").collect()} == {"asis": "For Acme Limited, what was x (the sum)?", "no_company": "For, what was x (the sum)?", "no_gloss": "For Acme Limited, what was x?", "both": "For, what was x?"}
