@@ -23,7 +23,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,41 +51,33 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFra
     return map_texts(texts(docs), work, PIECES)
 
 
-def numbered(rows: DataFrame, value: str, by: tuple[str, ...], path: str) -> tuple[dict[int, int], dict[int, dict[int, int]]]:
-    """Write rows, range-sorted by value, to path with their part and their rank in it among equal values; the number of rows of
-    each value, and by part the rows of its values in the parts before.
+def numbered(rows: DataFrame, value: str, by: tuple[str, ...], path: str) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
+    """Write rows, range-sorted by value, to path with a number (at) that rises within a part; the number of rows of each value, and
+    by part and value what to add to `at` for a row's place among all rows of its value.
 
     A value spans neighbouring parts, so there are no more counters than parts and values."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())])
-    column = rows.columns.index(value)
-
-    def number(batches):
-        part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        for b in batches:
-            n = b.column(column).to_numpy()
-            edge = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else np.zeros(0, int)
-            rank = np.arange(len(n))
-            for s, e in zip(edge, np.r_[edge[1:], len(n)], strict=True):
-                rank[s:e] += seen[int(n[s])] - s
-                seen[int(n[s])] += int(e - s)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(rank)], names=[*b.schema.names, "part", "rank"])
-
-    rows.repartitionByRange(value, *by).sortWithinPartitions(value, *by).mapInArrow(number, schema).write.parquet(path)
+    rows.repartitionByRange(value, *by).sortWithinPartitions(value, *by).withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    schema = T.StructType([*rows.schema.fields, T.StructField("at", T.LongType())])
+    counts = rows.sparkSession.read.schema(schema).parquet(path).groupBy(value, F.shiftright("at", _PART).cast("int").alias("part")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
     total: dict[int, int] = defaultdict(int)
-    before: dict[int, dict[int, int]] = defaultdict(dict)
-    for r in rows.sparkSession.read.schema(schema).parquet(path).groupBy("part", value).agg(F.max("rank").alias("last")).orderBy("part").collect():
-        before[r.part][r[value]] = total[r[value]]
-        total[r[value]] += r.last + 1
-    return dict(total), dict(before)
+    before: dict[tuple[int, int], int] = {}
+    for r in counts.orderBy("part").collect():
+        before[r.part, r[value]] = total[r[value]] - r["first"]
+        total[r[value]] += r.n
+    return dict(total), before
+
+
+#: Bits of a row's number that count within its part.
+_PART = 33
 
 
-def placed_at(before: dict[int, dict[int, int]], value: np.ndarray, part: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def placed_at(before: dict[tuple[int, int], int], value: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The place of each row among all rows of equal value."""
-    out = rank.copy()
+    out, part = at.copy(), at >> _PART
     for p in np.unique(part):
         own = np.flatnonzero(part == p)
-        known, at = np.unique(value[own], return_inverse=True)
-        out[own] += np.array([before[int(p)][int(v)] for v in known], np.int64)[at]
+        known, k = np.unique(value[own], return_inverse=True)
+        out[own] += np.array([before[int(p), int(v)] for v in known], np.int64)[k]
     return out
 
 
@@ -145,7 +136,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     total, ahead = numbered(pieces, "length", ("doc_id", "piece", "ids_crc32"), sorted_)
     discard(pieces)
     path, plans, left, placed, used = shared_path(spark, "rounds"), {}, dict(total), defaultdict(int), 0
-    state = "sequence long, gap long, part int, rank long"
+    state = "sequence long, gap long, at long"
 
     def shrunk(least: int):
         """The gaps left after their last round, without those that hold no piece to come."""
@@ -153,12 +144,12 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
         def run(batches):
             for b in batches:
-                sequence, gap, part, rank, number = (c.to_numpy() for c in b.columns)
+                sequence, gap, at, number = (c.to_numpy() for c in b.columns)
                 after = gap.copy()
                 for r in np.unique(number):
                     own = number == r
                     plan, before = known.value[int(r)]
-                    length, _, n = given(plan, gap[own], placed_at(before, gap[own], part[own], rank[own]))
+                    length, _, n = given(plan, gap[own], placed_at(before, gap[own], at[own]))
                     after[own] -= length * n
                 open_ = after >= least
                 yield pa.RecordBatch.from_arrays([pa.array(sequence[open_]), pa.array(after[open_])], names=["sequence", "gap"])
@@ -168,7 +159,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     def written(r: int) -> DataFrame:
         return spark.read.schema(state).parquet(f"{path}/round={r}").withColumn("round", F.lit(r))
 
-    def planned(sizes: dict[int, int], lengths: list[int], before: dict[int, dict[int, int]]) -> bool:
+    def planned(sizes: dict[int, int], lengths: list[int], before: dict[tuple[int, int], int]) -> bool:
         plan = sweep(sizes, left, lengths, placed)
         plans[len(plans)] = {g: np.array(own, np.int64) for g, own in plan.items()}, before
         return bool(plan)
@@ -184,19 +175,19 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                 if planned(sizes, lengths, before):
                     continue
             r, opened = len(plans), sum(-(-left[n] // (capacity // n)) for n in lengths)
-            planned({capacity: opened}, lengths, {0: {capacity: 0}})
-            spark.range(opened).select((F.col("id") + used).alias("sequence"), F.lit(capacity).cast("long").alias("gap"), F.lit(0).alias("part"), F.col("id").alias("rank")).write.parquet(f"{path}/round={r}")
+            planned({capacity: opened}, lengths, {(p, capacity): 0 for p in range((opened >> _PART) + 1)})
+            spark.range(opened).select((F.col("id") + used).alias("sequence"), F.lit(capacity).cast("long").alias("gap"), F.col("id").alias("at")).write.parquet(f"{path}/round={r}")
             used += opened
             last = [*here, r]
     known = spark.sparkContext.broadcast((plans, ahead))
 
     def spread(batches):
         for b in batches:
-            sequence, gap, part, rank, number = (c.to_numpy() for c in b.columns)
+            sequence, gap, at, number = (c.to_numpy() for c in b.columns)
             for r in np.unique(number):
                 own = np.flatnonzero(number == r)
                 plan, before = known.value[0][int(r)]
-                length, first, n = given(plan, gap[own], placed_at(before, gap[own], part[own], rank[own]))
+                length, first, n = given(plan, gap[own], placed_at(before, gap[own], at[own]))
                 row = np.repeat(np.arange(len(own)), n)
                 k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 out = (length[row], first[row] + k, sequence[own][row], capacity - gap[own][row] + k * length[row])
@@ -204,13 +195,12 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
     def located(batches):
         for b in batches:
-            *own, part, rank = b.columns
-            at = placed_at(known.value[1], b.column("length").to_numpy(), part.to_numpy(), rank.to_numpy())
-            yield pa.RecordBatch.from_arrays([*own, pa.array(at)], names=[*b.schema.names[:-2], "at"])
+            *own, at = b.columns
+            yield pa.RecordBatch.from_arrays([*own, pa.array(placed_at(known.value[1], b.column("length").to_numpy(), at.to_numpy()))], names=b.schema.names)
 
     out = T.StructType.fromDDL("length long, at long, sequence_id long, offset long")
     found = spark.read.schema(f"{state}, round int").parquet(path).mapInArrow(spread, out) if plans else spark.createDataFrame([], out)
-    rows = spark.read.schema(f"{PIECES}, part int, rank long").parquet(sorted_).mapInArrow(located, T.StructType.fromDDL(f"{PIECES}, at long"))
+    rows = spark.read.schema(f"{PIECES}, at long").parquet(sorted_).mapInArrow(located, T.StructType.fromDDL(f"{PIECES}, at long"))
     return rows.join(found, ["length", "at"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
