@@ -57,6 +57,14 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df does not have, whatever the case."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, what)
@@ -226,7 +234,7 @@ def touched(docs: DataFrame, wanted: DataFrame, other: bool = False) -> DataFram
             hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(hit != other))
 
-    return docs.withColumn("__bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, docs.schema)
+    return docs.withColumn(fresh(docs, "__bit"), F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, docs.schema)
 
 
 # --- connected components -----------------------------------------------------------------------

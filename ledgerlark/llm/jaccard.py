@@ -32,14 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FILTER_BITS, chunks, components, discard, encoded, grouped, lower_ascii, member_filter, planes, rolling, saved, spans_hash, table, texts, touched, unplanes, word_spans
+from .common import FILTER_BITS, chunks, components, discard, encoded, fresh, grouped, lower_ascii, member_filter, planes, rolling, saved, spans_hash, table, texts, touched, unplanes, word_spans
 
 #: Shingles of a tile of a large shard.
 TILE = 1_500_000
 #: Characters of a slice of texts.
 SLICE = 4 << 20
-#: Before the names of columns that are added to a caller's.
-KEY = "__ledgerlark_"
 #: DivideSkip's weight of a long list's probe against the merge.
 MU = 0.01
 
@@ -379,7 +377,7 @@ def distinct(docs: DataFrame, words: int, pct: int) -> DataFrame:
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     marks = classed(docs, words, pct).where("doc_id is not null and key is not null").groupBy("doc_id", "key").agg(F.count("*").alias("m"), F.max(F.col("doc_id") != F.col("component_id")).alias("gone"))
     some = saved(marks.where("gone or m > 1"), "groups")
-    at, key, gone = docs.columns.index("text"), f"{KEY}key", f"{KEY}gone"
+    at, key, gone = docs.columns.index("text"), fresh(docs, "__key"), fresh(docs, "__gone")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,6 +1,8 @@
 """Sentence-piece ids by a table of distinct chunks, and back to text (op 7).
 
-Row by row, no shuffle.  Null text: the empty text, which has the begin and end ids only.
+Row by row, no shuffle.  Null text: the empty text, which has the begin and end ids only.  Texts are encoded whole, whatever
+their length; equal texts have equal ids; repeated rows and null ids are each returned; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ settled in the slice, so a passage in a third of all documents costs a bucket on
 Texts are shuffled only where repeats touch them.
 
 Null text: no words.  A null doc_id takes no part and keeps its text.  Rows that repeat a doc_id count as
-one document, so they do not remove each other.
+one document, so they do not remove each other.  Of equal places the smaller doc_id, then the earlier start, stays.  Texts are
+read whole, whatever their length; an empty table gives no rows; other columns are ignored by digests() and kept by trimmed().
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, chunks, encoded, rolling, saved, spans_hash, table, texts, touched, word_spans
+from .common import WORD, chunks, encoded, fresh, rolling, saved, spans_hash, table, texts, touched, word_spans
 
 #: Characters of a slice; buckets of hashes, one in memory at a time, for each shuffle partition.
 SLICE = 2 << 20
@@ -263,11 +264,13 @@ def covered(words: int, first: list[int] | None, n: list[int] | None, window: in
     return np.cumsum(edge)[:words] > 0
 
 
-def with_repeats(docs: DataFrame, window: int) -> DataFrame:
-    """docs with the columns __first and __n of the repeats in each; only documents with repeats are shuffled."""
-    found = repeats(docs, window).withColumnsRenamed({"first": "__first", "n": "__n"})
-    plain = touched(docs, found, other=True).withColumns({c: F.lit(None).cast("array<int>") for c in ("__first", "__n")})
-    return plain.unionByName(touched(docs, found).join(found, "doc_id", "left"))
+def with_repeats(docs: DataFrame, window: int) -> tuple[DataFrame, str, str]:
+    """docs with two columns, and their names: the first places and the lengths of the repeats in each document; only documents
+    with repeats are shuffled."""
+    first, n = fresh(docs, "__first"), fresh(docs, "__n")
+    found = repeats(docs, window).withColumnsRenamed({"first": first, "n": n})
+    plain = touched(docs, found, other=True).withColumns({c: F.lit(None).cast("array<int>") for c in (first, n)})
+    return plain.unionByName(touched(docs, found).join(found, "doc_id", "left")), first, n
 
 
 def digests(docs: DataFrame, window: int) -> DataFrame:
@@ -283,7 +286,7 @@ def digests(docs: DataFrame, window: int) -> DataFrame:
                 rows.append((i, len(words), int(gone.sum()), hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_repeats(texts(docs), window).mapInArrow(run, T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    return with_repeats(texts(docs), window)[0].mapInArrow(run, T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
 
 _PIECE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -307,10 +310,10 @@ def trimmed(docs: DataFrame, window: int) -> DataFrame:
             out.append(t)
         return text.__class__(out, dtype=object)
 
-    marked = with_repeats(docs.withColumn("doc_id", F.col("doc_id").cast("long")), window)
-    new = F.pandas_udf(cut, T.StringType())(F.col("text"), F.col("__first"), F.col("__n"))
-    plain = marked.where("__first is null").drop("__first", "__n")
-    changed = marked.where("__first is not null").withColumn("text", new).where("text is not null").drop("__first", "__n")
+    marked, first, n = with_repeats(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")), window)
+    new = F.pandas_udf(cut, T.StringType())(F.col("text"), F.col(first), F.col(n))
+    plain = marked.where(F.col(first).isNull())
+    changed = marked.where(F.col(first).isNotNull()).withColumn("text", new).where("text is not null")
     return plain.unionByName(changed).select(*docs.columns)
 
 

@@ -1,7 +1,7 @@
 """Vectors: nearest neighbours by hash-prefix forests (op 3), near duplicates by PCA-ordered tiles (op 4).
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null vec_id, take
-no part.  Vectors of different lengths are not comparable.  Equal vectors are vectors of their own: op 3
+no part.  Other columns are ignored; an empty table gives no rows; rows that repeat a vec_id are vectors of their own.  Vectors of different lengths are not comparable.  Equal vectors are vectors of their own: op 3
 ranks them by id, op 4 compares one of them and counts all.
 """
 

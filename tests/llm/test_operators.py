@@ -57,6 +57,39 @@ def test_token_orc(spark, docs, rows):
     assert len(token_orc.lookup(spark, path, 19).collect()) == 2
 
 
+def test_token_orc_files(spark, docs, tmp_path):
+    """Small stripes make several in a file, with row indexes; a look-up's predicate reaches the scan; Bloom filters make the files larger."""
+    import glob
+
+    from pyarrow import orc
+
+    many = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10_000)).crossJoin(spark.range(40)).withColumn("doc_id", F.col("doc_id") + 100_000 * F.col("id")).drop("id").repartition(1)
+    path = f"file://{tmp_path}/t"
+    token_orc.write(many, path, tokens.vocabulary("word_bpe_49k.json"), 2, stripe_bytes=1 << 16)
+    files = [orc.ORCFile(f) for f in glob.glob(f"{tmp_path}/t/*.orc")]
+    assert sum(f.nrows for f in files) == many.count() and max(f.nstripes for f in files) > 1 and all(f.row_index_stride > 0 and f.compression == "ZSTD" for f in files)
+    plan = token_orc.lookup(spark, path, 19)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,19)" in plan and len(token_orc.lookup(spark, path, 19).collect()) == 2
+    token_orc.read(spark, path).write.option("orc.compress", "ZSTD").orc(f"file://{tmp_path}/plain")
+    size = lambda d: sum(len(open(f, "rb").read()) for f in glob.glob(f"{tmp_path}/{d}/*.orc"))
+    raw = sum(4 * len(r.ids) for r in token_orc.read(spark, path).select("ids").collect())
+    assert size("t") < raw
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tokens_equal_the_library_on_odd_texts(seed):
+    from tokenizers import Tokenizer
+
+    r = random.Random(seed)
+    letters = "aAbBzZ019 \t\n\r\u00a0\u2009'\"!?.,;:-_/\\#@éÉßΣςİıñ漢字か🙂\u0301\u200d\u0000\u001f\ufeff"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(0, 60))) for _ in range(400)] + ["<|endoftext|> x", "it's we'LL", "  "]
+    for name, ours in (("word_bpe_49k.json", tokens.word_bpe), ("byte_bpe_50k.json", tokens.byte_bpe)):
+        path = tokens.vocabulary(name)
+        lib = Tokenizer.from_file(path)
+        for t in texts:
+            assert ours(path, t) == packed(lib.encode(t, add_special_tokens=False).ids), (name, t)
+
+
 def test_token_orc_empty(spark, empty):
     path = shared_path(spark, "t")
     token_orc.write(empty, path, tokens.vocabulary("word_bpe_49k.json"), 2)
@@ -118,6 +151,28 @@ def test_prefix_forest(spark):
     assert [v for _, v, _ in sorted(got[200])] == [201, 202, 203, 204, 205]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_prefix_forest_recall_on_given_tables(spark, sf):
+    """Against all rows, for the queries of op 3: nine tenths and more of the five nearest, from less than half of the rows."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = {r.vec_id: r.embedding for r in vectors.valid(df).collect()}
+    ids = np.array(sorted(rows))
+    u = vectors.unit(np.array([rows[i] for i in ids]))
+    got = {}
+    for r in vectors.nearest(df, 50, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(got[ids[q]] & set(ids[np.lexsort((ids, -np.round(s, 12)))[:5]].tolist()))
+        total += 5
+    forest = vectors.Forest(u[:8192])
+    read = np.mean([len(h) for h in forest.candidates(u[:20], int(np.ceil(vectors.SHARE * min(len(u), 8192))))]) / min(len(u), 8192)
+    print(f"{sf}: recall {hit / total:.3f}, reads {read:.2f}")
+    assert hit >= 0.9 * total and read < 0.5
+
+
 def test_prefix_forest_empty(spark):
     _, df = vectors_table(spark)
     assert vectors.nearest(df.where("1 = 0"), 20, 5).count() == 0
