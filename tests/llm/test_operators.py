@@ -436,6 +436,7 @@ def brute_tree(train, texts, depth):
 @pytest.mark.parametrize("row", [1 << 20, 30])
 def test_context_tree_against_all_contexts(spark, monkeypatch, row):
     monkeypatch.setattr(context_tree, "ROW", row)
+    monkeypatch.setattr(context_tree, "TREES", row)
     r = random.Random(17)
     texts = ["", "a", "Ünï ab", *["".join(r.choice(["the ", "cat ", "sat ", "on ", "Mat. ", "x"]) for _ in range(r.randrange(1, 12))) for _ in range(25)]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
