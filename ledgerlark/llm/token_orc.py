@@ -3,8 +3,8 @@
 Integer columns of ORC are run-length encoded; the files carry row indexes and Bloom filters on the
 document ids, so a reader takes stripes in parallel and a lookup by id skips what cannot hold it.
 
-Null text: the empty text.  Null ids: first.  Rows with equal ids: by their text's hash.  Extra columns
-are ignored.  An empty table gives an empty, readable folder.
+Null text: the empty text.  Null ids: first.  Rows with equal ids: by their text's hash.  Texts are encoded whole, whatever
+their length, one row each; a slice of rows ends behind a long one.  Extra columns are ignored.  An empty table gives an empty, readable folder.
 """
 
 from __future__ import annotations

@@ -95,13 +95,23 @@ def _word_end_bpe(path: str):
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
 
 
+def _unknown() -> np.ndarray:
+    """Of every code point whether the Unicode tables here do not know it; those of the tokenizers library are newer."""
+    if ("unknown", "") not in _LOADED:
+        _LOADED["unknown", ""] = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    return _LOADED["unknown", ""]
+
+
 def word_bpe(path: str, text: str) -> bytes:
-    """Lower-cased BPE with word ends, by the same merges run over marked words in one call."""
+    """Lower-cased BPE with word ends, by the same merges run over marked words in one call; a text with a special token, a zero or a
+    code point that is unknown here goes to the library."""
     bpe, pattern, special = _word_end_bpe(path)
     if "\0" in text or any(s in text for s in special):
         return whole(path, [text])[0]
     if text.isascii():
         words = _ASCII_WORDS.findall(text.lower())
+    elif _unknown()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any():
+        return whole(path, [text])[0]
     else:
         words = pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
     return packed(bpe.encode_ordinary("\0".join([*words, ""])))

@@ -474,3 +474,16 @@ def test_scores(spark, docs, rows, empty):
             assert (r.n_tokens, r.n_known) == want[r.doc_id][:2] and r.base_score == pytest.approx(want[r.doc_id][2], rel=1e-9)
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
     assert context_tree.score(empty).count() == 0
+
+
+def test_word_ids_of_every_code_point():
+    """Known code points by our way, word by word and between letters; unknown ones, which go to the library, in texts of their own."""
+    import unicodedata
+
+    path = tokens.vocabulary("word_bpe_49k.json")
+    assigned = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    private = [chr(c) for c in (0xE000, 0xF8FF, 0xF0000, 0x10FFFD)]
+    unknown = [chr(c) for c in (0x378, 0x558, 0x1C89, 0xA7CB, 0x105C0, 0xE0FFF, 0x10FFFF)]
+    chars = assigned + private
+    texts = [" ".join(f"a{c}b" for c in chars[i : i + 500]) for i in range(0, len(chars), 500)] + [" ".join(f"{c} {c}{c}" for c in chars[i : i + 500]) for i in range(0, len(chars), 500)] + [f"a{c}b {c}" for c in unknown] + unknown
+    assert [tokens.word_bpe(path, t) for t in texts] == tokens.whole(path, texts)
