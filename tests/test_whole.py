@@ -52,7 +52,7 @@ def gold():
 
 def test_bm25_of_all_items(spark, ranked):
     got = {}
-    for r in QUERIES["bm25_topk_whole"](spark, DATA).collect():
+    for r in QUERIES["bm25_topk"](spark, DATA).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.doc, r.score))
     assert set(got) == {q for q, x in ranked.items() if x} and len(got) > 5
     for q, x in ranked.items():
@@ -62,15 +62,21 @@ def test_bm25_of_all_items(spark, ranked):
         assert [i for i, _, _ in own] == list(range(1, len(x[:10]) + 1)) and all(abs(full[d] - s) < 2e-6 for _, d, s in own)
 
 
+ROWS = [(7, "pear fig"), (3, "pear fig"), (1, None), (4, "plum plum pear"), (5, "\xe9t\xe9 fig kiwi 1,5"), (6, "date"), (10, "lime"), (11, "lime date"), (12, "lemon")]
+ASKED = [(9, "a b c d e f pear fig fig"), (2, "kiwi"), (8, "none")]
+
+
 def test_bm25_top_is_bm25(spark, monkeypatch):
     """Both operators agree, blocks and k cut nothing, equal texts tie by the smaller document."""
     monkeypatch.setattr(R, "BLOCK", 2)
-    docs = spark.createDataFrame([(7, "pear fig"), (3, "pear fig"), (1, None), (4, "plum plum pear"), (5, "\xe9t\xe9 fig kiwi 1,5"), (6, "date"), (10, "lime"), (11, "lime date"), (12, "lemon")], "id long, t string").repartition(3)
-    terms = R.query_terms(spark.createDataFrame([(9, "a b c d e f pear fig fig"), (2, "kiwi"), (8, "none")], "q long, t string"), "q", "t", None)
-    want = {(r.query_id, r.doc): (r.score, r["rank"]) for r in R.top(R.bm25(docs, "id", "t", terms), 3).collect()}
-    got = {(r.query_id, r.doc): (r.score, r["rank"]) for r in R.bm25_top(docs, "id", "t", terms, 3).collect()}
-    assert set(got) == set(want) and (9, 3) in got
-    assert all(got[x][1] == want[x][1] and got[x][0] == pytest.approx(want[x][0]) for x in got)
+    docs = spark.createDataFrame(ROWS, "id long, t string").repartition(3)
+    terms = R.query_terms(spark.createDataFrame(ASKED, "q long, t string"), "q", "t", None)
+    want = brute_bm25(ROWS, ASKED)
+    got = {}
+    for r in R.bm25_top(docs, "id", "t", terms, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc, r.score))
+    assert (1, 3) in {(i, d) for i, d, _ in got[9]} and set(got) == {q for q, x in want.items() if x}
+    assert all([(i + 1, d, pytest.approx(-s)) for i, (s, d) in enumerate(x[:3])] == sorted(got[q]) for q, x in want.items() if x)
     assert R.bm25_top(docs, "id", "t", terms.where("1 = 0"), 3).count() == 0
 
 
@@ -80,7 +86,7 @@ def test_dense_of_all_items(spark):
     ids = np.array(sorted(v))
     u = np.array([v[i] / np.linalg.norm(v[i]) for i in ids])
     got = {}
-    for r in QUERIES["dense_topk_whole"](spark, DATA).collect():
+    for r in QUERIES["dense_topk"](spark, DATA).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.doc, r.score))
     assert set(got) == set(asked) and len(got) > 5
     for q in asked:
@@ -104,17 +110,18 @@ def test_gold_of_every_language_counts(spark, ranked, gold):
     of = {}
     for q, d in gold:
         of.setdefault(q, []).append(rank.get((q, d), 10**9))
-    got = {(r.query_id, r.k): r.recall for r in QUERIES["retrieval_metrics_at_k_whole"](spark, DATA).collect()}
+    got = {(r.query_id, r.k): r.recall for r in QUERIES["retrieval_metrics_at_k"](spark, DATA).collect()}
     assert got == {(q, k): round(sum(i <= k for i in x) / len(x), 6) for q, x in of.items() for k in (1, 3, 5, 10)}
     band = Counter(next((b for b in (10, 20, 70, 300) if i <= b), 10**6) for x in of.values() for i in x)
-    assert {r.upto: r.n for r in QUERIES["rank_bands_whole"](spark, DATA).collect()} == dict(band)
+    assert {r.upto: r.n for r in QUERIES["rank_bands"](spark, DATA).collect()} == dict(band)
 
 
 def test_fusion_of_all_items(spark):
     asked = {r["item_id"] for r in read("benchmark")}
-    assert {r.query_id for r in QUERIES["rrf_fusion_whole"](spark, DATA).select("query_id").distinct().collect()} == asked
-    assert {r.rows_returned for r in QUERIES["weight_sweep_whole"](spark, DATA).collect()} == {10 * len(asked)}
-    assert {r.question for r in QUERIES["planned_round_robin_whole"](spark, DATA).select("question").distinct().collect()} == {q // 3 for q in asked}
+    assert {r.query_id for r in QUERIES["rrf_fusion"](spark, DATA).select("query_id").distinct().collect()} == asked
+    held = {b["item_id"] for b in read("benchmark") for d in read("documents") if b["text"] in (d["text"] or "")}
+    assert {r.questions for r in QUERIES["weight_sweep"](spark, DATA).collect()} == {len(held)}
+    assert {r.question for r in QUERIES["planned_round_robin"](spark, DATA).select("question").distinct().collect()} == {q // 3 for q in asked}
 
 
 def test_lexicon_of_all_parts(spark):
@@ -126,5 +133,5 @@ def test_lexicon_of_all_parts(spark):
     assert {r["p_name"].lower() for r in parts if r["p_partkey"] > 40} - {r["p_name"].lower() for r in parts if r["p_partkey"] <= 40}
     longest = lambda t: max((len(a), a) for a in brand if f" {a} " in f" {t} ")[1]
     want = {r["p_partkey"]: brand[longest(f"what was {r['p_name'].lower()} then")] for r in parts}
-    assert {r.p_partkey: r.canonical for r in QUERIES["lexicon_terms_whole"](spark, DATA).collect()} == want
-    assert {r.p_partkey: r.metric for r in QUERIES["question_specs_whole"](spark, DATA).collect()} == want
+    assert {r.p_partkey: r.canonical for r in QUERIES["lexicon_terms"](spark, DATA).collect()} == want
+    assert {r.p_partkey: r.metric for r in QUERIES["question_specs"](spark, DATA).collect()} == want
