@@ -159,3 +159,35 @@ SELECT upto, n, round(sum(n) OVER (ORDER BY upto)::DOUBLE / sum(n) OVER (), 6) A
 def rank_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In which band of ranks the gold documents first stand; ranks over 300 are one band."""
     return R.rank_bands(R.hits(_keyword(spark, sf_dir, 300), _gold(spark, sf_dir))).select("upto", "n", rounded("share", "share"))
+
+
+_LANG, _SOURCE = "CASE WHEN question % 2 = 0 THEN lang END", "CASE WHEN question % 5 = 4 THEN 'nowhere' WHEN question % 3 = 0 THEN source END"
+
+
+@query(f"""WITH asked AS (SELECT item_id AS query_id, item_id // 3 AS question, item_id % 3 AS sub, text FROM benchmark), fq AS (SELECT question, {_LANG} AS l, {_SOURCE} AS s FROM (SELECT DISTINCT question FROM asked) LEFT JOIN documents ON doc_id = question),
+f AS (SELECT DISTINCT l, s FROM fq UNION SELECT NULL, NULL), d AS (SELECT l, s, doc_id AS doc, {_TOKENS} AS t FROM documents JOIN f ON (l IS NULL OR lang = l) AND (s IS NULL OR source = s)),
+tf AS (SELECT l, s, doc, len(t) AS len, term, count(*) AS tf FROM (SELECT l, s, doc, t, unnest(t) AS term FROM d) GROUP BY ALL), st AS (SELECT l, s, count(*) AS docs, avg(len(t)) AS avgdl FROM d GROUP BY l, s),
+df AS (SELECT tf.l, tf.s, term, ln((any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS raw, any_value(avgdl) AS avgdl FROM tf JOIN st ON tf.l IS NOT DISTINCT FROM st.l AND tf.s IS NOT DISTINCT FROM st.s GROUP BY ALL),
+low AS (SELECT l, s, 0.25 * avg(raw) AS low FROM df GROUP BY l, s), idf AS (SELECT df.l, df.s, term, avgdl, CASE WHEN raw < 0 THEN low ELSE raw END AS idf FROM df JOIN low ON df.l IS NOT DISTINCT FROM low.l AND df.s IS NOT DISTINCT FROM low.s),
+q0 AS (SELECT query_id, l, s, 1 AS round, text FROM asked JOIN fq USING (question) UNION ALL SELECT query_id, NULL, NULL, 2, text FROM asked),
+q AS (SELECT query_id, round, l, s, term, count(*) AS n FROM (SELECT query_id, round, l, s, unnest({_TOKENS}) AS term FROM q0) GROUP BY ALL),
+bm AS (SELECT query_id, round, doc, round(sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 9) AS score FROM q JOIN idf ON q.term = idf.term AND q.l IS NOT DISTINCT FROM idf.l AND q.s IS NOT DISTINCT FROM idf.s
+  JOIN tf ON tf.term = q.term AND tf.l IS NOT DISTINCT FROM q.l AND tf.s IS NOT DISTINCT FROM q.s GROUP BY ALL HAVING sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) > 0),
+dn AS (SELECT query_id, round, e.vec_id AS doc, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM q0 JOIN embeddings v ON v.vec_id = query_id JOIN documents ON (l IS NULL OR lang = l) AND (s IS NULL OR source = s) JOIN embeddings e ON e.vec_id = doc_id),
+sr AS (SELECT query_id, round, doc, row_number() OVER (PARTITION BY query_id, round ORDER BY score DESC, doc) AS semantic_rank FROM dn QUALIFY semantic_rank <= 50), kr AS (SELECT query_id, round, doc, row_number() OVER (PARTITION BY query_id, round ORDER BY score DESC, doc) AS keyword_rank FROM bm QUALIFY keyword_rank <= 50),
+b AS (SELECT query_id, round, doc, semantic_rank, keyword_rank, coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) AS score FROM sr FULL JOIN kr USING (query_id, round, doc)),
+h AS (SELECT query_id // 3 AS question, query_id % 3 AS sub, round, doc, {_FOUND}, row_number() OVER (PARTITION BY query_id, round ORDER BY {_ORDER}) AS rank FROM b QUALIFY rank <= 10),
+one AS (SELECT *, row_number() OVER (PARTITION BY question, doc ORDER BY rank, sub) AS i FROM h WHERE round = 1),
+p AS (SELECT question, sub, doc, row_number() OVER (PARTITION BY question ORDER BY rank, sub) AS position FROM one WHERE i = 1 QUALIFY position <= 10),
+two AS (SELECT *, row_number() OVER (PARTITION BY question, doc ORDER BY sub, rank) AS i FROM h WHERE round = 2 AND (question, sub) NOT IN (SELECT (question, sub) FROM h WHERE round = 1) AND (question, doc) NOT IN (SELECT (question, doc) FROM p))
+SELECT question, sub, doc, rank, found_by, round, position FROM one LEFT JOIN p USING (question, sub, doc)
+UNION ALL SELECT question, sub, doc, rank, found_by, round, coalesce((SELECT max(position) FROM p WHERE p.question = two.question), 0) + row_number() OVER (PARTITION BY question ORDER BY sub, rank) FROM two WHERE i = 1""")
+def planned_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three items as sub-questions of one question, each question with its own filter on language and source, in one scan; those whose
+    filter takes no document are asked again without it."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    asked = table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 3).alias("question"), (F.col("item_id") % 3).alias("sub"), F.col("text").alias("search_text"), F.col("text").alias("metric"), F.col("item_id"))
+    asked = asked.join(d.select(F.col("doc_id").alias("question"), "lang", "source"), "question", "left").join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("embedding").alias("metric_vector")), "item_id", "left")
+    only = lambda c: F.when(F.expr(c).isNotNull(), F.array(F.expr(c)))
+    asked = asked.withColumns({"lang": only(_LANG), "source": only(_SOURCE)})
+    return R.planned(d, "doc_id", "text", e, "vec_id", "embedding", asked, 10, ["lang", "source"], rounds=2)

@@ -80,6 +80,29 @@ def test_bm25_top_is_bm25(spark, monkeypatch):
     assert R.bm25_top(docs, "id", "t", terms.where("1 = 0"), 3).count() == 0
 
 
+def test_filters_by_query(spark, monkeypatch):
+    """Each query sees its own rows with their own statistics, as if the others were not there, also in several passes."""
+    monkeypatch.setattr(R, "TERMS", 3)
+    monkeypatch.setattr(R, "NUMBERS", 4)
+    rows = [(i, t, "ab"[i % 2], None if i == 4 else i % 3) for i, t in ROWS]
+    docs = spark.createDataFrame(rows, "id long, t string, side string, year int").repartition(3)
+    asked = [(i, "pear fig date lime", s, y) for i, (s, y) in enumerate([(None, None), (["a"], None), (["a", "b"], [0]), (None, [1, 2]), (["b"], [1]), (["z"], None), (["a", None], [0, 0])])]
+    a = spark.createDataFrame(asked, "query_id long, q string, side array<string>, year array<int>")
+    terms = R.query_terms(a, "query_id", "q", None)
+    got = {}
+    for r in R.bm25_top(docs, "id", "t", terms, 9, a.select("query_id", "side", "year")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc, r.score))
+    for q, text, side, year in asked:
+        own = [(i, t) for i, t, s, y in rows if (side is None or s in side) and (year is None or (y is not None and y in year))]
+        want = brute_bm25(own, [(q, text)])[q] if own else []
+        assert sorted(got.get(q, [])) == [(i + 1, d, pytest.approx(-s)) for i, (s, d) in enumerate(want)]
+    v = docs.select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"), "side", "year")
+    near = R.dense_top(v, "id", "v", a.select("query_id", F.array(F.lit(1.0), F.lit(0.0)).alias("vector")), 3, a.select("query_id", "side", "year"), own_ids=False)
+    for q, _, side, year in asked:
+        want = sorted((i for i, _, s, y in rows if (side is None or s in side) and (year is None or (y is not None and y in year))), reverse=True)[:3]
+        assert [r.doc for r in near.where(F.col("query_id") == q).orderBy("rank").collect()] == want
+
+
 def test_dense_of_all_items(spark):
     v = {r["vec_id"]: np.array(r["embedding"], float) for r in read("embeddings")}
     asked = [r["item_id"] for r in read("benchmark") if r["item_id"] in v]
