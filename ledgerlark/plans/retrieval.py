@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import incremental, inverted
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..sources.shared import scratch
 from .base import query, rounded, table
 
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9.,''-]*')"
@@ -191,3 +193,26 @@ def planned_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = lambda c: F.when(F.expr(c).isNotNull(), F.array(F.expr(c)))
     asked = asked.withColumns({"lang": only(_LANG), "source": only(_SOURCE)})
     return R.planned(d, "doc_id", "text", e, "vec_id", "embedding", asked, 10, ["lang", "source"], rounds=2)
+
+
+@query(f"WITH {_bm25()} SELECT query_id, doc, round(score, 6) AS score, rank FROM ({_ranked('bm', 10)})")
+def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk by a stored index, built from two thirds of the documents to which the others are appended."""
+    path, d = scratch(spark, "inverted"), table(spark, sf_dir, "documents")
+    for third in (F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 == 0):
+        inverted.append(d.where(third), "doc_id", "text", path)
+    found = inverted.search(spark, path, R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", None), 10)
+    return found.select("query_id", "doc", rounded("score", "score"), "rank")
+
+
+@query("""SELECT lang AS company, source AS fiscal_year, count(*) AS chunks, sum(length(coalesce(text, '')))::BIGINT AS letters, 2 AS version FROM documents WHERE doc_id % 11 <> 5 GROUP BY ALL""")
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks, indexed by language and source: first all, a seventh of them with another text; then as they are, an eleventh gone."""
+    path, d = scratch(spark, "incremental"), table(spark, sf_dir, "documents")
+    whole = d.select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("company"), F.col("source").alias("fiscal_year"))
+    before = whole.withColumn("text", F.when(F.col("document_id") % 7 == 0, F.concat("text", F.lit(" draft"))).otherwise(F.col("text")))
+    for chunks in (before, whole.where("document_id % 11 <> 5")):
+        state = chunks.select("document_id", F.sha2("text", 256).alias("sha256"), F.lit("1").alias("cache_key"), "company", "fiscal_year")
+        now = incremental.commit(chunks, state, path, "documents", "none", 0)
+    live = incremental.read(spark, path, "documents", "document_id string, text string, company string, fiscal_year string")
+    return live.groupBy("company", "fiscal_year").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("letters"), F.lit(now.version).cast("int").alias("version"))
