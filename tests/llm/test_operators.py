@@ -383,8 +383,9 @@ def test_network_tells_keys_from_words():
 # --- 10
 
 
-def brute_tree(train, texts, depth):
-    """log10 probabilities by the trees of all contexts in dicts: shares of depths 2 and deeper from the whole tree, of 0 and 1 from the tree cut at 2."""
+def brute_tree(train, texts, depth, split=0, longest=1):
+    """log10 probabilities by the trees of all contexts in dicts: shares of depths 2 and deeper from the whole tree, of 0 and 1 from the tree cut at 2,
+    of frequent contexts up to `longest` bytes from the tree cut just below them."""
     import math
 
     def steps(t):
@@ -412,10 +413,16 @@ def brute_tree(train, texts, depth):
         return both - math.log(2), math.exp(own - both)
 
     known = {}
+    total_bytes = sum(n[0, b"", 0, 0])
+
+    def above(k, c):
+        """Whether a context and all shorter ones from two bytes on hold more than 1 / split of all bytes."""
+        return 2 <= k <= longest and sum(n.get((k, c, 0, 0), (0, 0))) * split > total_bytes and (k == 2 or above(k - 1, c[:-1]))
 
     def share(node):
         if node not in known:
-            known[node] = weight(node, depth if node[0] >= 2 else 2)[1] if node in n else 0.5
+            cut = 2 if node[0] < 2 else node[0] + 1 if split and above(node[0], node[1]) else depth
+            known[node] = weight(node, cut)[1] if node in n else 0.5
         return known[node]
 
     out = []
@@ -434,16 +441,18 @@ def brute_tree(train, texts, depth):
     return out
 
 
-@pytest.mark.parametrize("row", [1 << 20, 30])
-def test_context_tree_against_all_contexts(spark, monkeypatch, row):
+@pytest.mark.parametrize("row, split", [(1 << 20, 4096), (30, 20)])
+def test_context_tree_against_all_contexts(spark, monkeypatch, row, split):
+    """Also where most trees, or only frequent ones, are cut at three to five bytes."""
     monkeypatch.setattr(context_tree, "ROW", row)
     monkeypatch.setattr(context_tree, "TREES", row)
+    monkeypatch.setattr(context_tree, "SPLIT", split)
     r = random.Random(17)
     texts = ["", "a", "Ünï ab", *["".join(r.choice(["the ", "cat ", "sat ", "on ", "Mat. ", "x"]) for _ in range(r.randrange(1, 12))) for _ in range(25)]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {x.doc_id: x.score for x in context_tree.score(df).collect()}
     train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
-    for i, want in enumerate(brute_tree(train, texts, context_tree.DEPTH)):
+    for i, want in enumerate(brute_tree(train, texts, context_tree.DEPTH, split, context_tree.LONGEST)):
         assert got[i] == pytest.approx(want, abs=0.3 * (len(texts[i].encode()) + 1) / context_tree.UNIT)
 
 
