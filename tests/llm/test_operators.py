@@ -447,6 +447,7 @@ def test_context_tree_against_all_contexts(spark, monkeypatch, row, split):
     monkeypatch.setattr(context_tree, "ROW", row)
     monkeypatch.setattr(context_tree, "TREES", row)
     monkeypatch.setattr(context_tree, "SPLIT", split)
+    monkeypatch.setattr(context_tree, "SAMPLE", 1)
     r = random.Random(17)
     texts = ["", "a", "Ünï ab", *["".join(r.choice(["the ", "cat ", "sat ", "on ", "Mat. ", "x"]) for _ in range(r.randrange(1, 12))) for _ in range(25)]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
