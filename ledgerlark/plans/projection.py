@@ -6,7 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from functools import reduce
+
+from ..operators import ingest as G
 from ..operators import projection as P
+from ..sources.shared import scratch
 from .base import query, rounded, table
 
 
@@ -70,3 +74,44 @@ def nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = o.join(l, o["o_orderkey"] == l["l_orderkey"])
     far = F.abs(F.unix_micros(F.col("l_shipdate").cast("timestamp")) - F.unix_micros(F.col("o_orderdate").cast("timestamp")))
     return j.groupBy("o_orderkey", "o_orderdate").agg(F.min_by("l_linenumber", F.struct(far, F.col("l_shipdate"), F.col("l_linenumber"))).alias("line"))
+
+
+@query("""WITH n AS (SELECT * FROM nation WHERE n_regionkey <> 2), c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)), s AS (SELECT * FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM n)),
+o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) AND l_suppkey IN (SELECT s_suppkey FROM s))
+SELECT 'region' AS relation, count(*) AS n, sum(r_regionkey)::BIGINT AS keys FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 'nation', count(*), sum(n_nationkey) FROM n UNION ALL SELECT 'customer', count(*), sum(c_custkey) FROM c
+UNION ALL SELECT 'supplier', count(*), sum(s_suppkey) FROM s UNION ALL SELECT 'orders', count(*), sum(o_orderkey) FROM o UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey) FROM l""")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region goes with all that refers to it: nations, their customers and suppliers, orders, and lines by either way."""
+    relations = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    tables = {t: table(spark, sf_dir, t) for t in keys}
+    left = G.cascade(tables, "region", tables["region"].where("r_regionkey = 2").select("r_regionkey"), relations)
+    return reduce(DataFrame.union, [left[t].agg(F.lit(t).alias("relation"), F.count("*").alias("n"), F.sum(k).cast("long").alias("keys")) for t, k in keys.items()])
+
+
+@query("""WITH r AS (SELECT o_orderkey % 3 AS arm, c_custkey AS q, max_by({'price': o_totalprice, 'status': o_orderstatus}, o_orderkey) AS v FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 10 > 0 GROUP BY ALL)
+SELECT 'companies' AS relation, count(DISTINCT source) AS n, 1 AS version FROM documents UNION ALL SELECT 'documents', count(*), 1 FROM documents UNION ALL SELECT 'questions', count(*), 1 FROM customer WHERE c_custkey % 10 > 0
+UNION ALL SELECT 'evidence', count(*), 1 FROM customer WHERE c_custkey % 10 > 0 UNION ALL SELECT 'experiments', 1, 1 UNION ALL SELECT 'answers', count(*), 2 FROM r UNION ALL SELECT 'verification_runs', count(*), 1 FROM r
+UNION ALL SELECT 'reasoning_runs', count(*) FILTER (v.status <> 'P'), 1 FROM r UNION ALL SELECT 'program_runs', count(*) FILTER (v.status = 'F'), 2 FROM r""")
+def full_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, customers as questions and orders as a run's answers, ingested; again without change; and with half the programs first missing and other verdicts."""
+    d, path = table(spark, sf_dir, "documents"), scratch(spark, "ingest")
+    registry = d.select(F.col("doc_id").cast("string").alias("document_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.lit("f").alias("filename"), F.col("source").alias("company"), F.col("lang").alias("fiscal_year"), F.lit(1).alias("page_count"))
+    c = table(spark, sf_dir, "customer").where("c_custkey % 10 > 0")
+    span = F.array(F.struct(F.lit("g").alias("group_id"), F.array(F.struct(F.lit(1).alias("page"), F.array(F.col("c_name")).alias("anchors"))).alias("any_of")))
+    dataset = c.select(F.concat(F.lit("Q"), "c_custkey").alias("qid"), F.col("c_name").alias("question"), F.lit(None).cast("string").alias("document_id"), F.lit("test").alias("split"), F.lit("1").alias("answer"), F.lit("INR").alias("unit"), F.lit("validated").alias("status"), span.alias("evidence"))
+    channel = lambda on: F.when(on, F.struct(F.lit(True).alias("available"), F.lit(None).cast("string").alias("failure_reason"), F.col("o_totalprice").cast("string").alias("value"), F.col("o_totalprice").cast("double").alias("canonical")))
+    none = {k: F.lit(None).cast("string" if k in ("verdict", "error") else "double") for k in ("verdict", "consistency_score", "risk_score", "latency_seconds", "error")}
+
+    def records(programs) -> DataFrame:
+        o = table(spark, sf_dir, "orders").select(F.concat(F.lit("Q"), "o_custkey").alias("question_id"), (F.col("o_orderkey") % 3).cast("string").alias("arm"), F.col("o_orderkey").alias("written"), F.col("o_totalprice").cast("string").alias("answer"), F.lit(False).alias("abstained"), programs.isNotNull().alias("agreed"), channel(F.col("o_orderstatus") != "P").alias("natural"), channel((F.col("o_orderstatus") == "F") & programs).alias("program"))
+        return o.withColumns({**none, "verification": F.lit(None).cast("struct<triggered:boolean,available:boolean,resolution:string,resolved:boolean,value:string>")})
+
+    graded = spark.createDataFrame([], "arm string, qid string, correct boolean, stratum string, label struct<provenance:string,kind:string,confidence:string,counts_as_hallucination:boolean>")
+    half = F.when(F.col("o_orderkey") % 2 == 0, F.lit(True))
+    for programs in (half, F.lit(True), F.lit(True)):
+        counts = G.ingest(spark, path, registry=registry, dataset=dataset, runs={"run": (records(programs), graded, {})})
+    if any(changed for _, changed in counts.values()):
+        raise AssertionError("the same sources changed something")
+    m = spark.read.schema(G.MANIFEST).json(f"{path}/manifest").groupBy(F.col("collection").alias("relation")).agg(F.max_by("n", "version").alias("n"), F.max("version").cast("int").alias("version"))
+    return m.where("relation <> 'hallucination_events'")
