@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import percentiles
+
 from .questions import audit
 
 # Tokens of a prompt, and the ways of retrieval.
@@ -145,8 +147,8 @@ def row_tokens(recorded: Column, natural: Column, program: Column) -> Column:
 
 def prompt_cost(rows: DataFrame, column: str) -> DataFrame:
     """Median, 90th by nearest rank, and most of a column."""
-    s = rows.agg(F.median(column).alias("median"), F.array_sort(F.collect_list(F.col(column))).alias("s"), F.max(column).alias("max"))
-    return s.select("median", F.try_element_at("s", F.floor(F.size("s") * 0.9).cast("int")).alias("p90"), "max")
+    most = rows.agg(F.max(column).alias("max"))
+    return most.crossJoin(percentiles(rows, [], column, linear={"median": 0.5}, nearest={"p90": 0.9})).select("median", "p90", "max")  # a row each
 
 
 def independence(bindings: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import values as V
 from .questions import audit, duplicates
+from .selection import numbered, running
 from .windows import hash_sample
 
 # The columns of a worksheet, the verdicts it may hold, and the status each gives.
@@ -78,14 +79,18 @@ def access_row(questions: DataFrame, reason: str) -> DataFrame:
 
 
 def interleaved(questions: DataFrame) -> DataFrame:
-    """Questions with their position when companies take turns, the one with fewest questions first.  Positions come from counts of
-    companies in each turn, so no task orders them all."""
-    own = Window.partitionBy("company")
-    q = questions.withColumn("turn", F.row_number().over(own.orderBy("qid"))).withColumn("of", F.count("*").over(own))
+    """Questions with their position when companies take turns, the one with fewest questions first.
+
+    In a turn stand the companies that have so many questions, which are the last of all companies by their numbers; so a position is the questions
+    of the turns before, and the company's place among all less the companies that are done.  No task holds a company or a turn."""
+    sizes = questions.groupBy("company").agg(F.count("*").alias("of"))
+    places = numbered(sizes, [], ["of", "company"], "place")
+    all_ = sizes.agg(F.count("*").alias("companies"))
+    q = numbered(questions, ["company"], ["qid"], "turn")
     turns = q.groupBy("turn").agg(F.count("*").alias("n"))
-    start = turns.select("turn", F.coalesce(F.sum("n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row for each turn
-    q = q.withColumn("within", F.row_number().over(Window.partitionBy("turn").orderBy("of", "company")))
-    return q.join(start, "turn").withColumn("position", F.col("start") + F.col("within")).drop("turn", "of", "start", "within")
+    turns = running(turns, [], ["turn"], F.col("n"), "upto").crossJoin(F.broadcast(all_)).select("turn", (F.col("upto") - F.col("companies")).alias("start"))  # questions before, less companies that are done
+    j = q.join(turns, "turn").join(places.withColumnRenamed("company", "c"), F.col("company").eqNullSafe(F.col("c")))
+    return j.withColumn("position", F.col("start") + F.col("place")).drop("turn", "of", "start", "place", "c")
 
 
 def worksheet(questions: DataFrame) -> DataFrame:
@@ -145,8 +150,8 @@ def agreement(questions: DataFrame) -> DataFrame:
 
 def company_sample(questions: DataFrame, limit: int, seed: str) -> DataFrame:
     """At most `limit` questions in which companies take turns, each in an order by hash."""
-    own = Window.partitionBy("company").orderBy(F.md5(F.concat(F.lit(seed), F.col("qid").cast("string"))), "qid")
-    return questions.withColumn("turn", F.row_number().over(own)).orderBy("turn", "company").limit(limit)
+    q = questions.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col("qid").cast("string"))))
+    return numbered(q, ["company"], ["__h", "qid"], "turn").drop("__h").orderBy("turn", "company").limit(limit)
 
 
 def located(pages: DataFrame, candidates: DataFrame) -> DataFrame:

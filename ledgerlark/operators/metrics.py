@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .selection import percentiles
+
 
 def _by_score(rows: DataFrame) -> DataFrame:
     """rows (score, label 1 = error): positives and negatives of each distinct score."""
@@ -131,10 +133,13 @@ def cost_matched(reports: DataFrame, arm: str, left: str, right: str) -> DataFra
 
 def efficiency(costs: DataFrame, *by: str) -> DataFrame:
     """costs (latency, tokens, cost): percentiles by linear interpolation, tokens a question, priced share."""
-    return costs.groupBy(*by).agg(
-        F.count("*").alias("questions"), F.coalesce(F.percentile("latency", 0.5), F.lit(0.0)).alias("p50"), F.coalesce(F.percentile("latency", 0.95), F.lit(0.0)).alias("p95"),
-        F.avg("tokens").alias("tokens_per_question"), F.sum("tokens").alias("tokens"), F.avg(F.col("cost").isNotNull().cast("double")).alias("cost_coverage"), F.sum("cost").alias("cost"),
-    )
+    sums = costs.groupBy(*by).agg(F.count("*").alias("questions"), F.avg("tokens").alias("tokens_per_question"), F.sum("tokens").alias("tokens"), F.avg(F.col("cost").isNotNull().cast("double")).alias("cost_coverage"), F.sum("cost").alias("cost"))
+    p = percentiles(costs, list(by), "latency", linear={"p50": 0.5, "p95": 0.95})
+    if not by:
+        return sums.join(p, how="left").fillna(0.0, ["p50", "p95"])  # a row each
+    p = p.withColumnsRenamed({c: f"{c}__" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in by]
+    return sums.join(p, same, "left").select(*by, "questions", F.coalesce("p50", F.lit(0.0)).alias("p50"), F.coalesce("p95", F.lit(0.0)).alias("p95"), "tokens_per_question", "tokens", "cost_coverage", "cost")
 
 
 # --- resampling ---------------------------------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import cut_by_hash, numbered
+
 
 def forward_fill(rows: DataFrame, by: list[str], order: list[str], column: str, source: str | None = None) -> DataFrame:
     """The last value not null so far, and the place it came from."""
@@ -31,25 +33,21 @@ def repeated_lines(pages: DataFrame, document: str, page: str, text: str) -> Dat
 
 def hash_sample(rows: DataFrame, key: str, seed: str, fraction: float) -> DataFrame:
     """A fixed share of the rows, one at least, the first by the hash of their keys: which rows does not depend on how they came out."""
-    h = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    n = rows.count()
-    return rows.orderBy(h, key).limit(max(1, round(n * fraction)) if n else 0)
+    share = lambda n: F.greatest(F.lit(1), F.bround(n * fraction, 0))
+    return cut_by_hash(rows, [], key, seed, [share], "__cut").where("__cut = 0").drop("__cut")
 
 
 def split_30_30_40(rows: DataFrame, key: str, strata: list[str], seed: str) -> DataFrame:
     """Development, validation and test by hash order within each stratum; shares rounded half to even."""
-    w = Window.partitionBy(*strata)
-    i = F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key))
-    n = F.count("*").over(w)
-    cut = F.bround(n * 0.3, 0)
-    return rows.withColumn("split", F.when(i <= cut, "development").when(i <= 2 * cut, "validation").otherwise("test"))
+    third = lambda k: lambda n: k * F.bround(n * 0.3, 0)
+    cut = cut_by_hash(rows, strata, key, seed, [third(1), third(2)], "__cut")
+    return cut.withColumn("split", F.element_at(F.array(F.lit("development"), F.lit("validation"), F.lit("test")), F.col("__cut") + 1)).drop("__cut")
 
 
 def balanced(rows: DataFrame, group: str, key: str) -> DataFrame:
     """Round-robin over groups, the smallest group first."""
     sized = rows.join(rows.groupBy(group).agg(F.count("*").alias("__n")), group)
-    i = F.row_number().over(Window.partitionBy(group).orderBy(key))
-    return sized.withColumn("turn", i).orderBy("turn", "__n", group).drop("__n")
+    return numbered(sized, [group], [key], "turn").orderBy("turn", "__n", group).drop("__n")
 
 
 def sliding_rate(events: DataFrame, by: list[str], at: str, seconds: int, weight: Column) -> DataFrame:
