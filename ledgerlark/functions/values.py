@@ -180,10 +180,12 @@ def relative_difference(a: Column, b: Column) -> Column:
 
 
 def power_of_ten(a: Column, b: Column, tolerance: float) -> Column:
-    """The first listed n with |a| about |b| * 10**n, or null."""
+    """The listed n with |a| about |b| * 10**n, or null; a tolerance under a half leaves one n at most, the nearest."""
     ratio = F.abs(a).cast("double") / F.nullif(F.abs(b).cast("double"), F.lit(0.0))
-    hit = lambda n: F.abs(ratio - F.lit(10.0**n)) / F.greatest(ratio, F.lit(10.0**n)) <= tolerance
-    return F.when((a != 0) & (b != 0), F.coalesce(*[F.when(hit(n), F.lit(n)) for n in POWERS]))
+    n = F.round(F.log10(ratio))
+    power = F.pow(F.lit(10.0), n)
+    near = F.abs(ratio - power) / F.greatest(ratio, power) <= tolerance
+    return F.when((a != 0) & (b != 0) & near & n.isin([float(p) for p in POWERS]), n.cast("int"))
 
 
 def compatible(left: Column, right: Column) -> Column:

@@ -124,6 +124,13 @@ def qa_report(judged: DataFrame) -> DataFrame:
     return r.crossJoin(counts)  # one row each
 
 
+def tolerance_sensitivity(judged: DataFrame, taus: list[float], *by: str) -> DataFrame:
+    """judged (correct: by everything but the size of the error, rel_err): accuracy at each tolerance, from one reading of the answers."""
+    j = judged.select(*by, "correct", "rel_err", F.explode(F.array(*[F.lit(t) for t in taus])).alias("tau"))
+    right = F.col("correct") & F.coalesce(F.col("rel_err") <= F.col("tau"), F.lit(True))
+    return j.groupBy(*by, "tau").agg(F.count("*").alias("n"), F.avg(right.cast("int")).alias("accuracy"))
+
+
 def cost_matched(reports: DataFrame, arm: str, left: str, right: str) -> DataFrame:
     """Ratios of two arms' rows of efficiency(): tokens, latency, cost; null where either is undefined or the right one is zero."""
     l, r = (reports.where(F.col(arm) == x) for x in (left, right))

@@ -111,6 +111,12 @@ def program_outcome(available: Column, reason: Column, error_type: Column, execu
     return F.when(available, "answered").when(error_type.isin(PROVIDER_FAILURES), "unavailable").when(F.coalesce(executed, F.lit(False)), "abstained").otherwise("parse_failure")
 
 
+def outcome_shares(calls: DataFrame) -> DataFrame:
+    """calls (channel, outcome): how many of a channel's calls came to each outcome, and their share."""
+    n = calls.groupBy("channel", "outcome").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("channel")))  # four rows for a channel
+
+
 def selected_answer(arbiter: Column, natural: Column, program: Column, deterministic: Column) -> tuple[Column, Column]:
     """The answer that counts and where it is from."""
     source = F.when(arbiter.isNotNull(), "verification_agent").when(natural.isNotNull(), "natural").when(program.isNotNull(), "program").when(deterministic.isNotNull(), "deterministic")

@@ -79,27 +79,32 @@ def evidence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("k", "questions", *[rounded(x, x) for x in ("recall_at_k", "precision_at_k", "mrr", "evidence_retrieval_accuracy")])
 
 
-@query("""SELECT o_orderkey, ['answered', 'unavailable', 'abstained', 'parse_failure'][o_orderkey % 4 + 1] AS natural, ['answered', 'unavailable', 'abstained', 'parse_failure'][o_orderkey % 4 + 1] AS program FROM orders""")
+@query("""WITH c AS (SELECT role, coalesce(text, '') AS t FROM conversations), o AS (SELECT role, CASE WHEN length(t) >= 200 THEN 'answered' WHEN length(t) % 4 = 0 THEN 'unavailable' WHEN contains(t, ',') THEN 'abstained' ELSE 'parse_failure' END AS outcome,
+CASE WHEN length(t) >= 200 THEN 'answered' WHEN length(t) % 4 = 0 THEN 'unavailable' WHEN contains(t, '.') THEN 'abstained' ELSE 'parse_failure' END AS program FROM c), u AS (SELECT role AS channel, outcome FROM o UNION ALL SELECT role || ' program', program FROM o)
+SELECT channel, outcome, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY channel), 6) AS share FROM u GROUP BY channel, outcome""")
 def channel_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What became of each channel's call."""
-    k = F.col("o_orderkey") % 4
-    reason = F.when(k == 2, "channel declined to answer").when(k == 3, "no JSON object in the reply").when(k == 1, "quota exhausted")
-    error = F.when(k == 1, "QuotaExhaustedError")
-    return table(spark, sf_dir, "orders").select("o_orderkey", Q.outcome(k == 0, reason, error).alias("natural"), Q.program_outcome(k == 0, reason, error, k == 2).alias("program"))
+    """What became of each channel's calls, and the shares: turns as calls, by what their texts hold."""
+    t = F.coalesce("text", F.lit(""))
+    ok, error = F.length(t) >= 200, F.when(F.length(t) % 4 == 0, "QuotaExhaustedError")
+    reason = F.when(t.contains(","), "channel declined to answer").otherwise("no JSON object in the reply")
+    c = table(spark, sf_dir, "conversations")
+    calls = c.select(F.col("role").alias("channel"), Q.outcome(ok, reason, error).alias("outcome")).union(c.select(F.concat("role", F.lit(" program")), Q.program_outcome(ok, reason, error, t.contains("."))))
+    return Q.outcome_shares(calls).select("channel", "outcome", "n", rounded("share", "share"))
 
 
-@query("""SELECT o_orderkey, k <> 2 AND k <> 3 AND k <> 4 AS available, CASE WHEN k = 0 THEN 'currency' WHEN k = 1 THEN 'percent' END AS unit_kind, CASE WHEN k < 2 THEN round(o_totalprice, 2) END AS amount,
-CASE k WHEN 2 THEN 'channel declined to answer; reported the evidence as insufficient' WHEN 3 THEN 'empty reply' WHEN 4 THEN 'answer could not be parsed as a financial value' END AS failure_reason,
-CASE k WHEN 0 THEN CASE WHEN o_orderkey % 2 = 1 THEN 'supports_b' ELSE 'supports_a' END WHEN 1 THEN 'own_answer' ELSE 'unresolved' END AS resolution FROM (SELECT *, o_orderkey % 5 AS k FROM orders)""")
+@query("""WITH c AS (SELECT conv_id, turn, role, length(coalesce(text, '')) AS n FROM conversations), k AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN role = 'user' THEN 'figure' WHEN n < 300 THEN 'declined' ELSE 'words' END AS k FROM c)
+SELECT conv_id, turn, k = 'figure' AS available, CASE WHEN k = 'figure' THEN n::DOUBLE END AS amount, CASE WHEN k = 'figure' THEN CASE WHEN n % 3 = 0 THEN 'percent' ELSE 'currency' END END AS unit_kind,
+CASE k WHEN 'declined' THEN 'channel declined to answer; reported the evidence as insufficient' WHEN 'empty' THEN 'empty reply' WHEN 'words' THEN 'answer could not be parsed as a financial value' END AS failure_reason,
+CASE WHEN k IN ('empty', 'words') THEN 'unresolved' WHEN k = 'declined' THEN 'supports_neither' WHEN (n % 2 = 0) <> (turn % 4 > 1) THEN 'supports_a' ELSE 'supports_b' END AS resolution FROM k""")
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channels' and the arbiter's replies read: figures, refusals, nothing, words; the arbiter's candidates turned back where they were swapped."""
-    k, n = F.col("o_orderkey") % 5, F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    reply = (
-        F.when(k == 0, F.concat(F.lit('{"answer": '), n, F.lit(', "unit": "INR crore", "resolution": "candidate_1"}'))).when(k == 1, F.concat(F.lit('{"answer": '), n, F.lit(', "unit": "percent", "resolution": "neither"}')))
-        .when(k == 2, '{"answer": null, "sufficient": false, "resolution": "unresolved"}').when(k == 3, "").otherwise('{"answer": "many", "resolution": "candidate_2"}')
-    )
-    o = table(spark, sf_dir, "orders").select("o_orderkey", C.natural_reply(reply).alias("n"), C.arbiter_reply(reply, F.col("o_orderkey") % 2 == 1).alias("a"))
-    return o.select("o_orderkey", "n.available", F.col("n.value.unit_kind").alias("unit_kind"), F.col("n.value.amount").cast("double").alias("amount"), "n.failure_reason", "a.resolution")
+    """Channels' and the arbiter's replies read, made of each turn's length: figures with their units, refusals, words, nothing; the arbiter's candidates
+    turned back where they were swapped."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    of = lambda answer, unit, sufficient, said: F.to_json(F.struct(answer.alias("answer"), unit.alias("unit"), F.lit(sufficient).alias("sufficient"), said.alias("resolution")))
+    figure = of(n.cast("string"), F.when(n % 3 == 0, "percent").otherwise("INR crore"), True, F.when(n % 2 == 0, "Candidate_1 ").otherwise("candidate_2"))
+    reply = F.when(n == 0, "").when(F.col("role") == "user", figure).when(n < 300, of(F.lit(None).cast("string"), F.lit(None).cast("string"), False, F.lit("neither"))).otherwise(of(F.lit("many"), F.lit(""), True, F.lit("candidate_1")))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", C.natural_reply(reply).alias("n"), C.arbiter_reply(reply, F.col("turn") % 4 > 1).alias("a"))
+    return c.select("conv_id", "turn", "n.available", F.col("n.value.amount").cast("double").alias("amount"), F.col("n.value.unit_kind").alias("unit_kind"), "n.failure_reason", "a.resolution")
 
 
 @query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) SELECT doc_id, nullif(regexp_extract(text, '\b([A-Z][A-Za-z&.\- ]{2,60}?)\s+(?:Limited|Ltd\.?)\b', 1), '') IS NOT NULL AS company, regexp_matches(text, '(?i)year ended March 31,\s*\d{4}') OR regexp_matches(text, '(?i)FY\s?\d{4}-\d{2,4}') OR regexp_matches(text, '\d{4}-\d{2}\b') AS fiscal_year FROM d""")

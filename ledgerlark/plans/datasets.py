@@ -121,14 +121,18 @@ def basis_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DS.basis_audit(q, b).select(F.col("qid").alias("o_orderkey"), "verdict")
 
 
-@query("""SELECT o_orderkey, ['12.5', '1234', '77', NULL, '12'][o_orderkey % 5 + 1] AS figure, o_orderkey % 3 = 1 AS contradicts, CASE WHEN o_orderkey % 2 = 0 THEN 'crore' END AS conflict FROM orders""")
+@query("""WITH l AS (SELECT l_orderkey, list(round(l_extendedprice * 100)::BIGINT) AS prices, max(l_extendedprice) AS last FROM lineitem GROUP BY l_orderkey), a AS (SELECT o_orderkey, o_orderstatus, o_totalprice, prices, round(CASE WHEN month(o_orderdate) % 2 = 0 THEN last ELSE o_totalprice END * 100)::BIGINT AS cents FROM orders JOIN l ON l_orderkey = o_orderkey)
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE (cents // 100)::VARCHAR || '.' || lpad((cents % 100)::VARCHAR, 2, '0') END AS figure, NOT list_contains(prices, cents) AS contradicts, CASE WHEN o_totalprice >= 200000 THEN 'crore' WHEN o_totalprice >= 100000 THEN 'lakhs' END AS conflict FROM a""")
 def reviewed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers as a reviewer wrote them: bare figures, conclusions, figures that the anchors do not cite, scales given to quotients."""
-    k = F.col("o_orderkey")
-    said = F.element_at(F.array(*[F.lit(s) for s in ("12.5%", "1,234", "Working: 70 + 7.\nConclusion: the margin is 77 %", "not clear", " 12 ")]), (k % 5 + 1).cast("int"))
-    anchors = F.concat(F.lit("p12: Revenue|1,234 ;; p1: Tax|"), F.when(k % 3 == 1, "9").otherwise("55.50"))
-    unit = F.when(k % 2 == 0, "INR crore").otherwise("%")
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.bare_figure(said).alias("figure"), X.contradicts_anchors(F.lit("55.5"), anchors).alias("contradicts"), X.unit_conflict(F.lit("What was the net margin?"), F.lit(""), unit).alias("conflict"))
+    """Answers as a reviewer wrote them: an order's highest price or its total as a figure, in a conclusion or in words; the prices that its lines cite; scales
+    given to quotients."""
+    l = table(spark, sf_dir, "lineitem")
+    own = l.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("page"), F.array(F.lit("Price"), F.format_number("l_extendedprice", 2)).alias("anchors")))).alias("evidence"), F.max("l_extendedprice").alias("last"))
+    o = table(spark, sf_dir, "orders").join(own, "o_orderkey")
+    number = F.format_number(F.when(F.month("o_orderdate") % 2 == 0, F.col("last")).otherwise(F.col("o_totalprice")), 2)
+    said = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(" "), number, F.lit(" %"))).when(F.col("o_orderstatus") == "O", F.concat(F.lit("Working: by hand.\nConclusion: the margin is "), number, F.lit(" percent"))).otherwise("not clear")
+    unit = F.when(F.col("o_totalprice") >= 200000, "INR crore").when(F.col("o_totalprice") >= 100000, "lakhs").otherwise("%")
+    return o.select("o_orderkey", X.bare_figure(said).alias("figure"), X.contradicts_anchors(number, X.anchors_text(F.col("evidence"))).alias("contradicts"), X.unit_conflict(F.lit("What was the net margin?"), F.lit(""), unit).alias("conflict"))
 
 
 @query("""WITH p AS (SELECT o_orderkey, o_orderkey % 2 = 1 AS minus, (round(o_totalprice * 100))::BIGINT::VARCHAR AS w, o_orderkey % 3 = 0 AS frac FROM orders),

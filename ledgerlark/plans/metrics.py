@@ -172,8 +172,5 @@ def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_J}, t AS (SELECT unnest([0.001, 0.005, 0.01, 0.05]::DOUBLE[]) AS tau) SELECT l_returnflag, tau, count(*) AS n, round(avg((k IN (0, 6) OR (k = 1 AND tau >= 0.005) OR (k = 2 AND tau >= 0.05))::INT), 6) AS accuracy FROM m, t GROUP BY ALL""")
 def tau_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy at four tolerances."""
-    out = None
-    for tau in (0.001, 0.005, 0.01, 0.05):
-        part = _judged(spark, sf_dir, tau).groupBy("l_returnflag").agg(F.lit(tau).alias("tau"), F.count("*").alias("n"), rounded(F.avg(F.col("j.correct").cast("int")), "accuracy"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    j = _judged(spark, sf_dir, float("inf")).select("l_returnflag", "j.correct", "j.rel_err")
+    return M.tolerance_sensitivity(j, [0.001, 0.005, 0.01, 0.05], "l_returnflag").select("l_returnflag", "tau", "n", rounded("accuracy", "accuracy"))

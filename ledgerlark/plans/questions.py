@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import questions as Q
 from .base import query, rounded, table
 from .tables import lexicon
@@ -46,16 +47,18 @@ def lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-_MADE = ["What was the return on equity for 2023-24?", "What was the current ratio at March 31, 2024?", "Total assets?", "What was the?", "What share of the total was goodwill in 2022-23 and 2023-24?", "By how much did revenue grow between March 31, 2023 and March 31, 2024?"]
-
-
-@query("""WITH k AS (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders) SELECT o_orderkey, ['ratio', 'ratio', 'lookup', 'lookup', 'percentage_of', 'percentage_change'][k + 1] AS operation, ['2023-24', '2023-24', NULL, NULL, NULL, NULL][k + 1] AS fiscal_year,
-['percent', 'ratio', 'currency', 'unknown', 'percent', 'percent'][k + 1] AS expected_unit, ['return on equity', 'current ratio', NULL, NULL, 'goodwill as a share of total assets', NULL][k + 1] AS derived_metric,
-['profit for the year|total equity', 'total current assets|total current liabilities', 'Total assets consolidated balance sheet', '', 'goodwill consolidated balance sheet|total assets consolidated balance sheet', 'revenue grow between'][k + 1] AS searches FROM k""")
+@query("""WITH o AS (SELECT o_orderkey, year(o_orderdate) + 10 AS y, month(o_orderdate) % 4 AS k FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN 'ratio' WHEN 1 THEN 'ratio' WHEN 2 THEN 'percentage_change' ELSE 'lookup' END AS operation, CASE k WHEN 0 THEN y::VARCHAR || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') WHEN 1 THEN (y - 1)::VARCHAR || '-' || lpad((y % 100)::VARCHAR, 2, '0') END AS fiscal_year,
+CASE k WHEN 0 THEN 'percent' WHEN 1 THEN 'ratio' WHEN 2 THEN 'percent' ELSE 'currency' END AS expected_unit, CASE k WHEN 0 THEN 'return on equity' WHEN 1 THEN 'current ratio' END AS derived_metric,
+CASE k WHEN 0 THEN 'profit for the year|total equity' WHEN 1 THEN 'total current assets|total current liabilities' WHEN 2 THEN 'order ' || o_orderkey::VARCHAR || ' grow between' ELSE 'price order ' || o_orderkey::VARCHAR END AS searches FROM o""")
 def sub_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions taken apart: components of derived metrics with the statement that reports them, exact names with theirs, content words alone, nothing."""
-    q = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(m) for m in _MADE]), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("q"))
-    s = Q.specs(q, "o_orderkey", "q", lexicon(spark))
+    """Questions about each order and its year taken apart: components of derived metrics with the statement that reports them, or content words alone."""
+    y, k, n = F.year("o_orderdate") + 10, F.month("o_orderdate") % 4, F.col("o_orderkey").cast("string")
+    q = (
+        F.when(k == 0, F.concat(F.lit("What was the return on equity for "), X.fiscal_label(y), F.lit("?"))).when(k == 1, F.concat(F.lit("What was the current ratio at March 31, "), y, F.lit("?")))
+        .when(k == 2, F.concat(F.lit("By how much did order "), n, F.lit(" grow between March 31, "), y, F.lit(" and March 31, "), y + 1, F.lit("?"))).otherwise(F.concat(F.lit("What was the price of order "), n, F.lit("?")))
+    )
+    s = Q.specs(table(spark, sf_dir, "orders").select("o_orderkey", q.alias("q")), "o_orderkey", "q", lexicon(spark))
     return s.select("o_orderkey", "operation", "fiscal_year", "expected_unit", "derived_metric", F.array_join(F.transform("sub_questions", lambda x: x["search_text"]), "|").alias("searches"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables as B
+from ..functions import text as X
 from ..operators import binding as N
 from ..operators import documents as D
 from .base import query, rounded, table
@@ -97,23 +98,24 @@ def statement_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.statement_basis(p, "conv_id", "turn", "text")
 
 
-_CELLS = ["As at March 31, 2024", "2022-23", "1999-00", "2024 2023", "FY24", "Particulars", "FY 2021", "2019/2020"]
-
-
-@query("""SELECT o_orderkey, ['2024', '2023', '2000', NULL, '2024', NULL, '2021', '2020'][o_orderkey % 8 + 1] AS year, [1, 1, 1, 2, 0, 0, 1, 2][o_orderkey % 8 + 1] AS literals FROM orders""")
+@query("""WITH d AS (SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) % 5 AS form FROM orders)
+SELECT o_orderkey, CASE form WHEN 0 THEN y::VARCHAR WHEN 1 THEN y::VARCHAR WHEN 3 THEN '20' || right(y::VARCHAR, 2) END AS year, CASE form WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS literals FROM d""")
 def header_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The year that a column's header names."""
-    cell = F.element_at(F.array(*[F.lit(c) for c in _CELLS]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    """The year that a column's header names: order dates as a day, the fiscal span that ends then, two years, a short fiscal year, none."""
+    y, form = F.year("o_orderdate"), F.month("o_orderdate") % 5
+    cell = F.when(form == 0, F.concat(F.lit("As at March 31, "), y)).when(form == 1, X.fiscal_label(y - 1)).when(form == 2, F.concat_ws(" ", y.cast("string"), (y - 1).cast("string"))).when(form == 3, F.concat(F.lit("FY"), F.substring(y.cast("string"), 3, 2))).otherwise(F.col("o_orderpriority"))
     return table(spark, sf_dir, "orders").select("o_orderkey", B.header_year(cell).alias("year"), F.size(B.years_in(cell)).alias("literals"))
 
 
-@query("""SELECT o_orderkey, [NULL, 'crore', 'lakh', 'million', NULL][o_orderkey % 5 + 1] AS declared, ['crore', 'crore', 'lakh', 'million', NULL][o_orderkey % 5 + 1] AS mentioned, ['INR', 'INR', NULL, 'USD', 'EUR'][o_orderkey % 5 + 1] AS currency,
-['(All figures in INR crore) [units declared on page 1, not on this page]', '(All figures in INR crore)', '(All figures in lakh)', '(All figures in USD million)', '(All figures in EUR )'][o_orderkey % 5 + 1] AS banner FROM orders""")
+@query("""WITH p AS (SELECT p_partkey, p_retailprice, CASE WHEN p_retailprice >= 975 THEN 'crore' WHEN p_retailprice >= 950 THEN 'lakh' WHEN p_retailprice >= 925 THEN 'million' END AS scale, p_size > 25 AS declares FROM part),
+m AS (SELECT *, CASE WHEN scale IS NULL THEN 'EUR' WHEN declares THEN 'INR' ELSE 'USD' END AS currency FROM p)
+SELECT p_partkey, CASE WHEN declares THEN scale END AS declared, scale AS mentioned, currency, '(All figures in ' || currency || ' ' || coalesce(scale, '') || ')' || CASE WHEN p_partkey % 7 <> 3 THEN ' [units declared on page ' || (p_partkey % 7)::VARCHAR || ', not on this page]' ELSE '' END AS banner FROM m""")
 def unit_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The units that a caption declares or mentions, and how a chunk states them."""
-    text = F.element_at(F.array(*[F.lit(x) for x in ("₹ 12 crore were paid", "All amounts in Rs. crore", "(in lakhs)\nFigures in lakhs", "($ in millions)", "€ only")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", B.scale_context(text, strict=True).alias("s"), B.scale_context(text).alias("m"))
-    return o.select("o_orderkey", F.col("s.scale").alias("declared"), F.col("m.scale").alias("mentioned"), F.col("m.currency").alias("currency"), B.unit_banner(F.col("m.scale"), F.col("m.currency"), F.lit(7), F.when(F.col("o_orderkey") % 5 == 0, F.lit(1))).alias("banner"))
+    """The units that a caption declares or mentions, by the price and size of the part that it is about, and how a chunk states them."""
+    scale = F.when(F.col("p_retailprice") >= 975, "crore").when(F.col("p_retailprice") >= 950, "lakhs").when(F.col("p_retailprice") >= 925, "millions")
+    text = F.when(scale.isNull(), F.concat(F.lit("€ prices of "), "p_name")).when(F.col("p_size") > 25, F.concat(F.lit("Prices of "), "p_name", F.lit(" (in Rs. "), scale, F.lit(")"))).otherwise(F.concat("p_name", F.lit(" sold for $ 5 "), scale))
+    p = table(spark, sf_dir, "part").select("p_partkey", B.scale_context(text, strict=True).alias("s"), B.scale_context(text).alias("m"))
+    return p.select("p_partkey", F.col("s.scale").alias("declared"), F.col("m.scale").alias("mentioned"), F.col("m.currency").alias("currency"), B.unit_banner(F.col("m.scale"), F.col("m.currency"), F.lit(3), F.col("p_partkey") % 7).alias("banner"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), s AS (SELECT doc_id, trim(rtrim(line, chr(13))) AS s FROM l),
