@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +11,43 @@ from ..functions import text as X
 from ..functions.values import MONEY
 
 
+#: Rows of one first word, as a share of all, from which it is joined by broadcast: 1 / FREQUENT, so that there are fewer than FREQUENT such words.
+FREQUENT = 200
+
+
+def trie(lexicon: DataFrame) -> DataFrame:
+    """lexicon (alias, canonical) as the edges of a tree of tokens: depth, node (the words so far), token, child, and the canonical name
+    where child is a whole alias (of several the last in order)."""
+    a = lexicon.select("canonical", X.tokens(F.col("alias")).alias("t")).where("size(t) > 0")
+    step = F.explode(F.sequence(F.lit(1), F.size("t"))).alias("depth")
+    e = a.select("canonical", "t", step).select("depth", F.array_join(F.slice("t", 1, F.col("depth") - 1), " ").alias("node"), F.get("t", F.col("depth") - 1).alias("token"), F.array_join(F.slice("t", 1, F.col("depth")), " ").alias("child"), F.when(F.col("depth") == F.size("t"), F.col("canonical")).alias("canonical"))
+    return e.groupBy("depth", "node", "token", "child").agg(F.max("canonical").alias("canonical"))
+
+
 def longest_term(texts: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """lexicon (alias, canonical): the canonical name of the longest alias that stands in a text as words.
-
-    Texts and aliases meet on the alias's first word, so the join is an equality and no text meets the
-    whole lexicon.
-    """
-    words = X.tokens(F.col(text))
-    t = texts.select(key, F.array_join(words, " ").alias("flat"), F.explode(F.array_distinct(words)).alias("first"))
-    a = lexicon.select("canonical", F.array_join(X.tokens(F.col("alias")), " ").alias("alias")).withColumn("first", F.substring_index("alias", " ", 1))
-    hit = t.join(a, "first").where(F.concat(F.lit(" "), "flat", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("alias"), F.lit(" "))))
-    return hit.groupBy(key).agg(F.max_by("canonical", F.struct(F.length("alias"), F.col("alias"))).alias("canonical"))
+    """lexicon (alias, canonical): the canonical name of the longest alias that stands in a text as words, ties to the last in order.
+
+    Every word of a text starts at the root of the lexicon's tree and goes down a level at a time by an equality join on node and next word; what
+    finds no edge is dropped.  Words that start more than 1 / FREQUENT of all texts' words meet the root's edges by broadcast."""
+    edges = trie(lexicon).persist()
+    most = edges.agg(F.max("depth")).first()[0] or 0
+    words = texts.select(key, X.tokens(F.col(text)).alias("t"))
+    state = words.select(key, F.posexplode("t").alias("at", "token"), "t").select(key, "token", F.slice("t", F.col("at") + 2, max(most - 1, 1)).alias("rest"))
+    root = edges.where("depth = 1").select("token", "child", "canonical")
+    counts = state.join(root, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")).persist()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(counts.where(F.col("n") * FREQUENT > total).select("token"))  # fewer than FREQUENT
+    state = state.join(F.broadcast(root.join(often, "token", "left_semi")), "token").unionByName(state.join(often, "token", "left_anti").join(root.join(often, "token", "left_anti"), "token"))
+    hits = []
+    for depth in range(1, most + 1):
+        hits.append(state.where("canonical is not null").select(key, F.col("child").alias("alias"), "canonical"))
+        if depth < most:
+            down = edges.where(F.col("depth") == depth + 1).select("node", "token", "child", "canonical")
+            on = state.where("size(rest) > 0").select(key, F.col("child").alias("node"), F.get("rest", F.lit(0)).alias("token"), F.slice("rest", 2, most).alias("rest"))
+            state = on.join(down, ["node", "token"]).select(key, "rest", "child", "canonical").persist()
+    if not hits:
+        return texts.select(key, F.lit(None).cast("string").alias("canonical")).where("1 = 0")
+    return reduce(DataFrame.unionByName, hits).groupBy(key).agg(F.max_by("canonical", F.struct(F.length("alias"), F.col("alias"))).alias("canonical"))
 
 
 # Metrics made of others, by the first pattern that a question holds; components, operation and unit.

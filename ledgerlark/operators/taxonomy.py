@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import normalised
 from ..functions.values import degroup, power_of_ten
@@ -50,11 +56,69 @@ def macro(scores: DataFrame, *by: str) -> DataFrame:
     return scores.groupBy(*by).agg(F.count("*").alias("questions"), F.avg("recall").alias("recall_at_k"), F.avg("precision").alias("precision_at_k"), F.avg("rr").alias("mrr"), F.avg(F.col("all_found").cast("double")).alias("evidence_retrieval_accuracy"))
 
 
+#: Letters of anchors that are looked for in one reading of the corpus.
+LETTERS = 1 << 25
+
+
+def spans_in(texts: DataFrame, place: str, id_col: str, spans: DataFrame) -> DataFrame:
+    """(question, group_id, id): where the spans (question, group_id, place, anchors) of a stated set are held: texts (place, text, id) of
+    the same place that hold all their anchors, digit groups aside.
+
+    Each text is read once against all anchors by an automaton that each task builds, so no text meets a span whose anchors it does not
+    hold and no place is a key that rows gather under.  More than LETTERS of anchors go in several readings."""
+    own = spans.select("question", "group_id", F.col(place).alias("place"), F.transform("anchors", normalised).alias("plain")).withColumn("bare", F.transform("plain", degroup)).distinct()
+    size = F.aggregate("plain", F.lit(0), lambda s, x: s + F.length(x))
+    n = max(1, -(-(own.agg(F.sum(size)).first()[0] or 0) // LETTERS))
+    part = lambda i: own.where(F.pmod(F.xxhash64("question", "group_id", "place", "plain"), F.lit(n)) == i) if n > 1 else own
+    read = texts.select(F.col(place).alias("place"), normalised(F.coalesce("text", F.lit(""))).alias("plain"), F.col(id_col).alias("id")).withColumn("bare", degroup(F.col("plain")))
+    schema = own.select("question", "group_id").schema.add("id", read.schema["id"].dataType)
+
+    def found(rows: list) -> DataFrame:
+        shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forms = [{}, {}]  # of each form of the anchors: anchor to the (span, anchor's place) that ask for it
+            for i, (_, _, _, plain, bare) in enumerate(shared.value):
+                for form, anchors in zip(forms, (plain, bare), strict=True):
+                    for k, a in enumerate(anchors):
+                        form.setdefault(a, []).append((i, k))
+            machines = []
+            for form in forms:
+                m = ahocorasick.Automaton()
+                for a, of in form.items():
+                    if a:
+                        m.add_word(a, of)
+                m.make_automaton()
+                machines.append(m)
+            always = {x for form in forms for x in form.get("", ())}
+            for b in batches:
+                out = []
+                for place_, plain, id_, bare in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    met = set(always)
+                    for m, text in zip(machines, (plain, bare), strict=True):
+                        if len(m):
+                            for _, of in m.iter(text):
+                                met.update(of)
+                    counts: dict[int, int] = {}
+                    for i, _k in met:
+                        counts[i] = counts.get(i, 0) + 1
+                    free = [i for i, s in enumerate(shared.value) if not s[3]] if not_asked else ()
+                    for i in [*(i for i, c in counts.items() if c == len(shared.value[i][3])), *free]:
+                        if shared.value[i][2] == place_ and place_ is not None:
+                            out.append((shared.value[i][0], shared.value[i][1], id_))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(to_arrow_schema(schema))], names=schema.names)
+
+        not_asked = any(not r.plain for r in rows)
+        return read.select("place", "plain", "id", "bare").mapInArrow(run, schema)
+
+    return reduce(DataFrame.union, [found(part(i).collect()) for i in range(n)]).distinct()
+
+
 def diagnosed(items: DataFrame, spans: DataFrame, corpus: DataFrame, most: int) -> DataFrame:
     """The groups that the first `most` items miss: ranked_too_low where some chunk of the corpus (page, text, chunk_id) satisfies them,
     else absent_from_index."""
     missed = spans.join(satisfied(items.where(F.col("rank") <= most), spans).select("question", "group_id").distinct(), ["question", "group_id"], "left_anti")
-    holders = corpus.join(missed, "page").where(holds_anchors(F.col("text"), F.col("anchors"))).groupBy("question", "group_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("holders"))
+    holders = spans_in(corpus, "page", "chunk_id", missed).groupBy("question", "group_id").agg(F.array_sort(F.collect_set("id")).alias("holders"))
     g = missed.groupBy("question", "group_id").agg(F.array_sort(F.collect_set("page")).alias("pages_allowed")).join(holders, ["question", "group_id"], "left")
     return g.select("question", "group_id", F.when(F.col("holders").isNull(), "absent_from_index").otherwise("ranked_too_low").alias("verdict"), F.slice(F.coalesce("holders", F.array().cast("array<string>")), 1, 5).alias("holders"), "pages_allowed")
 
@@ -62,8 +126,8 @@ def diagnosed(items: DataFrame, spans: DataFrame, corpus: DataFrame, most: int)
 def unlisted(pages: DataFrame, spans: DataFrame) -> DataFrame:
     """Gold that is not complete: pages (document_id, page, text) that hold a span's anchors and that its group does not list.
     spans: question, group_id, document_id, page, anchors."""
-    hit = pages.join(spans.select("question", "group_id", "document_id", "anchors").distinct(), "document_id").where(holds_anchors(F.col("text"), F.col("anchors")))
-    return hit.select("question", "group_id", "page").distinct().join(spans, ["question", "group_id", "page"], "left_anti")
+    hit = spans_in(pages, "document_id", "page", spans)
+    return hit.select("question", "group_id", F.col("id").alias("page")).distinct().join(spans, ["question", "group_id", "page"], "left_anti")
 
 
 def oracle_blocks(spans: DataFrame, chunks: DataFrame, most: int = 8) -> DataFrame:

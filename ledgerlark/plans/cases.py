@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import questions as Q
 from ..operators import taxonomy as T
 from ..operators import verify as C
+from ..sources import records
 from .base import query, rounded, table
 
 _C = """o AS (SELECT o_orderkey AS k, round(o_totalprice, 2) AS g FROM orders),
@@ -112,3 +113,36 @@ def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents name a company or a fiscal year in one of the forms of filings."""
     t = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", X.guessed_company(t).isNotNull().alias("company"), X.guessed_fiscal_year(t).isNotNull().alias("fiscal_year"))
+
+
+@query(rf"""WITH {_G}, m AS (SELECT g.* FROM g LEFT JOIN h USING (conv_id, group_id) WHERE coalesce(h.first > 2, true)),
+c AS (SELECT m.conv_id, m.group_id, list_sort(list(DISTINCT t.conv_id::VARCHAR || ':' || t.turn::VARCHAR)) AS holders FROM m JOIN conversations t ON t.turn = m.page AND contains(lower(trim(regexp_replace(coalesce(t.text, ''), '[\s\x{{A0}}]+', ' ', 'g'))), lower(m.anchor)) GROUP BY ALL)
+SELECT m.conv_id, m.group_id, CASE WHEN holders IS NULL THEN 'absent_from_index' ELSE 'ranked_too_low' END AS verdict, coalesce(array_to_string(holders[1:5], ','), '') AS holders FROM m LEFT JOIN c USING (conv_id, group_id)""")
+def diagnosed_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold that the first two turns of a conversation miss: whether any turn of the whole table holds it, and which."""
+    c = table(spark, sf_dir, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
+    words = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")), " "), 1, 3), " ")
+    spans = last.select(F.col("conv_id").alias("question"), F.col("turn").alias("page"), F.inline(F.array(F.struct(F.lit("last").alias("group_id"), F.array(words).alias("anchors")), F.struct(F.lit("none").alias("group_id"), F.array(F.lit("no such words")).alias("anchors")))))
+    items = c.select(F.col("conv_id").alias("question"), (F.col("turn") + 1).alias("rank"), F.col("turn").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    corpus = c.select(F.col("turn").alias("page"), "text", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"))
+    d = T.diagnosed(items, spans, corpus, 2)
+    return d.select(F.col("question").alias("conv_id"), "group_id", "verdict", F.array_join("holders", ",").alias("holders"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, sum(CASE WHEN l_quantity > 10 THEN l_quantity::BIGINT ELSE 0 END) AS sampled, count(*) FILTER (l_quantity > 10) AS samples FROM lineitem GROUP BY l_orderkey),
+o AS (SELECT o_orderstatus AS arm, o_totalprice AS latency, CASE WHEN o_orderpriority < '3' THEN o_orderkey % 90 + 10 ELSE 0 END AS nat, coalesce(sampled, 0) AS sampled, coalesce(samples, 0) AS samples, o_orderkey % 400 AS used, month(o_orderdate) = 1 AS triggered FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+SELECT arm, count(*) AS questions, sum(samples + (nat > 0)::INT)::BIGINT AS calls, sum(nat + sampled)::BIGINT AS tokens, round(sum(nat + sampled)::DOUBLE / count(*), 6) AS tokens_per_question, sum(greatest(0, used - nat - sampled))::BIGINT AS unattributed_tokens, round(avg(triggered::INT), 6) AS trigger_rate, round(quantile_cont(latency, 0.5), 4) AS p50, round(quantile_cont(latency, 0.95), 4) AS p95,
+sum(nat)::BIGINT AS natural_tokens, sum(sampled)::BIGINT AS sample_tokens FROM o GROUP BY arm""")
+def run_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a run's records with a sample for each line: tokens by channel, of no call, and how often the arbiter was asked."""
+    usage = "struct<prompt_tokens:bigint,completion_tokens:bigint,reasoning_tokens:bigint,reported_total_tokens:bigint,total_tokens:bigint,latency_seconds:double,cost_usd:double,cached:boolean>"
+    call = lambda total: F.from_json(F.to_json(F.struct(F.lit(True).alias("available"), F.struct(total.alias("total_tokens")).alias("usage"))), f"available boolean, usage {usage}")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(call(F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("long")))).alias("samples"))
+    o = table(spark, sf_dir, "orders")
+    o = o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left")
+    natural = F.when(F.col("o_orderpriority") < "3", call(F.col("o_orderkey") % 90 + 10))
+    runs = o.select(F.col("o_orderstatus").alias("arm"), F.col("o_orderkey").cast("string").alias("question_id"), natural.alias("natural"), "samples", (F.col("o_orderkey") % 400).alias("tokens_used"), F.col("o_totalprice").alias("latency_seconds"), F.struct((F.month("o_orderdate") == 1).alias("triggered")).alias("verification"))
+    r = records.run_efficiency(runs)
+    at = lambda c: F.coalesce(F.try_element_at("tokens_by_channel", F.lit(c)), F.lit(0))
+    return r.select("arm", "questions", "calls", "tokens", rounded("tokens_per_question", "tokens_per_question"), "unattributed_tokens", rounded("trigger_rate", "trigger_rate"), rounded("p50", "p50", 4), rounded("p95", "p95", 4), at("natural").alias("natural_tokens"), at("natural_sample").alias("sample_tokens"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import SCALES
+from ..functions.values import SCALES, parse
 from ..operators.dataset import unique_qids
+from ..operators.selection import percentiles
 
 CHANNEL = "struct<available:boolean,applicable:boolean,failure_reason:string,value:string,canonical:string,usage:struct<prompt_tokens:bigint,completion_tokens:bigint,reasoning_tokens:bigint,reported_total_tokens:bigint,total_tokens:bigint,latency_seconds:double,cost_usd:double,cached:boolean>>"
-RUN = f"question string, arm string, question_id string, answer string, abstained boolean, risk_score double, agreed boolean, verdict string, consistency_score double, natural {CHANNEL}, program {CHANNEL}, deterministic {CHANNEL}, tokens_used bigint, latency_seconds double, stratum string, error string"
+RUN = f"question string, arm string, question_id string, answer string, abstained boolean, risk_score double, agreed boolean, verdict string, consistency_score double, natural {CHANNEL}, program {CHANNEL}, deterministic {CHANNEL}, tokens_used bigint, latency_seconds double, stratum string, error string, samples array<{CHANNEL}>, verification struct<triggered:boolean,available:boolean,resolution:string,resolved:boolean,value:string>"
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -27,16 +28,41 @@ def remaining(grid: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def usage_rows(runs: DataFrame) -> DataFrame:
-    """A row for each channel's call, with the tokens no channel accounts for as a row of its own."""
-    parts = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"{c}.usage").alias("u")) for c in ("natural", "program", "deterministic")])
-    calls = runs.select("question_id", "arm", "tokens_used", F.explode(parts).alias("c")).where("c.u is not null")
+    """A row for each call that recorded tokens, of the channels and of every sample (natural_sample), and the tokens that no call
+    accounts for as a row of its own (unattributed)."""
+    own = [F.struct(F.lit(c).alias("channel"), F.col(f"{c}.usage").alias("u")) for c in ("natural", "program", "deterministic") if c in runs.columns]
+    parts = F.array(*own)
+    if "samples" in runs.columns:
+        parts = F.concat(parts, F.transform(F.coalesce("samples", F.array().cast(runs.schema["samples"].dataType)), lambda s: F.struct(F.lit("natural_sample").alias("channel"), s["usage"].alias("u"))))
+    calls = runs.select("question_id", "arm", F.explode(parts).alias("c")).where("c.u is not null")
     total = F.greatest(F.coalesce("c.u.reported_total_tokens", F.lit(0)), F.coalesce("c.u.total_tokens", F.lit(0)))
-    rows = calls.select("question_id", "arm", "c.channel", total.alias("tokens"), F.col("c.u.latency_seconds").alias("latency"), F.col("c.u.cost_usd").alias("cost"))
+    rows = calls.select("question_id", "arm", "c.channel", total.alias("tokens"), F.col("c.u.latency_seconds").alias("latency"), F.col("c.u.cost_usd").alias("cost")).where("tokens > 0")
     counted = rows.groupBy("question_id", "arm").agg(F.sum("tokens").alias("counted"))
     rest = runs.join(counted, ["question_id", "arm"], "left").select("question_id", "arm", F.lit("unattributed").alias("channel"), F.greatest(F.lit(0), F.coalesce("tokens_used", F.lit(0)) - F.coalesce("counted", F.lit(0))).alias("tokens"), F.lit(None).cast("double").alias("latency"), F.lit(None).cast("double").alias("cost"))
     return rows.unionByName(rest.where("tokens > 0"))
 
 
+def run_efficiency(runs: DataFrame) -> DataFrame:
+    """Per arm: questions, calls that recorded tokens, their tokens, tokens a question, tokens of no call, share of questions that went to the
+    arbiter, median and 95th percentile of the latency, and tokens by channel."""
+    u = usage_rows(runs)
+    by = u.where("channel <> 'unattributed'").groupBy("arm", "channel").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("calls"))
+    sums = by.groupBy("arm").agg(F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", "tokens")))).alias("tokens_by_channel"))  # a row for each channel
+    rest = u.where("channel = 'unattributed'").groupBy("arm").agg(F.sum("tokens").alias("unattributed_tokens"))
+    q = runs.groupBy("arm").agg(F.count("*").alias("questions"), F.avg(F.coalesce("verification.triggered", F.lit(False)).cast("double")).alias("trigger_rate"))
+    late = percentiles(runs.select("arm", F.coalesce("latency_seconds", F.lit(0.0)).alias("latency")), ["arm"], "latency", linear={"p50": 0.5, "p95": 0.95})
+    out = q.join(sums, "arm", "left").join(rest, "arm", "left").join(late, "arm", "left").fillna(0, ["calls", "tokens", "unattributed_tokens"])
+    return out.select("arm", "questions", "calls", "tokens", (F.col("tokens") / F.col("questions")).alias("tokens_per_question"), "unattributed_tokens", "trigger_rate", "p50", "p95", "tokens_by_channel")
+
+
+def answer_records(runs: DataFrame, gold: DataFrame) -> DataFrame:
+    """Runs as rows to grade, one for each answer to a question of the gold (question_id, amount, unit_kind, currency, ambiguous): the
+    prediction read again from the answer's text, and whether a program ran (null: none was asked)."""
+    own = runs.select("arm", "question_id", parse(F.nullif("answer", F.lit(""))).alias("p"), F.coalesce("abstained", F.lit(False)).alias("abstained"), F.when(F.col("program").isNotNull(), F.coalesce("program.available", F.lit(False))).alias("program_executed"), "stratum")
+    g = gold.select("question_id", F.col("amount").alias("gold"), F.col("unit_kind").alias("gold_kind"), F.col("currency").alias("gold_currency"), "ambiguous")
+    return own.join(g, "question_id").select("arm", "question_id", F.col("p.amount").alias("prediction"), F.col("p.scale").alias("scale"), F.coalesce("p.unit_kind", F.lit("unknown")).alias("unit_kind"), F.col("p.currency").alias("currency"), "abstained", "program_executed", "stratum", "gold", "gold_kind", "gold_currency", "ambiguous")
+
+
 def registered(files: DataFrame) -> DataFrame:
     """Files (path, content) of the binary source: a record for each distinct content."""
     r = files.select("path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("bytes"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"))
