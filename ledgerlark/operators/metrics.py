@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .selection import percentiles
+from .selection import percentiles, running
 
 
 def _by_score(rows: DataFrame) -> DataFrame:
@@ -28,7 +30,8 @@ def _running(rows: DataFrame, order: str, desc: bool, **sums: str) -> DataFrame:
     """rows with running sums (name=column) in the order of a column, each row included: sums within range-sorted parts,
     and of the parts before; no task sees all rows."""
     key = F.col(order).desc() if desc else F.col(order).asc()
-    r = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).withColumn("part", F.spark_partition_id())
+    # kept, so that both uses see the same parts: the bounds of two range sorts are two samples
+    r = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).withColumn("part", F.spark_partition_id()).persist()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     parts = r.groupBy("part").agg(*[F.sum(c).alias(f"{n}_0") for n, c in sums.items()]).select("part", *[F.coalesce(F.sum(f"{n}_0").over(before), F.lit(0)).alias(f"{n}_0") for n in sums])
     own = Window.partitionBy("part").orderBy(key)
@@ -48,6 +51,37 @@ def average_precision(rows: DataFrame) -> DataFrame:
     return g.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.sum("p").cast("double")).alias("average_precision"))
 
 
+def ranked_by(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (by, score, label) of many groups at once: n, errors, AUROC, average precision of each; null as for one group."""
+    g = rows.where("score is not null").groupBy(*by, "score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
+    up = running(g, by, ["score"], F.col("n"), "upto")
+    roc = up.groupBy(*by).agg(F.sum(F.col("p") + F.col("n")).alias("cases"), F.sum("p").alias("errors"), F.try_divide(F.sum(F.col("p") * (F.col("upto") - F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double")).alias("auroc"))
+    down = running(running(g.withColumn("down", -F.col("score")), by, ["down"], F.col("p"), "tp"), by, ["down"], F.col("p") + F.col("n"), "all")
+    ap = down.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.sum("p").cast("double")).alias("average_precision"))
+    return roc.withColumnRenamed("cases", "n").join(ap, by)
+
+
+def thresholds_by(rows: DataFrame, by: list[str]) -> DataFrame:
+    """select_threshold() of each group: by, threshold and its counts and rates."""
+    own = rows.where("score is not null").select(*by, F.col("score").cast("double").alias("score"), "label")
+    extra = own.select(*by).distinct().select(*by, F.explode(F.array(F.lit(0.0), F.lit(1.0 + 1e-9))).alias("score"))
+    counted = own.groupBy(*by, "score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
+    zero = F.lit(0).cast("long")
+    g = counted.unionByName(extra.select(*by, "score", zero.alias("p"), zero.alias("n"))).groupBy(*by, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).withColumn("down", -F.col("score"))
+    g = running(running(g, by, ["down"], F.col("p"), "tp"), by, ["down"], F.col("n"), "fp")
+    whole = g.groupBy(*by).agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"))
+    r = rates(g.join(whole, by).withColumn("fn", F.col("ps") - F.col("tp")).withColumn("tn", F.col("ns") - F.col("fp")))
+    kept = ["score", "tp", "fp", "tn", "fn", "precision", "recall", "f1"]
+    best = r.groupBy(*by).agg(F.min(F.struct((-F.col("f1")).alias("a"), (-F.col("recall")).alias("b"), *kept)).alias("best"))
+    return best.select(*by, *[F.col(f"best.{c}").alias("threshold" if c == "score" else c) for c in kept])
+
+
+def contingency(rows: DataFrame, *by: str) -> DataFrame:
+    """rows (agreed, correct): how many of each, where agreement is known."""
+    a, c = F.col("agreed"), F.col("correct")
+    return rows.where(a.isNotNull()).groupBy(*by).agg(F.count_if(a & c).alias("agree_correct"), F.count_if(a & ~c).alias("agree_wrong"), F.count_if(~a & c).alias("disagree_correct"), F.count_if(~a & ~c).alias("disagree_wrong"))
+
+
 def at_threshold(rows: DataFrame, threshold: Column) -> list[Column]:
     flag = F.col("score") >= threshold
     y = F.col("label") == 1
@@ -93,7 +127,7 @@ def risk_coverage(rows: DataFrame, parts: int | None = None) -> DataFrame:
 def _positions(rows: DataFrame, by: list[str], parts: int | None) -> DataFrame:
     """Running count and running errors in the order of the columns, without one task for all rows."""
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = rows.select("id", "score", "label").repartitionByRange(n, *by).withColumn("part", F.spark_partition_id())
+    r = rows.select("id", "score", "label").repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()).persist()
     sums = r.groupBy("part").agg(F.count("*").alias("rows"), F.sum("label").alias("errs"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     sums = sums.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows0"), F.coalesce(F.sum("errs").over(before), F.lit(0)).alias("errs0"))
@@ -110,6 +144,19 @@ def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return t.withColumn("rejected", F.min((F.col("p") <= F.col("cut")).cast("int")).over(order) == 1)
 
 
+def qa_report_by(judged: DataFrame, *by: str) -> DataFrame:
+    """qa_report() of each group."""
+    mean = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    j = judged.where("not ambiguous and mismatch <> 'missing_gold'")
+    counts = j.groupBy(*by, "mismatch").agg(F.count("*").alias("m")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mismatch", "m")))).alias("mismatches"))  # a row for each kind
+    r = j.groupBy(*by).agg(
+        F.count("*").alias("n"), mean(F.col("exact")).alias("exact_match"), mean(F.col("correct")).alias("accuracy"), mean(F.col("abstained")).alias("abstention_rate"),
+        mean(F.col("prediction").isNull() & ~F.col("abstained")).alias("parse_failure_rate"), mean(F.col("unit_assumed")).alias("unit_assumption_rate"),
+        F.try_divide(F.count_if(F.col("program_executed") & F.col("correct")).cast("double"), F.count("program_executed")).alias("execution_accuracy"),
+    )
+    return r.join(counts, list(by))
+
+
 def qa_report(judged: DataFrame) -> DataFrame:
     """judged (correct, exact, mismatch, unit_assumed, abstained, prediction, program_executed, ambiguous): rates over the rows that are
     not ambiguous and have gold, the number of each mismatch; no rows give 0.0, and execution accuracy null."""
@@ -217,6 +264,50 @@ def auroc_draws(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -
     return np.divide((pairs + errors * before).sum(0), total, out=np.full(resamples, np.nan), where=total > 0)
 
 
+def auroc_draws_by(rows: DataFrame, by: list[str], resamples: int = RESAMPLES, seed: int = SEED) -> dict[tuple, np.ndarray]:
+    """auroc_draws() of every group from one range-sorted pass keyed by group and score; the same weights of a row in all its groups.  The driver gets
+    three arrays for each group and task that holds some of it: groups plus tasks in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, order, score, state = None, 0, None, None
+
+        def done() -> pa.RecordBatch:
+            pairs, errors, others, held = state
+            pairs = pairs + held[1] * (others + held[0] / 2)
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in key] + [pa.array([TaskContext.get().partitionId()], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (pairs, errors + held[1], others + held[0])]], schema=schema_arrow)
+
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            for *group, i, s, y in zip(*cols, strict=True):
+                if group != key:
+                    if key is not None:
+                        yield done()
+                    key, score, state = group, None, (np.zeros(resamples), np.zeros(resamples), np.zeros(resamples), np.zeros((2, resamples)))
+                pairs, errors, others, held = state
+                if s != score:
+                    pairs, errors, others = pairs + held[1] * (others + held[0] / 2), errors + held[1], others + held[0]
+                    held, score = np.zeros((2, resamples)), s
+                held[int(y)] += _weights(seed, [i], resamples)[0]
+                state = pairs, errors, others, held
+        if key is not None:
+            yield done()
+
+    own = rows.where("score is not null").select(*[F.col(c).cast("string").alias(c) for c in by], "id", F.col("score").cast("double").alias("score"), F.col("label").cast("int").alias("label"))
+    schema = T.StructType.fromDDL(", ".join([*[f"`{c}` string" for c in by], "part int, pairs binary, errors binary, others binary"]))
+    schema_arrow = to_arrow_schema(schema)
+    parts = own.repartitionByRange(*by, "score").sortWithinPartitions(*by, "score", "id").mapInArrow(run, schema).collect()
+    groups: dict[tuple, list] = {}
+    for r in sorted(parts, key=lambda r: r.part):
+        groups.setdefault(tuple(r[c] for c in by), []).append([np.frombuffer(r[c]) for c in ("pairs", "errors", "others")])
+    out = {}
+    for g, rows_ in groups.items():
+        pairs, errors, others = (np.array(x) for x in zip(*rows_, strict=True))
+        before = np.cumsum(others, 0) - others
+        total = errors.sum(0) * others.sum(0)
+        out[g] = np.divide((pairs + errors * before).sum(0), total, out=np.full(resamples, np.nan), where=total > 0)
+    return out
+
+
 def interval(spark: SparkSession, point: float | None, draws: np.ndarray, alpha: float = 0.05) -> DataFrame:
     """One row: point, low, high, undefined resamples, whether zero is outside, and the two-sided p of the difference from zero."""
     known = draws[np.isfinite(draws)]

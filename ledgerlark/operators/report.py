@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.records import run_efficiency
 from . import metrics as M
 
 # Cases below which no claim is made, and what each arm of the ablation leaves out.
@@ -33,39 +35,59 @@ def _scored(cases: DataFrame) -> DataFrame:
     return cases.where("risk_score is not null").select(F.col("qid").alias("id"), F.col("risk_score").alias("score"), (~F.col("correct")).cast("int").alias("label"))
 
 
-def detection(cases: DataFrame, resamples: int = M.RESAMPLES, threshold: float | None = None) -> DataFrame:
-    """One row: n, errors, AUROC with its interval, average precision, threshold with its rates, and whether errors are too few for a claim."""
-    rows = _scored(cases)
-    n = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("errors"))
-    ci = M.bootstrap_auroc(rows, resamples).select(F.col("point").alias("auroc"), "low", "high", "undefined")
+def detection_by(cases: DataFrame, by: list[str], resamples: int = M.RESAMPLES, threshold: float | None = None) -> DataFrame:
+    """For each group with scores n, errors, AUROC with its interval, average precision, threshold with its rates, and whether errors are too few for a
+    claim.  One set of passes keyed by group serves all groups, resampling included; a case weighs the same in each."""
+    spark = cases.sparkSession
+    rows = cases.where("risk_score is not null").select(*by, F.col("qid").alias("id"), F.col("risk_score").alias("score"), (~F.col("correct")).cast("int").alias("label"))
+    draws = M.auroc_draws_by(rows, by, resamples)
+    ends = []
+    for group, d in sorted(draws.items()):
+        known = d[np.isfinite(d)]
+        low, high = (float(x) for x in np.quantile(known, [0.025, 0.975])) if len(known) else (None, None)
+        ends.append((*group, low, high, int(len(d) - len(known))))
+    bounds = spark.createDataFrame(ends, ", ".join([*[f"`{c}` string" for c in by], "low double, high double, undefined int"]))  # a row for each group
     if threshold is None:
-        cut = M.select_threshold(rows).select(F.col("score").alias("threshold"), "tp", "fp", "tn", "fn", "precision", "recall", "f1")
+        cut = M.thresholds_by(rows, by)
     else:
-        cut = M.rates(rows.agg(*M.at_threshold(rows, F.lit(threshold)))).select(F.lit(threshold).alias("threshold"), "tp", "fp", "tn", "fn", "precision", "recall", "f1")
-    return n.crossJoin(ci).crossJoin(M.average_precision(rows)).crossJoin(cut).withColumn("too_few", F.col("errors") < LEAST)  # one row each
+        cut = M.rates(rows.groupBy(*by).agg(*M.at_threshold(rows, F.lit(threshold)))).select(*by, F.lit(threshold).alias("threshold"), "tp", "fp", "tn", "fn", "precision", "recall", "f1")
+    return M.ranked_by(rows, by).join(F.broadcast(bounds), by).join(cut, by).withColumn("too_few", F.col("errors") < LEAST)
+
 
+_NOTHING = {"n": 0, "errors": 0, "undefined": 0, "too_few": True}
 
-def stratified(cases: DataFrame, resamples: int = M.RESAMPLES, threshold: float | None = None) -> DataFrame:
-    """detection() of each stratum and of all cases, pooled."""
-    own = [detection(cases.where(F.col("stratum") == s), resamples, threshold).withColumn("stratum", F.lit(s)) for s in STRATA]
-    return reduce(DataFrame.unionByName, [*own, detection(cases, resamples, threshold).withColumn("stratum", F.lit("pooled"))])
 
+def stratified(cases: DataFrame, resamples: int = M.RESAMPLES, threshold: float | None = None, *by: str) -> DataFrame:
+    """detection_by() of each stratum and of all cases, pooled; a stratum without scores has a row of nulls with n 0."""
+    own = F.array_compact(F.array(F.when(F.col("stratum").isin(STRATA), F.col("stratum")), F.lit("pooled")))
+    found = detection_by(cases.withColumn("stratum", F.explode(own)), [*by, "stratum"], resamples, threshold)
+    groups = cases.select(*by).distinct() if by else cases.sparkSession.range(1).select()
+    grid = groups.select("*", F.explode(F.array(*[F.lit(s) for s in [*STRATA, "pooled"]])).alias("stratum"))
+    return grid.join(found, [*by, "stratum"], "left").fillna({k: v for k, v in _NOTHING.items() if k != "too_few"}).withColumn("too_few", F.coalesce("too_few", F.lit(True)))
+
+
+def detection(cases: DataFrame, resamples: int = M.RESAMPLES, threshold: float | None = None) -> DataFrame:
+    """The pooled row of stratified()."""
+    return stratified(cases, resamples, threshold).where("stratum = 'pooled'").drop("stratum")
 
-def operating_threshold(cases: DataFrame, arm: str, min_recall: float | None = None) -> float:
-    """The threshold that validation cases choose; an arm without scores has none."""
+
+def operating_threshold(cases: DataFrame, arm: str, min_recall: float | None = None, validation_run: str | None = None, reported_run: str | None = None) -> float:
+    """The threshold that validation cases choose; an arm without scores has none, and a run never chooses its own."""
+    if validation_run is not None and validation_run == reported_run:
+        raise ValueError(f"run {reported_run} cannot choose the threshold that it is reported at")
     row = M.select_threshold(_scored(cases.where(F.col("arm") == arm)), min_recall).first()
     if row is None or not _scored(cases.where(F.col("arm") == arm)).take(1):
         raise ValueError(f"arm {arm} has no risk scores: no threshold can be chosen")
     return float(row["score"])
 
 
-def arbitration(records: DataFrame) -> DataFrame:
+def arbitration(records: DataFrame, *by: str) -> DataFrame:
     """records (triggered, resolved, correct, right_available): one row of counts; the rate is null under LEAST graded cases.
 
     winnable: resolved cases in which a channel held the right figure; won: those answered rightly."""
     t, r = F.col("triggered"), F.col("triggered") & F.col("resolved")
     graded = r & F.col("correct").isNotNull()
-    g = records.agg(
+    g = records.groupBy(*by).agg(
         F.count("*").alias("records"), F.count_if(t).alias("triggered"), F.count_if(r).alias("resolved"), F.count_if(t & ~F.col("resolved")).alias("declined"), F.count_if(graded).alias("graded"),
         F.count_if(graded & F.col("correct")).alias("correct"), F.count_if(graded & F.col("right_available")).alias("winnable"), F.count_if(graded & F.col("right_available") & F.col("correct")).alias("won"),
     )
@@ -140,9 +162,47 @@ def case_study(cases: DataFrame, by: str, least: int = 15) -> DataFrame:
 
 
 def report(cases: DataFrame, resamples: int = M.RESAMPLES, threshold: float | None = None) -> DataFrame:
-    """stratified() of every arm, by arm and stratum."""
-    arms = [r.arm for r in cases.select("arm").distinct().orderBy("arm").collect()]  # a campaign's arms
-    return reduce(DataFrame.unionByName, [stratified(cases.where(F.col("arm") == a), resamples, threshold).withColumn("arm", F.lit(a)) for a in arms])
+    """stratified() of every arm, by arm and stratum, from one set of passes over all cases."""
+    return stratified(cases, resamples, threshold, "arm")
+
+
+def verdicts(cases: DataFrame, costs: DataFrame | None = None, resamples: int = M.RESAMPLES) -> DataFrame:
+    """All five hypotheses in one table: name, testable, verdict (supported, not_supported, untestable, or described, for those without a test), the
+    difference with its interval, p and Holm's decision over those tested.
+
+    H2: reasoning-caused against retrieval-caused errors of arm A, unpaired and without a test; H5: arms that reach four fifths of arm A's
+    AUROC gain over one half at half of its tokens (costs: arm, tokens_per_question); its difference is their number."""
+    spark = cases.sparkSession
+    tested = hypotheses(cases, resamples).select("name", "testable", "point", "low", "high", "p_value", "significant", F.when(~F.col("testable"), "untestable").when(F.coalesce("significant", F.lit(False)) & F.col("supported_before_correction"), "supported").otherwise("not_supported").alias("verdict"))
+    nothing = {c: F.lit(None).cast(t) for c, t in (("low", "double"), ("high", "double"), ("p_value", "double"), ("significant", "boolean"))}
+    h2 = strata_difference(cases).select(F.lit("H2").alias("name"), "testable", F.when(F.col("testable"), F.col("difference")).alias("point")).withColumns(nothing).withColumn("verdict", F.when(F.col("testable"), "described").otherwise("untestable"))
+    out = tested.unionByName(h2.select(*tested.columns))
+    if costs is None:
+        return out
+    curve = M.ranked_by(cases.where("risk_score is not null").select("arm", F.col("risk_score").alias("score"), (~F.col("correct")).cast("int").alias("label")), ["arm"]).where("auroc is not null").join(costs, "arm")
+    full = curve.where("arm = 'A'").select(F.col("auroc").alias("whole"), F.col("tokens_per_question").alias("price"))  # a row at most
+    cheap = curve.where("arm <> 'A'").crossJoin(F.broadcast(full)).agg(F.count_if((F.col("auroc") - 0.5 >= 0.8 * (F.col("whole") - 0.5)) & (F.col("tokens_per_question") <= 0.5 * F.col("price"))).alias("cheap"), F.count("*").alias("others"))
+    h5 = cheap.select(F.lit("H5").alias("name"), (F.col("others") > 0).alias("testable"), F.col("cheap").cast("double").alias("point")).withColumns(nothing).withColumn("verdict", F.when(F.col("testable"), "described").otherwise("untestable"))
+    return out.unionByName(h5.select(*tested.columns))
+
+
+def campaign_report(cases: DataFrame, judged: DataFrame | None = None, runs: DataFrame | None = None, arbiter: DataFrame | None = None, resamples: int = M.RESAMPLES, threshold: float | None = None) -> dict[str, DataFrame]:
+    """Every table of a campaign, each by arm: detection by stratum, agreement against correctness, errors by stratum, answers (judged: arm and as
+    qa_report() takes them), cost (runs, as run_efficiency() takes them), arbitration (arbiter: arm and as arbitration() takes it), the
+    hypotheses and the contrasts."""
+    out = {
+        "detection": report(cases, resamples, threshold), "contingency": M.contingency(cases, "arm"),
+        "errors": cases.where("not correct").groupBy("arm", F.coalesce("stratum", F.lit("unknown")).alias("stratum")).agg(F.count("*").alias("n")),
+    }
+    if judged is not None:
+        out["answers"] = M.qa_report_by(judged, "arm")
+    if runs is not None:
+        out["efficiency"] = run_efficiency(runs)
+    if arbiter is not None:
+        out["arbitration"] = arbitration(arbiter, "arm")
+    out["hypotheses"] = verdicts(cases, out["efficiency"].select("arm", "tokens_per_question") if runs is not None else None, resamples)
+    out["contrasts"] = contrasts(cases, resamples=resamples)
+    return out
 
 
 def melted(reports: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ _BEFORE = (Window.unboundedPreceding, -1)
 def running(rows: DataFrame, by: list[str], order: list[str], amount: Column, name: str) -> DataFrame:
     """rows with the sum of amount over the rows of their group up to them, in the given order, which must tell rows of a group apart."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = rows.withColumn("__a", amount).repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id())
+    # kept, so that both uses see the same parts: the bounds of two range sorts are two samples
+    r = rows.withColumn("__a", amount).repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()).persist()
     sums = r.groupBy(*by, "__part").agg(F.sum("__a").alias("__s"))
     before = sums.select(*by, "__part", F.coalesce(F.sum("__s").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(*_BEFORE)), F.lit(0)).alias("__0"))  # a row for each part of a group
     own = r.withColumn("__i", F.sum("__a").over(Window.partitionBy("__part", *by).orderBy(*order)))

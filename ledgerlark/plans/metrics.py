@@ -174,3 +174,24 @@ def tau_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy at four tolerances."""
     j = _judged(spark, sf_dir, float("inf")).select("l_returnflag", "j.correct", "j.rel_err")
     return M.tolerance_sensitivity(j, [0.001, 0.005, 0.01, 0.05], "l_returnflag").select("l_returnflag", "tau", "n", rounded("accuracy", "accuracy"))
+
+
+_ST = f"""{_S}, a AS (SELECT id, score, label, source AS arm, CASE lang WHEN 'en' THEN 'retrieval_caused' WHEN 'de' THEN 'reasoning_caused' WHEN 'fr' THEN 'unknown' END AS stratum FROM s),
+x AS (SELECT arm, stratum, score, label FROM a WHERE stratum IS NOT NULL UNION ALL SELECT arm, 'pooled', score, label FROM a), d AS (SELECT arm, stratum, score, sum(label)::BIGINT AS p, sum(1 - label)::BIGINT AS n FROM x GROUP BY ALL)"""
+
+
+@query(f"""WITH {_ST}, r AS (SELECT *, sum(n) OVER (PARTITION BY arm, stratum ORDER BY score) AS upto, sum(p) OVER (PARTITION BY arm, stratum ORDER BY score DESC) AS tp, sum(p + n) OVER (PARTITION BY arm, stratum ORDER BY score DESC) AS all_ FROM d),
+m AS (SELECT arm, stratum, sum(p + n)::BIGINT AS n, sum(p)::BIGINT AS errors, CASE WHEN sum(p) * sum(n) > 0 THEN sum(p * (upto - n / 2)) / (sum(p) * sum(n)) END AS auroc, CASE WHEN sum(p) > 0 THEN sum(p * tp / all_) / sum(p) END AS ap FROM r GROUP BY ALL),
+c AS (SELECT arm, stratum, score, p, n FROM d UNION ALL SELECT DISTINCT arm, stratum, unnest([0.0, 1.000000001]::DOUBLE[]), 0, 0 FROM d), c1 AS (SELECT arm, stratum, score, sum(p) AS p, sum(n) AS n FROM c GROUP BY ALL),
+k AS (SELECT *, sum(p) OVER (PARTITION BY arm, stratum ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY arm, stratum ORDER BY score DESC) AS fp, sum(p) OVER (PARTITION BY arm, stratum) AS ps FROM c1),
+f AS (SELECT *, coalesce(2 * tp / nullif(tp + fp + ps, 0), 0) AS f1, coalesce(tp / nullif(ps, 0), 0) AS recall FROM k), b AS (SELECT arm, stratum, score AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(f1, 6) AS f1 FROM f QUALIFY row_number() OVER (PARTITION BY arm, stratum ORDER BY f1 DESC, recall DESC, score) = 1),
+g AS (SELECT DISTINCT a.arm, t.stratum FROM a, (SELECT unnest(['retrieval_caused', 'reasoning_caused', 'unknown', 'pooled']) AS stratum) t)
+SELECT g.arm, g.stratum, coalesce(m.n, 0) AS n, coalesce(m.errors, 0) AS errors, round(auroc, 6) AS auroc, round(ap, 6) AS average_precision, round(threshold, 6) AS threshold, tp, fp, f1, coalesce(m.errors, 0) < 10 AS too_few, CASE WHEN m.arm IS NOT NULL THEN coalesce(auroc IS NULL OR true, false) END AS bounded
+FROM g LEFT JOIN m USING (arm, stratum) LEFT JOIN b USING (arm, stratum)""")
+def detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection of every arm and stratum from one set of passes: sources as arms, languages as strata.  bounded: the point lies in its interval, from 2,000 resamples."""
+    s = _scored(spark, sf_dir).withColumn("stratum", F.when(F.col("lang") == "en", "retrieval_caused").when(F.col("lang") == "de", "reasoning_caused").when(F.col("lang") == "fr", "unknown"))
+    cases = s.select(F.col("source").alias("arm"), F.col("id").alias("qid"), (F.col("label") == 0).alias("correct"), F.col("score").alias("risk_score"), "stratum")
+    r = RP.report(cases, 2000)
+    inside = F.when(F.col("undefined").isNotNull() & (F.col("n") > 0), F.col("auroc").isNull() | F.coalesce((F.col("low") <= F.col("auroc") + 1e-9) & (F.col("auroc") <= F.col("high") + 1e-9), F.lit(False)))
+    return r.select("arm", "stratum", "n", "errors", rounded("auroc", "auroc"), rounded("average_precision", "average_precision"), rounded("threshold", "threshold"), "tp", "fp", rounded("f1", "f1"), "too_few", inside.alias("bounded"))

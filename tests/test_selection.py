@@ -46,6 +46,17 @@ def test_percentiles(spark):
     assert S.percentiles(df.where("v is null"), ["g"], "v", linear={"p": 0.5}).count() == 0
 
 
+def test_percentiles_of_many_rows(spark):
+    """Enough rows that two range sorts would draw different bounds."""
+    df = spark.range(40_000).select((F.col("id") % 3).cast("string").alias("g"), F.rand(5).alias("v"), F.col("id").alias("other")).repartition(6).persist()
+    v = df.toPandas()
+    got = {r.g: r for r in S.percentiles(df, ["g"], "v", linear={"p50": 0.5, "p95": 0.95}).collect()}
+    for g, own in v.groupby("g"):
+        assert [got[g].p50, got[g].p95] == pytest.approx(own.v.quantile([0.5, 0.95]).tolist())
+    numbered = S.numbered(df, ["g"], ["v"], "i").toPandas()
+    assert (numbered.i == numbered.groupby("g").v.rank(method="first")).all()
+
+
 def test_positions_in_turn(spark):
     rows, df = rows_of(spark)
     q = df.where("g is not null").select(F.col("k").alias("qid"), F.col("g").alias("company"))
