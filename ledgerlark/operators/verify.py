@@ -19,10 +19,10 @@ UNIT = ["scale_mismatch", "currency_mismatch", "unit_kind_mismatch"]
 NO_EVIDENCE, CONFLICT, HARD_WEIGHT, NO_CORROBORATION, ARBITER_ABSTAINED, RESIDUAL = 1.0, 0.9, 0.85, 0.45, 0.55, 0.5
 
 
-def _side_by_side(channels: DataFrame, key: str) -> DataFrame:
-    """A row for each key with its three channels as structs c0, c1, c2; one shuffle."""
+def _side_by_side(channels: DataFrame, key: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each key with its three channels as structs c0, c1, c2, more columns included; one shuffle."""
     c = channels.withColumn("usable", F.col("available") & F.col("amount").isNotNull()).withColumn("v", canonical(F.col("amount"), F.col("scale"), F.col("unit_kind")))
-    own = F.struct("usable", "v", "unit_kind", "currency", "applicable")
+    own = F.struct("usable", "v", "unit_kind", "currency", "applicable", *more)
     return c.groupBy(key).agg(*[F.max(F.when(F.col("channel") == i, own)).alias(f"c{i}") for i in range(3)])
 
 
@@ -43,8 +43,8 @@ def _score(kind: Column, rel: Column) -> Column:
     return F.when(kind == "channel_unavailable", 0.5).when(kind == "none", 1.0).when(kind == "magnitude_mismatch", F.least(F.lit(1.0), TOLERANCE / rel)).otherwise(0.0)
 
 
-def _compared(channels: DataFrame, key: str) -> DataFrame:
-    return _side_by_side(channels, key).select("*", _pair(0, 1).alias("p01"), _pair(0, 2).alias("p02"), _pair(1, 2).alias("p12"))
+def _compared(channels: DataFrame, key: str, more: tuple[str, ...] = ()) -> DataFrame:
+    return _side_by_side(channels, key, more).select("*", _pair(0, 1).alias("p01"), _pair(0, 2).alias("p02"), _pair(1, 2).alias("p12"))
 
 
 def pairs(channels: DataFrame, key: str) -> DataFrame:
@@ -55,9 +55,10 @@ def pairs(channels: DataFrame, key: str) -> DataFrame:
     return p.select(key, "left_channel", "right_channel", "disagreement", _score(F.col("disagreement"), F.col("rel")).alias("score"), F.when(~far, F.col("rel")).alias("relative_difference"))
 
 
-def consistency(channels: DataFrame, key: str) -> DataFrame:
-    """A report for each key: verdict, score, base_score, coverage, disagreements, channel counts; no join."""
-    p = _compared(channels, key)
+def consistency(channels: DataFrame, key: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """A report for each key: verdict, score, base_score, coverage, disagreements, channel counts; no join.
+    With more (columns of channels) the channels stay beside it, as structs c0, c1, c2 that hold them."""
+    p, kept = _compared(channels, key, more), ["c0", "c1", "c2"] if more else []
     every, each = [F.col(f"c{i}") for i in range(3)], [F.col(x) for x in ("p01", "p02", "p12")]
     count = lambda field: sum((F.coalesce(c[field].cast("int"), F.lit(0)) for c in every[1:]), F.coalesce(every[0][field].cast("int"), F.lit(0)))
     comparable = lambda x: x["disagreement"] != "channel_unavailable"
@@ -65,7 +66,7 @@ def consistency(channels: DataFrame, key: str) -> DataFrame:
     r = p.select(
         key, count("usable").alias("usable"), count("applicable").alias("applicable"), F.least(*[F.when(comparable(x), _score(x["disagreement"], x["rel"])) for x in each]).alias("lowest"),
         F.array_distinct(F.array_compact(F.array(*[F.when(x["disagreement"] != "none", x["disagreement"]) for x in each]))).alias("kinds"), (against(each[0]) + against(each[1]) + against(each[2])).alias("against"),
-        F.coalesce(each[0]["disagreement"] == "none", F.lit(False)).alias("two_agree"), (against(each[1]) + against(each[2])).alias("third_against"),
+        F.coalesce(each[0]["disagreement"] == "none", F.lit(False)).alias("two_agree"), (against(each[1]) + against(each[2])).alias("third_against"), *kept,
     )
     short = shortfall(F.col("applicable"), F.col("usable"))
     few = F.col("usable") < 2
@@ -75,7 +76,7 @@ def consistency(channels: DataFrame, key: str) -> DataFrame:
     score = F.when(few, 0.5 * F.col("coverage")).otherwise(F.col("base_score") * F.col("coverage") * F.when(F.col("conflict"), CONFLICT_FACTOR).otherwise(1.0))
     kinds = F.array_union(F.col("kinds"), F.array_compact(F.array(F.when(few, F.lit("channel_unavailable")), F.when(F.col("conflict"), F.lit("deterministic_conflict")))))
     kinds = F.when(F.size(kinds) == 0, F.array(F.lit("none"))).otherwise(F.array_sort(kinds))
-    return r.select(key, verdict.alias("verdict"), score.alias("score"), "base_score", "coverage", kinds.alias("disagreements"), "usable", "applicable")
+    return r.select(key, verdict.alias("verdict"), score.alias("score"), "base_score", "coverage", kinds.alias("disagreements"), "usable", "applicable", *kept)
 
 
 def shortfall(applicable: Column, usable: Column) -> Column:
@@ -150,11 +151,18 @@ def natural_reply(payload: Column) -> Column:
     return F.struct(why.isNull().alias("available"), F.when(why.isNull(), value).alias("value"), sufficient.alias("sufficient"), p["unit"].alias("unit"), why.alias("failure_reason"))
 
 
-def arbiter_reply(payload: Column, swapped: Column) -> Column:
-    """struct(resolution, value, resolved, available, failure_reason); candidates shown in the other order are turned back."""
+def reply_figure(payload: Column) -> Column:
+    """The figure of a reply with its unit, as parse() and parsed() read it; null without an answer."""
+    p = F.from_json(payload, _REPLY)
+    return F.when(p["answer"].isNotNull(), F.concat_ws(" ", p["answer"], F.nullif(p["unit"], F.lit(""))))
+
+
+def arbiter_reply(payload: Column, swapped: Column, figure: Column | None = None) -> Column:
+    """struct(resolution, value, resolved, available, failure_reason); candidates shown in the other order are turned back.
+    figure: reply_figure() as parsed() read it, where a whole column is read."""
     p = F.from_json(payload, _REPLY)
     label = F.lower(F.trim(p["resolution"]))
-    value = F.when(p["answer"].isNotNull(), parse(F.concat_ws(" ", p["answer"], F.nullif(p["unit"], F.lit("")))))
+    value = parse(reply_figure(payload)) if figure is None else figure
     why = F.when(F.coalesce(F.trim(payload), F.lit("")) == "", "empty reply").when(p.isNull(), "no JSON object in the reply").when(p["answer"].isNotNull() & value.isNull(), "the arbiter's figure could not be parsed")
     said = F.when(why.isNotNull(), "unresolved").when(label == "candidate_1", "supports_a").when(label == "candidate_2", "supports_b").when((label == "neither") & value.isNotNull(), "own_answer").when(label == "neither", "supports_neither").otherwise("unresolved")
     said = unswapped(said, swapped)
@@ -167,22 +175,33 @@ def unswapped(resolution: Column, swapped: Column) -> Column:
 
 # --- explanations -------------------------------------------------------------------------------
 
-# What the status of each facet says.
+#: What the status of each facet says.
 FACET_PROSE = {
-    ("agreement", "VERIFIED"): "the independent channels produced the same figure",
-    ("agreement", "PARTIAL"): "fewer than two channels produced a figure, so the answer could not be cross-checked",
-    ("agreement", "FAILED"): "the channels produced different figures",
-    ("unit", "VERIFIED"): "the channels agree on units and scale",
-    ("unit", "FAILED"): "the channels disagree on units or scale - the failure mode that produces a plausible 10x-100x error",
-    ("evidence", "VERIFIED"): "the answer is grounded in retrieved evidence",
-    ("evidence", "PARTIAL"): "evidence was retrieved, but a channel that could have used it produced no figure",
-    ("evidence", "FAILED"): "no evidence was retrieved, so the answer cannot be grounded whatever the channels said about it",
-    ("arithmetic", "VERIFIED"): "an independent deterministic calculation agrees",
-    ("arithmetic", "FAILED"): "the deterministic verifier CONTRADICTS the reasoning channels - the both-agree-and-both-wrong case",
-    ("arithmetic", "NOT_APPLICABLE"): "there is no arithmetic to check: this is a lookup, so the deterministic verifier does not apply and its silence is not a gap",
+    ("agreement", "VERIFIED"): "channels that work apart came to one figure",
+    ("agreement", "PARTIAL"): "fewer than two channels came to a figure, so nothing stands against the answer or for it",
+    ("agreement", "FAILED"): "the channels came to different figures",
+    ("unit", "VERIFIED"): "units, scales and currencies match",
+    ("unit", "FAILED"): "units, scales or currencies do not match, so the answer may be off by a power of ten",
+    ("evidence", "VERIFIED"): "passages were found and every channel used them",
+    ("evidence", "PARTIAL"): "passages were found, but a channel that applies came to no figure",
+    ("evidence", "FAILED"): "no passage was found, so nothing supports the answer",
+    ("arithmetic", "VERIFIED"): "the calculation from the tables gives the same figure",
+    ("arithmetic", "FAILED"): "the calculation from the tables gives another figure than the channels that agree",
+    ("arithmetic", "NOT_APPLICABLE"): "nothing is calculated here, so the calculation has no say",
 }
 
 
+def risk_notes(evidence_blocks: Column, arbiter_abstained: Column | None = None) -> Column:
+    """What raised the risk of a row of risk(), a sentence for each signal above zero but the score's own shortfall."""
+    hard = F.array_sort(F.array_intersect("disagreements", F.array(*[F.lit(k) for k in HARD])))
+    said = (
+        (evidence_blocks == 0, F.lit("no passage was found")), (F.array_contains("disagreements", "deterministic_conflict"), F.lit("the calculation contradicts channels that agree")),
+        (F.size(hard) > 0, F.concat(F.lit("channels differ in kind: "), F.array_join(hard, ", "))), (F.col("coverage") < 1, F.lit("a channel that could have confirmed the answer did not")),
+        (F.lit(False) if arbiter_abstained is None else arbiter_abstained, F.lit("the arbiter left the disagreement open")),
+    )
+    return F.array_compact(F.array(*[F.when(c, x) for c, x in said]))
+
+
 def channel_line(name: str, ran: Column, applicable: Column, available: Column, value: Column, reason: Column) -> Column:
     """What one channel said, as a statement."""
     said = lambda text, more: F.concat(F.lit(f"{name}: {text} ("), F.coalesce(reason, F.lit(more)), F.lit(")"))
@@ -195,13 +214,28 @@ def remedies(evidence_blocks: Column, verdict: Column, missing: Column, arbiter_
     return F.when(evidence_blocks == 0, F.array(F.lit("retrieve_evidence"))).when(verdict.isNull(), F.array(F.lit("enable_consistency"))).when(F.size(found) == 0, F.array(F.lit("nothing_flagged"))).otherwise(found)
 
 
-def explained(risks: DataFrame, answer: Column, source: Column, evidence_blocks: Column) -> DataFrame:
-    """risks as of risk(): with reasons (a sentence for each facet), remedies, caveats, and all of it as one text."""
+def statements(c0: Column, c1: Column, c2: Column, arbiter: Column | None = None) -> Column:
+    """What each channel said (structs with applicable, available, said, reason; null: not run), and the arbiter's resolution where it ran."""
+    line = lambda name, c: channel_line(name, c.isNotNull(), F.coalesce(c["applicable"], F.lit(False)), F.coalesce(c["available"], F.lit(False)), c["said"], c["reason"])
+    lines = [line("natural", c0), line("program", c1), line("deterministic", c2)]
+    return F.array(*lines) if arbiter is None else F.array_compact(F.array(*lines, F.when(arbiter.isNotNull(), F.concat(F.lit("arbiter: "), arbiter["resolution"], F.coalesce(F.concat(F.lit(" -> "), arbiter["said"]), F.lit(""))))))
+
+
+def explained(risks: DataFrame, answer: Column, source: Column, evidence_blocks: Column, said: Column | None = None, citations: Column | None = None, arbiter_abstained: Column | None = None) -> DataFrame:
+    """risks as of risk(): with statements (said, an array), citations, reasons (a sentence for each facet, then the notes), remedies, caveats, and all
+    of it as one text.  A row without a score is given no reason to trust it or not."""
+    lines = F.array().cast("array<string>")
     status = lambda facet: F.element_at("facets", facet)
     prose = lambda facet: reduce(lambda rest, x: F.when(status(facet) == x[0][1], F.lit(x[1])).otherwise(rest), [x for x in FACET_PROSE.items() if x[0][0] == facet], F.lit(None).cast("string"))
-    reasons = F.array(*[F.concat_ws(" - ", F.concat(F.lit(f"{f}: "), status(f)), prose(f)) for f in ("evidence", "arithmetic", "agreement", "unit")])
-    caveats = F.array_compact(F.array(F.lit("the risk score is uncalibrated: it ranks answers and is no probability"), F.when(source == "deterministic", F.lit("the answer comes from the deterministic verifier alone")), F.when(evidence_blocks == 0, F.lit("no evidence was retrieved for this question"))))
-    e = risks.withColumn("reasons", reasons).withColumn("remedies", remedies(evidence_blocks, F.col("verdict"), shortfall(F.col("applicable"), F.col("usable")), F.lit(False))).withColumn("caveats", caveats)
+    facets = F.array(*[F.concat_ws(" - ", F.concat(F.lit(f"{f}: "), status(f)), prose(f)) for f in ("evidence", "arithmetic", "agreement", "unit")])
+    reasons = F.when(F.col("risk_score").isNull(), F.array(F.lit("nothing here gives a risk score"))).otherwise(F.concat(facets, risk_notes(evidence_blocks, arbiter_abstained)))
+    caveats = F.array_compact(F.array(F.when(F.col("risk_score").isNotNull(), F.lit("the risk score is uncalibrated: it ranks answers and is no probability")), F.when(source == "deterministic", F.lit("the answer comes from the deterministic verifier alone")), F.when(evidence_blocks == 0, F.lit("no evidence was retrieved for this question"))))
+    open_ = F.lit(False) if arbiter_abstained is None else arbiter_abstained
+    e = risks.withColumns({
+        "statements": lines if said is None else said, "citations": lines if citations is None else F.coalesce(citations, lines), "reasons": reasons,
+        "remedies": remedies(evidence_blocks, F.col("verdict"), shortfall(F.col("applicable"), F.col("usable")), open_), "caveats": caveats,
+    })
     head = F.concat(F.lit("ANSWER: "), F.coalesce(answer, F.lit("no answer produced")), F.lit("\n  source: "), F.coalesce(source, F.lit("none")), F.lit("\n  risk:   "), F.coalesce(F.format_number("risk_score", 3), F.lit("not scored")), F.lit(" ("), F.col("risk_band"), F.lit(")"))
-    block = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"\n\n{title}\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("  "), x)), "\n"))).otherwise("")
-    return e.withColumn("text", F.concat(head, block("WHY", F.col("reasons")), block("WHAT WOULD CHANGE IT", F.col("remedies")), block("CAVEATS", F.col("caveats"))))
+    block = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"\n\n{title}\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("  "), x)), "\n"))).otherwise("")
+    titles = {"EVIDENCE": "citations", "WHAT EACH CHANNEL SAID": "statements", "WHY": "reasons", "WHAT WOULD CHANGE IT": "remedies", "CAVEATS": "caveats"}
+    return e.withColumn("text", F.concat(head, *[block(t, F.col(c)) for t, c in titles.items()]))

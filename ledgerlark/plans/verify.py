@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..operators import staged as G
 from ..operators import verify as C
 from .base import query, rounded, table
 
@@ -106,6 +107,59 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy(*[F.col("facets")[x].alias(x) for x in ("evidence", "arithmetic", "agreement", "unit")]).agg(F.count("*").alias("n"))
 
 
+# Channels say their figures and reasons; orders other than every fourth have a reply, every eighth an earlier one too; the lines returned are the evidence.
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, ch = F.col("o_orderkey"), F.col("channel")
+    reason = F.when(ch == 2, "not a calculation").when(k % 2 == 0, "declined: insufficient evidence")
+    return _channels(spark, sf_dir).withColumns({"said": F.col("amount").cast("decimal(18,2)").cast("string"), "reason": reason, "sufficient": (ch != 0) | (k % 2 != 0), "executed": (ch == 1) & (k % 4 < 2)})
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 <> 3").select("o_orderkey", F.round("o_totalprice", 2).cast("decimal(18,2)").alias("p"))
+    k = F.col("o_orderkey")
+    says = lambda label, figure: F.concat(F.lit('{"resolution": "' + label + '", "answer": '), F.lit("null") if figure is None else F.concat(F.lit('"'), figure.cast("decimal(18,2)").cast("string"), F.lit('"')), F.lit("}"))
+    final = F.when(k % 6 == 0, says("candidate_1", F.col("p"))).when(k % 6 == 1, says("candidate_2", F.col("p") * 2)).when(k % 6 == 2, says("neither", F.col("p") * 3)).when(k % 6 == 3, says("neither", None)).when(k % 6 == 4, says("unresolved", None)).otherwise("")
+    tries = F.array_compact(F.array(F.struct(F.lit(2).alias("attempt"), final.alias("payload")), F.when(k % 8 == 0, F.struct(F.lit(1).alias("attempt"), says("neither", F.lit(7)).alias("payload")))))
+    return o.select("o_orderkey", F.inline(tries), (k % 5 == 0).alias("swapped"))
+
+
+_STAGED = f"""{_REPORT},
+ev AS (SELECT l_orderkey AS k, list(('E' || l_linenumber || ': ' || l_linestatus) ORDER BY l_linenumber, l_linestatus) AS cites FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+rp AS (SELECT o_orderkey AS k, o_orderkey % 5 = 0 AS swapped, o_orderkey % 6 AS m, CASE o_orderkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END * round(o_totalprice, 2)::DECIMAL(18,2)::DECIMAL(38,6) AS value FROM orders WHERE o_orderkey % 4 <> 3),
+sd AS (SELECT *, CASE WHEN m = 0 THEN CASE WHEN swapped THEN 'supports_b' ELSE 'supports_a' END WHEN m = 1 THEN CASE WHEN swapped THEN 'supports_a' ELSE 'supports_b' END WHEN m = 2 THEN 'own_answer' WHEN m = 3 THEN 'supports_neither' ELSE 'unresolved' END AS resolution FROM rp),
+ch AS (SELECT k, max(v) FILTER (ch = 0 AND u) AS a, max(v) FILTER (ch = 1 AND u) AS b, max(v) FILTER (ch = 2 AND u) AS c FROM c GROUP BY k),
+st AS (SELECT y.k, verdict, y.usable, y.applicable, coverage, conflict, kinds, base, few, coalesce(len(cites), 0) AS blocks, cites, sd.k IS NOT NULL AS ran, coalesce(resolution IN ('supports_a', 'supports_b', 'own_answer'), false) AS resolved, resolution, CASE WHEN m < 3 THEN value END AS said, a, b, c FROM y LEFT JOIN ev USING (k) LEFT JOIN sd ON y.k = sd.k AND verdict = 'DISAGREE' JOIN ch ON y.k = ch.k),
+sg AS (SELECT *, list_reverse_sort(list_filter([CASE WHEN blocks = 0 THEN 1.0 END, CASE WHEN conflict THEN 0.9 END, CASE WHEN list_has_any(coalesce(kinds, []), ['scale_mismatch', 'sign_mismatch', 'currency_mismatch', 'unit_kind_mismatch']) THEN 0.85 END, 1 - base, 0.45 * (1 - coverage), CASE WHEN ran AND NOT resolved THEN 0.55 END]::DOUBLE[], lambda v: v > 0)) AS signals FROM st),
+rk AS (SELECT *, CASE WHEN len(signals) = 0 THEN 0.0 ELSE 1 - (1 - signals[1]) * coalesce(list_product(list_transform(signals[2:], lambda v: 1 - 0.5 * v)), 1) END AS risk, coalesce(said, a, b, c) AS answer, CASE WHEN said IS NOT NULL THEN 'verification_agent' WHEN a IS NOT NULL THEN 'natural' WHEN b IS NOT NULL THEN 'program' WHEN c IS NOT NULL THEN 'deterministic' END AS source FROM sg)"""
+
+
+@query(f"""WITH {_STAGED} SELECT k AS o_orderkey, verdict, ran AS arbiter_ran, resolution, resolved AS arbiter_resolved, blocks, round(answer::DOUBLE, 4) AS answer, source, answer IS NULL AND (k % 2 = 0 OR k % 4 < 2 OR (ran AND NOT resolved)) AS abstained, round(risk, 6) AS risk_score, answer IS NOT NULL AND risk >= 0.8 AS withheld FROM rk""")
+def staged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order answered in stages: channels compared, replies on disagreements alone, risk with evidence and arbiter, one answer."""
+    a = _answered(spark, sf_dir)
+    return a.select("o_orderkey", "verdict", "arbiter_ran", "resolution", "arbiter_resolved", "blocks", rounded(F.col("answer").cast("double"), "answer", 4), "source", "abstained", rounded("risk_score", "risk_score"), "withheld")
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("pos"), F.col("l_linestatus").alias("citation"))
+    return G.answered(_said(spark, sf_dir), _replies(spark, sf_dir), e, "o_orderkey", 0.8)
+
+
+@query(f"""WITH {_STAGED}, f AS (SELECT o.*, k % 11 = 0 AS n0, k % 13 = 0 AS n1, k % 3 = 0 AS n2, CASE k % 5 WHEN 0 THEN p * 1000 WHEN 1 THEN -p WHEN 2 THEN p * 2 ELSE p END AS p1, CASE WHEN k % 7 = 0 THEN p * 4 ELSE p END AS p2 FROM o),
+h AS (SELECT rk.*, coalesce(list_sort(list_intersect(coalesce(kinds, []), ['scale_mismatch', 'sign_mismatch', 'currency_mismatch', 'unit_kind_mismatch'])), []) AS hard, n0, n1, n2, p, p1, p2 FROM rk JOIN f USING (k))
+SELECT k AS o_orderkey, coalesce(array_to_string(cites, '|'), '') AS citations,
+'natural: ' || CASE WHEN n0 THEN 'produced no figure (' || CASE WHEN k % 2 = 0 THEN 'declined: insufficient evidence' ELSE 'unknown reason' END || ')' ELSE p::DECIMAL(18,2)::VARCHAR END || '|program: ' || CASE WHEN n1 THEN 'produced no figure (' || CASE WHEN k % 2 = 0 THEN 'declined: insufficient evidence' ELSE 'unknown reason' END || ')' ELSE p1::DECIMAL(18,2)::VARCHAR END
+ || '|deterministic: ' || CASE WHEN n2 THEN 'does not apply to this question (not a calculation)' ELSE p2::DECIMAL(18,2)::VARCHAR END || CASE WHEN ran THEN '|arbiter: ' || resolution || coalesce(' -> ' || said::VARCHAR, '') ELSE '' END AS statements,
+array_to_string(list_filter([CASE WHEN blocks = 0 THEN 'no passage was found' END, CASE WHEN conflict THEN 'the calculation contradicts channels that agree' END, CASE WHEN len(hard) > 0 THEN 'channels differ in kind: ' || array_to_string(hard, ', ') END, CASE WHEN coverage < 1 THEN 'a channel that could have confirmed the answer did not' END, CASE WHEN ran AND NOT resolved THEN 'the arbiter left the disagreement open' END], lambda x: x IS NOT NULL), '|') AS notes,
+CASE WHEN blocks = 0 THEN 'retrieve_evidence' ELSE coalesce(nullif(array_to_string(list_filter([CASE WHEN verdict = 'UNCERTAIN' THEN 'second_channel' END, CASE WHEN applicable > usable THEN 'missing_channels' END, CASE WHEN verdict = 'DISAGREE' THEN 'check_cited_pages' END, CASE WHEN ran AND NOT resolved THEN 'arbiter_declined' END], lambda x: x IS NOT NULL), '|'), ''), 'nothing_flagged') END AS remedies,
+CASE WHEN source = 'deterministic' THEN 1 ELSE 0 END + CASE WHEN blocks = 0 THEN 1 ELSE 0 END + 1 AS caveats FROM h""")
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said about every order's answer: citations, each channel's statement, the notes on its risk, what would change it."""
+    a = _answered(spark, sf_dir)
+    joined = lambda c: F.array_join(c, "|")
+    return a.select("o_orderkey", joined("citations").alias("citations"), joined("statements").alias("statements"), joined(F.slice("reasons", 5, F.size("reasons"))).alias("notes"), joined("remedies").alias("remedies"), F.size("caveats").alias("caveats"))
+
+
 @query("""WITH f AS (SELECT l_orderkey AS question, l_returnflag AS metric, l_linenumber AS pos, l_quantity::DECIMAL(18,2) AS v FROM lineitem)
 SELECT question, metric, CASE WHEN count(DISTINCT v) = 1 THEN min_by(v, pos) END::DOUBLE AS value, count(DISTINCT v) = 1 AS bound FROM f GROUP BY question, metric""")
 def operand_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
