@@ -51,7 +51,8 @@ def get_answer(answers: DataFrame, experiments: DataFrame, questions: DataFrame,
     """One answer with its question, channels, gold evidence in order and verification."""
     a = list_answers(answers.where(F.col("id") == answer_id), experiments, questions, limit=1)
     c = channels.where(F.col("answer_id") == answer_id).groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("channel", "available", "value", "failure_reason"))).alias("channels"))
-    g = evidence.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("page", "id", "group_id", "anchors"))).alias("evidence"))
+    asked = answers.where(F.col("id") == answer_id).select("question_id")
+    g = evidence.join(asked, "question_id", "left_semi").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("page", "id", "group_id", "anchors"))).alias("evidence"))
     v = verifications.where(F.col("answer_id") == answer_id).select("answer_id", F.struct("triggered", "resolution", "resolved", "value").alias("verification"))
     return a.join(c, a["id"] == c["answer_id"], "left").drop("answer_id").join(g, "question_id", "left").join(v, a["id"] == v["answer_id"], "left").drop("answer_id")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.records import run_efficiency
@@ -161,6 +161,62 @@ def case_study(cases: DataFrame, by: str, least: int = 15) -> DataFrame:
     return g.orderBy(F.coalesce("accuracy", F.lit(1.0)), by)
 
 
+def case_tables(answers: DataFrame, least: int = 15) -> dict[str, DataFrame]:
+    """The tables of a case study of one arm.  answers: company, sector, question_type, correct, agreed, verdict, abstained, latency, tokens, provenance and kind
+    (of an error), triggered, resolved.  headline has one row, also without answers: no rate is then defined, and none is zero."""
+    wrong = answers.where("not correct")
+    sums = answers.agg(
+        F.count("*").alias("questions"), F.count_distinct("company").alias("companies"), F.count_if("correct").alias("correct"), F.count_if(~F.col("agreed")).alias("not_agreed"), F.count_if(F.col("verdict") == "DISAGREE").alias("disagreed"),
+        F.count_if("abstained").alias("abstained"), F.count_if(F.col("agreed") & ~F.col("correct")).alias("both_wrong"), F.avg("tokens").alias("tokens_per_question"), F.count_if("triggered").alias("triggered"), F.count_if(F.col("triggered") & F.col("resolved")).alias("resolved"),
+    )
+    headline = sums.join(M.percentiles(answers, [], "latency", linear={"p50": 0.5, "p95": 0.95}), how="left")  # a row each
+    sector = answers.groupBy("company").agg(F.min("sector").alias("sector"))
+    count = lambda c: wrong.groupBy(F.coalesce(c, F.lit("unknown")).alias("name")).agg(F.count("*").alias("n"))
+    return {"headline": headline, "companies": case_study(answers, "company", least).join(sector, "company"), "types": case_study(answers, "question_type", least), "provenance": count("provenance"), "kinds": count("kind")}
+
+
+def _percent(x: Column) -> Column:
+    return F.when(x.isNull(), "—").otherwise(F.format_string("%.1f%%", F.round(x * 100, 1)))
+
+
+def case_lines(tables: dict[str, DataFrame], title: str, corpus: str = "", least: int = 15) -> DataFrame:
+    """case_tables() as the lines of a Markdown file: (section, part, rank, name, line), to be sorted by the first four.
+    Every table is a relation of lines, so that a study of many companies is never collected."""
+    h, spark = tables["headline"], tables["headline"].sparkSession
+    words = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    n, share = F.col("questions"), lambda c: F.try_divide(F.col(c), F.col("questions"))
+    number = lambda c, places: F.when(F.col(c).isNull(), "—").otherwise(F.format_string(f"%.{places}f", F.round(F.col(c), places)))
+    facts = [
+        words("| Numerical accuracy | ", _percent(share("correct")), " |"), words("| No agreement: other figures, or none from a channel | ", _percent(share("not_agreed")), " |"),
+        words("| Other figures (verdict DISAGREE) | ", F.col("disagreed"), " of ", n, " (", _percent(share("disagreed")), ") |"), words("| Abstention rate | ", _percent(share("abstained")), " |"),
+        words("| **Agreed and both wrong** | ", F.col("both_wrong"), " of ", n, " |"), words("| Latency p50 / p95 | ", number("p50", 2), "s / ", number("p95", 2), "s |"), words("| Tokens per question | ", number("tokens_per_question", 0), " |"),
+    ]
+    first = [words("**", n, "** graded questions from ", F.col("companies"), " companies."), F.when(n < least, words("> **Fewer than ", str(least), " questions: no rate here is a finding.**"))]
+    some = h.where("questions > 0")
+    told = lambda section, lines, part=1: some.select(F.lit(section).alias("section"), F.lit(part).alias("part"), F.posexplode(F.array(*lines)).alias("rank", "line")).where("line is not null").select("section", "part", F.col("rank").cast("double").alias("rank"), F.lit("").alias("name"), "line")
+    thin = F.when(F.col("thin"), "**thin cell**").otherwise("")
+    cells = lambda section, t, by, *more: t.select(
+        F.lit(section).alias("section"), F.lit(1).alias("part"), F.coalesce("accuracy", F.lit(1.0)).alias("rank"), F.coalesce(F.col(by), F.lit("")).alias("name"),
+        words("| ", F.coalesce(by, F.lit("—")), *[x for c in more for x in (" | ", F.coalesce(c, F.lit("—")))], " | ", F.col("questions"), " | ", _percent(F.col("accuracy")), " | ", _percent(F.col("disagreement_rate")), " | ", F.col("both_agree_wrong"), " | ", thin, " |").alias("line"),
+    )
+    counted = lambda section, t: t.select(F.lit(section).alias("section"), F.lit(1).alias("part"), (-F.col("n")).cast("double").alias("rank"), "name", words("| ", F.col("name"), " | ", F.col("n"), " |").alias("line"))
+    parts = [
+        told(1, first), told(2, facts), cells(3, tables["companies"], "company", "sector"), cells(4, tables["types"], "question_type"), counted(5, tables["provenance"]), counted(6, tables["kinds"]),
+        told(7, [words("The arbiter was asked for ", _percent(share("triggered")), " of the questions; it settled ", F.col("resolved"), " and left ", F.col("triggered") - F.col("resolved"), " open.")]),
+    ]
+    heads = {
+        2: ["## Headline", "", "| | |", "|---|---|"], 3: ["## By company", "", "| Company | Sector | n | Accuracy | No agreement | Both wrong | |", "|---|---|---:|---:|---:|---:|---|"],
+        4: ["## By type of question, the hardest first", "", "| Type | n | Accuracy | No agreement | Both wrong | |", "|---|---:|---:|---:|---:|---|"], 5: ["## Errors by provenance", "", "| Provenance | n |", "|---|---:|"],
+        6: ["## Errors by kind", "", "| Kind | n |", "|---|---:|"], 7: ["## Arbitration", ""],
+    }
+    top = [f"# {title}", "", *([corpus, ""] if corpus else [])]
+    fixed = spark.createDataFrame([(s, p, float(i), "", x) for s, p, lines in [(s, 0, lines) for s, lines in heads.items()] + [(s, 2, [""]) for s in range(1, 8)] for i, x in enumerate(lines)], "section int, part int, rank double, name string, line string")
+    always = spark.createDataFrame([(0, 0, float(i), "", x) for i, x in enumerate(top)], fixed.schema)
+    nothing = h.where("questions = 0").select(F.lit(1).alias("section"), F.lit(0).alias("part"), F.lit(0.0).alias("rank"), F.lit("").alias("name"), F.lit("No results yet: the campaign has not run. A table of zeros would say otherwise.").alias("line"))
+    there = some.select(F.lit(True).alias("there"))  # a row, or none
+    return reduce(DataFrame.unionByName, [always, nothing, fixed.crossJoin(F.broadcast(there)).drop("there"), *parts])
+
+
 def report(cases: DataFrame, resamples: int = M.RESAMPLES, threshold: float | None = None) -> DataFrame:
     """stratified() of every arm, by arm and stratum, from one set of passes over all cases."""
     return stratified(cases, resamples, threshold, "arm")

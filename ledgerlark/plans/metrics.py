@@ -117,6 +117,31 @@ def case_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("source", "questions", "correct", "disagreements", "both_agree_wrong", rounded("accuracy", "accuracy"), rounded("disagreement_rate", "disagreement_rate"), "thin")
 
 
+@query(f"""WITH {_S}, a AS (SELECT source AS company, upper(source[1:2]) AS sector, lang AS question_type, label = 0 AS correct, agreed, CASE WHEN agreed THEN 'AGREE' WHEN score > 0.5 THEN 'DISAGREE' ELSE 'UNCERTAIN' END AS verdict, id % 13 = 0 AS abstained, score * 10 AS latency, id % 97 AS tokens,
+CASE WHEN id % 3 > 0 THEN ['retrieval', 'reasoning'][id % 3] END AS provenance, CASE WHEN score > 0.4 THEN 'magnitude' ELSE 'sign' END AS kind, NOT agreed AND score > 0.2 AS triggered, id % 2 = 0 AS resolved FROM s),
+h AS (SELECT count(*) AS n, count(DISTINCT company) AS companies, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT agreed) AS apart, count(*) FILTER (verdict = 'DISAGREE') AS disagreed, count(*) FILTER (abstained) AS abstained, count(*) FILTER (agreed AND NOT correct) AS wrong, avg(tokens) AS tokens, count(*) FILTER (triggered) AS asked, count(*) FILTER (triggered AND resolved) AS settled, quantile_cont(latency, 0.5) AS p50, quantile_cont(latency, 0.95) AS p95 FROM a),
+k AS (SELECT company AS name, min(sector) AS sector, 3 AS section, count(*) AS n, avg(correct::INT) AS acc, avg((NOT agreed)::INT) AS apart, count(*) FILTER (agreed AND NOT correct) AS wrong FROM a GROUP BY company UNION ALL SELECT question_type, NULL, 4, count(*), avg(correct::INT), avg((NOT agreed)::INT), count(*) FILTER (agreed AND NOT correct) FROM a GROUP BY question_type),
+e AS (SELECT 5 AS section, coalesce(provenance, 'unknown') AS name, count(*) AS n FROM a WHERE NOT correct GROUP BY ALL UNION ALL SELECT 6, kind, count(*) FROM a WHERE NOT correct GROUP BY ALL),
+f AS (SELECT 0 AS section, 0 AS part, unnest([0, 1, 2, 3]) AS rank, unnest(['# Documents as answers', '', 'Labelled documents by source.', '']) AS line UNION ALL SELECT section, 2, 0, '' FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS section)
+UNION ALL SELECT 2, 0, unnest([0, 1, 2, 3]), unnest(['## Headline', '', '| | |', '|---|---|']) UNION ALL SELECT 3, 0, unnest([0, 1, 2, 3]), unnest(['## By company', '', '| Company | Sector | n | Accuracy | No agreement | Both wrong | |', '|---|---|---:|---:|---:|---:|---|'])
+UNION ALL SELECT 4, 0, unnest([0, 1, 2, 3]), unnest(['## By type of question, the hardest first', '', '| Type | n | Accuracy | No agreement | Both wrong | |', '|---|---:|---:|---:|---:|---|']) UNION ALL SELECT 5, 0, unnest([0, 1, 2, 3]), unnest(['## Errors by provenance', '', '| Provenance | n |', '|---|---:|'])
+UNION ALL SELECT 6, 0, unnest([0, 1, 2, 3]), unnest(['## Errors by kind', '', '| Kind | n |', '|---|---:|']) UNION ALL SELECT 7, 0, unnest([0, 1]), unnest(['## Arbitration', '']))
+SELECT section, part, rank::DOUBLE AS rank, '' AS name, line FROM f UNION ALL SELECT 1, 1, 0, '', '**' || n || '** graded questions from ' || companies || ' companies.' FROM h
+UNION ALL SELECT 2, 1, unnest([0, 1, 2, 3, 4, 5, 6]), '', unnest([format('| Numerical accuracy | {{:.1f}}% |', round(correct / n * 100, 1)), format('| No agreement: other figures, or none from a channel | {{:.1f}}% |', round(apart / n * 100, 1)), format('| Other figures (verdict DISAGREE) | {{}} of {{}} ({{:.1f}}%) |', disagreed, n, round(disagreed / n * 100, 1)), format('| Abstention rate | {{:.1f}}% |', round(abstained / n * 100, 1)),
+ format('| **Agreed and both wrong** | {{}} of {{}} |', wrong, n), format('| Latency p50 / p95 | {{:.2f}}s / {{:.2f}}s |', round(p50, 2), round(p95, 2)), format('| Tokens per question | {{:.0f}} |', round(tokens, 0))]) FROM h
+UNION ALL SELECT section, 1, round(acc, 6), name, '| ' || name || CASE WHEN section = 3 THEN ' | ' || sector ELSE '' END || format(' | {{}} | {{:.1f}}% | {{:.1f}}% | {{}} | {{}} |', n, round(acc * 100, 1), round(apart * 100, 1), wrong, CASE WHEN n < 15 THEN '**thin cell**' ELSE '' END) FROM k
+UNION ALL SELECT section, 1, -n, name, '| ' || name || ' | ' || n || ' |' FROM e UNION ALL SELECT 7, 1, 0, '', format('The arbiter was asked for {{:.1f}}% of the questions; it settled {{}} and left {{}} open.', round(asked / n * 100, 1), settled, asked - settled) FROM h""")
+def case_study_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case study of all labelled documents as the lines of its file, in their order's columns."""
+    i, s = F.col("id"), F.col("score")
+    a = _scored(spark, sf_dir).select(
+        F.col("source").alias("company"), F.upper(F.substring("source", 1, 2)).alias("sector"), F.col("lang").alias("question_type"), (F.col("label") == 0).alias("correct"), "agreed", F.when(F.col("agreed"), "AGREE").when(s > 0.5, "DISAGREE").otherwise("UNCERTAIN").alias("verdict"), (i % 13 == 0).alias("abstained"), (s * 10).alias("latency"), (i % 97).alias("tokens"),
+        F.when(i % 3 == 1, "retrieval").when(i % 3 == 2, "reasoning").alias("provenance"), F.when(s > 0.4, "magnitude").otherwise("sign").alias("kind"), (~F.col("agreed") & (s > 0.2)).alias("triggered"), (i % 2 == 0).alias("resolved"),
+    )
+    lines = RP.case_lines(RP.case_tables(a), "Documents as answers", "Labelled documents by source.")
+    return lines.select("section", "part", rounded("rank", "rank"), "name", "line")
+
+
 @query(f"""WITH {_S}, r AS (SELECT score > 0.3 AS triggered, score > 0.6 AS resolved, CASE WHEN id % 7 <> 0 THEN label = 0 END AS correct, agreed AS available FROM s),
 k AS (SELECT count(*) AS records, count(*) FILTER (triggered) AS triggered, count(*) FILTER (triggered AND resolved) AS resolved, count(*) FILTER (triggered AND NOT resolved) AS declined, count(*) FILTER (triggered AND resolved AND correct IS NOT NULL) AS graded,
 count(*) FILTER (triggered AND resolved AND correct) AS correct, count(*) FILTER (triggered AND resolved AND correct IS NOT NULL AND available) AS winnable, count(*) FILTER (triggered AND resolved AND correct AND available) AS won FROM r)

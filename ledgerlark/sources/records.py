@@ -162,6 +162,16 @@ def markdown(rows: DataFrame, title: str, columns: list[str], most: int = 1000)
     return "\n".join([f"# {title}", "", f"| {' | '.join(columns)} |", "|" + "---|" * len(columns), *[f"| {x} |" for x in lines]])
 
 
+def write_lines(lines: DataFrame, path: str, *by: str) -> None:
+    """Lines (a column line) as text in the order of by: files whose names follow each other, range-sorted and never collected."""
+    lines.orderBy(*by).select("line").write.mode("overwrite").text(path)
+
+
+def write_case_study(lines: DataFrame, path: str) -> None:
+    """case_lines() as Markdown."""
+    write_lines(lines, path, "section", "part", "rank", "name")
+
+
 def write_retrieval_gold(gold: DataFrame, path: str) -> None:
     """retrieval_gold() as one JSON document for each document: its questions with their groups of places, and of which splits they are."""
     g = gold.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("qid", "question", "any_of"))).alias("questions"), F.array_sort(F.collect_set("split")).alias("splits"))
