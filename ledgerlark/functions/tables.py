@@ -76,7 +76,7 @@ def header_year(cell: Column) -> Column:
     """The one year that a header cell names: a span's end, a single year, FY24; null for none or several."""
     years, short = years_in(cell), F.regexp_extract(cell, FISCAL, 1)
     fiscal = F.when(F.length(short) == 2, F.concat(F.lit("20"), short)).when(short != "", short)
-    return F.coalesce(span_end(cell), F.when(F.size(years) == 1, F.get(years, F.lit(0))).when(F.size(years) == 0, fiscal))
+    return F.when(cell.rlike(f"{YEAR}|{FISCAL}"), F.coalesce(span_end(cell), F.when(F.size(years) == 1, F.get(years, F.lit(0))).when(F.size(years) == 0, fiscal)))
 
 
 def column_years(header: Column) -> Column:

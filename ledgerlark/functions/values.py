@@ -157,6 +157,17 @@ def parse(text: Column, context_scale: Column | None = None, context_currency: C
     return _let(F.struct(_opened(text).alias("t")), lambda x: after(_STEPS, x, ["t"]))
 
 
+def plain(figure: Column, context_scale: Column | None = None, context_currency: Column | None = None, context_unit_kind: Column | None = None) -> Column:
+    """What parse() gives for a figure of digits, commas, a point, minus signs, parentheses and blanks alone, without the steps that look for words and marks."""
+    context = _context(context_scale, context_currency, context_unit_kind)
+    return _figure(
+        {
+            "stated": F.lit(None).cast("string"), "second": F.lit(False), "footnote": F.lit(False), "context_scale": context["context_scale"], "currency": context["context_currency"],
+            "kind": F.coalesce(context["context_unit_kind"], F.lit("unknown")), "minus": figure.rlike(r"(?s)\(.*\d.*\)"), "numeral": F.regexp_extract(figure, NUMBER, 0),
+        }
+    )
+
+
 def _let(value: Column, then) -> Column:
     """then(value), with the value worked out once."""
     return F.transform(F.array(value), then).getItem(0)

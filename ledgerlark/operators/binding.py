@@ -19,7 +19,7 @@ def labels(metrics: DataFrame, lexicon: DataFrame) -> DataFrame:
     own = own.union(own.select("canonical", "canonical")).distinct()
     names = own.groupBy("canonical").agg(F.collect_set("alias").alias("names"))
     key = own.groupBy("alias").agg(F.min("canonical").alias("canonical"))
-    m = metrics.withColumn("alias", F.lower(F.trim("metric"))).join(key, "alias", "left").join(names, "canonical", "left")
+    m = metrics.withColumn("alias", F.lower(F.trim("metric"))).join(F.broadcast(key), "alias", "left").join(F.broadcast(names), "canonical", "left")  # a lexicon is small; few aliases would be few tasks
     return m.select("question", "metric", "pos", F.coalesce("names", F.array("alias")).alias("names"))
 
 
@@ -28,13 +28,12 @@ def bound_rows(metrics: DataFrame, blocks: DataFrame, lexicon: DataFrame, column
 
     blocks: question, block (position), text, scale, currency, citation.  A name and a row meet on the row's opening letters,
     an equality, before the whole rule is tested: equal, or at most four letters longer."""
-    rows = blocks.select("question", "block", "scale", "currency", "citation", F.posexplode(_rows(F.col("text"))).alias("line", "cells")).withColumn("label", F.get("cells", F.lit(0))).where("label <> ''")
+    rows = blocks.select("question", "block", "scale", "currency", "citation", F.posexplode_outer(_rows(F.col("text"))).alias("line", "cells")).withColumn("label", F.get("cells", F.lit(0))).where("label <> ''")
     short = F.regexp_replace(F.regexp_replace(F.lower(F.trim("label")), r"\s+", " "), r"^[ :*#]+|[ :*#]+$", "")
-    rows = rows.withColumn("own", short).withColumn("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(B.ROW_SLACK)), lambda k: F.substring(F.col("own"), F.lit(1), F.length("own") - k)))))
+    rows = rows.withColumn("own", short).withColumn("figure", F.get(B.row_figures(F.col("cells")), F.lit(column))).withColumn("name", F.explode_outer(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(B.ROW_SLACK)), lambda k: F.substring(F.col("own"), F.lit(1), F.length("own") - k)))))
     names = labels(metrics, lexicon).select("question", "metric", "pos", F.explode("names").alias("name"))
-    hit = rows.where("name <> ''").join(names, ["question", "name"]).groupBy("question", "metric", "pos", "block", "line").agg(*[F.first(c).alias(c) for c in ("cells", "label", "scale", "currency", "citation")])
-    figure = F.get(B.row_figures(F.col("cells")), F.lit(column))
-    hit = hit.withColumn("v", V.parse(figure, F.col("scale"), F.col("currency"))).where("v is not null")
+    hit = rows.where("name <> ''").drop("cells", "own").join(names, ["question", "name"]).groupBy("question", "metric", "pos", "block", "line").agg(*[F.first(c).alias(c) for c in ("figure", "label", "scale", "currency", "citation")])
+    hit = hit.where("figure is not null").withColumn("v", V.plain(F.col("figure"), F.col("scale"), F.col("currency")))
     return hit.select("question", "metric", "pos", "block", "line", "label", "citation", "v", V.canonical(F.col("v.amount"), F.col("v.scale"), F.col("v.unit_kind")).alias("canonical"))
 
 

@@ -184,7 +184,8 @@ def structure(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _rows(text: Column) -> Column:
     own = lambda line: F.regexp_extract(F.trim(line), r"^\|(.+)\|\s*$", 1)
-    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: own(x) != ""), lambda x: F.transform(F.split(own(x), r"\|"), lambda c: F.trim(c)))
+    inside = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), own), lambda x: x != "")
+    return F.transform(inside, lambda x: F.transform(F.split(x, r"\|"), lambda c: F.trim(c)))
 
 
 def metric_of(labels: DataFrame, label: str, lexicon: DataFrame) -> DataFrame:
@@ -205,22 +206,22 @@ def facts(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     c = chunks.where("kind = 'table'")
     if "years" not in c.columns:
         c = c.withColumn("years", F.lit(None).cast("map<int,string>"))
-    c = c.withColumn("rows", _rows(F.col("text"))).where("size(rows) > 0")
-    heads = F.filter(F.slice("rows", 1, B.HEADER_ROWS), lambda r: (F.size(B.column_years(r)) > 0) & ~B.carries_data(r))
+    c = c.withColumn("rows", _rows(F.col("text")))  # tables without rows end at explode; the outer form has no filter that would work out rows again
+    heads = F.filter(F.slice("rows", 1, B.HEADER_ROWS), lambda r: F.exists(r, lambda x: B.header_year(x).isNotNull()) & ~B.carries_data(r))
     c = c.withColumn("head", F.get(heads, F.lit(0)))
     c = c.withColumn("header", F.coalesce("head", F.get("rows", F.lit(0)))).withColumn("years", F.when(F.col("head").isNotNull(), B.column_years(F.col("head"))).otherwise(F.col("years"))).withColumn("notes", B.note_columns(F.col("header")))
-    r = c.select("chunk_id", "document_id", "page", "section", "table_index", "context_scale", "context_currency", "company", "fiscal_year", "header", "years", "notes", F.posexplode("rows").alias("row", "cells"))
-    r = r.withColumn("segment", F.explode(B.row_segments(F.col("cells")))).withColumn("row_label", F.get("cells", F.col("segment.label")))
+    r = c.select("chunk_id", "document_id", "page", "section", "table_index", "context_scale", "context_currency", "company", "fiscal_year", "header", "years", "notes", F.posexplode_outer("rows").alias("row", "cells"))
+    r = r.where("row is not null").withColumn("segment", F.explode_outer(B.row_segments(F.col("cells")))).withColumn("row_label", F.get("cells", F.col("segment.label")))
     r = r.join(metric_of(r, "row_label", lexicon), "row_label").where("segment.stop > segment.first")
     v = r.withColumn("i", F.explode(F.sequence(F.col("segment.first"), F.col("segment.stop") - 1))).withColumn("cell", F.get("cells", F.col("i")))
     v = v.where(~F.array_contains("notes", F.col("i")) & F.col("cell").rlike(B.NUMERIC)).withColumn("all", B.figures(F.col("cell"))).withColumn("merged", F.size("all") > 1)
-    v = v.select("*", F.posexplode("all").alias("k", "figure"))
+    v = v.select("*", F.posexplode_outer("all").alias("k", "figure"))  # a numeric cell has a figure
     money = F.col("expected") == "currency"
-    value = V.parse(F.col("figure"), F.when(money, F.col("context_scale")), F.when(money, F.col("context_currency")), F.when(F.col("expected") == "ratio", F.lit("ratio")))
+    value = V.plain(F.col("figure"), F.when(money, F.col("context_scale")), F.when(money, F.col("context_currency")), F.when(F.col("expected") == "ratio", F.lit("ratio")))
     named = B.years_in(F.coalesce(F.get("header", F.col("i")), F.lit("")))
     at = F.try_element_at("years", F.col("i") + F.col("k"))
     year = F.when(~F.col("merged"), at).when(F.size(named) == F.size("all"), F.get(named, F.col("k"))).otherwise(at)
-    v = v.withColumn("v", value).where("v is not null").withColumn("stated", year)
+    v = v.withColumn("v", value).withColumn("stated", year)
     source = F.when(F.col("stated").isNotNull(), "column_header").when(~F.col("merged") & F.col("fiscal_year").isNotNull(), "document_fiscal_year").otherwise("unknown")
     more = F.array_compact(F.array(F.when(F.col("merged"), F.lit("merged_columns")), F.when(F.col("merged") & F.col("stated").isNull(), F.lit("year_not_resolvable_in_merged_cell"))))
     return v.select(
