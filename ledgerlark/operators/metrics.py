@@ -8,6 +8,7 @@ distinct score.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,9 +203,28 @@ def efficiency(costs: DataFrame, *by: str) -> DataFrame:
 RESAMPLES, SEED = 10_000, 20260826
 
 
+def _poisson_table() -> tuple[np.ndarray, np.ndarray]:
+    """Poisson's distribution function with mean 1, and for each 16 leading bits of a uniform number the draw that they fix, -1 where they do not."""
+    upto = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(20)])
+    low, high = (np.searchsorted(upto, (np.arange(1 << 16) + x) / (1 << 16), "right") for x in (0, 1))
+    return upto, np.where(low == high, low, -1).astype(np.int8)
+
+
+_UPTO, _DRAWN = _poisson_table()
+
+
 def _weights(seed: int, ids: list, resamples: int) -> np.ndarray:
-    """How often each row is drawn in each resample: Poisson draws from a generator that the seed and the row's id fix."""
-    return np.stack([np.random.Generator(np.random.Philox(key=[seed, int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=8).digest())])).poisson(1.0, resamples) for i in ids]).astype(np.int64)
+    """How often each row is drawn in each resample: Poisson draws from a generator that the seed and the row's id fix.
+
+    By inversion: 16 bits fix nearly every draw, the few others (one in about 8,000) take 53 more."""
+    out = np.empty((len(ids), resamples), np.int64)
+    for row, i in zip(out, ids, strict=True):
+        bits = np.random.Philox(key=[seed, int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=8).digest())])
+        lead = bits.random_raw(-(-resamples // 4)).astype("<u8").view("<u2")[:resamples]
+        row[:] = _DRAWN[lead]
+        open_ = np.flatnonzero(row < 0)
+        row[open_] = np.searchsorted(_UPTO, (lead[open_] + np.random.Generator(bits).random(len(open_))) / (1 << 16), "right")
+    return out
 
 
 def _summed(rows: DataFrame, work, fields: int) -> list[np.ndarray]:

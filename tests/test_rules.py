@@ -292,3 +292,20 @@ def test_derived_candidates_need_one_basis(spark):
 def test_formulations(spark):
     q = spark.createDataFrame([(1, "For Acme Limited, what was x (the sum)?", "Acme Limited")], "k int, q string, c string")
     assert {r.arm: r["query"] for r in Q.formulations(q, "k", "q", "c").collect()} == {"asis": "For Acme Limited, what was x (the sum)?", "no_company": "For, what was x (the sum)?", "no_gloss": "For Acme Limited, what was x?", "both": "For, what was x?"}
+
+
+def test_bootstrap_weights_are_poisson_draws_that_cost_little():
+    """Sixteen bits fix all draws but those at a step of the distribution function; shares and means are those of mean 1."""
+    import math
+    from itertools import pairwise
+
+    steps = [0.0, *M._UPTO[:-1]]
+    assert (M._DRAWN < 0).sum() == len({int(u * 65536) for u in M._UPTO if u < 1 - 2**-16} | {65535})
+    for k, (low, high) in enumerate(pairwise(steps)):
+        assert high - low == pytest.approx(math.exp(-1) / math.factorial(k), abs=1e-12)
+        fixed = M._DRAWN == k
+        assert fixed.sum() <= (high - low) * 65536 < fixed.sum() + 2 or k > 7
+    w = M._weights(3, list(range(400)), 10000)
+    assert w.shape == (400, 10000) and (w == M._weights(3, list(range(400)), 10000)).all() and w.min() == 0
+    assert all((w == k).mean() == pytest.approx(math.exp(-1) / math.factorial(k), abs=1.5e-3) for k in range(6))
+    assert (M._weights(3, [5], 10001)[0, :10000] == w[5]).all() and not (M._weights(4, [5], 10000) == w[5]).all()
