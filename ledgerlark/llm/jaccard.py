@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FILTER_BITS, chunks, components, discard, encoded, fresh, grouped, lower_ascii, member_filter, planes, rolling, saved, spans_hash, table, texts, touched, unplanes, word_spans
+from .common import FILTER_BITS, chunks, components, discard, encoded, fresh, grouped, lean, lower_ascii, member_filter, planes, rolling, saved, spans_hash, table, texts, touched, unplanes, word_spans
 
 #: Shingles of a tile of a large shard.
 TILE = 1_500_000
@@ -107,7 +107,7 @@ def first_look(docs: DataFrame, words: int, pct: int, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_LOOK_KINDS)], names=[x.split()[0] for x in _LOOK.split(", ")])
                 number += 1
 
-    return texts(docs).mapInArrow(run, T.StructType.fromDDL(_LOOK))
+    return texts(docs).mapInArrow(lean(run), T.StructType.fromDDL(_LOOK))
 
 
 def alone(look: DataFrame) -> DataFrame:
@@ -131,8 +131,8 @@ def alone(look: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), number)), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["slice", "place", "alone"])
 
     sent = look.where("target >= 0").select("target", "slice", "each", "hash")
-    replies = sent.repartition("target").sortWithinPartitions("target").mapInArrow(counted, T.StructType.fromDDL("slice long, n binary"))
-    return replies.repartition("slice").sortWithinPartitions("slice").mapInArrow(summed, T.StructType.fromDDL("slice long, place int, alone long"))
+    replies = sent.repartition("target").sortWithinPartitions("target").mapInArrow(lean(counted), T.StructType.fromDDL("slice long, n binary"))
+    return replies.repartition("slice").sortWithinPartitions("slice").mapInArrow(lean(summed), T.StructType.fromDDL("slice long, place int, alone long"))
 
 
 # --- 2: the second look -------------------------------------------------------------------------
@@ -155,7 +155,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     number += 1
 
     marked = texts(docs).where("doc_id is not null").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
-    return marked.mapInArrow(run, T.StructType.fromDDL("slice long, keys binary, n binary, hash binary"))
+    return marked.mapInArrow(lean(run), T.StructType.fromDDL("slice long, keys binary, n binary, hash binary"))
 
 
 def second_look(sets: DataFrame, pct: int, parts: int) -> DataFrame:
@@ -195,10 +195,10 @@ def second_look(sets: DataFrame, pct: int, parts: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["key", "n", "m", "ids", "prefix"])
 
-    replies = sets.select("slice", "hash").mapInArrow(send, T.StructType.fromDDL("target int, slice long, hash binary")).repartition("target").sortWithinPartitions("target").mapInArrow(rare, T.StructType.fromDDL("slice long, target int, rank binary"))
+    replies = sets.select("slice", "hash").mapInArrow(lean(send), T.StructType.fromDDL("target int, slice long, hash binary")).repartition("target").sortWithinPartitions("target").mapInArrow(lean(rare), T.StructType.fromDDL("slice long, target int, rank binary"))
     no = F.lit(None).cast("binary")
     both = sets.select("slice", F.lit(-1).alias("target"), no.alias("rank"), "keys", "n", "hash").union(replies.select("slice", "target", "rank", no, no, no))
-    return both.repartition("slice").sortWithinPartitions("slice", "target").mapInArrow(picked, T.StructType.fromDDL("key long, n long, m long, ids binary, prefix array<long>"))
+    return both.repartition("slice").sortWithinPartitions("slice", "target").mapInArrow(lean(picked), T.StructType.fromDDL("key long, n long, m long, ids binary, prefix array<long>"))
 
 
 def shards(members: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def pivoted(large: DataFrame, members: DataFrame, pct: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     by = ("shard", "band", "t")
-    found = rows.union(asked).repartition(*by).sortWithinPartitions(*by, "row").mapInArrow(compared, T.StructType.fromDDL("a long, b long"))
+    found = rows.union(asked).repartition(*by).sortWithinPartitions(*by, "row").mapInArrow(lean(compared), T.StructType.fromDDL("a long, b long"))
     return components(found).withColumnsRenamed({"node": "key", "component": "group"})
 
 
@@ -340,7 +340,7 @@ def links(rows: DataFrame, pct: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     by = ("shard", "i", "j")
-    return rows.repartition(*by).sortWithinPartitions(*by, "key").mapInArrow(run, T.StructType.fromDDL("a long, b long"))
+    return rows.repartition(*by).sortWithinPartitions(*by, "key").mapInArrow(lean(run), T.StructType.fromDDL("a long, b long"))
 
 
 def classed(docs: DataFrame, words: int, pct: int) -> DataFrame:
@@ -384,7 +384,7 @@ def distinct(docs: DataFrame, words: int, pct: int) -> DataFrame:
             keys = [set_key(shingles(t or "", words)) for t in b.column(at).cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, key])
 
-    met = touched(docs, some).mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
+    met = touched(docs, some).mapInArrow(lean(keyed), T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
     marked = met.join(some.select("doc_id", F.col("key").alias(key), F.col("gone").alias(gone)), ["doc_id", key], "left")
     plain = marked.where(F.col(gone).isNull())
     firsts = marked.where(~F.col(gone)).dropDuplicates(["doc_id", key])

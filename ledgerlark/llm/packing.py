@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import discard, map_texts, saved, shared_path, table, texts
+from .common import discard, lean, map_texts, saved, shared_path, table, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -169,7 +169,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         while any(left[n] for n in lengths):
             here: list[int] = []
             if last:
-                gaps = reduce(DataFrame.union, [written(r) for r in last]).mapInArrow(shrunk(min(n for n in left if left[n])), T.StructType.fromDDL("sequence long, gap long"))
+                gaps = reduce(DataFrame.union, [written(r) for r in last]).mapInArrow(lean(shrunk(min(n for n in left if left[n]))), T.StructType.fromDDL("sequence long, gap long"))
                 sizes, before = numbered(gaps, "gap", ("sequence",), f"{path}/round={len(plans)}")
                 here, last = [len(plans)], [len(plans)]
                 if planned(sizes, lengths, before):
@@ -199,8 +199,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, pa.array(placed_at(known.value[1], b.column("length").to_numpy(), at.to_numpy()))], names=b.schema.names)
 
     out = T.StructType.fromDDL("length long, at long, sequence_id long, offset long")
-    found = spark.read.schema(f"{state}, round int").parquet(path).mapInArrow(spread, out) if plans else spark.createDataFrame([], out)
-    rows = spark.read.schema(f"{PIECES}, at long").parquet(sorted_).mapInArrow(located, T.StructType.fromDDL(f"{PIECES}, at long"))
+    found = spark.read.schema(f"{state}, round int").parquet(path).mapInArrow(lean(spread), out) if plans else spark.createDataFrame([], out)
+    rows = spark.read.schema(f"{PIECES}, at long").parquet(sorted_).mapInArrow(lean(located), T.StructType.fromDDL(f"{PIECES}, at long"))
     return rows.join(found, ["length", "at"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

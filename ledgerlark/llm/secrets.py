@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, grouped, map_texts, saved, table, texts
+from .common import discard, grouped, lean, map_texts, saved, table, texts
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -257,7 +257,7 @@ def parts(seen: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["part", "n", "windows", "labels", "kinds", "held"])
 
     dealt = seen.select(F.pmod(F.xxhash64("window"), F.lit(number)).cast("int").alias("part"), "label", "window").repartition(number, "part").sortWithinPartitions("part", F.desc("label"), F.xxhash64("window"), "window")
-    return dealt.mapInArrow(run, T.StructType.fromDDL("part int, n long, windows binary, labels binary, kinds binary, held binary"))
+    return dealt.mapInArrow(lean(run), T.StructType.fromDDL("part int, n long, windows binary, labels binary, kinds binary, held binary"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -297,7 +297,7 @@ def _averaged(rows: DataFrame, net: Network, m: dict, v: dict, step: int, epoch:
             sums += np.round(_flat(w, m, v) * (n / total) * scale).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(scale) + 1)), pa.array(np.r_[sums, steps])], names=["i", "value"])
 
-    got = rows.mapInArrow(run, T.StructType.fromDDL("i long, value long")).groupBy("i").agg(F.sum("value").alias("value"), F.max("value").alias("most")).collect()
+    got = rows.mapInArrow(lean(run), T.StructType.fromDDL("i long, value long")).groupBy("i").agg(F.sum("value").alias("value"), F.max("value").alias("most")).collect()
     got.sort(key=lambda r: r.i)
     return *_unflat(np.array([r.value for r in got[:-1]]) / scale, net.w), got[-1].most
 
@@ -312,7 +312,7 @@ def _logits(rows: DataFrame, net: Network) -> list:
             key, n = np.unique(np.stack([cell, y[held].astype(np.int64), kind[held]], 1), axis=0, return_counts=True) if len(cell) else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([*map(pa.array, key.T), pa.array(n)], names=["cell", "label", "kind", "n"])
 
-    return sorted(rows.mapInArrow(run, T.StructType.fromDDL("cell long, label long, kind long, n long")).groupBy("cell", "label", "kind").agg(F.sum("n").alias("n")).collect())
+    return sorted(rows.mapInArrow(lean(run), T.StructType.fromDDL("cell long, label long, kind long, n long")).groupBy("cell", "label", "kind").agg(F.sum("n").alias("n")).collect())
 
 
 def train(docs: DataFrame, recall: float = 0.95, size: int | None = None, epochs: int = 6) -> Network:
@@ -383,7 +383,7 @@ def masked(docs: DataFrame, net: Network, mark: str = "[SECRET]") -> DataFrame:
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]))
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(lean(run), T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]))
 
 
 def op9_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, chunks, encoded, fresh, rolling, saved, spans_hash, table, texts, touched, word_spans
+from .common import WORD, chunks, encoded, fresh, lean, rolling, saved, spans_hash, table, texts, touched, word_spans
 
 #: Characters of a slice; buckets of hashes, one in memory at a time, for each shuffle partition.
 SLICE = 2 << 20
@@ -175,8 +175,8 @@ def anchors(docs: DataFrame, block: int, window: int, parts: int, groups: int) -
             own = by[hit]
             yield doc[own], at[own]
 
-    sent = texts(docs).where("doc_id is not null").mapInArrow(probes, T.StructType.fromDDL(PACKED))
-    return _by_target(sent).mapInArrow(lambda b: _replies(matched(b), groups, "<u4"), T.StructType.fromDDL(PACKED))
+    sent = texts(docs).where("doc_id is not null").mapInArrow(lean(probes), T.StructType.fromDDL(PACKED))
+    return _by_target(sent).mapInArrow(lean(lambda b: _replies(matched(b), groups, "<u4")), T.StructType.fromDDL(PACKED))
 
 
 def runs(found: DataFrame, name: str) -> DataFrame:
@@ -194,7 +194,7 @@ def runs(found: DataFrame, name: str) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (start, n)]
             yield pa.RecordBatch.from_arrays([pa.array(d[edge[:-1]]), *lists], names=["doc_id", "first", "n"])
 
-    return saved(_by_target(found).mapInArrow(gathered, T.StructType.fromDDL("doc_id long, first array<int>, n array<int>")), name)
+    return saved(_by_target(found).mapInArrow(lean(gathered), T.StructType.fromDDL("doc_id long, first array<int>, n array<int>")), name)
 
 
 # --- 2: windows that also start earlier ---------------------------------------------------------
@@ -248,8 +248,8 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
             own = by[(doc[lead] != doc[by]) | (at[lead] != at[by])]
             yield doc[own], at[own]
 
-    sent = some.mapInArrow(windows, T.StructType.fromDDL(PACKED))
-    return runs(_by_target(sent).mapInArrow(lambda b: _replies(later(b), groups, "<u8"), T.StructType.fromDDL(PACKED)), "repeats")
+    sent = some.mapInArrow(lean(windows), T.StructType.fromDDL(PACKED))
+    return runs(_by_target(sent).mapInArrow(lean(lambda b: _replies(later(b), groups, "<u8")), T.StructType.fromDDL(PACKED)), "repeats")
 
 
 # --- 3: removal ---------------------------------------------------------------------------------
@@ -286,7 +286,7 @@ def digests(docs: DataFrame, window: int) -> DataFrame:
                 rows.append((i, len(words), int(gone.sum()), hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_repeats(texts(docs), window)[0].mapInArrow(run, T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    return with_repeats(texts(docs), window)[0].mapInArrow(lean(run), T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
 
 _PIECE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
