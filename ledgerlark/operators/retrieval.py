@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import small_batches
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: The constant of reciprocal rank fusion, the places by which scores rank, and the candidates fused for each result asked for.
@@ -133,6 +134,7 @@ def bm25_top(corpus: DataFrame, id_col: str, text_col: str, terms: DataFrame, k:
     row for each query and document is made.  Scores rank by PLACES places, so that copies of a text tie whatever the order of
     summing.  Rows without an id are in the statistics and never hits.
     """
+    small_batches(corpus.sparkSession)
     fields = [] if filters is None else [c for c in filters.columns if c != "query_id"]
     lists = corpus.select(F.col(id_col).cast("long").alias("doc"), tokens(F.col(text_col)).alias("t"), *fields)
     stats = statistics(corpus, text_col, tuple(fields)).persist()
@@ -291,6 +293,7 @@ def holders(corpus: DataFrame, id_col: str, text_col: str, passages: DataFrame)
     """(query_id, doc): the documents that hold a passage (query_id, passage) of a stated set word for word.
 
     Every text is read once against LETTERS of the passages by an automaton that each task builds from them."""
+    small_batches(corpus.sparkSession)
     parts = _passes(passages.where("length(passage) > 0"), F.length("passage"), LETTERS)
     return reduce(DataFrame.union, [_holders_pass(corpus, id_col, text_col, p.select("query_id", "passage").collect()) for p in parts])
 
