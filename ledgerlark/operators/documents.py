@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as B
 from ..functions import text as X
 from ..functions import values as V
+from ..sources.shared import small_batches
 from .windows import repeated_lines
 
 # Characters of a text chunk, of its overlap, of a table chunk, and of the shortest paragraph kept.
@@ -44,6 +45,8 @@ def chunks(docs: DataFrame, key: str, text: str, most: int, overlap: int) -> Dat
     """(key, part, total_parts, chunk); a document without text has none.  Greedy packing carries state
     from sentence to sentence, so it runs in a vectorised function, a document at a time."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("array<string>")
     def pack(s: pd.Series) -> pd.Series:
         return s.map(lambda t: split_paragraph(t, most, overlap) if t else [])
@@ -137,6 +140,8 @@ def text_chunks(pages: DataFrame, numerals: DataFrame, chunks_before: DataFrame,
 
     numerals (document_id, page, numerals): the tables' numerals; chunks_before (document_id, n): chunks that number first."""
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("array<string>")
     def cut(s: pd.Series) -> pd.Series:
         return s.map(lambda t: split_paragraph(t, most, overlap))
