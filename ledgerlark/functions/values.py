@@ -273,34 +273,49 @@ def searchable_variants(figure: Column) -> Column:
 OPERAND = f"struct<value:{MONEY},unit_kind:string,currency:string>"
 
 
+def operand_facts(operands: Column) -> Column:
+    """What calculate() needs of an array of OPERAND whatever the operation, as a struct: worked out once where several operations follow."""
+    value = F.transform(operands, lambda o: o["value"].cast("double"))
+    kinds = F.array_distinct(F.transform(operands, lambda o: o["unit_kind"]))
+    known, currencies = F.filter(kinds, lambda k: k != "unknown"), F.array_compact(F.array_distinct(F.transform(operands, lambda o: o["currency"])))
+    own = {
+        "size": F.size(operands), "missing": F.exists(operands, lambda o: o.isNull() | o["value"].isNull()), "a": F.get(value, F.lit(0)), "b": F.get(value, F.lit(1)),
+        "total": F.aggregate(F.transform(operands, lambda o: o["value"]), F.lit(0).cast(MONEY), lambda s, x: (s + x).cast(MONEY)).cast("double"), "product": F.aggregate(value, F.lit(1.0), lambda s, x: s * x),
+        "less": (F.get(operands, F.lit(0))["value"] - F.get(operands, F.lit(1))["value"]).cast("double"), "mixed": F.array_contains(kinds, "percent") & (F.size(kinds) > 1),
+        "kinds": F.size(known), "kind": F.get(known, F.lit(0)), "currencies": F.size(currencies), "currency": F.get(currencies, F.lit(0)),
+    }
+    return F.struct(*[c.alias(n) for n, c in own.items()])
+
+
 def calculate(operation: Column, operands: Column, years: Column | None = None) -> Column:
     """struct(ok, value, unit_kind, currency, error) of an operation on an array of OPERAND, values in units.
 
     Sums, differences and averages need one unit kind and one currency; change and growth take (before, now) over the
     size of the base, which may be negative; parts and ratios take (part, whole)."""
-    value = F.transform(operands, lambda o: o["value"].cast("double"))
-    a, b = F.get(value, F.lit(0)), F.get(value, F.lit(1))
+    return operated(operation, operand_facts(operands), years)
+
+
+def operated(operation: Column, facts: Column, years: Column | None = None) -> Column:
+    """calculate() from operand_facts()."""
+    a, b, size, total = facts["a"], facts["b"], facts["size"], facts["total"]
     n = F.lit(None).cast("double") if years is None else years.cast("double")
-    size, kinds = F.size(operands), F.array_distinct(F.transform(operands, lambda o: o["unit_kind"]))
-    known, currencies = F.filter(kinds, lambda k: k != "unknown"), F.array_compact(F.array_distinct(F.transform(operands, lambda o: o["currency"])))
     additive, pair = operation.isin("sum", "difference", "average"), operation.isin("difference", "ratio", "percentage_change", "growth_rate", "margin", "percentage_of", "cagr")
-    total = F.aggregate(F.transform(operands, lambda o: o["value"]), F.lit(0).cast(MONEY), lambda s, x: (s + x).cast(MONEY)).cast("double")
     error = (
-        F.when(F.coalesce(size, F.lit(0)) <= 0, "no operands supplied").when(F.exists(operands, lambda o: o.isNull() | o["value"].isNull()), "operand missing")
+        F.when(F.coalesce(size, F.lit(0)) <= 0, "no operands supplied").when(facts["missing"], "operand missing")
         .when(~operation.isin("sum", "difference", "product", "average", "ratio", "margin", "percentage_of", "percentage_change", "growth_rate", "cagr"), "unsupported operation")
-        .when(additive & F.array_contains(kinds, "percent") & (F.size(kinds) > 1), "incompatible unit kinds").when(additive & (F.size(known) > 1), "incompatible unit kinds")
-        .when(additive & (F.size(currencies) > 1), "different currencies").when(pair & (size != 2), "exactly 2 operands required")
+        .when(additive & facts["mixed"], "incompatible unit kinds").when(additive & (facts["kinds"] > 1), "incompatible unit kinds")
+        .when(additive & (facts["currencies"] > 1), "different currencies").when(pair & (size != 2), "exactly 2 operands required")
         .when(operation.isin("ratio", "margin", "percentage_of") & (b == 0), "division by zero").when(operation.isin("percentage_change", "growth_rate") & (a == 0), "base of 0")
         .when((operation == "cagr") & n.isNull(), "number of years required").when((operation == "cagr") & (n <= 0), "positive number of years required")
         .when((operation == "cagr") & (a <= 0), "non-positive start").when((operation == "cagr") & (b < 0), "negative end")
     )
     out = (
-        F.when(operation == "sum", total).when(operation == "average", total / size).when(operation == "difference", (F.get(operands, F.lit(0))["value"] - F.get(operands, F.lit(1))["value"]).cast("double"))
-        .when(operation == "product", F.aggregate(value, F.lit(1.0), lambda s, x: s * x)).when(operation.isin("ratio", "margin", "percentage_of"), a / F.nullif(b, F.lit(0.0)))
+        F.when(operation == "sum", total).when(operation == "average", total / size).when(operation == "difference", facts["less"])
+        .when(operation == "product", facts["product"]).when(operation.isin("ratio", "margin", "percentage_of"), a / F.nullif(b, F.lit(0.0)))
         .when(operation.isin("percentage_change", "growth_rate"), (b - a) / F.nullif(F.abs(a), F.lit(0.0))).when((operation == "cagr") & (a > 0) & (b >= 0) & (n > 0), F.pow(b / F.nullif(a, F.lit(0.0)), 1 / n) - 1)
     )
-    kind = F.when(additive, F.coalesce(F.get(known, F.lit(0)), F.lit("unknown"))).when(operation == "ratio", "ratio").when(operation == "product", "unknown").otherwise("percent")
-    currency = F.when(additive | (operation == "product"), F.get(currencies, F.lit(0)))
+    kind = F.when(additive, F.coalesce(facts["kind"], F.lit("unknown"))).when(operation == "ratio", "ratio").when(operation == "product", "unknown").otherwise("percent")
+    currency = F.when(additive | (operation == "product"), facts["currency"])
     ok = error.isNull()
     return F.struct(ok.alias("ok"), F.when(ok, out).alias("value"), F.when(ok, kind).otherwise("unknown").alias("unit_kind"), F.when(ok, currency).alias("currency"), error.alias("error"))
 

@@ -49,7 +49,7 @@ def calc_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[F.sum(F.col(c).cast("decimal(18,2)")).cast(V.MONEY).alias(n) for c, n in (("l_extendedprice", "a"), ("l_quantity", "b"))])
     operand = lambda c, currency: F.struct(F.col(c).alias("value"), F.lit("currency").alias("unit_kind"), currency.alias("currency"))
     o = F.array(operand("a", F.lit("INR")), operand("b", F.when(F.col("l_orderkey") % 5 == 0, F.lit("USD")).otherwise(F.lit(None).cast("string"))))
-    p = p.withColumn("operation", F.explode(F.array(*[F.lit(x) for x in _OPS]))).withColumn("r", V.calculate(F.col("operation"), o, F.lit(3)))
+    p = p.withColumn("f", V.operand_facts(o)).withColumn("operation", F.explode(F.array(*[F.lit(x) for x in _OPS]))).withColumn("r", V.operated(F.col("operation"), F.col("f"), F.lit(3)))
     v = V.presented(F.col("r"))
     return p.select("l_orderkey", "operation", "r.ok", F.when(F.col("operation") == "cagr", F.round("r.value", 4) * 100).when(F.col("operation").isin("sum", "difference", "average"), F.round(v, 4)).otherwise(v).alias("value"), "r.unit_kind", "r.error")
 
