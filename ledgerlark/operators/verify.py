@@ -130,8 +130,10 @@ def bind(facts: DataFrame, metric: str = "metric") -> DataFrame:
     """facts (question, metric, pos, amount, scale, unit_kind): one operand of each metric whose facts all
     give the same canonical value; others are unbound."""
     c = facts.withColumn("canonical", canonical(F.col("amount"), F.col("scale"), F.col("unit_kind")))
-    g = c.groupBy("question", metric).agg(F.count_distinct("canonical").alias("values"), F.min_by("canonical", "pos").alias("value"))
-    return g.select("question", metric, F.when(F.col("values") == 1, F.col("value")).alias("value"), (F.col("values") == 1).alias("bound"))
+    # equal ends, so one value: two numbers for each metric, and no set of its values
+    g = c.groupBy("question", metric).agg(F.min("canonical").alias("value"), F.max("canonical").alias("most"))
+    one = F.coalesce(F.col("value") == F.col("most"), F.lit(False))
+    return g.select("question", metric, F.when(one, F.col("value")).alias("value"), one.alias("bound"))
 
 
 # --- replies ------------------------------------------------------------------------------------
