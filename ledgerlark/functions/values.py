@@ -56,6 +56,8 @@ FOOTNOTE = r"(?i)(?:\s*[*#†‡]+|\s*\([a-z]{1,2}\))+$"
 WESTERN = r"^\d{1,3}(?:,\d{3})+$"
 INDIAN = r"^\d{1,2}(?:,\d{2})+,\d{3}$"
 NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
+# What no figure of digits, grouping, signs and blanks alone holds: without it no mark, word or footnote is looked for.
+WORDED = r"[^-0-9,.()\s]"
 
 # The powers of ten between scales that are mixed up.
 POWERS = (-12, -9, -7, -6, -5, -3, -2, -1, 1, 2, 3, 5, 6, 7, 9, 12)
@@ -89,20 +91,23 @@ def rescale(amount: Column, scale: Column, unit_kind: Column, to: str) -> Column
 
 
 def _marks(m: dict[str, Column]) -> dict[str, Column]:
-    return {"currency": _first(m["t"], CURRENCY_PATTERNS, m["context_currency"]), "t": _without_first(m["t"], CURRENCY_PATTERNS)}
+    worded = m["t"].rlike(WORDED)
+    return {"worded": worded, "currency": F.when(worded, _first(m["t"], CURRENCY_PATTERNS, m["context_currency"])).otherwise(m["context_currency"]), "t": F.when(worded, _without_first(m["t"], CURRENCY_PATTERNS)).otherwise(m["t"])}
 
 
 def _unit(m: dict[str, Column]) -> dict[str, Column]:
-    return {"currency": m["currency"], "kind": F.when(m["t"].rlike("(?U)" + PERCENT), F.lit("percent")).otherwise(F.coalesce(m["context_unit_kind"], F.lit("unknown"))), "t": F.regexp_replace(m["t"], "(?U)" + PERCENT, " ")}
+    percent = m["worded"] & m["t"].rlike("(?U)" + PERCENT)
+    return {"worded": m["worded"], "currency": m["currency"], "kind": F.when(percent, F.lit("percent")).otherwise(F.coalesce(m["context_unit_kind"], F.lit("unknown"))), "t": F.when(percent, F.regexp_replace(m["t"], "(?U)" + PERCENT, " ")).otherwise(m["t"])}
 
 
 def _scaled(m: dict[str, Column]) -> dict[str, Column]:
-    return {"currency": m["currency"], "kind": m["kind"], "stated": _first(m["t"], SCALE_PATTERNS, F.lit(None).cast("string")), "rest": _without_first(m["t"], SCALE_PATTERNS)}
+    return {"worded": m["worded"], "currency": m["currency"], "kind": m["kind"], "stated": F.when(m["worded"], _first(m["t"], SCALE_PATTERNS, F.lit(None).cast("string"))), "rest": F.when(m["worded"], _without_first(m["t"], SCALE_PATTERNS)).otherwise(m["t"])}
 
 
 def _bared(m: dict[str, Column]) -> dict[str, Column]:
     second = reduce(lambda a, p: a | (m["rest"].rlike("(?U)" + p[0]) & (m["stated"] != p[1])), SCALE_PATTERNS, m["rest"].rlike(VAGUE_SCALE))
-    return {**{c: m[c] for c in ("currency", "kind", "stated")}, "second": second, "trimmed": F.trim(m["rest"]), "bare": F.regexp_replace(F.trim(m["rest"]), FOOTNOTE, "")}
+    bare = F.when(m["worded"], F.regexp_replace(F.trim(m["rest"]), FOOTNOTE, "")).otherwise(F.trim(m["rest"]))
+    return {**{c: m[c] for c in ("currency", "kind", "stated")}, "second": m["worded"] & second, "trimmed": F.trim(m["rest"]), "bare": bare}
 
 
 def _numeral(m: dict[str, Column]) -> dict[str, Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import canonical, compatible, parse, power_of_ten, relative_difference
+from ..sources.shared import small_methods
 
 TOLERANCE = 0.005
 # The factor for each missing channel that could have answered.
@@ -21,16 +22,22 @@ NO_EVIDENCE, CONFLICT, HARD_WEIGHT, NO_CORROBORATION, ARBITER_ABSTAINED, RESIDUA
 
 def _side_by_side(channels: DataFrame, key: str, more: tuple[str, ...] = ()) -> DataFrame:
     """A row for each key with its three channels as structs c0, c1, c2, more columns included; one shuffle."""
+    small_methods(channels.sparkSession)
     c = channels.withColumn("usable", F.col("available") & F.col("amount").isNotNull()).withColumn("v", canonical(F.col("amount"), F.col("scale"), F.col("unit_kind")))
     own = F.struct("usable", "v", "unit_kind", "currency", "applicable", *more)
     return c.groupBy(key).agg(*[F.max(F.when(F.col("channel") == i, own)).alias(f"c{i}") for i in range(3)])
 
 
+def _those(*said: tuple[Column, Column | str]) -> Column:
+    """The texts whose condition holds, in order; without a function of arrays' entries, so that code is generated for it."""
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(c, F.array(F.lit(x) if isinstance(x, str) else x)).otherwise(none) for c, x in said])
+
+
 def _pair(i: int, j: int) -> Column:
-    """The comparison of two channels as a struct, null where one is missing."""
+    """The comparison of two channels as a struct, null where one is missing; their relative difference is a column."""
     l, r = F.col(f"c{i}"), F.col(f"c{j}")
-    a, b = l["v"], r["v"]
-    rel = relative_difference(a, b)
+    a, b, rel = l["v"], r["v"], F.col(f"r{i}{j}")
     kind = (
         F.when(~(l["usable"] & r["usable"]), "channel_unavailable").when(~compatible(l["unit_kind"], r["unit_kind"]), "unit_kind_mismatch")
         .when(l["currency"] != r["currency"], "currency_mismatch").when(((a > 0) != (b > 0)) & (a != 0) & (b != 0), "sign_mismatch")
@@ -44,7 +51,9 @@ def _score(kind: Column, rel: Column) -> Column:
 
 
 def _compared(channels: DataFrame, key: str, more: tuple[str, ...] = ()) -> DataFrame:
-    return _side_by_side(channels, key, more).select("*", _pair(0, 1).alias("p01"), _pair(0, 2).alias("p02"), _pair(1, 2).alias("p12"))
+    two = ((0, 1), (0, 2), (1, 2))
+    c = _side_by_side(channels, key, more).select("*", *[relative_difference(F.col(f"c{i}.v"), F.col(f"c{j}.v")).alias(f"r{i}{j}") for i, j in two])
+    return c.select("*", *[_pair(i, j).alias(f"p{i}{j}") for i, j in two])
 
 
 def pairs(channels: DataFrame, key: str) -> DataFrame:
@@ -65,7 +74,7 @@ def consistency(channels: DataFrame, key: str, more: tuple[str, ...] = ()) -> Da
     against = lambda x: F.coalesce((comparable(x) & (x["disagreement"] != "none")).cast("int"), F.lit(0))
     r = p.select(
         key, count("usable").alias("usable"), count("applicable").alias("applicable"), F.least(*[F.when(comparable(x), _score(x["disagreement"], x["rel"])) for x in each]).alias("lowest"),
-        F.array_distinct(F.array_compact(F.array(*[F.when(x["disagreement"] != "none", x["disagreement"]) for x in each]))).alias("kinds"), (against(each[0]) + against(each[1]) + against(each[2])).alias("against"),
+        F.array_distinct(_those(*[(x["disagreement"] != "none", x["disagreement"]) for x in each])).alias("kinds"), (against(each[0]) + against(each[1]) + against(each[2])).alias("against"),
         F.coalesce(each[0]["disagreement"] == "none", F.lit(False)).alias("two_agree"), (against(each[1]) + against(each[2])).alias("third_against"), *kept,
     )
     short = shortfall(F.col("applicable"), F.col("usable"))
@@ -74,8 +83,8 @@ def consistency(channels: DataFrame, key: str, more: tuple[str, ...] = ()) -> Da
     r = r.withColumn("conflict", ~few & F.col("two_agree") & (F.col("third_against") > 0)).withColumn("base_score", F.when(few, 0.5).otherwise(F.coalesce("lowest", F.lit(0.5))))
     verdict = F.when(few, "UNCERTAIN").when(F.col("conflict") | (F.col("against") > 0), "DISAGREE").otherwise("AGREE")
     score = F.when(few, 0.5 * F.col("coverage")).otherwise(F.col("base_score") * F.col("coverage") * F.when(F.col("conflict"), CONFLICT_FACTOR).otherwise(1.0))
-    kinds = F.array_union(F.col("kinds"), F.array_compact(F.array(F.when(few, F.lit("channel_unavailable")), F.when(F.col("conflict"), F.lit("deterministic_conflict")))))
-    kinds = F.when(F.size(kinds) == 0, F.array(F.lit("none"))).otherwise(F.array_sort(kinds))
+    kinds = F.array_union(F.col("kinds"), _those((few, "channel_unavailable"), (F.col("conflict"), "deterministic_conflict")))
+    kinds = F.when(F.size(kinds) == 0, F.array(F.lit("none"))).otherwise(F.sort_array(kinds))
     return r.select(key, verdict.alias("verdict"), score.alias("score"), "base_score", "coverage", kinds.alias("disagreements"), "usable", "applicable", *kept)
 
 
@@ -107,12 +116,19 @@ def combine(signals: Column) -> Column:
     return F.least(F.lit(1.0), F.aggregate(order, F.lit(0.0), lambda r, s: r + (1 - r) * s * F.when(r == 0, 1.0).otherwise(RESIDUAL)))
 
 
+def combined(first: Column, *more: Column) -> Column:
+    """combine() of a known number of signals, written out, so that code is generated for it."""
+    order = F.sort_array(F.array(*[F.greatest(F.lit(0.0), s) for s in (first, *more)]), asc=False)  # greatest: a missing signal is zero, which takes nothing off
+    left = reduce(lambda rest, i: rest * (1 - RESIDUAL * F.get(order, F.lit(i))), range(1, len(more) + 1), F.lit(1.0))
+    return F.least(F.lit(1.0), 1 - (1 - F.get(order, F.lit(0))) * left)
+
+
 def risk(reports: DataFrame, evidence_blocks: Column, arbiter_abstained: Column | None = None) -> DataFrame:
     """reports as of consistency(): with risk_score, risk_band and the facets."""
     arbiter = F.lit(False) if arbiter_abstained is None else arbiter_abstained
     has = lambda kinds: F.arrays_overlap(F.col("disagreements"), F.array(*[F.lit(k) for k in kinds]))
     conflict = F.array_contains("disagreements", "deterministic_conflict")
-    signals = F.array(
+    signals = (
         F.when(evidence_blocks == 0, NO_EVIDENCE).otherwise(0.0), F.when(conflict, CONFLICT).otherwise(0.0), F.when(has(HARD), HARD_WEIGHT).otherwise(0.0),
         F.greatest(F.lit(0.0), 1 - F.col("base_score")), NO_CORROBORATION * (1 - F.col("coverage")), F.when(arbiter, ARBITER_ABSTAINED).otherwise(0.0),
     )
@@ -123,7 +139,7 @@ def risk(reports: DataFrame, evidence_blocks: Column, arbiter_abstained: Column
         F.lit("agreement"), F.when(F.col("verdict") == "UNCERTAIN", "PARTIAL").otherwise(status(F.col("verdict") == "AGREE")),
         F.lit("unit"), status(~has(UNIT)),
     )
-    return reports.withColumn("risk_score", combine(signals)).withColumn("risk_band", band(F.col("risk_score"))).withColumn("facets", facets)
+    return reports.withColumn("risk_score", combined(*signals)).withColumn("risk_band", band(F.col("risk_score"))).withColumn("facets", facets)
 
 
 def bind(facts: DataFrame, metric: str = "metric") -> DataFrame:
@@ -155,14 +171,23 @@ def natural_reply(payload: Column) -> Column:
 
 def reply_figure(payload: Column) -> Column:
     """The figure of a reply with its unit, as parse() and parsed() read it; null without an answer."""
-    p = F.from_json(payload, _REPLY)
+    return said_figure(reply(payload))
+
+
+def reply(payload: Column) -> Column:
+    """A reply's JSON object as a struct."""
+    return F.from_json(payload, _REPLY)
+
+
+def said_figure(p: Column) -> Column:
+    """reply_figure() of a reply() that is a column by now."""
     return F.when(p["answer"].isNotNull(), F.concat_ws(" ", p["answer"], F.nullif(p["unit"], F.lit(""))))
 
 
-def arbiter_reply(payload: Column, swapped: Column, figure: Column | None = None) -> Column:
+def arbiter_reply(payload: Column, swapped: Column, figure: Column | None = None, read: Column | None = None) -> Column:
     """struct(resolution, value, resolved, available, failure_reason); candidates shown in the other order are turned back.
-    figure: reply_figure() as parsed() read it, where a whole column is read."""
-    p = F.from_json(payload, _REPLY)
+    figure: reply_figure() as parsed() read it, where a whole column is read; read: reply() of it, where that is a column, as each field is parsed anew elsewhere."""
+    p = reply(payload) if read is None else read
     label = F.lower(F.trim(p["resolution"]))
     value = parse(reply_figure(payload)) if figure is None else figure
     why = F.when(F.coalesce(F.trim(payload), F.lit("")) == "", "empty reply").when(p.isNull(), "no JSON object in the reply").when(p["answer"].isNotNull() & value.isNull(), "the arbiter's figure could not be parsed")
@@ -195,13 +220,13 @@ FACET_PROSE = {
 
 def risk_notes(evidence_blocks: Column, arbiter_abstained: Column | None = None) -> Column:
     """What raised the risk of a row of risk(), a sentence for each signal above zero but the score's own shortfall."""
-    hard = F.array_sort(F.array_intersect("disagreements", F.array(*[F.lit(k) for k in HARD])))
+    hard = F.sort_array(F.array_intersect("disagreements", F.array(*[F.lit(k) for k in HARD])))
     said = (
         (evidence_blocks == 0, F.lit("no passage was found")), (F.array_contains("disagreements", "deterministic_conflict"), F.lit("the calculation contradicts channels that agree")),
         (F.size(hard) > 0, F.concat(F.lit("channels differ in kind: "), F.array_join(hard, ", "))), (F.col("coverage") < 1, F.lit("a channel that could have confirmed the answer did not")),
         (F.lit(False) if arbiter_abstained is None else arbiter_abstained, F.lit("the arbiter left the disagreement open")),
     )
-    return F.array_compact(F.array(*[F.when(c, x) for c, x in said]))
+    return _those(*said)
 
 
 def channel_line(name: str, ran: Column, applicable: Column, available: Column, value: Column, reason: Column) -> Column:
@@ -212,7 +237,7 @@ def channel_line(name: str, ran: Column, applicable: Column, available: Column,
 
 def remedies(evidence_blocks: Column, verdict: Column, missing: Column, arbiter_abstained: Column) -> Column:
     """What would change the risk: an array of codes, the first alone where there is no evidence or no report."""
-    found = F.array_compact(F.array(F.when(verdict == "UNCERTAIN", F.lit("second_channel")), F.when(missing > 0, F.lit("missing_channels")), F.when(verdict == "DISAGREE", F.lit("check_cited_pages")), F.when(F.coalesce(arbiter_abstained, F.lit(False)), F.lit("arbiter_declined"))))
+    found = _those((verdict == "UNCERTAIN", "second_channel"), (missing > 0, "missing_channels"), (verdict == "DISAGREE", "check_cited_pages"), (arbiter_abstained, "arbiter_declined"))
     return F.when(evidence_blocks == 0, F.array(F.lit("retrieve_evidence"))).when(verdict.isNull(), F.array(F.lit("enable_consistency"))).when(F.size(found) == 0, F.array(F.lit("nothing_flagged"))).otherwise(found)
 
 
@@ -220,23 +245,28 @@ def statements(c0: Column, c1: Column, c2: Column, arbiter: Column | None = None
     """What each channel said (structs with applicable, available, said, reason; null: not run), and the arbiter's resolution where it ran."""
     line = lambda name, c: channel_line(name, c.isNotNull(), F.coalesce(c["applicable"], F.lit(False)), F.coalesce(c["available"], F.lit(False)), c["said"], c["reason"])
     lines = [line("natural", c0), line("program", c1), line("deterministic", c2)]
-    return F.array(*lines) if arbiter is None else F.array_compact(F.array(*lines, F.when(arbiter.isNotNull(), F.concat(F.lit("arbiter: "), arbiter["resolution"], F.coalesce(F.concat(F.lit(" -> "), arbiter["said"]), F.lit(""))))))
+    if arbiter is None:
+        return F.array(*lines)
+    ruling = F.concat(F.lit("arbiter: "), arbiter["resolution"], F.coalesce(F.concat(F.lit(" -> "), arbiter["said"]), F.lit("")))
+    return F.when(ruling.isNotNull(), F.array(*lines, ruling)).otherwise(F.array(*lines))
 
 
 def explained(risks: DataFrame, answer: Column, source: Column, evidence_blocks: Column, said: Column | None = None, citations: Column | None = None, arbiter_abstained: Column | None = None) -> DataFrame:
     """risks as of risk(): with statements (said, an array), citations, reasons (a sentence for each facet, then the notes), remedies, caveats, and all
     of it as one text.  A row without a score is given no reason to trust it or not."""
     lines = F.array().cast("array<string>")
-    status = lambda facet: F.element_at("facets", facet)
+    names = ("evidence", "arithmetic", "agreement", "unit")
+    risks = risks.withColumns({f"__{f}": F.element_at("facets", f) for f in names})
+    status = lambda facet: F.col(f"__{facet}")
     prose = lambda facet: reduce(lambda rest, x: F.when(status(facet) == x[0][1], F.lit(x[1])).otherwise(rest), [x for x in FACET_PROSE.items() if x[0][0] == facet], F.lit(None).cast("string"))
-    facets = F.array(*[F.concat_ws(" - ", F.concat(F.lit(f"{f}: "), status(f)), prose(f)) for f in ("evidence", "arithmetic", "agreement", "unit")])
+    facets = F.array(*[F.concat_ws(" - ", F.concat(F.lit(f"{f}: "), status(f)), prose(f)) for f in names])
     reasons = F.when(F.col("risk_score").isNull(), F.array(F.lit("nothing here gives a risk score"))).otherwise(F.concat(facets, risk_notes(evidence_blocks, arbiter_abstained)))
-    caveats = F.array_compact(F.array(F.when(F.col("risk_score").isNotNull(), F.lit("the risk score is uncalibrated: it ranks answers and is no probability")), F.when(source == "deterministic", F.lit("the answer comes from the deterministic verifier alone")), F.when(evidence_blocks == 0, F.lit("no evidence was retrieved for this question"))))
+    caveats = _those((F.col("risk_score").isNotNull(), "the risk score is uncalibrated: it ranks answers and is no probability"), (source == "deterministic", "the answer comes from the deterministic verifier alone"), (evidence_blocks == 0, "no evidence was retrieved for this question"))
     open_ = F.lit(False) if arbiter_abstained is None else arbiter_abstained
     e = risks.withColumns({
         "statements": lines if said is None else said, "citations": lines if citations is None else F.coalesce(citations, lines), "reasons": reasons,
         "remedies": remedies(evidence_blocks, F.col("verdict"), shortfall(F.col("applicable"), F.col("usable")), open_), "caveats": caveats,
-    })
+    }).drop(*[f"__{f}" for f in names])
     head = F.concat(F.lit("ANSWER: "), F.coalesce(answer, F.lit("no answer produced")), F.lit("\n  source: "), F.coalesce(source, F.lit("none")), F.lit("\n  risk:   "), F.coalesce(F.format_number("risk_score", 3), F.lit("not scored")), F.lit(" ("), F.col("risk_band"), F.lit(")"))
     block = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"\n\n{title}\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("  "), x)), "\n"))).otherwise("")
     titles = {"EVIDENCE": "citations", "WHAT EACH CHANNEL SAID": "statements", "WHY": "reasons", "WHAT WOULD CHANGE IT": "remedies", "CAVEATS": "caveats"}

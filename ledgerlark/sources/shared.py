@@ -26,6 +26,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def small_methods(spark: SparkSession) -> None:
+    """Rows' code in methods that the JVM compiles: a stage whose one method is over its limit of 8,000 bytes is interpreted, several times slower; its parts are not."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
